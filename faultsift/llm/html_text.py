@@ -35,6 +35,7 @@ BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising ban
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 ARTICLE = frozenset(["article", "main"])
 _SPACE = re.compile(r"\s+")
+_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*$")
 _NAMES = re.compile(r"[a-z]+")
 
 
@@ -135,7 +136,7 @@ def _smoothed(ratio: np.ndarray) -> np.ndarray:
 def main_text(html: str | None) -> str:
     """The page's main text, one block a line; empty if it has none."""
     parser = _Blocks()
-    parser.feed(html or "")
+    parser.feed(_CUT_TAG.sub("", html or ""))
     parser.finish()
     blocks = parser.blocks
     if not blocks:
@@ -161,7 +162,8 @@ def main_text(html: str | None) -> str:
         regions = {n for n in declared if not any(p in declared for p in above(n)[1:])}
     else:
         most = MAJORITY * float(size[content].sum())
-        regions = {max(n for n, v in votes.items() if v >= most)}
+        outer = set(parser.parent)  # a paragraph is no container
+        regions = {max(n for n, v in votes.items() if v >= most and (n in outer or n == 0))}
     return "\n".join(b[0] for b, path in zip(blocks, paths, strict=True) if not regions.isdisjoint(path))
 
 
