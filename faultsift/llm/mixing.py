@@ -94,27 +94,27 @@ def mix(
         F.xxhash64(text).alias(p("hash")),
     ).withColumn(
         p("bucket"),
-        F.expr(f"cast(conv(substr({p('key')}, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296").cast("int"),
+        F.expr(f"cast(conv(substr(`{p('key')}`, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296").cast("int"),
     )
-    part = rows.groupBy(p("stream"), p("bucket")).agg(F.sum(p("units")).alias("n"))
+    part = rows.groupBy(p("stream"), p("bucket")).agg(F.sum(p("units")).alias(p("n")))
     earlier = W.partitionBy(p("stream")).orderBy(p("bucket")).rowsBetween(W.unboundedPreceding, -1)
     offsets = part.select(
-        F.col(p("stream")).alias("_s"),
-        F.col(p("bucket")).alias("_b"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias(p("offset")),
+        F.col(p("stream")).alias(p("s")),
+        F.col(p("bucket")).alias(p("b")),
+        F.coalesce(F.sum(p("n")).over(earlier), F.lit(0).cast("long")).alias(p("offset")),
     )
     order = [p("key"), F.col(id_col), p("units"), p("hash")]
     inside = W.partitionBy(p("stream"), p("bucket")).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn(p("before"), F.sum(p("units")).over(inside) - F.col(p("units")))
-    rows = rows.join(offsets, (F.col(p("stream")) == F.col("_s")) & (F.col(p("bucket")) == F.col("_b"))).drop("_s", "_b")
+    rows = rows.join(offsets, (F.col(p("stream")) == F.col(p("s"))) & (F.col(p("bucket")) == F.col(p("b"))))
     start = F.col(p("offset")) + F.col(p("before"))
     rows = rows.withColumn(p("block"), F.floor(start / block_units)).withColumn(p("at"), start % block_units)
     # P rows, from the weights alone
-    plan = F.broadcast(schedule(spark, weights).select(*(F.col(c).alias(f"_{c}") for c in ("stream", "weight", "k", "slot", "release", "deadline"))))
+    plan = F.broadcast(schedule(spark, weights).select(*(F.col(c).alias(p(f"of_{c}")) for c in ("stream", "weight", "k", "slot", "release", "deadline"))))
     weight = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
-    cycle = F.expr(f"{p('block')} div _weight") * period
+    cycle = F.expr(f"`{p('block')}` div `{p('of_weight')}`") * period
     rows = rows.withColumn(p("k"), F.pmod(F.col(p("block")), weight[F.col(p("stream"))]).cast("int"))
-    rows = rows.join(plan, (F.col(p("stream")) == F.col("_stream")) & (F.col(p("k")) == F.col("_k")))
+    rows = rows.join(plan, (F.col(p("stream")) == F.col(p("of_stream"))) & (F.col(p("k")) == F.col(p("of_k"))))
     for c in ("slot", "release", "deadline"):
-        rows = rows.withColumn(p(c), (F.col(f"_{c}") + cycle).cast("long"))
+        rows = rows.withColumn(p(c), (F.col(p(f"of_{c}")) + cycle).cast("long"))
     return rows.select(*docs.columns, *(p(c) for c in ("stream", "block", "slot", "release", "deadline", "at", "units")))

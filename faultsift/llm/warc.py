@@ -175,11 +175,11 @@ def read(spark: SparkSession, path: str, batch_rows: int = 256) -> DataFrame:
 def resolve(found: DataFrame, columns: list[str]) -> DataFrame:
     """found with the columns of each revisit taken from the response that it refers to.
 
-    A revisit whose response is missing keeps its own.
+    A revisit whose response is missing keeps its own. Where responses repeat an id, one is taken.
     """
     rest = [c for c in found.columns if c not in columns]
     named = {c: f"_{c}" for c in columns}
-    responses = found.where("record_type = 'response'").select(F.col("record_id").alias("_to"), *(F.col(c).alias(n) for c, n in named.items()))
+    responses = found.where("record_type = 'response'").select(F.col("record_id").alias("_to"), *(F.col(c).alias(n) for c, n in named.items())).dropDuplicates(["_to"])
     revisits = found.where("record_type = 'revisit'").join(responses, F.col("refers_to") == F.col("_to"), "left")
     taken = revisits.select(*rest, *(F.when(F.col("_to").isNotNull(), F.col(n)).otherwise(F.col(c)).alias(c) for c, n in named.items()))
     return found.where("record_type <> 'revisit'").select(*rest, *columns).unionByName(taken)
