@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from faultsift.functions import repair
 from faultsift.functions import scalars as S
 from faultsift.operators import cells, classify, detect, evaluate, rank, robust, segment, windows
+from faultsift.operators import events as event_ops
 from faultsift.plans import dims
 from faultsift.sources import telemetry
 
@@ -729,3 +730,113 @@ def window_average(spark, sf_dir):
     rows = windows.steps(windows.enumerate_windows(n, 7, 3), 7).join(d, ["user_id", "step"])
     rows = rows.withColumn("score", F.sum("value").over(W.partitionBy("user_id", "window")))
     return windows.average(rows, ["user_id", "step"], "score").withColumn("score", F.round("score", 5))
+
+
+# --- events
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, day, hour, user_id, source, metric, direction, score) from events."""
+    e = events(spark, sf_dir)
+    source = F.when(F.col("event_type") == "error", "node").when(F.col("event_type") == "view", "routing").otherwise("traffic")
+    way = F.when(F.col("event_id") % 3 == 0, "low").otherwise("high")
+    return e.select("event_id", "day", "hour", "user_id", source.alias("source"), F.col("event_type").alias("metric"), way.alias("direction"), F.col("value").alias("score"))
+
+
+_POINTS = """pt AS (SELECT event_id, day, hour, user_id, event_type AS metric, value AS score, CASE WHEN event_id % 3 = 0 THEN 'low' ELSE 'high' END AS direction,
+  CASE event_type WHEN 'error' THEN 'node' WHEN 'view' THEN 'routing' ELSE 'traffic' END AS source FROM ev)"""
+_EVIDENCE = f"{EV}, {_POINTS}"
+
+
+@query(f"""WITH {_EVIDENCE}, w AS (SELECT *, first_value(direction) OVER o AS f FROM pt WHERE source IN ('node', 'routing')
+  WINDOW o AS (PARTITION BY user_id, metric ORDER BY day, score DESC, direction)),
+b AS (SELECT *, coalesce(sum(CASE WHEN direction = f THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, metric ORDER BY day, score DESC, direction ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM w),
+m AS (SELECT user_id, day, sum(score) AS s FROM b WHERE direction <> f AND n >= 3 GROUP BY 1, 2), st AS (SELECT user_id, min(day) AS a FROM ev GROUP BY 1)
+SELECT m.user_id AS user_id, min(day) AS recovery FROM m JOIN st ON m.user_id = st.user_id WHERE s >= 5 AND day >= a + 2 GROUP BY 1""")
+def recovery_start(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    p = evidence(spark, sf_dir).withColumn("start", F.min("day").over(W.partitionBy("user_id"))).withColumn("minute", F.col("day"))
+    return event_ops.recovery(p, ["user_id"], ["metric"])
+
+
+@query(f"""WITH {ENERGY}, {_POINTS},
+e AS (SELECT event_type AS event, min(hour) AS s, min(hour) + 30 AS t FROM ev GROUP BY 1),
+pk AS (SELECT event, s, t, arg_max(minute, (energy, -minute)) AS peak_minute, max(energy) AS x FROM e JOIN energy ON minute >= s AND minute < t GROUP BY 1, 2, 3),
+n AS (SELECT event, count(*) AS points, list_sort(list(DISTINCT source)) AS sources FROM e JOIN pt ON hour >= s AND hour < t GROUP BY 1)
+SELECT pk.event AS event, s AS "start", t AS "end", peak_minute, round(least(1.0, x / 7.0 / 1.5), 6) AS confidence, points, sources FROM pk JOIN n ON pk.event = n.event""")
+def event_summary(spark, sf_dir):
+    e = events(spark, sf_dir)
+    spans = e.groupBy(F.col("event_type").alias("event")).agg(F.min("hour").alias("start"), (F.min("hour") + 30).alias("end"))
+    points = evidence(spark, sf_dir).withColumn("minute", F.col("hour"))
+    return event_ops.summarise(spans, points, minute_energy(spark, sf_dir)).withColumn("confidence", r6("confidence"))
+
+
+@query(f"""WITH {_EVIDENCE}, r AS (SELECT *, row_number() OVER (PARTITION BY day, user_id ORDER BY score DESC, hour, metric) AS r FROM pt)
+SELECT day, user_id, count(*) AS anomalies, max(score) AS max_magnitude, round(least(1.0, 1 - 1 / (1 + sum(CASE WHEN r <= 2 THEN score ELSE 0 END))), 6) AS score FROM r GROUP BY 1, 2""")
+def evidence_context(spark, sf_dir):
+    p = evidence(spark, sf_dir).withColumnRenamed("score", "magnitude").withColumn("minute", F.col("hour"))
+    return event_ops.context(p, ["day"], "user_id", 2).withColumn("score", r6("score"))
+
+
+@query("""WITH e AS (SELECT l_returnflag, l_suppkey AS source, l_linenumber AS target, round(sum(l_quantity) - 300, 4) AS score FROM lineitem GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY score DESC, source, target) AS rank, count(*) OVER (PARTITION BY l_returnflag) AS n FROM e WHERE score > 0)
+SELECT l_returnflag, source, target, score, CAST(rank AS INTEGER) AS rank, greatest(0, n - 20) AS truncated FROM r WHERE rank <= 20""")
+def event_subgraph(spark, sf_dir):
+    e = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_suppkey").alias("source"), F.col("l_linenumber").alias("target"))
+    return event_ops.subgraph(e.agg(F.round(F.sum("l_quantity") - 300, 4).alias("score")), ["l_returnflag"])
+
+
+_FLOOR_NAMES = ["node.cpu_usage", "node.load15", "interface.rx_bytes_rate", "routing.bgp_peer_up", "traffic.web.latency_ratio", "netflow.unique_sources", "other"]
+_FLOOR_VALUES = [1.0, 0.1, 1024.0, 0.1, 0.05, 1.0, 0.01]
+
+
+@query(f"SELECT event_id, {_FLOOR_VALUES}[event_id % {len(_FLOOR_VALUES)} + 1]::DOUBLE AS floor FROM events")
+def scale_floors(spark, sf_dir):
+    metric = F.get(F.array(*map(F.lit, _FLOOR_NAMES)), (F.col("event_id") % len(_FLOOR_NAMES)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", event_ops.scale_floor(metric).alias("floor"))
+
+
+@query(None)
+def prototype_ranking(spark, sf_dir):
+    """The three best faults of every user's events, by prototype."""
+    e = table(spark, sf_dir, "events")
+    e = e.withColumn("text", feature_names(e)).withColumn("source", F.split("text", r"\.")[0]).withColumn("direction", F.when(F.col("event_id") % 2 == 0, "low").otherwise("high"))
+    found = event_ops.signals(e.withColumn("weight", F.least(F.lit(1.0), F.col("value") / 15)), ["user_id"])
+    scored = event_ops.prototype_scores(spark, found, "user_id")
+    best = rank.top(scored.withColumn("score", r6("score")), ["user_id"], "score", ["fault"], 3)
+    return best.select("user_id", "rank", "fault", "score")
+
+
+@query(f"""WITH {_SIGNAL_CTE}, o AS (SELECT event_id, value, ['xian-br-1', 'xian-br-2', 'xian-cr-1', 'xian-cr-2', 'xian-fw', 'xian-traffic-vm', 'xian-service-vm-1', 'xian-service-vm-2', 'xian-service-vm-3', 'xian-monitor-vm'][role + 1] AS node,
+  coalesce(category, 'link_delay') AS category, [NULL, 'cpu_pressure', 'memory_pressure', 'disk_io_pressure', 'disk_space_pressure'][event_id % 5 + 1] AS direct FROM cat),
+n AS (SELECT *, CASE WHEN direct IS NULL THEN NULL WHEN node LIKE '%-fw' THEN CASE WHEN direct = 'cpu_pressure' THEN 'firewall_cpu_pressure' END
+  WHEN node LIKE '%-br-%' OR node LIKE '%-cr-%' THEN NULL WHEN direct = 'cpu_pressure' THEN 'resource_cpu_high' WHEN direct = 'disk_space_pressure' THEN 'resource_disk_space_low' ELSE 'resource_' || direct END AS new FROM o),
+c AS (SELECT event_id, value, coalesce(new, category) AS category, CASE WHEN new IS NOT NULL THEN 0.9 ELSE 0.6 END AS conf FROM n)
+SELECT event_id, category, CASE WHEN category <> 'resource_disk_io_pressure' THEN 'not_checked' WHEN value / 10 >= 5 THEN 'supported' WHEN event_id % 2 = 0 THEN 'unsupported' ELSE 'undetermined' END AS anchor,
+  CAST(CASE WHEN category = 'resource_disk_io_pressure' AND value / 10 < 5 THEN least(0.5, conf) ELSE conf END AS DOUBLE) AS confidence FROM c""")
+def direct_override(spark, sf_dir):
+    c = categorised(spark, sf_dir)
+    direct = F.get(F.array(F.lit(None).cast("string"), *map(F.lit, ("cpu_pressure", "memory_pressure", "disk_io_pressure", "disk_space_pressure"))), (F.col("event_id") % 5).cast("int"))
+    got = event_ops.overridden(
+        F.coalesce("category", F.lit("link_delay")), F.lit(0.6), direct, F.lit(0.9), F.col("node"), F.col("value") / 10, F.col("event_id") % 2 == 0
+    )
+    return c.select("event_id", *(v.alias(k) for k, v in got.items()))
+
+
+@query(f"""WITH {STRENGTH}, q AS (SELECT entity, CASE WHEN sustained OR imm THEN p ELSE p * 0.55 END AS p FROM prob)
+SELECT entity, round(min(p), 6) AS least, round(median(p), 6) AS middle, round(max(p), 6) AS most FROM q GROUP BY 1""")
+def probability_summary(spark, sf_dir):
+    p = detect.node_probability(detect.strengths(node_cells(spark, sf_dir), dims.direct_rules(spark)))
+    return p.groupBy("entity").agg(r6(F.min("probability")).alias("least"), r6(F.percentile("probability", 0.5)).alias("middle"), r6(F.max("probability")).alias("most"))
+
+
+@query(None)
+def prediction_records(spark, sf_dir):
+    """Records of the first events, with their ranked nodes and a category of the taxonomy, as the sink takes them."""
+    top5 = root_topk(spark, sf_dir).withColumn("node", F.concat(F.lit("xian-"), F.get(F.array(*map(F.lit, dims.ROLES)), (F.col("rank") - 1).cast("int"))))
+    utc = lambda c: S.utc_text(F.timestamp_seconds(c * 3600))
+    e = first_events(spark, sf_dir).select(
+        "event", utc(F.col("start")).alias("start_time"), utc(F.col("end")).alias("end_time"), F.struct(F.lit("link").alias("major_category"), F.lit("loss").alias("sub_category")).alias("fault_category")
+    )
+    return evaluate.prediction_flags(event_ops.records(e, top5))
