@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.common import text_batches
+from faultsift.llm.common import text_batches, with_arrow
 
 WINDOW = 13
 #: Words that a task holds at once; a longer text is held whole.
-TASK_WORDS = 3_000_000
+TASK_WORDS = 2_000_000
 #: Windows of a reference block, on average.
 BLOCK_WINDOWS = 1_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -57,15 +57,17 @@ def window_hashes(words: list[bytes], n: int) -> np.ndarray:
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """The array's bytes by place value, compressed: the high ones of small numbers vanish."""
-    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
-    return zstandard.compress(raw, 1)
+    """The array's bytes by place value, each place compressed on its own: the high ones of small numbers vanish."""
+    raw = a.view(np.uint8).reshape(len(a), -1)
+    parts = [zstandard.compress(raw[:, i].tobytes(), 1) for i in range(raw.shape[1])]
+    return b"".join([len(x).to_bytes(4, "little") for x in parts] + parts)
 
 
 def _unplanes(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
+    ends = np.cumsum([4 * width] + [int.from_bytes(data[4 * i : 4 * i + 4], "little") for i in range(width)]).tolist()
+    places = [np.frombuffer(zstandard.decompress(data[a:b]), np.uint8) for a, b in zip(ends, ends[1:], strict=False)]
+    return np.ascontiguousarray(np.stack(places, axis=1)).reshape(-1).view(kind)
 
 
 def runs(start: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, size: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -98,34 +100,34 @@ def runs(start: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, size: np.nda
     return s, end - s, r, s + d
 
 
-def _pack(ids: list[int], rows: list[int], texts: list[list[bytes]], n: int, blocks: int) -> Iterator[pa.RecordBatch]:
+def _message(hs: np.ndarray, doc: np.ndarray, place: np.ndarray, name: np.ndarray, row: np.ndarray) -> bytes:
+    """The windows of one block, packed: the ids and rows of their documents, then their hashes, documents and places."""
+    used, number = np.unique(doc, return_inverse=True)
+    parts = [_planes(x) for x in (name[used], row[used], np.diff(hs, prepend=np.uint64(0)), number.astype(np.uint32), place.astype(np.uint32))]
+    return b"".join([len(x).to_bytes(4, "little") for x in parts] + parts)
+
+
+def _pack(ids: list[int], rows: list[int], hashes: list[np.ndarray], blocks: int) -> Iterator[pa.RecordBatch]:
     """What a task sends for its documents: packed windows for each block, and the duplicates that it settles."""
-    hashes = [window_hashes(w, n) for w in texts]
     count = np.array([len(h) for h in hashes], np.int64)
-    if not count.sum():
-        return
     base = np.cumsum(count) - count
     h = np.concatenate(hashes)
-    doc = np.repeat(np.arange(len(ids)), count)
-    name = np.array(ids, np.int64)
-    rank = np.empty(len(ids), np.int64)
-    rank[np.argsort(name, kind="stable")] = np.arange(len(ids))
+    name, row = np.array(ids, np.int64), np.array(rows, np.int64)
     # in the order of hash, then document, then place
-    order = np.argsort(rank, kind="stable")
-    by_doc = np.concatenate([np.arange(base[i], base[i] + count[i]) for i in order])
+    by_doc = np.concatenate([np.arange(base[i], base[i] + count[i]) for i in np.argsort(name, kind="stable")])
     at = by_doc[np.argsort(h[by_doc], kind="stable")]
-    hs, ds = h[at], doc[at]
+    del by_doc
+    hs, ds = h[at], np.repeat(np.arange(len(ids), dtype=np.int32), count)[at]
+    place = (at - base[ds]).astype(np.int32)
     fresh = np.append(True, hs[1:] != hs[:-1])
     lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     mine = name[ds] == name[ds[lead]]
     # settled here: a smaller document of this task has the window
     other = np.flatnonzero(~mine)
     if len(other):
-        d, pos = ds[other], at[other] - base[ds[other]]
-        first = lead[other]
-        ref, ref_pos = name[ds[first]], at[first] - base[ds[first]]
+        d, first = ds[other], lead[other]
         by = np.argsort(d, kind="stable")
-        d, pos, ref, ref_pos = d[by], pos[by], ref[by], ref_pos[by]
+        d, pos, ref, ref_pos = d[by], place[other][by], name[ds[first]][by], place[first][by]
         cut = np.flatnonzero(np.diff(d)) + 1
         out: dict[str, list] = {f: [] for f in _SENT_ARROW.names}
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(d)], strict=True):
@@ -134,32 +136,23 @@ def _pack(ids: list[int], rows: list[int], texts: list[list[bytes]], n: int, blo
             for f, v in zip(_SENT_ARROW.names, (ids[i] % blocks, None, ids[i], rows[i], s, z, r, rs), strict=True):
                 out[f].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _SENT_ARROW], schema=_SENT_ARROW)
-    hs, at = hs[mine], at[mine]
+    hs, ds, place = hs[mine], ds[mine], place[mine]
     width = (1 << 64) // blocks + 1
-    edges = np.searchsorted(hs, np.array([i * width for i in range(1, blocks)], np.uint64))
-    table = zstandard.compress(np.concatenate([name, np.array(rows, np.int64), base]).tobytes(), 1)
-    head = len(ids).to_bytes(4, "little") + len(table).to_bytes(4, "little") + table
-    sent: list[tuple[int, bytes]] = []
-    for block, (a, b) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(hs)], strict=True)):
-        if a < b:
-            x = _planes(np.diff(hs[a:b], prepend=np.uint64(0)))
-            sent.append((block, head + len(x).to_bytes(4, "little") + x + _planes(at[a:b].astype(np.uint32))))
-    none = len(sent)
-    arrays = [pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.binary())]
-    yield pa.RecordBatch.from_arrays(arrays + [pa.nulls(none, f.type) for f in _FOUND_ARROW], schema=_SENT_ARROW)
+    edges = np.searchsorted(hs, np.array([i * width for i in range(1, blocks)], np.uint64)).tolist()
+    cuts = [(block, a, b) for block, (a, b) in enumerate(zip([0, *edges], [*edges, len(hs)], strict=True)) if a < b]
+    sent = [_message(hs[a:b], ds[a:b], place[a:b], name, row) for _, a, b in cuts]
+    arrays = [pa.array([c[0] for c in cuts], pa.int32()), pa.array(sent, pa.binary())]
+    yield pa.RecordBatch.from_arrays(arrays + [pa.nulls(len(sent), f.type) for f in _FOUND_ARROW], schema=_SENT_ARROW)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    """(hash, id, row, position) of the windows in a packed message."""
-    n, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
-    name, row, base = np.frombuffer(zstandard.decompress(data[8 : 8 + size]), np.int64).reshape(3, n)
-    at = 8 + size
-    size = int.from_bytes(data[at : at + 4], "little")
-    h = np.cumsum(_unplanes(data[at + 4 : at + 4 + size], np.uint64), dtype=np.uint64)
-    place = _unplanes(data[at + 4 + size :], np.uint32).astype(np.int64)
-    # documents without windows share their base with the next one, which is the one meant
-    doc = np.searchsorted(base, place, side="right") - 1
-    return h, name[doc], row[doc], place - base[doc]
+    """(hash, id, row, place) of the windows in a message."""
+    sizes = [int.from_bytes(data[4 * i : 4 * i + 4], "little") for i in range(5)]
+    ends = np.cumsum([20, *sizes]).tolist()
+    name, row, h, number, place = (
+        _unplanes(data[a:b], k) for a, b, k in zip(ends[:-1], ends[1:], (np.int64, np.int64, np.uint64, np.uint32, np.uint32), strict=True)
+    )
+    return np.cumsum(h, dtype=np.uint64), name[number], row[number], place.astype(np.int32)
 
 
 def _first_occurrences(group: pa.Table) -> pa.Table:
@@ -207,7 +200,7 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         rows: list[int] = []
-        texts: list[list[bytes]] = []
+        hashes: list[np.ndarray] = []
         held = 0
         for batch in batches:
             for i, r, t in zip(*(batch.column(c) for c in ("id", "row", "text")), strict=True):
@@ -215,18 +208,34 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
                 if len(words) < n:
                     continue
                 if ids and held + len(words) > TASK_WORDS:
-                    yield from _pack(ids, rows, texts, n, blocks)
-                    ids, rows, texts, held = [], [], [], 0
+                    yield from _pack(ids, rows, hashes, blocks)
+                    ids, rows, hashes, held = [], [], [], 0
                 ids.append(i.as_py())
                 rows.append(r.as_py())
-                texts.append(words)
+                hashes.append(window_hashes(words, n))
                 held += len(words)
         if ids:
-            yield from _pack(ids, rows, texts, n, blocks)
+            yield from _pack(ids, rows, hashes, blocks)
 
     return slim.mapInArrow(send, _SENT).groupBy("block").applyInArrow(_first_occurrences, _FOUND)
 
 
+def _squeezed(docs: DataFrame, text: str) -> DataFrame:
+    """docs with _packed, the text compressed, and _null in the text's place: half as many bytes to shuffle."""
+    fields = [T.StructField("_packed", T.BinaryType()), T.StructField("_null", T.BooleanType())]
+
+    def squeeze(batch: pa.RecordBatch) -> list[pa.Array]:
+        column, pack = batch.column(text), zstandard.ZstdCompressor(3).compress
+        return [pa.array([pack((t.as_py() or "").encode("utf-8")) for t in column], pa.binary()), column.is_null()]
+
+    return with_arrow(docs, [text], fields, squeeze, [c for c in docs.columns if c != text])
+
+
+def _texts(batch: pa.RecordBatch) -> list[str | None]:
+    rows = zip(batch.column("_packed"), batch.column("_null"), strict=True)
+    return [None if n.as_py() else zstandard.decompress(t.as_py()).decode("utf-8") for t, n in rows]
+
+
 def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """docs with kept (the words left, joined by one space), n_words, n_removed and spans.
 
@@ -241,7 +250,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
         .agg(*(F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("start", "size", "ref", "ref_start")))
     )
     out = docs if keep is None else docs.select(*dict.fromkeys([*keep, id_col, text]))
-    out = out.withColumn("_row", F.xxhash64(text))
+    out = _squeezed(out.withColumn("_row", F.xxhash64(text)), text)
     found = found.select(F.col("id").alias("_f_id"), F.col("row").alias("_f_row"), "_start", "_size", "_ref", "_ref_start")
     out = out.join(found, (F.col(id_col) == F.col("_f_id")) & (F.col("_row") == F.col("_f_row")), "left")
     span = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "ref", "ref_start")]))
@@ -254,8 +263,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_words, n_removed, spans = [], [], [], []
-            for t, *parts in zip(*(batch.column(c) for c in [text, *lists]), strict=True):
-                words = (t.as_py() or "").encode("utf-8").split()
+            for t, *parts in zip(*(batch.column(c) for c in ["_packed", *lists]), strict=True):
+                words = zstandard.decompress(t.as_py()).split()
                 gone, own = np.zeros(len(words), bool), []
                 if parts[0].is_valid:
                     s, z, r, rs = (p.values.to_numpy(zero_copy_only=False).astype(np.int64) for p in parts)
@@ -270,7 +279,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
                 n_removed.append(int(gone.sum()))
                 spans.append(own)
             arrays = [pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + arrays, names=schema.names)
+            own = [pa.array(_texts(batch), pa.string()) if c == text else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(own + arrays, names=schema.names)
 
-    used = list(dict.fromkeys([*names, text]))
+    used = [c for c in dict.fromkeys([*names, "_packed", "_null"]) if c != text]
     return out.select(*used, *lists).mapInArrow(cut, schema)
