@@ -83,7 +83,8 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(tables(spark, sf_dir, "documents"))
+    judged = quality.judge(tables(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +118,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _PERIOD = sum(WEIGHTS.values())
+_LANGS = ", ".join(f"'{x}'" for x in quality.COMMON)
+_COMMON = " ".join(
+    f"WHEN '{lang}' THEN [" + ", ".join("len(list_filter(w, lambda x: x IN ('{}', '{}', '{}')))".format(c, c.capitalize(), c.upper()) for c in words) + "]"
+    for lang, words in quality.COMMON.items()
+)
+
+
+def _js(name: str, of: str, all_: str) -> str:
+    """SQL of the Jensen-Shannon distance of each document's list of counts from the sums of its language."""
+    term = lambda p: f"CASE WHEN {p} > 0 THEN {p} * log2({p} / ((p + q) / 2)) ELSE 0 END"
+    return f"""{name} AS (SELECT doc_id, sqrt(greatest(0, sum(({term('p')} + {term('q')}) / 2))) AS d FROM (
+  SELECT doc_id, v / sum(v) OVER (PARTITION BY doc_id) AS p, u / sum(u) OVER (PARTITION BY doc_id) AS q
+  FROM (SELECT doc_id, unnest({of})::DOUBLE AS v, unnest({all_})::DOUBLE AS u FROM f JOIN ref ON f.l = ref.l) AS x) AS y GROUP BY doc_id)"""
 
 ORACLE: dict[str, str] = {
     # earliest deadline first, slot by slot; then the rows of each stream in the order of their keys
@@ -149,6 +163,28 @@ WITH p AS (SELECT page_id, coalesce(strlen(html), 0) AS payload_bytes, sha1(coal
 k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS kept FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < kept THEN kept END AS refers_to FROM k""",
+    "op7_divergence": rf"""
+WITH d AS (SELECT doc_id, CASE WHEN lang IN ({_LANGS}) THEN lang ELSE '*' END AS l, coalesce(text, '') AS t,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT *, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) AS BIGINT) AS chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS upper,
+  length(regexp_replace(t, '[^\p{{Nd}}]', '', 'g')) AS digits, length(regexp_replace(t, '[^.,;:!?''"()\-]', '', 'g')) AS points,
+  CASE l {_COMMON} ELSE [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0] END AS found FROM d),
+f AS (SELECT doc_id, l, n_words, word_chars, chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  [greatest(0, word_chars - upper - digits - points - n_symbols), upper, digits, points, n_symbols, chars - word_chars] AS classes,
+  list_append(found, greatest(0, n_words - list_sum(found))) AS hist FROM c),
+ref AS (SELECT l, [{", ".join(f"sum(classes[{i}])" for i in range(1, 7))}] AS rc, [{", ".join(f"sum(hist[{i}])" for i in range(1, 14))}] AS rh FROM f GROUP BY 1),
+{_js("cd", "classes", "rc")}, {_js("wd", "hist", "rh")},
+g AS (SELECT doc_id, unnest(range(len(w) - 2)) AS i, w FROM d WHERE len(w) >= 3),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i + 1], w[i + 2], w[i + 3]) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS j FROM k WHERE n > 1) AS u GROUP BY 1),
+o AS (SELECT f.*, coalesce(r.n, 0) AS n_repeat_words, CASE WHEN chars >= {quality.LEAST_CHARS} THEN cd.d END AS cdist,
+  CASE WHEN l <> '*' AND n_words >= {quality.LEAST_COMPARED_WORDS} THEN wd.d END AS wdist
+  FROM f LEFT JOIN r ON f.doc_id = r.doc_id LEFT JOIN cd ON f.doc_id = cd.doc_id LEFT JOIN wd ON f.doc_id = wd.doc_id),
+b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cdist, 6) AS char_distance, round(wdist, 6) AS word_distance,
+  NOT base_failed AND coalesce(cdist, 0) <= {quality.MOST_CHAR_DISTANCE} AND coalesce(wdist, 0) <= {quality.MOST_WORD_DISTANCE} AS kept FROM b""",
     "op9_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS x FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
