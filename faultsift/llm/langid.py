@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from faultsift.llm.common import staged, text_of, with_arrow
 
 LANGUAGES = ("de", "en", "es", "fr")
-#: Labelled rows that the trigram model is fitted on, at most.
+#: Labelled texts that the trigram model is fitted on, about.
 FIT_ROWS = 4000
 BUCKETS = 1 << 16
 #: Text evidence counts as that of so many independent trigrams at most: neighbouring ones repeat each other.
@@ -42,12 +42,18 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str, declared: str, languages: Sequence[str] = LANGUAGES, rows: int = FIT_ROWS) -> np.ndarray:
-    """Log probabilities of trigram buckets, (language, bucket); sampled are the rows whose text has the least hash."""
+    """Log probabilities of trigram buckets, (language, bucket).
+
+    The sample holds about rows different texts, or all if there are fewer: those whose hash lies in
+    the share that rows has of all labelled rows. Copies count once, with the first of their labels.
+    """
+    labelled = docs.where(F.col(declared).isin(list(languages)) & F.col(text).isNotNull())
+    share = min(1.0, rows / max(1, labelled.count()))
     sample = (
-        docs.where(F.col(declared).isin(list(languages)) & F.col(text).isNotNull())
-        .select(F.col(declared).alias("label"), F.col(text).alias("text"), F.xxhash64(text, F.lit(5)).alias("_by"))
-        .orderBy("_by", "label")
-        .limit(rows)
+        labelled.select(F.col(declared).alias("label"), F.col(text).alias("text"), F.xxhash64(text, F.lit(5)).alias("_by"))
+        .where(F.pmod("_by", F.lit(1 << 30)) < int(share * (1 << 30)))
+        .groupBy("_by")
+        .agg(F.min("label").alias("label"), F.min("text").alias("text"))
     )
 
     def count(batch: pa.RecordBatch) -> list[pa.Array]:
