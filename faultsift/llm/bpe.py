@@ -26,7 +26,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words of more bytes are merged one by one from a heap: whole rounds would cost rounds times length.
 LONG_WORD = 1024
 #: Pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 _SHIFT = 20
 _NONE = np.iinfo(np.int64).max
 
