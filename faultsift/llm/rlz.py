@@ -37,8 +37,11 @@ _FOUND = "id long, row long, start array<int>, size array<int>, ref array<long>,
 _FOUND_ARROW = pa.schema(
     [("id", pa.int64()), ("row", pa.int64()), ("start", pa.list_(pa.int32())), ("size", pa.list_(pa.int32())), ("ref", pa.list_(pa.int64())), ("ref_start", pa.list_(pa.int32()))]
 )
-_SENT = f"block int, packed binary, {_FOUND}"
-_SENT_ARROW = pa.schema([("block", pa.int32()), ("packed", pa.binary()), *_FOUND_ARROW])
+# a task's windows go to their block, and what it has found itself through that to a bucket of documents
+_SENT = "block int, windows binary, bucket int, found binary"
+_SENT_ARROW = pa.schema([("block", pa.int32()), ("windows", pa.binary()), ("bucket", pa.int32()), ("found", pa.binary())])
+_REPLY = "bucket int, found binary"
+_REPLY_ARROW = pa.schema([("bucket", pa.int32()), ("found", pa.binary())])
 
 
 def window_hashes(words: list[bytes], n: int) -> np.ndarray:
@@ -100,15 +103,55 @@ def runs(start: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, size: np.nda
     return s, end - s, r, s + d
 
 
-def _message(hs: np.ndarray, doc: np.ndarray, place: np.ndarray, name: np.ndarray, row: np.ndarray) -> bytes:
-    """The windows of one block, packed: the ids and rows of their documents, then their hashes, documents and places."""
-    used, number = np.unique(doc, return_inverse=True)
-    parts = [_planes(x) for x in (name[used], row[used], np.diff(hs, prepend=np.uint64(0)), number.astype(np.uint32), place.astype(np.uint32))]
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 8 or 4 bytes a value in one message."""
+    parts = [_planes(x) for x in arrays]
     return b"".join([len(x).to_bytes(4, "little") for x in parts] + parts)
 
 
+def _unpacked(data: bytes, kinds: str) -> list[np.ndarray]:
+    """The arrays of a message; kinds has i or u (8 bytes) or w (4 bytes) for each."""
+    sizes = [int.from_bytes(data[4 * i : 4 * i + 4], "little") for i in range(len(kinds))]
+    ends = np.cumsum([4 * len(kinds), *sizes]).tolist()
+    types = {"i": np.int64, "u": np.uint64, "w": np.uint32}
+    return [_unplanes(data[a:b], types[k]) for a, b, k in zip(ends[:-1], ends[1:], kinds, strict=True)]
+
+
+def _windows(hs: np.ndarray, doc: np.ndarray, place: np.ndarray, name: np.ndarray, row: np.ndarray) -> bytes:
+    """The windows of one block: the ids and rows of their documents, then their hashes, documents and places."""
+    used, number = np.unique(doc, return_inverse=True)
+    return _packed(name[used], row[used], np.diff(hs, prepend=np.uint64(0)), number.astype(np.uint32), place.astype(np.uint32))
+
+
+def _unwindowed(data: bytes) -> tuple[np.ndarray, ...]:
+    """(hash, id, row, place) of the windows in a message."""
+    name, row, h, number, place = _unpacked(data, "iiuww")
+    return np.cumsum(h, dtype=np.uint64), name[number], row[number], place.astype(np.int64)
+
+
+def _bucket(name: np.ndarray, buckets: int) -> np.ndarray:
+    return ((name.astype(np.uint64) * _MULTIPLIER) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _replies(name: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray, ref: np.ndarray, ref_start: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """What was found about documents, in a message for each bucket of documents."""
+    to = _bucket(name, buckets)
+    by = np.lexsort((start, row, name, to))
+    to, name, row, start, size, ref, ref_start = (x[by] for x in (to, name, row, start, size, ref, ref_start))
+    cut = np.flatnonzero(np.diff(to)) + 1
+    marks, messages = [], []
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(to)], strict=True):
+        if a < b:
+            fresh = np.append(True, (np.diff(name[a:b]) != 0) | (np.diff(row[a:b]) != 0))
+            number = np.cumsum(fresh) - 1
+            w = lambda x, a=a, b=b: x[a:b].astype(np.uint32)
+            marks.append(int(to[a]))
+            messages.append(_packed(name[a:b][fresh], row[a:b][fresh], number.astype(np.uint32), w(start), w(size), ref[a:b], w(ref_start)))
+    return marks, messages
+
+
 def _pack(ids: list[int], rows: list[int], hashes: list[np.ndarray], blocks: int) -> Iterator[pa.RecordBatch]:
-    """What a task sends for its documents: packed windows for each block, and the duplicates that it settles."""
+    """What a task sends for its documents: windows for each block, and the duplicates that it settles."""
     count = np.array([len(h) for h in hashes], np.int64)
     base = np.cumsum(count) - count
     h = np.concatenate(hashes)
@@ -129,66 +172,59 @@ def _pack(ids: list[int], rows: list[int], hashes: list[np.ndarray], blocks: int
         by = np.argsort(d, kind="stable")
         d, pos, ref, ref_pos = d[by], place[other][by], name[ds[first]][by], place[first][by]
         cut = np.flatnonzero(np.diff(d)) + 1
-        out: dict[str, list] = {f: [] for f in _SENT_ARROW.names}
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(d)], strict=True):
-            s, z, r, rs = runs(pos[a:b], ref[a:b], ref_pos[a:b])
-            i = int(d[a])
-            for f, v in zip(_SENT_ARROW.names, (ids[i] % blocks, None, ids[i], rows[i], s, z, r, rs), strict=True):
-                out[f].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _SENT_ARROW], schema=_SENT_ARROW)
+        parts = [(int(d[a]), *runs(pos[a:b], ref[a:b], ref_pos[a:b])) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(d)], strict=True)]
+        whose = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+        marks, found = _replies(name[whose], row[whose], *(np.concatenate([p[i] for p in parts]) for i in range(1, 5)), blocks)
+        arrays = [pa.array([m % blocks for m in marks], pa.int32()), pa.nulls(len(marks), pa.binary()), pa.array(marks, pa.int32()), pa.array(found, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, schema=_SENT_ARROW)
     hs, ds, place = hs[mine], ds[mine], place[mine]
     width = (1 << 64) // blocks + 1
     edges = np.searchsorted(hs, np.array([i * width for i in range(1, blocks)], np.uint64)).tolist()
     cuts = [(block, a, b) for block, (a, b) in enumerate(zip([0, *edges], [*edges, len(hs)], strict=True)) if a < b]
-    sent = [_message(hs[a:b], ds[a:b], place[a:b], name, row) for _, a, b in cuts]
-    arrays = [pa.array([c[0] for c in cuts], pa.int32()), pa.array(sent, pa.binary())]
-    yield pa.RecordBatch.from_arrays(arrays + [pa.nulls(len(sent), f.type) for f in _FOUND_ARROW], schema=_SENT_ARROW)
+    sent = [_windows(hs[a:b], ds[a:b], place[a:b], name, row) for _, a, b in cuts]
+    arrays = [pa.array([c[0] for c in cuts], pa.int32()), pa.array(sent, pa.binary()), pa.nulls(len(sent), pa.int32()), pa.nulls(len(sent), pa.binary())]
+    yield pa.RecordBatch.from_arrays(arrays, schema=_SENT_ARROW)
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    """(hash, id, row, place) of the windows in a message."""
-    sizes = [int.from_bytes(data[4 * i : 4 * i + 4], "little") for i in range(5)]
-    ends = np.cumsum([20, *sizes]).tolist()
-    name, row, h, number, place = (
-        _unplanes(data[a:b], k) for a, b, k in zip(ends[:-1], ends[1:], (np.int64, np.int64, np.uint64, np.uint32, np.uint32), strict=True)
-    )
-    return np.cumsum(h, dtype=np.uint64), name[number], row[number], place.astype(np.int32)
-
-
-def _first_occurrences(group: pa.Table) -> pa.Table:
-    """For the windows of a block: those with an earlier document, as factors per document; settled ones pass through."""
-    settled = group.filter(pc.is_valid(group.column("id"))).select(_FOUND_ARROW.names)
-    packed = [v.as_py() for v in group.column("packed") if v.is_valid]
+def _first_occurrences(group: pa.Table, buckets: int) -> pa.Table:
+    """For the windows of a block: those with an earlier document; settled ones pass through."""
+    settled = group.filter(pc.is_valid(group.column("found"))).select(_REPLY_ARROW.names).cast(_REPLY_ARROW)
+    packed = [v.as_py() for v in group.column("windows") if v.is_valid]
     if not packed:
-        return settled.cast(_FOUND_ARROW)
-    h, name, row, pos = (np.concatenate(x) for x in zip(*map(_unpack, packed), strict=True))
+        return settled
+    h, name, row, pos = (np.concatenate(x) for x in zip(*map(_unwindowed, packed), strict=True))
     at = np.lexsort((pos, name, h))
     h, name, row, pos = h[at], name[at], row[at], pos[at]
     fresh = np.append(True, h[1:] != h[:-1])
     lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     late = np.flatnonzero(name > name[lead])
     first = lead[late]
-    name, row, pos, ref, ref_pos = name[late], row[late], pos[late], name[first], pos[first]
-    by = np.lexsort((pos, row, name))
-    name, row, pos, ref, ref_pos = name[by], row[by], pos[by], ref[by], ref_pos[by]
-    cut = np.flatnonzero((np.diff(name) != 0) | (np.diff(row) != 0)) + 1
-    begin = np.append(0, cut) if len(name) else cut
-    offsets = pa.array(np.append(begin, len(name)), pa.int32())
-    lists = [
-        pa.ListArray.from_arrays(offsets, pa.array(v, k))
-        for v, k in ((pos, pa.int32()), (np.ones(len(pos)), pa.int32()), (ref, pa.int64()), (ref_pos, pa.int32()))
-    ]
-    made = pa.Table.from_arrays([pa.array(name[begin]), pa.array(row[begin]), *lists], schema=_FOUND_ARROW)
-    return pa.concat_tables([settled.cast(_FOUND_ARROW), made])
+    marks, found = _replies(name[late], row[late], pos[late], np.ones(len(late), np.int64), name[first], pos[first], buckets)
+    made = pa.Table.from_arrays([pa.array(marks, pa.int32()), pa.array(found, pa.binary())], schema=_REPLY_ARROW)
+    return pa.concat_tables([settled, made])
+
+
+def _per_document(group: pa.Table) -> pa.Table:
+    """The factors of each document in a bucket."""
+    parts = [_unpacked(v.as_py(), "iiwwwiw") for v in group.column("found")]
+    name, row = (np.concatenate([p[i][p[2]] for p in parts]) for i in (0, 1))
+    start, size, ref, ref_start = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (3, 4, 5, 6))
+    by = np.lexsort((row, name))
+    name, row, start, size, ref, ref_start = (x[by] for x in (name, row, start, size, ref, ref_start))
+    cut = (np.flatnonzero((np.diff(name) != 0) | (np.diff(row) != 0)) + 1).tolist()
+    out: list[list] = [[] for _ in _FOUND_ARROW]
+    for a, b in zip([0, *cut], [*cut, len(name)], strict=True):
+        for column, v in zip(out, (int(name[a]), int(row[a]), *runs(start[a:b], ref[a:b], ref_start[a:b], size[a:b])), strict=True):
+            column.append(v)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
 
 
 def factors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WINDOW) -> DataFrame:
-    """(id, row, start, size, ref, ref_start): parts of each document's factors as parallel arrays.
+    """(id, row, start, size, ref, ref_start): each document's factors as parallel arrays, if it has any.
 
     row is the hash of the text, so that rows that repeat an id keep their own factors. size counts
     the windows of n words that begin in the factor at start; ref is a document with a smaller id
-    that holds them from ref_start on. A document may have several rows of parts. Rows with a null id
-    neither give nor get factors.
+    that holds them from ref_start on. Rows with a null id neither give nor get factors.
     """
     slim = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")
@@ -217,7 +253,11 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
         if ids:
             yield from _pack(ids, rows, hashes, blocks)
 
-    return slim.mapInArrow(send, _SENT).groupBy("block").applyInArrow(_first_occurrences, _FOUND)
+    def first_occurrences(group: pa.Table) -> pa.Table:
+        return _first_occurrences(group, blocks)
+
+    replies = slim.mapInArrow(send, _SENT).groupBy("block").applyInArrow(first_occurrences, _REPLY)
+    return replies.groupBy("bucket").applyInArrow(_per_document, _FOUND)
 
 
 def _squeezed(docs: DataFrame, text: str) -> DataFrame:
@@ -244,14 +284,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
     ref, ref_start) in words. Words are runs of bytes other than ASCII white space. Null texts have
     no words; rows with a null id lose none. Rows that repeat an id do not count against each other.
     """
-    found = (
-        factors(docs, id_col, text, n)
-        .groupBy("id", "row")
-        .agg(*(F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("start", "size", "ref", "ref_start")))
-    )
+    found = factors(docs, id_col, text, n)
     out = docs if keep is None else docs.select(*dict.fromkeys([*keep, id_col, text]))
     out = _squeezed(out.withColumn("_row", F.xxhash64(text)), text)
-    found = found.select(F.col("id").alias("_f_id"), F.col("row").alias("_f_row"), "_start", "_size", "_ref", "_ref_start")
+    found = found.select(F.col("id").alias("_f_id"), F.col("row").alias("_f_row"), *(F.col(c).alias(f"_{c}") for c in ("start", "size", "ref", "ref_start")))
     out = out.join(found, (F.col(id_col) == F.col("_f_id")) & (F.col("_row") == F.col("_f_row")), "left")
     span = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "ref", "ref_start")]))
     made = [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)]
@@ -268,7 +304,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
                 gone, own = np.zeros(len(words), bool), []
                 if parts[0].is_valid:
                     s, z, r, rs = (p.values.to_numpy(zero_copy_only=False).astype(np.int64) for p in parts)
-                    for a, k, b, c in zip(*(x.tolist() for x in runs(s, r, rs, z)), strict=True):
+                    for a, k, b, c in zip(s.tolist(), z.tolist(), r.tolist(), rs.tolist(), strict=True):
                         gone[a : a + k + n - 1] = True
                         own.append({"start": a, "end": a + k + n - 1, "ref": b, "ref_start": c})
                     words_left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
