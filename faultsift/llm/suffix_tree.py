@@ -5,7 +5,8 @@ mark. A context (a suffix of what came before) becomes a state if it is frequent
 next-byte distribution diverges from that of the next shorter context; with a context, all shorter
 ones stay. Each state's distribution is smoothed with that of its parent. A text is scored by always
 taking the longest suffix that is a state. Counts are gathered from all training texts by grouped
-aggregation; the number of states is at most depth / least_share, whatever the corpus.
+aggregation. A context needs an absolute count, so the states grow with the corpus; they stay a Spark
+table. Texts are scored in batches, each against the states that its own contexts are joined with.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.common import staged, text_batches, text_of
+from faultsift.llm.common import TEXT_BATCH_ROWS, staged, text_batches, text_of
 
-DEPTH = 5
-#: A context needs this share of all training positions, so at most 1 / share contexts of a length stay.
-LEAST_SHARE = 2e-5
+#: The longest context, in bytes: with the next byte it fills a 64-bit code.
+DEPTH = 7
+#: A context needs this many training positions, whatever the corpus.
+LEAST_COUNT = 64
 #: And this divergence (nats a symbol) of its next-byte distribution from that of the next shorter one.
 LEAST_DIVERGENCE = 0.01
 #: Words with this share of the training tokens are counted in a broadcast table of 1 / share words at most.
@@ -34,6 +36,10 @@ HEAVY_SHARE = 2e-6
 END = 10
 #: Bytes in a segment that is scored in lockstep with others.
 SEGMENT = 512
+#: Bytes of text that are scored against one slice of the states.
+BATCH_BYTES = 8_000_000
+#: Bits of the filter (a power of two) that spares lookups of contexts that are no states; a false hit only costs a lookup.
+FILTER_BITS = 1 << 26
 
 
 def normal(text: str | None) -> list[bytes]:
@@ -84,9 +90,12 @@ def gram_counts(texts: DataFrame, depth: int, task_bytes: int = 8_000_000) -> Da
     return texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def contexts(grams: DataFrame, depth: int, least_share: float, least_divergence: float) -> DataFrame:
-    """(len, ctx, sym, n) of the contexts that stay; ctx packs the context's bytes, newest lowest."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
+def contexts(grams: DataFrame, depth: int, least_share: float | None, least_divergence: float, least_count: int = LEAST_COUNT) -> DataFrame:
+    """(len, ctx, sym, n) of the contexts that stay; ctx packs the context's bytes, newest lowest.
+
+    A context needs least_share of the positions or, if that is None, least_count of them.
+    """
+    least = least_count if least_share is None else max(1.0, least_share * (grams.agg(F.sum("n")).first()[0] or 0))
     rows = grams.select("n", F.expr("code & 255").cast("int").alias("sym"), F.expr("shiftrightunsigned(code, 8)").alias("full"))
     each = rows.select("n", "sym", "full", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("len")).withColumn(
         "ctx", F.expr("if(len = 0, 0L, full & (shiftleft(1L, 8 * len) - 1))")
@@ -96,7 +105,7 @@ def contexts(grams: DataFrame, depth: int, least_share: float, least_divergence:
     counts = each.groupBy("len", "ctx", "sym").agg(F.sum("n").alias("n"))
     of = W.partitionBy("len", "ctx")
     counts = staged(
-        counts.withColumn("all", F.sum("n").over(of)).where(F.col("all") >= F.lit(max(1.0, least_share * total))), "pst-counts"
+        counts.withColumn("all", F.sum("n").over(of)).where(F.col("all") >= F.lit(least)), "pst-counts"
     )
     parent = counts.select((F.col("len") + 1).alias("len"), F.col("ctx").alias("up"), "sym", F.log(F.col("n") / F.col("all")).alias("was"))
     child = counts.where("len > 0").withColumn("up", F.expr("ctx & (shiftleft(1L, 8 * (len - 1)) - 1)"))
@@ -114,6 +123,84 @@ def contexts(grams: DataFrame, depth: int, least_share: float, least_divergence:
     return counts.join(stay, ["len", "ctx"], "left_semi").union(counts.where("len = 0")).select("len", "ctx", "sym", "n")
 
 
+def packed(states: DataFrame) -> DataFrame:
+    """(ctx_key, all, kinds, syms, counts) per state of contexts; ctx_key is len << 56 | ctx."""
+    key = F.expr("shiftleft(cast(len as long), 56) | ctx").alias("ctx_key")
+    rows = states.select(key, F.struct(F.col("sym").cast("short").alias("sym"), "n").alias("next"), "n")
+    of = rows.groupBy("ctx_key").agg(F.sum("n").alias("all"), F.collect_list("next").alias("nexts"))
+    return of.select("ctx_key", "all", F.size("nexts").alias("kinds"), F.col("nexts.sym").alias("syms"), F.col("nexts.n").alias("counts"))
+
+
+def _bit(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+
+
+def state_filter(states: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the states' hashes; its size does not depend on their number."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bit(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "mask"])
+
+    got = states.select("ctx_key").mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(bits >> 6, np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
+    return out
+
+
+def _masked(codes: np.ndarray, length: int) -> np.ndarray:
+    """The context of a length in each code, with the mark of its length."""
+    ctx = (codes >> np.uint64(8)) & np.uint64((1 << (8 * length)) - 1)
+    return (ctx | np.uint64(length << 56)).view(np.int64)
+
+
+def context_keys(texts: list[bytes], depth: int, bitmap: np.ndarray | None = None) -> np.ndarray:
+    """The different ctx_key of all contexts in the texts, without those that the bitmap rules out."""
+    codes = np.unique(np.concatenate([_codes(t, depth) for t in texts]))
+    out = []
+    for k in range(depth + 1):
+        key = np.unique(_masked(codes, k))
+        if bitmap is not None:
+            at = _bit(key, len(bitmap) << 6)
+            key = key[(bitmap[at >> 6] >> (at & 63)) & 1 == 1]
+        out.append(key)
+    return np.concatenate(out)
+
+
+def log10_of(texts: list[bytes], states: pa.Table, depth: int) -> np.ndarray:
+    """The log10 probability of each text by the states (as in packed) that its contexts meet."""
+    if not texts:
+        return np.zeros(0)
+    every, back = np.unique(np.concatenate([_codes(t, depth) for t in texts]), return_inverse=True)
+    states = states.combine_chunks().sort_by("ctx_key")
+    key = states["ctx_key"].to_numpy().astype(np.int64)
+    total, kinds = states["all"].to_numpy().astype(np.float64), states["kinds"].to_numpy().astype(np.int64)
+    syms = states["syms"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = states["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    # a state's next bytes by (place of the state, byte)
+    pair = np.repeat(np.arange(len(key)), kinds) << 8 | syms
+    order = np.argsort(pair)
+    pair, counts = pair[order], counts[order]
+    sym = (every & np.uint64(255)).astype(np.int64)
+    share = np.full(len(every), 1 / 256)
+    for k in range(depth + 1):
+        want = _masked(every, k)
+        at = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
+        here = np.flatnonzero(key[at] == want) if len(key) else np.zeros(0, np.int64)
+        if not len(here):
+            break  # with a state, all shorter ones are there
+        at = at[here]
+        mine = at << 8 | sym[here]
+        n_at = np.minimum(np.searchsorted(pair, mine), len(pair) - 1)
+        n = np.where(pair[n_at] == mine, counts[n_at], 0.0)
+        # without a context, each of the 256 bytes is given one count
+        more = np.full(len(at), 256.0) if k == 0 else kinds[at].astype(np.float64)
+        share[here] = (n + more * share[here]) / (total[at] + more)
+    size = np.array([len(t) for t in texts])
+    return np.add.reduceat(np.log10(share)[back], np.cumsum(size) - size)
+
+
 class Tree:
     """States as an automaton: next state and log10 probability per state and symbol."""
 
@@ -186,8 +273,8 @@ class Tree:
         return np.add.reduceat(each, np.cumsum(size) - size)
 
 
-def train(texts: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, least_divergence: float = LEAST_DIVERGENCE) -> Tree:
-    """The tree of the texts (text). Its table is bounded by the shares, not by the corpus, so it may pass the driver."""
+def train(texts: DataFrame, depth: int, least_share: float, least_divergence: float = LEAST_DIVERGENCE) -> Tree:
+    """The tree of the texts (text) on the driver, for tables that a share bounds; score holds its states in Spark."""
     grams = staged(gram_counts(texts, depth), "pst-grams")
     return Tree(contexts(grams, depth, least_share, least_divergence).toPandas(), depth)
 
@@ -198,9 +285,11 @@ def score(
     id_col: str = "doc_id",
     text: str = "text",
     depth: int = DEPTH,
-    least_share: float = LEAST_SHARE,
+    least_share: float | None = None,
     least_divergence: float = LEAST_DIVERGENCE,
     heavy_share: float = HEAVY_SHARE,
+    least_count: int = LEAST_COUNT,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row; learns from the rows not held out.
 
@@ -212,7 +301,11 @@ def score(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), text_of(text).alias("text"))
     learn = rows.where(~F.col("held_out")).select("text")
-    tree = spark.sparkContext.broadcast(train(learn, depth, least_share, least_divergence))
+    grams = staged(gram_counts(learn, depth), "pst-grams")
+    states = staged(packed(contexts(grams, depth, least_share, least_divergence, least_count)), "pst-states")
+    bitmap = spark.sparkContext.broadcast(state_filter(states))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_batches = 1 + size // batch_bytes
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -240,12 +333,32 @@ def score(
     known = spark.sparkContext.broadcast({w.encode("utf-8"): int(c) for w, c in zip(heavy["word"], heavy["c"], strict=True)})
     head = "struct<id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>"
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, model = known.value, tree.value
-        end_score = math.log10((ends + 1) / whole)
+    def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+
+        def made(b: int) -> pa.RecordBatch:
+            keys = context_keys(held.pop(b), depth, bitmap.value)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b, np.int64)), pa.array(keys)], names=["batch", "ctx_key"])
+
         for batch in batches:
+            for b, t in zip(batch.column("batch").to_pylist(), batch.column("text"), strict=True):
+                if b not in held:
+                    for other in list(held):
+                        yield made(other)
+                held.setdefault(b, []).append(b" ".join(normal(t.as_py())) + bytes([END]))
+        for other in list(held):
+            yield made(other)
+
+    def rate(mine: pa.Table, slices: pa.Table) -> pa.Table:
+        count = known.value
+        end_score = math.log10((ends + 1) / whole)
+        made = []
+        if len(mine):
+            parts = [b" ".join(normal(t.as_py())) + bytes([END]) for t in mine["text"]]
+            mine = mine.drop_columns(["batch"]).append_column("score", pa.array(log10_of(parts, slices, depth)))
+        for batch in mine.to_batches(max_chunksize=TEXT_BATCH_ROWS):
             ids, held, texts = batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), [normal(t.as_py()) for t in batch.column("text")]
-            scores = model.log10(texts)
+            scores = batch.column("score").to_numpy(zero_copy_only=False)
             key: list[str] = []
             word: list[bytes | None] = []
             often: list[int] = []
@@ -263,17 +376,26 @@ def score(
                 often += [0, *(n for _, n in rare)]
                 heads += [{"id": i, "held_out": h, "n_tokens": len(ws) + 1, "n_known": met, "base": base, "score": s}] + [None] * len(rare)
             kind = pa.struct([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.string()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(often, pa.int64()), pa.array(heads, kind)],
-                names=["key", "word", "often", "head"],
+            made.append(
+                pa.RecordBatch.from_arrays(
+                    [pa.array(key, pa.string()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(often, pa.int64()), pa.array(heads, kind)],
+                    names=["key", "word", "often", "head"],
+                )
             )
+        return pa.Table.from_batches(made, made[0].schema if made else pa.schema([]))
 
     keyed = rows.withColumn("id", F.col("id").cast("long")).withColumn(
         "key", F.concat_ws(":", F.col("id").cast("string"), F.hex(F.xxhash64("text")))
     )
+    dealt = keyed.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches)))
+    dealt = staged(dealt.repartition("batch").sortWithinPartitions("batch"), "pst-texts")
+    asked = dealt.select("batch", "text").mapInArrow(lookups, "batch long, ctx_key long").distinct()
+    slices = asked.join(states, "ctx_key")
     rare = vocabulary.where(F.col("c") < least)
     met = (
-        keyed.mapInArrow(rate, f"key string, word string, often long, head {head}")
+        dealt.groupBy("batch")
+        .cogroup(slices.groupBy("batch"))
+        .applyInArrow(rate, f"key string, word string, often long, head {head}")
         .join(rare, "word", "left")
         .groupBy("key")
         .agg(

@@ -102,3 +102,48 @@ def test_empty(spark):
     assert st.score(df, F.lit(False)).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert st.score(one, F.lit(True)).first()["n_known"] == 0
+
+
+def test_states_grow_with_the_corpus_and_are_longer_than_five_bytes(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(400)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(100))) for i in range(400)]
+    assert st.DEPTH > 5
+    many = []
+    for n in (200, 400):
+        df = spark.createDataFrame([(t,) for _, t in texts[:n]], "text string")
+        kept = st.contexts(st.gram_counts(df, st.DEPTH), st.DEPTH, None, 0.0).groupBy("len", "ctx").agg(F.sum("n").alias("n")).toPandas()
+        assert kept[kept.len > 0].n.min() >= st.LEAST_COUNT and (kept.len == st.DEPTH).any()
+        many.append(len(kept))
+    # a word comes about 50 times in half of the corpus and 100 times in all of it
+    assert many[1] > 2 * many[0]
+
+
+def test_scores_by_slices_are_those_of_the_whole_model(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    got = st.score(df, out, depth=7, least_divergence=0.0, least_count=20, batch_bytes=4000).where("id is not null").toPandas()
+    grams = Counter()
+    for i, t in corpus():
+        if not held(i):
+            s = b"\n" + b" ".join(st.normal(t)) + b"\n"
+            for at in range(1, len(s)):
+                for k in range(min(7, at) + 1):
+                    grams[(s[at - k : at], s[at])] += 1
+    of, kinds = Counter(), Counter()
+    for (c, _), n in grams.items():
+        of[c] += n
+        kinds[c] += 1
+
+    def p(c, x):
+        if not c:
+            return (grams[(b"", x)] + 1) / (of[b""] + 256)
+        return (grams[(c, x)] + kinds[c] * p(c[1:], x)) / (of[c] + kinds[c])
+
+    texts = dict(corpus())
+    for r in got.itertuples():
+        s, want = b"\n" + b" ".join(st.normal(texts[int(r.id)])) + b"\n", 0.0
+        for at in range(1, len(s)):
+            c = next(s[at - k : at] for k in range(min(7, at), -1, -1) if k == 0 or of[s[at - k : at]] >= 20)
+            want += math.log10(p(c, s[at]))
+        assert r.score == pytest.approx(want, rel=1e-6)
