@@ -466,9 +466,16 @@ def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return win.groupBy(F.col("event_type").alias("event")).agg(F.min("start").alias("start"), F.min_by("end", "start").alias("end"))
 
 
-def strengths_of_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def window_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of each type as an event, named by its type and start."""
+    win = segment.hysteresis(hourly_energy(spark, sf_dir), ["event_type"], "hour", "energy")
+    return win.select(F.concat_ws(":", "event_type", F.col("start").cast("string")).alias("event"), "start", "end")
+
+
+def strengths_of_phases(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     sc = events(spark, sf_dir).groupBy(F.col("hour").alias("step"), (F.col("user_id") % 80).alias("entity")).agg(F.max("value").alias("score"))
-    return rank.phase_strength(first_events(spark, sf_dir), sc).withColumn("strength", r6("strength"))
+    found = first_events(spark, sf_dir) if found is None else found
+    return rank.phase_strength(found, sc).withColumn("strength", r6("strength"))
 
 
 @query(f"WITH {PHASE} SELECT * FROM ps")
@@ -481,7 +488,12 @@ def phase_strength(spark, sf_dir):
 s AS (SELECT event, entity, round(0.5 * d + 0.2 * y + 0.15 * b + 0.15 * greatest(0, d - a) + least(0.25 * greatest(0, d - b) + 0.1 * greatest(0, y - b), 0.2 * d), 6) AS score FROM w),
 r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY score DESC, entity) AS rank FROM s) SELECT event, entity, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def root_topk(spark, sf_dir):
-    w = strengths_of_phases(spark, sf_dir).groupBy("event", "entity").pivot("phase", ["before", "during", "early", "recovery"]).agg(F.max("strength")).na.fill(0.0)
+    return ranked_roots(strengths_of_phases(spark, sf_dir))
+
+
+def ranked_roots(strengths: DataFrame) -> DataFrame:
+    """(event, entity, score, rank) of the five best entities of each event."""
+    w = strengths.groupBy("event", "entity").pivot("phase", ["before", "during", "early", "recovery"]).agg(F.max("strength")).na.fill(0.0)
     d, y, b, a = (F.col(c) for c in ("during", "early", "before", "recovery"))
     flow = F.greatest(F.lit(0.0), d - b) * 0.25 + F.greatest(F.lit(0.0), y - b) * 0.10
     parts = {"direct": d, "early": y, "pre": b, "recovery": F.greatest(F.lit(0.0), d - a), "netflow": flow}
@@ -833,10 +845,11 @@ def probability_summary(spark, sf_dir):
 
 @query(None)
 def prediction_records(spark, sf_dir):
-    """Records of the first events, with their ranked nodes and a category of the taxonomy, as the sink takes them."""
-    top5 = root_topk(spark, sf_dir).withColumn("node", F.concat(F.lit("xian-"), F.get(F.array(*map(F.lit, dims.ROLES)), (F.col("rank") - 1).cast("int"))))
+    """Records of all windows, with their ranked nodes and a category of the taxonomy, as the sink takes them."""
+    found = window_events(spark, sf_dir)
+    top5 = ranked_roots(strengths_of_phases(spark, sf_dir, found)).withColumn("node", F.concat(F.lit("xian-"), F.get(F.array(*map(F.lit, dims.ROLES)), (F.col("rank") - 1).cast("int"))))
     utc = lambda c: S.utc_text(F.timestamp_seconds(c * 3600))
-    e = first_events(spark, sf_dir).select(
+    e = found.select(
         "event", utc(F.col("start")).alias("start_time"), utc(F.col("end")).alias("end_time"), F.struct(F.lit("link").alias("major_category"), F.lit("loss").alias("sub_category")).alias("fault_category")
     )
     return evaluate.prediction_flags(event_ops.records(e, top5))
