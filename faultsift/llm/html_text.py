@@ -1,16 +1,19 @@
 """Main text of web pages: parser events, text-to-tag ratios, smoothing and clustering.
 
-The standard library's parser streams through a page once and yields its blocks: the text between
-two block-level tags, with the tags counted that stand before it. Each block is a line with a
-text-to-tag ratio. A Gaussian smooths the ratios, so that a short paragraph between long ones rises
-with them; lines above the threshold form clusters. The clusters vote, by their text, for the
-smallest container that holds most of it, and the page's text is all blocks of that container
-outside menus, notices, adverts, forms and the like.
+The standard library's parser streams through a page once and yields its lines: the text between two
+block-level tags, with the number of tags since the line before. A line's text-to-tag ratio (on a
+logarithmic scale, links not counted as text) is smoothed by a Gaussian over its neighbours, so that
+a short paragraph between long ones rises with them. Names of classes, ids and roles only weigh a
+line's smoothed ratio down (or not, where they also say "content"). Lines above a threshold are
+content. They vote, by their text, for the container that holds most of them, which grows to its
+ancestors as long as what these add is content, too. The page's text is that container's lines, but
+for those that were weighed down below the threshold and link lists at its ends.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -21,43 +24,128 @@ from pyspark.sql import types as T
 from faultsift.llm.common import with_arrow
 
 SIGMA = 1.5
-#: Lines count as content above this part of the mean smoothed ratio.
+#: Lines count as content from this part of the mean smoothed ratio on.
 THRESHOLD = 0.5
-#: A container takes the page's text if it holds this part of the clusters' text.
-MAJORITY = 0.8
+#: A container takes the page's text if it holds this part of the content; a declared article needs half.
+MAJORITY, DECLARED = 0.8, 0.5
+#: A container grows to an ancestor if this part of the text that it adds is content or heading.
+GROWS = 0.5
+#: Weights of lines below a name that marks boilerplate, and one that may do so.
+STRONG_MARK, WEAK_MARK = 0.1, 0.6
+#: A line is a link if this part of its text is.
+LINK = 0.8
 
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas head title select textarea button form nav footer aside dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-#: Words in class, id or role that mark what is no article.
-BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer gdpr hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promos promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets discussion".split())
+ITEMS = frozenset("li dt dd tr td th option".split())
+LISTS = frozenset("ul ol dl table menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names that mark what is no article, alone or as the first or last part of a name.
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies footer gdpr login masthead menu modal nav navbar navigation newsletter popup promo promos promotion related sidebar signup social sponsor sponsored subscribe subscription widget widgets".split())
+#: Names that do so alone, and may do so as the first or last part of a name.
+WEAK = frozenset("banner copyright disclaimer discussion hidden legal notice notices notification recommended replies reply respond search share sharing skip toolbar".split())
+#: Names that say the opposite, and words before a mark that only tell of it.
+CONTENT = frozenset("article body content entry main post story text".split())
+ABOUT = frozenset("has no with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 ARTICLE = frozenset(["article", "main"])
 _SPACE = re.compile(r"\s+")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*$")
-_NAMES = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[a-z]+")
 
 
-class _Blocks(HTMLParser):
-    """Collects (text, tags before it, path of containers) per block."""
+def mark_weight(value: str) -> float:
+    """The weight that the names in a class or id give: 1 for names that mark nothing."""
+    weight, content = 1.0, False
+    for name in value.lower().split():
+        parts = _PARTS.findall(name)
+        if not parts or parts[0] in ABOUT:
+            continue
+        content |= not CONTENT.isdisjoint(parts)
+        ends = {parts[0], parts[-1]}
+        if not STRONG.isdisjoint(ends) or len(parts) == 1 and parts[0] in WEAK:
+            weight = min(weight, STRONG_MARK)
+        elif not WEAK.isdisjoint(ends):
+            weight = min(weight, WEAK_MARK)
+    # "post-comments" are comments; "content" beside "sidebar" in other names is content
+    if content and weight < 1 and any(_PARTS.findall(n) and CONTENT.issuperset(_PARTS.findall(n)) for n in value.lower().split()):
+        return 1.0
+    return weight
+
+
+class _Lines(HTMLParser):
+    """Collects lines with their tags, links, headings and containers; containers are numbered as they open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # tag, container, skipped
-        self.parent = [-1]
-        self.article = [False]
-        self.blocks: list[tuple[str, int, int]] = []
+        self.count: Counter[str] = Counter()  # of open tags
+        self.links = self.headings = self.articles = 0
+        self.parent, self.weight, self.declared = [-1], [1.0], [False]
+        self.text: list[str] = []
+        self.about: list[tuple[int, int, int, bool]] = []  # tags, characters of links, container, heading
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def _flush(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             self.parts = []
             if text:
-                self.blocks.append((text, self.tags, self.open[-1][1] if self.open else 0))
+                self.text.append(text)
+                self.about.append((self.tags, self.linked, self.open[-1][1] if self.open else 0, self.headings > 0))
                 self.tags = 0
+            self.linked = 0
+
+    def _push(self, tag: str, container: int, skip: bool) -> None:
+        self.open.append((tag, container, skip))
+        self.count[tag] += 1
+        self.links += tag == "a"
+        self.headings += tag in HEADINGS
+        self.articles += tag in ARTICLE
+
+    def _cut(self, to: int) -> None:
+        for tag, _, _ in self.open[to:]:
+            self.count[tag] -= 1
+            self.links -= tag == "a"
+            self.headings -= tag in HEADINGS
+            self.articles -= tag in ARTICLE
+        del self.open[to:]
+
+    def _close(self, tag: str, until: frozenset[str]) -> None:
+        """End the innermost open tag, unless one of until stands inside it."""
+        if not self.count[tag]:
+            return
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                self._cut(i)
+                return
+            if self.open[i][0] in until:
+                return
+
+    @staticmethod
+    def _seen(attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether nothing hides the element."""
+        for name, value in attrs:
+            if name == "hidden" or name == "aria-hidden" and value == "true":
+                return False
+            if name == "style" and value and "display:none" in value.replace(" ", "").lower():
+                return False
+        return True
+
+    @staticmethod
+    def _weighed(tag: str, attrs: list[tuple[str, str | None]]) -> float:
+        if tag in ("html", "body", "article", "main"):
+            return 1.0
+        weight = 1.0
+        for name, value in attrs:
+            if name in ("class", "id") and value:
+                weight = min(weight, mark_weight(value))
+            elif name == "role" and value in ROLES:
+                weight = min(weight, STRONG_MARK)
+        return weight
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -68,51 +156,34 @@ class _Blocks(HTMLParser):
             if tag == "hr":
                 self._flush()
             return
-        top = self.open[-1] if self.open else ("", 0, False)
+        _, container, skip = self.open[-1] if self.open else ("", 0, False)
         if tag in INLINE:
-            if tag != "a" and not attrs:
-                return
-            skip = top[2] or self._marked(tag, attrs)
-            self.open.append((tag, top[1], skip))
+            if attrs:
+                # inside a line there is no ratio to weigh: a name that marks boilerplate alone takes its words out
+                skip = skip or not self._seen(attrs) or tag != "a" and self._weighed(tag, attrs) <= STRONG_MARK
+            self._push(tag, container, skip)
             return
         self._flush()
         if tag in CLOSES_P:
             self._close("p", CLOSES_P - {"p"})
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            self._close(tag, frozenset(["ul", "ol", "dl", "table", "menu"]))
-        top = self.open[-1] if self.open else ("", 0, False)
-        skip = top[2] or tag in SKIPPED or self._marked(tag, attrs) or (tag == "header" and not any(x[0] in ARTICLE for x in self.open))
-        self.parent.append(top[1])
-        self.article.append(tag in ARTICLE)
-        self.open.append((tag, len(self.parent) - 1, skip))
-
-    @staticmethod
-    def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in ("html", "body", "article", "main"):
-            return False
-        for name, value in attrs:
-            if name in ("class", "id") and value and not BOILERPLATE.isdisjoint(_NAMES.findall(value.lower())):
-                return True
-            if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
-
-    def _close(self, tag: str, until: frozenset[str]) -> None:
-        """End the innermost open tag, unless one of until stands inside it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in until:
-                return
+        elif tag in ITEMS:
+            self._close(tag, LISTS)
+        _, container, skip = self.open[-1] if self.open else ("", 0, False)
+        skip = skip or tag in SKIPPED or bool(attrs) and not self._seen(attrs) or tag == "header" and not self.articles
+        self.parent.append(container)
+        self.weight.append(self.weight[container] * (self._weighed(tag, attrs) if attrs else 1.0))
+        self.declared.append(tag in ARTICLE)
+        self._push(tag, len(self.parent) - 1, skip)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in INLINE:
-            if self.open and self.open[-1][0] == tag:
-                self.open.pop()
+            for i in range(len(self.open) - 1, -1, -1) if self.count[tag] else ():
+                if self.open[i][0] == tag:
+                    self._cut(i)
+                    return
+                if self.open[i][0] not in INLINE:
+                    return
             return
         self._flush()
         self._close(tag, frozenset() if tag != "p" else CLOSES_P - {"p"})
@@ -120,58 +191,79 @@ class _Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][2]):
             self.parts.append(data)
+            self.linked += len(data) if self.links else 0
 
     def finish(self) -> None:
         self.close()
         self._flush()
 
 
-def _smoothed(ratio: np.ndarray) -> np.ndarray:
-    reach = int(np.ceil(3 * SIGMA))
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
+def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """The Gaussian mean of each value's neighbours, as far as there are any."""
+    reach = int(np.ceil(3 * sigma))
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     weight = np.convolve(np.ones(len(ratio)), kernel)[reach : reach + len(ratio)]
     return np.convolve(ratio, kernel)[reach : reach + len(ratio)] / weight
 
 
-def main_text(html: str | None) -> str:
+def _region(lines: _Lines, at: np.ndarray, size: np.ndarray, content: np.ndarray, heading: np.ndarray, free: np.ndarray) -> tuple[int, int]:
+    """The first and last container of the region; containers inside one another have consecutive numbers. free: lines without a mark."""
+    n = len(lines.parent)
+    votes, good, added = (np.bincount(at, weights=size * x, minlength=n).tolist() for x in (content, content | heading & free, free))
+    last, parent = list(range(n)), lines.parent
+    for i in range(n - 1, 0, -1):
+        p = parent[i]
+        votes[p] += votes[i]
+        good[p] += good[i]
+        added[p] += added[i]
+        last[p] = max(last[p], last[i])
+    outer = set(parent)  # a paragraph is no container
+    holds = [i for i in range(n) if lines.declared[i] and votes[i] >= DECLARED * votes[0] and votes[i] > 0]
+    if holds:
+        region, up = holds[-1], [i for i in holds[:-1] if last[i] >= holds[-1]][::-1]
+    else:
+        region, up = max(i for i in range(n) if votes[i] >= MAJORITY * votes[0] and (i in outer or i == 0)), []
+        i = parent[region]
+        while i >= 0:
+            up.append(i)
+            i = parent[i]
+    for i in up:
+        if good[i] - good[region] < GROWS * (added[i] - added[region]):
+            break
+        region = i
+    return region, last[region]
+
+
+def main_text(html: str | None, threshold: float = THRESHOLD, sigma: float = SIGMA) -> str:
     """The page's main text, one block a line; empty if it has none."""
-    parser = _Blocks()
-    parser.feed(_CUT_TAG.sub("", html or ""))
-    parser.finish()
-    blocks = parser.blocks
-    if not blocks:
+    lines = _Lines()
+    lines.feed(_CUT_TAG.sub("", html or ""))
+    lines.finish()
+    if not lines.text:
         return ""
-    size = np.array([len(b[0]) for b in blocks], float)
-    smooth = _smoothed(size / np.array([max(1, b[1]) for b in blocks]))
-    content = smooth >= THRESHOLD * smooth.mean()
-
-    def above(node: int) -> list[int]:
-        path = []
-        while node >= 0:
-            path.append(node)
-            node = parser.parent[node]
-        return path
-
-    paths = [above(b[2]) for b in blocks]
-    votes: dict[int, float] = {}
-    for path, n, use in zip(paths, size, content, strict=True):
-        if use:
-            for node in path:
-                votes[node] = votes.get(node, 0.0) + n
-    if declared := {n for n in votes if parser.article[n]}:
-        regions = {n for n in declared if not any(p in declared for p in above(n)[1:])}
-    else:
-        most = MAJORITY * float(size[content].sum())
-        outer = set(parser.parent)  # a paragraph is no container
-        regions = {max(n for n, v in votes.items() if v >= most and (n in outer or n == 0))}
-    return "\n".join(b[0] for b, path in zip(blocks, paths, strict=True) if not regions.isdisjoint(path))
+    tags, linked, at, heading = (np.array(x) for x in zip(*lines.about, strict=True))
+    size = np.array([len(t) for t in lines.text], float)
+    link = linked >= LINK * size
+    smooth = smoothed(np.log1p(np.maximum(size - linked, 0) / np.maximum(1, tags)), sigma)
+    weight = np.array(lines.weight)[at]
+    content = smooth * weight >= threshold * smooth.mean()
+    if not smooth.any() or not content.any():  # links alone are no text
+        return ""
+    first, last = _region(lines, at, size, content, heading, weight >= 1)
+    inside = (at >= first) & (at <= last) & (content | (weight >= 1))
+    here = np.flatnonzero(inside & (content | ~link | heading))
+    if not len(here):
+        return ""
+    keep = np.flatnonzero(inside[: here[-1] + 1])
+    return "\n".join(lines.text[i] for i in keep.tolist() if i >= here[0])
 
 
 def extract(df: DataFrame, html: str = "html", name: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df with the main text of each page.
 
-    Null, empty and text-free pages give the empty text; markup that never ends is read to the end.
-    Repeated rows and other columns pass through; a column named like the output is replaced.
+    Null, empty and text-free pages give the empty text; markup that never ends is read to the end, and
+    the work grows with the page's length, however deep its tags are nested. Repeated rows and other
+    columns pass through; a column named like the output is replaced.
     """
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:

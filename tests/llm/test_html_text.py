@@ -1,7 +1,10 @@
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faultsift.llm.html_text import extract, main_text
+from faultsift.llm.html_text import extract, main_text, smoothed
 
 LONG = "A long sentence of the article that goes on for a while. " * 4
 CASES = [
@@ -34,3 +37,55 @@ def test_columns(spark):
     assert sorted((r["page_id"], r["text"]) for r in got.collect()) == [(1, ""), *[(2, "\n".join(CASES[0][1]))] * 2]
     assert extract(df.limit(0)).count() == 0
     assert len(main_text("<article>" + "<p>word</p>" * 20_000)) == 20_000 * 5 - 1
+
+
+PARA = f"<p>{LONG}</p>"
+NAMES = [
+    ("content has-sidebar", 3), ("market-share-report", 3), ("legal-history", 3), ("no-ads", 3), ("site-footer", 2), ("sidebar-left", 2),
+    ("post-comments", 2), ("ad", 2), ("cookie banner", 2),
+]
+
+
+@pytest.mark.parametrize("name, n", NAMES)
+def test_names_weigh(name, n):
+    html = f"<body><div><div>{PARA}</div><div class='{name}'>{PARA}</div><div>{PARA}</div></div></body>"
+    assert len(main_text(html).split("\n")) == n
+
+
+def test_nested_inline_elements_stay_in_their_mark():
+    html = "<article><p>Words before it <span class='ad'>buy <span>now</span> tail</span> and words after.</p></article>"
+    assert main_text(html) == "Words before it and words after."
+
+
+def test_region_grows_to_headings_and_siblings():
+    assert main_text(f"<div id=content><h1>T</h1><div class=body>{PARA}{PARA}</div></div>").startswith("T\n")
+    teaser = f"<body><div id=x><h1>Main</h1>{PARA * 3}</div><article><p>A teaser card.</p></article></body>"
+    assert main_text(teaser).startswith("Main\n" + LONG.strip())
+
+
+def test_ratio_and_threshold_select():
+    links = "".join(f"<li><a href='{i}'>link {i}</a></li>" for i in range(12))
+    html = f"<body><div><ul>{links}</ul></div><div><h2>T</h2>{PARA * 4}</div><div><ul>{links}</ul></div></body>"
+    assert main_text(html) == "\n".join(["T", *[LONG.strip()] * 4])
+    assert "link 3" in main_text(html, threshold=0.0)
+    assert main_text(html, threshold=3.0) == ""
+    # without smoothing, a short line that its name weighs down a little falls below the threshold
+    weak = f"<body><div>{PARA * 2}<p class='search-note'>See it.</p>{PARA * 2}</div></body>"
+    assert "See it." in main_text(weak) and "See it." not in main_text(weak, sigma=1e-3)
+
+
+def test_smoothing_against_brute_force():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 40):
+        x = rng.random(n) * 5
+        want = [sum(x[j] * np.exp(-0.5 * ((i - j) / 1.5) ** 2) for j in range(n) if abs(i - j) <= 5) for i in range(n)]
+        norm = [sum(np.exp(-0.5 * ((i - j) / 1.5) ** 2) for j in range(n) if abs(i - j) <= 5) for i in range(n)]
+        assert np.allclose(smoothed(x, 1.5), np.array(want) / norm)
+
+
+def test_work_grows_with_the_length():
+    began = time.time()
+    assert len(main_text("<div>x words " * 50_000).split("\n")) == 50_000
+    assert main_text("<div>" * 50_000 + "</span></p></x>" * 50_000 + PARA) == LONG.strip()
+    assert len(main_text("<article>" + PARA * 20_000)) > 4_000_000
+    assert time.time() - began < 60
