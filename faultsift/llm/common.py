@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +85,28 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(name: str = "text"):
     """The column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def bit_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each 64-bit key in a bitmap of so many bits (a power of two)."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+
+
+def bitmap(keys: DataFrame, bits: int = 1 << 26) -> np.ndarray:
+    """A bitmap of the hashes of one long column without nulls; its size does not depend on their number."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = bit_of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "mask"])
+
+    got = keys.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(bits >> 6, np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
+    return out
+
+
+def in_bitmap(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys a bitmap may hold; a false hit is possible, a false miss is not."""
+    at = bit_of(keys, len(table) << 6)
+    return (table[at >> 6] >> (at & 63)) & 1 == 1

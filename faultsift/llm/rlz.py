@@ -6,7 +6,12 @@ task keeps of equal windows only those of its smallest document and settles the
 passage that a third of all documents share reaches its block once per task. A document is then
 factored greedily: a factor runs on while consecutive windows continue at consecutive reference
 positions. Each window was looked up on its own, also where one factor ends and the next begins, so
-windows across a boundary are found as well. The factors are the duplicate spans.
+windows across a boundary are found as well.
+
+A factor counts only as far as it is proved. The blocks compare 64-bit hashes; the reference documents
+then send a second, independent hash of the windows that factors point at, and a factor keeps the
+windows where both agree (128 bits). Windows whose first hash led to another text are compared by
+their words. The proved factors are the duplicate spans.
 """
 
 from __future__ import annotations
@@ -23,14 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.common import text_batches, with_arrow
+from faultsift.llm.common import bitmap, in_bitmap, staged, text_batches
 
 WINDOW = 13
 #: Words that a task holds at once; a longer text is held whole.
 TASK_WORDS = 2_000_000
 #: Windows of a reference block, on average.
 BLOCK_WINDOWS = 1_000_000
+#: Windows of a reference document whose proofs travel together.
+SEGMENT = 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 _FOUND = "id long, row long, start array<int>, size array<int>, ref array<long>, ref_start array<int>"
@@ -44,19 +52,19 @@ _REPLY = "bucket int, found binary"
 _REPLY_ARROW = pa.schema([("bucket", pa.int32()), ("found", pa.binary())])
 
 
-def window_hashes(words: list[bytes], n: int) -> np.ndarray:
-    """A hash of each n consecutive words."""
+def window_hashes(words: list[bytes], n: int, bits: int = 64, second: bool = False) -> np.ndarray:
+    """A hash of each n consecutive words: its highest bits, or the second hash, which is independent of it."""
     size = len(words) - n + 1
     if size < 1:
         return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    word = np.fromiter(map(digest, words), np.uint64, len(words))
-    total = np.zeros(size, np.uint64)
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest if second else xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    total, factor = np.zeros(size, np.uint64), _SECOND if second else _MULTIPLIER
     for i in range(n):
-        total = total * _MULTIPLIER + word[i : i + size]
+        total = total * factor + word[i : i + size]
     total ^= total >> np.uint64(31)
     total *= _MIX
-    return total ^ (total >> np.uint64(29))
+    total ^= total >> np.uint64(29)
+    return total if bits == 64 else total >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -219,17 +227,15 @@ def _per_document(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
 
 
-def factors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WINDOW) -> DataFrame:
-    """(id, row, start, size, ref, ref_start): each document's factors as parallel arrays, if it has any.
-
-    row is the hash of the text, so that rows that repeat an id keep their own factors. size counts
-    the windows of n words that begin in the factor at start; ref is a document with a smaller id
-    that holds them from ref_start on. Rows with a null id neither give nor get factors.
-    """
-    slim = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(
+def _slim(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, row, text) of the rows that can give or get factors; row is the hash of the text."""
+    return docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")
     )
-    text_batches(docs.sparkSession)
+
+
+def _claims(slim: DataFrame, n: int, bits: int) -> DataFrame:
+    """(id, row, start, size, ref, ref_start): each document's factors by the windows' hashes alone."""
     length = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(length / 6 / BLOCK_WINDOWS))
 
@@ -248,7 +254,7 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
                     ids, rows, hashes, held = [], [], [], 0
                 ids.append(i.as_py())
                 rows.append(r.as_py())
-                hashes.append(window_hashes(words, n))
+                hashes.append(window_hashes(words, n, bits))
                 held += len(words)
         if ids:
             yield from _pack(ids, rows, hashes, blocks)
@@ -260,63 +266,178 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     return replies.groupBy("bucket").applyInArrow(_per_document, _FOUND)
 
 
-def _squeezed(docs: DataFrame, text: str) -> DataFrame:
-    """docs with _packed, the text compressed, and _null in the text's place: half as many bytes to shuffle."""
-    fields = [T.StructField("_packed", T.BinaryType()), T.StructField("_null", T.BooleanType())]
+def _proofs(slim: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(ref, seg, proof): the second hashes of the windows in the wanted segments (ref, segs) of reference documents."""
 
-    def squeeze(batch: pa.RecordBatch) -> list[pa.Array]:
-        column, pack = batch.column(text), zstandard.ZstdCompressor(3).compress
-        return [pa.array([pack((t.as_py() or "").encode("utf-8")) for t in column], pa.binary()), column.is_null()]
+    def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            refs, segs, proofs = [], [], []
+            for i, t, wanted_segs in zip(*(batch.column(c) for c in ("ref", "text", "segs")), strict=True):
+                h = window_hashes(t.as_py().encode("utf-8").split(), n, second=True)
+                for s in wanted_segs.as_py():
+                    refs.append(i.as_py())
+                    segs.append(s)
+                    proofs.append(h[s * SEGMENT : (s + 1) * SEGMENT].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(segs, pa.int32()), pa.array(proofs, pa.binary())], names=["ref", "seg", "proof"])
+
+    return slim.join(wanted, slim["id"] == wanted["ref"]).select("ref", "text", "segs").mapInArrow(prove, "ref long, seg int, proof binary")
+
+
+def _kept(told: list[dict], h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, ref, ref_start) of the windows of a document, with second hashes h, that a proof bears out, and which were claimed."""
+    claimed, parts = np.zeros(len(h), bool), []
+    for f in told:
+        a, b = max(f["ref_start"], f["seg"] * SEGMENT), min(f["ref_start"] + f["size"], (f["seg"] + 1) * SEGMENT)
+        at = f["start"] + np.arange(a, b) - f["ref_start"]
+        claimed[at] = True
+        proof = np.frombuffer(f["proof"], np.uint64)[a - f["seg"] * SEGMENT : b - f["seg"] * SEGMENT]
+        good = at[: len(proof)][h[at[: len(proof)]] == proof]
+        parts.append((good, np.full(len(good), f["ref"]), good - f["start"] + f["ref_start"]))
+    return *(np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3)), claimed
+
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WINDOW, bits: int = 64) -> DataFrame:
+    """(id, row, start, size, ref, ref_start): each document's proved factors as parallel arrays, if it has any.
 
-    return with_arrow(docs, [text], fields, squeeze, [c for c in docs.columns if c != text])
+    row is the hash of the text, so that rows that repeat an id keep their own factors. size counts
+    the windows of n words that begin in the factor at start; ref is a document with a smaller id
+    that holds them from ref_start on. Rows with a null id neither give nor get factors. With fewer
+    bits of the hash more windows are compared by their words; the result is the same.
+    """
+    slim = _slim(docs, id_col, text)
+    text_batches(docs.sparkSession)
+    claims = staged(_claims(slim, n, bits), "rlz-claims")
+    one = F.explode(F.arrays_zip("start", "size", "ref", "ref_start"))
+    flat = claims.select("id", "row", one.alias("f")).select("id", "row", "f.*")
+    at = lambda c: F.expr(f"cast({c} div {SEGMENT} as int)")
+    segs = flat.withColumn("seg", F.explode(F.sequence(at("ref_start"), at("(ref_start + size - 1)"))))
+    # a reference document has no more segments than its length gives, however many documents point at it
+    wanted = segs.select("ref", "seg").distinct().groupBy("ref").agg(F.collect_list("seg").alias("segs"))
+    told = segs.join(_proofs(slim, wanted, n), ["ref", "seg"])
+    told = told.groupBy("id", "row").agg(F.collect_list(F.struct("start", "size", "ref", "ref_start", "seg", "proof")).alias("told"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([*_FOUND_ARROW, ("doubt", pa.list_(pa.int64()))])
+        for batch in batches:
+            out: list[list] = [[] for _ in kind]
+            for i, r, t, said in zip(*(batch.column(c) for c in ("id", "row", "text", "told")), strict=True):
+                words = t.as_py().encode("utf-8").split()
+                start, ref, ref_start, claimed = _kept(said.as_py(), window_hashes(words, n, second=True))
+                claimed[start] = False
+                doubt = np.unique(window_hashes(words, n, bits)[claimed]).view(np.int64) if claimed.any() else []
+                for column, v in zip(out, (i.as_py(), r.as_py(), *runs(start, ref, ref_start), doubt), strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
+
+    proved = slim.join(told, ["id", "row"]).select("id", "row", "text", "told").mapInArrow(verify, f"{_FOUND}, doubt array<long>")
+    proved = staged(proved.dropDuplicates(["id", "row"]), "rlz-proved")
+    doubts = proved.select(F.explode("doubt").alias("h")).distinct()
+    found = proved.drop("doubt")
+    if not doubts.isEmpty():
+        found = found.union(_by_words(slim, doubts, n, bits))
+        lists = ["start", "size", "ref", "ref_start"]
+        found = found.groupBy("id", "row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in lists))
+    return found.where(F.size("start") > 0)
+
+
+def _by_words(slim: DataFrame, doubts: DataFrame, n: int, bits: int) -> DataFrame:
+    """Factors of single windows, compared by their words, where the hash is one of the doubtful ones."""
+    shared = slim.sparkSession.sparkContext.broadcast(bitmap(doubts))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for i, r, t in zip(*(batch.column(c) for c in ("id", "row", "text")), strict=True):
+                words = t.as_py().encode("utf-8").split()
+                h = window_hashes(words, n, bits)
+                for k in np.flatnonzero(in_bitmap(h.view(np.int64), shared.value)).tolist() if len(h) else ():
+                    for column, v in zip(out, (b" ".join(words[k : k + n]).decode("utf-8"), i.as_py(), r.as_py(), k), strict=True):
+                        column.append(v)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["words", "id", "row", "start"])
+
+    met = slim.mapInArrow(emit, "words string, id long, row long, start int")
+    first = met.groupBy("words").agg(F.min(F.struct("id", "start")).alias("first"))
+    late = met.join(first, "words").where(F.col("id") > F.col("first.id"))
+    return late.select("id", "row", "start", F.col("first.id").alias("ref"), F.col("first.start").alias("ref_start")).distinct().groupBy("id", "row").agg(
+        F.collect_list("start").alias("start"), F.collect_list(F.lit(1)).alias("size"), F.collect_list("ref").alias("ref"), F.collect_list("ref_start").alias("ref_start")
+    )
 
 
-def _texts(batch: pa.RecordBatch) -> list[str | None]:
-    rows = zip(batch.column("_packed"), batch.column("_null"), strict=True)
-    return [None if n.as_py() else zstandard.decompress(t.as_py()).decode("utf-8") for t, n in rows]
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WINDOW, keep: list[str] | None = None, bits: int = 64) -> DataFrame:
     """docs with kept (the words left, joined by one space), n_words, n_removed and spans.
 
     A word goes if a window of n words that covers it also starts in a document with a smaller id;
     windows are judged on the texts as they came. spans lists the removed factors as (start, end,
     ref, ref_start) in words. Words are runs of bytes other than ASCII white space. Null texts have
     no words; rows with a null id lose none. Rows that repeat an id do not count against each other.
+    Columns named like the four are replaced, all others pass through, whatever their names. An empty
+    table gives an empty result.
     """
-    found = factors(docs, id_col, text, n)
+    found = staged(factors(docs, id_col, text, n, bits), "rlz-factors")
+    # documents without factors need not travel to meet any
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(found.select("id")))
     out = docs if keep is None else docs.select(*dict.fromkeys([*keep, id_col, text]))
-    out = _squeezed(out.withColumn("_row", F.xxhash64(text)), text)
-    found = found.select(F.col("id").alias("_f_id"), F.col("row").alias("_f_row"), *(F.col(c).alias(f"_{c}") for c in ("start", "size", "ref", "ref_start")))
-    out = out.join(found, (F.col(id_col) == F.col("_f_id")) & (F.col("_row") == F.col("_f_row")), "left")
     span = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "ref", "ref_start")]))
     made = [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)]
-    lists = ["_start", "_size", "_ref", "_ref_start"]
+    lists = ["start", "size", "ref", "ref_start"]
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ("kept", "n_words", "n_removed", "spans")]
     schema = T.StructType([docs.schema[c] for c in names] + made)
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "ref", "ref_start")]))
+    p = "_rlz_"
+    while any(c.startswith(p) for c in docs.columns):
+        p = f"_{p}"
+    rest = [c for c in names if c != text]
+    sent = T.StructType([docs.schema[c] for c in rest] + [T.StructField(f"{p}id", T.LongType()), T.StructField(f"{p}row", T.LongType()), T.StructField(f"{p}text", T.BinaryType())])
+    out = out.withColumn(f"{p}id", F.col(id_col).cast("long")).withColumn(f"{p}row", F.xxhash64(text))
+
+    def cut(own: list[pa.Array], texts: list[str | None], parts: list[list[pa.Scalar]] | None) -> pa.RecordBatch:
+        kept, n_words, n_removed, spans = [], [], [], []
+        for k, t in enumerate(texts):
+            words = (t or "").encode("utf-8").split()
+            gone, removed = np.zeros(len(words), bool), []
+            if parts is not None and parts[0][k].is_valid:
+                s, z, r, rs = (x[k].values.to_numpy(zero_copy_only=False).astype(np.int64).tolist() for x in parts)
+                for a, size, b, c in zip(s, z, r, rs, strict=True):
+                    gone[a : a + size + n - 1] = True
+                    removed.append({"start": a, "end": a + size + n - 1, "ref": b, "ref_start": c})
+                n_gone = int(gone.sum())
+                kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8"))
+            else:
+                n_gone = 0
+                kept.append(b" ".join(words).decode("utf-8"))
+            n_words.append(len(words))
+            n_removed.append(n_gone)
+            spans.append(removed)
+        arrays = [pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)]
+        by = dict(zip(rest, own, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else by[c] for c in names] + arrays, names=schema.names)
+
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(f"{p}id")
+            mine = batch.filter(pa.array(~in_bitmap(_ids(ids), shared.value) | ids.is_null().to_numpy(zero_copy_only=False)))
+            yield cut([mine.column(c) for c in rest], mine.column(text).to_pylist(), None)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            ids = batch.column(f"{p}id")
+            mine = batch.filter(pa.array(in_bitmap(_ids(ids), shared.value) & ids.is_valid().to_numpy(zero_copy_only=False)))
+            packed = [t and pack(t.encode("utf-8")) for t in mine.column(text).to_pylist()]
+            own = [mine.column(c) for c in [*rest, f"{p}id", f"{p}row"]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(packed, pa.binary())], names=sent.names)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, n_words, n_removed, spans = [], [], [], []
-            for t, *parts in zip(*(batch.column(c) for c in ["_packed", *lists]), strict=True):
-                words = zstandard.decompress(t.as_py()).split()
-                gone, own = np.zeros(len(words), bool), []
-                if parts[0].is_valid:
-                    s, z, r, rs = (p.values.to_numpy(zero_copy_only=False).astype(np.int64) for p in parts)
-                    for a, k, b, c in zip(s.tolist(), z.tolist(), r.tolist(), rs.tolist(), strict=True):
-                        gone[a : a + k + n - 1] = True
-                        own.append({"start": a, "end": a + k + n - 1, "ref": b, "ref_start": c})
-                    words_left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                else:
-                    words_left = words
-                kept.append(b" ".join(words_left).decode("utf-8"))
-                n_words.append(len(words))
-                n_removed.append(int(gone.sum()))
-                spans.append(own)
-            arrays = [pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)]
-            own = [pa.array(_texts(batch), pa.string()) if c == text else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(own + arrays, names=schema.names)
-
-    used = [c for c in dict.fromkeys([*names, "_packed", "_null"]) if c != text]
-    return out.select(*used, *lists).mapInArrow(cut, schema)
+            texts = [t if t is None else (zstandard.decompress(t).decode("utf-8") if t else "") for t in batch.column(f"{p}text").to_pylist()]
+            yield cut([batch.column(c) for c in rest], texts, [batch.column(f"{p}f_{c}") for c in lists])
+
+    scan = out.select(*dict.fromkeys([*rest, text, f"{p}id", f"{p}row"]))
+    of = found.select(F.col("id").alias(f"{p}f_id"), F.col("row").alias(f"{p}f_row"), *(F.col(c).alias(f"{p}f_{c}") for c in lists))
+    joined = scan.mapInArrow(send, sent).join(of, (F.col(f"{p}id") == F.col(f"{p}f_id")) & (F.col(f"{p}row") == F.col(f"{p}f_row")), "left")
+    return scan.mapInArrow(stay, schema).union(joined.select(*rest, f"{p}text", *(f"{p}f_{c}" for c in lists)).mapInArrow(met, schema))

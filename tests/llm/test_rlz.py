@@ -39,13 +39,14 @@ def corpus(seed):
     return rows + [(70, None), (71, ""), (72, " "), (2, rows[5][1]), (90, rows[5][1])]
 
 
-@pytest.mark.parametrize("seed, task, block", [(1, 10**6, 10**6), (2, 40, 100), (3, 200, 30)])
-def test_against_brute_force(spark, monkeypatch, seed, task, block):
+# with few bits, windows of different words share a hash: the result is the same
+@pytest.mark.parametrize("seed, task, block, bits", [(1, 10**6, 10**6, 64), (2, 40, 100, 64), (3, 200, 30, 64), (1, 60, 100, 4), (2, 10**6, 50, 10), (3, 200, 30, 0)])
+def test_against_brute_force(spark, monkeypatch, seed, task, block, bits):
     monkeypatch.setattr(rlz, "TASK_WORDS", task)
     monkeypatch.setattr(rlz, "BLOCK_WINDOWS", block)
     rows = corpus(seed)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({"id": F.lit("clash"), "row": F.lit(1), "kept": F.lit(2), "start": F.lit(0)})
-    got = rlz.remove(df, n=5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({"id": F.lit("clash"), "row": F.lit(1), "kept": F.lit(2), "start": F.lit(0), "_start": F.lit(0), "_packed": F.lit(0), "_rlz_id": F.lit(4), "ref": F.lit(0)})
+    got = rlz.remove(df, n=5, bits=bits)
     assert set(got.columns) >= {"id", "row", "start", "spans"}
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()) == brute(rows, 5)
 
@@ -65,3 +66,16 @@ def test_factors_join_greedily():
 
 def test_empty(spark):
     assert rlz.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_factors_over_many_segments(spark):
+    a = [f"w{i}" for i in range(1000)]
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(["x"] * 5 + a[7:900])), (3, " ".join(a[:3] + ["y"] + a[500:]))], "doc_id long, text string")
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in rlz.remove(df).collect()}
+    assert spans == {1: [], 2: [(5, 898, 1, 7)], 3: [(4, 504, 1, 500)]}
+
+
+def test_one_very_long_text(spark):
+    a = " ".join(f"w{i % 70_001}" for i in range(300_000))
+    got = {r["doc_id"]: r["n_removed"] for r in rlz.remove(spark.createDataFrame([(1, "x"), (2, a), (4, a)], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 4: 300_000}
