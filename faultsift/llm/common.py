@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 #: Rows per Arrow batch for whole texts: with texts of 100 KB a batch stays near 50 MB.
 TEXT_BATCH_ROWS = 512
 
+#: The temporary folders of local sessions.
+_LOCAL: dict[str, str] = {}
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -28,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[app]
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -44,6 +47,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that an operator needs no longer than it runs."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_dir(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        """Delete the tables; no DataFrame that reads them may be used afterwards."""
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     """Lower the session's Arrow batch size where it would hold too many whole texts."""
     if int(spark.conf.get(_BATCH, "10000")) > rows:

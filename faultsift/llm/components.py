@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +27,13 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100, stage: Callable[[DataFrame, str], DataFrame] = staged) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the least node reachable.
 
     Each round is written to the shared folder, so that the plan stays short and a lost executor
-    costs one round at most. No edges give no rows; loops and repeated edges do no harm.
+    costs one round at most; stage writes them. No edges give no rows; loops and repeated edges do no harm.
     """
-    edges = staged(
+    edges = stage(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct(),
@@ -44,7 +46,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        edges = staged(_star(_star(edges, True), False), "edges")
+        edges = stage(_star(_star(edges, True), False), "edges")
         now = mark(edges)
         if now == seen:
             break

@@ -7,6 +7,9 @@ left out (a wildcard); fingerprints that share an index key are compared in full
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,13 +18,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.common import staged, with_arrow
+from faultsift.llm.common import Scratch, staged, with_arrow
 from faultsift.llm.components import components
 
 SEED = 42
 MAX_BITS = 2
 #: Index keys with more fingerprints than this are linked by neighbour values instead of pairs.
 CROWD = 32
+#: Fingerprints with this share of all rows need no shuffle to meet their component.
+HOT_SHARE = 1e-4
 
 
 def _sum_bits(hashes: np.ndarray) -> np.ndarray:
@@ -41,6 +46,12 @@ def _sum_bits(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingle hashes: a bit is set if it is in over half of them; zero without any."""
+    bits = (2 * _sum_bits(hashes) > len(hashes)).astype(np.uint8)
+    return int(np.packbits(bits, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Signed 64-bit SimHash of the word shingles; zero without words."""
     words = (text or "").encode("utf-8").lower().split()
@@ -56,9 +67,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
             ends.append(at)
         starts = [0] + [e + 1 for e in ends[: -shingle]]
         hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=True)]
-    counts = _sum_bits(np.array(hashes, np.uint64))
-    bits = (2 * counts > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<i8")[0])
+    return fingerprint_of(np.array(hashes, np.uint64))
 
 
 def add_fingerprint(df: DataFrame, text: str = "text", name: str = "fp", shingle: int = 3, keep=None) -> DataFrame:
@@ -84,7 +93,7 @@ def _index(fps: DataFrame) -> DataFrame:
     )
 
 
-def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+def links(fps: DataFrame, crowd: int = CROWD, stage: Callable[[DataFrame, str], DataFrame] = staged) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints which differ in two bits at most.
 
     Index keys that few fingerprints share are joined with themselves and the pairs verified. Where
@@ -102,7 +111,7 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
         .where("bit is null or lo <> hi")
         .select("fp", "key", "bit", "n")
     )
-    index = staged(index, "simhash-index")
+    index = stage(index, "simhash-index")
     few = index.where(F.col("n") <= crowd)
     left = few.select("key", F.col("fp").alias("a"), F.col("bit").alias("abit"))
     right = few.select("key", F.col("fp").alias("b"), F.col("bit").alias("bbit"))
@@ -136,9 +145,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     an empty result. Columns other than id and text are ignored, whatever their names.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    scratch = Scratch(df.sparkSession)
     hashed = staged(add_fingerprint(rows, "text", "fp", shingle, keep=["id"]), "simhash")
-    reps = staged(hashed.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
-    roots = staged(components(links(reps.select("fp"))), "simhash-roots")
+    reps = scratch.staged(hashed.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "simhash-reps")
+    roots = scratch.staged(components(links(reps.select("fp"), stage=scratch.staged), stage=scratch.staged), "simhash-roots")
     least = (
         roots.join(reps, roots.node == reps.fp)
         .groupBy("root")
@@ -146,17 +156,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     )
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     known = staged(
-        reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")),
+        reps.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "rep").alias("component_id")),
         "simhash-components",
     )
-    return hashed.join(known, "fp").select("id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each group the document with the least id stays.
-
-    Where rows repeat that id, all of them stay; rows with a null id stay.
-    """
-    found = near_duplicates(docs, id_col, text, shingle)
-    gone = found.where(F.col("id") != F.col("component_id")).select("id").distinct()
-    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    # fingerprints of many rows meet their component in a broadcast table of 1 / HOT_SHARE rows at most
+    total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    scratch.clear()
+    is_hot = F.col("n") >= max(2, math.ceil(HOT_SHARE * total))
+    hot, cold = F.broadcast(known.where(is_hot).drop("n")), known.where(~is_hot).drop("n")
+    out = hashed.join(hot, "fp").unionByName(hashed.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
+    return out.select("id", "fp", "component_id")

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from faultsift.llm import components, simhash
+from faultsift.llm import components, near, simhash
 
 
 def plain_fingerprint(text, k=3):
@@ -76,7 +76,7 @@ def test_near_duplicates_edge_cases(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit("clash"), "component_id": F.lit(1), "id": F.lit(0)})
     got = sorted((r["id"] is None, r["id"] or 0, r["component_id"]) for r in simhash.near_duplicates(df).collect())
     assert got == [(False, 1, 1), (False, 3, 3), (False, 5, 3), (False, 5, 3), (False, 7, 7), (False, 8, 8), (False, 9, 8), (True, 0, 3)]
-    kept = sorted(r["doc_id"] or 0 for r in simhash.keep_one(df).collect())
+    kept = sorted(r["doc_id"] or 0 for r in near.keep_one(df, shingle=3).collect())
     assert kept == [0, 1, 3, 7, 8]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
