@@ -25,8 +25,10 @@ from faultsift.llm.common import with_arrow
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of more bytes are merged one by one from a heap: whole rounds would cost rounds times length.
 LONG_WORD = 1024
-#: Pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 200_000
+#: Bytes of pieces and their ids that a worker remembers; beyond that it starts anew.
+CACHE_BYTES = 16_000_000
+#: Bytes that an entry of the cache takes beside its text and ids.
+_ENTRY = 150
 _SHIFT = 20
 _NONE = np.iinfo(np.int64).max
 
@@ -74,6 +76,7 @@ class Bpe:
         self.merges: dict[int, tuple[int, int]] | None = None
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.held = 0
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """The packed ids of each word; no word is empty."""
@@ -150,6 +153,7 @@ class Bpe:
         ids.update((w, self.long_word(w)) for w in words if len(w) > LONG_WORD)
         for p, ws in found:
             cache[p] = b"".join([ids[w] for w in ws])
+            self.held += _ENTRY + len(p) + len(cache[p])
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
@@ -169,8 +173,8 @@ class Bpe:
         """Packed ids of each text; special tokens in a text become their ids."""
         parts = [self.split_special.split(t) if self.split_special else [t] for t in texts]
         cut = [[p if i % 2 else self._pieces(p) for i, p in enumerate(ps)] for ps in parts]
-        if len(self.first) + len(self.later) > CACHE_PIECES:
-            self.first, self.later = {}, {}
+        if self.held > CACHE_BYTES:
+            self.first, self.later, self.held = {}, {}, 0
         first: set[str] = set()
         later: set[str] = set()
         for ps in cut:

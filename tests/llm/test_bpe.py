@@ -39,9 +39,10 @@ def test_long_words(both, n):
 
 
 def test_cache_is_bounded(both, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 10)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 3000)
     for i in range(20):
         same(both, f"word{i} other{i} third{i} and so on")
+        assert both[0].held < 6000
 
 
 def test_columns(spark):
