@@ -32,7 +32,7 @@ def number(c: Column) -> Column:
 
 def parse_time(c: Column) -> Column:
     """A UTC time; one without an offset is UTC, what can't be read is null."""
-    return F.try_to_timestamp(F.trim(c))
+    return F.try_to_timestamp(F.trim(F.translate(c, '"', "")))
 
 
 def parse_utc(c: Column) -> Column:
@@ -87,7 +87,7 @@ def node_id(name: Column, city: Column, roles: list[str] = ROLES) -> Column:
 
 
 def direction(source: Column, metric: Column) -> Column:
-    """Which way a metric is bad: high, low or both."""
+    """Which way a metric is bad: high, low or both."""
     m = F.lower(metric)
     return (
         F.when((source == "node") & has(m, "memory_available"), "low")
@@ -123,6 +123,7 @@ def service_nodes(city: Column) -> Column:
 
 
 def event_family(program: Column, message: Column) -> Column:
+    """The family of a log line by its words, the first that fits."""
     t = F.lower(F.concat_ws(" ", program, message))
     return (
         F.when(has(t, "bgp"), "bgp")
@@ -142,7 +143,7 @@ def token(c: Column, fallback: str = "unknown") -> Column:
 
 
 def aggregation(direction_: Column, metric: Column) -> Column:
-    """How the observations of a cell are put together."""
+    """How the observations of a cell are put together."""
     summed = has(F.lower(metric), "bytes", "packets", "flow_records", "requests_rate", "success_rate", "error_rate", "event_count")
     return F.when(direction_ == "low", "min").when(summed, "sum").otherwise("max")
 

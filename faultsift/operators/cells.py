@@ -74,6 +74,11 @@ def cells(projected: DataFrame) -> DataFrame:
     return made.select(*by, pick(F.col("policy")).alias("value"))
 
 
+def consolidate(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, n): the median of the values that share a place in their series."""
+    return df.groupBy(*by).agg(F.percentile(value, 0.5).alias(value), F.count("*").alias("n"))
+
+
 def summary(table: DataFrame) -> DataFrame:
     """Counts and the range of minutes by modality."""
     return table.groupBy("modality").agg(

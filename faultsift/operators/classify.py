@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultsift.functions.scalars import has, role_flags
+from faultsift.operators.rank import top
+from faultsift.plans import dims
 
 
 def signal_of(feature: Column) -> Column:
     """The signal of a feature (the first rule that fits), null for features that are no sign of one fault."""
     n = F.lower(feature)
+    # The tokens of each signal, in the order in which the rules hold
     return (
         F.when(has(n, "wrong_record", "nxdomain", "servfail"), "dns_record")
         .when(has(n, "rule_order"), "rule_order")
@@ -83,8 +86,23 @@ def category_of(signal: Column, node: Column) -> Column:
     return F.coalesce(F.when(role["is_firewall"], look(FIREWALL)), F.when(role["is_router"], look(ROUTER)), look(ANY_DEVICE))
 
 
-def deviation(df: DataFrame, by: list[str], value: str, phase: str, low: Column) -> DataFrame:
-    """(by, deviation) from the median of the phase before, in its quartile range; without a before, the largest size."""
+def signals_of(cells: DataFrame) -> DataFrame:
+    """(feature, signal, low) of the different features of cells that are a signal: the rules see each name once."""
+    names = cells.select("feature").distinct()
+    return names.select("feature", signal_of(F.col("feature")).alias("signal"), signal_is_low(F.col("feature")).alias("low")).where("signal is not null")
+
+
+def ranked(spark: SparkSession, df: DataFrame, by: list[str], score: str, k: int = 3, name: str = "category") -> DataFrame:
+    """The k best rows of each group with their rank, ties in the taxonomy's order."""
+    order = dims.taxonomy(spark).select(F.col("fault_name").alias(name), F.col("ord").alias("_ord"))
+    return top(df.join(order, name), by, score, ["_ord"], k).select(*by, name, score, "rank")
+
+
+def deviation(df: DataFrame, by: list[str], value: str, phase: str, low: Column, peak: bool = False) -> DataFrame:
+    """(by, deviation) from the median of the phase before, in its quartile range; without a before, the largest size.
+
+    With peak, also the largest value during the event.
+    """
     before = F.when(F.col(phase) == "before", F.col(value))
     during = F.when(F.col(phase) == "during", F.col(value))
     got = df.groupBy(*by).agg(
@@ -95,7 +113,7 @@ def deviation(df: DataFrame, by: list[str], value: str, phase: str, low: Column)
     scale = F.greatest(F.col("q")[2] - F.col("q")[0], F.abs(center) * 0.05, F.lit(0.01))
     moved = F.when(F.col("low"), center - F.col("lo")).otherwise(F.col("hi") - center) / scale
     out = F.when(center.isNull(), F.col("size")).otherwise(F.greatest(F.lit(0.0), moved))
-    return got.select(*by, F.least(F.lit(25.0), out).alias("deviation"))
+    return got.select(*by, F.least(F.lit(25.0), out).alias("deviation"), *([F.col("hi").alias("peak")] if peak else []))
 
 
 def mixture(df: DataFrame, by: list[str], node: str, category: str, strength: str, root: str) -> DataFrame:

@@ -54,9 +54,9 @@ def specific_category(scores: dict[str, Column]) -> Column:
 
 
 def failure_symptom(failures: Column, requests: Column) -> Column:
-    """Strength of failed requests, clipped to 0..requests; null without requests."""
+    """Strength of failed requests, clipped to 0..requests; null without requests or where failures are not known."""
     f = F.greatest(F.lit(0.0), F.least(failures, requests))
-    return F.when(requests > 0, F.least(F.lit(MOST_STRENGTH), f * 15 / (requests + 30)))
+    return F.when((requests > 0) & failures.isNotNull(), F.least(F.lit(MOST_STRENGTH), f * 15 / (requests + 30)))
 
 
 def service_symptoms(cells: DataFrame) -> DataFrame:
@@ -78,9 +78,16 @@ def service_symptoms(cells: DataFrame) -> DataFrame:
     return failed.where("symptom is not null").union(scored).groupBy("minute", "entity").agg(F.max("symptom").alias("symptom"))
 
 
-def edge_probability(symptoms: DataFrame) -> DataFrame:
-    rows = neighbour_support(symptoms, ["entity"], "minute", F.col("symptom") >= 2.5, "sustained")
-    return rows.withColumn("probability", probability(F.col("symptom")) * F.when(F.col("sustained"), 0.9).otherwise(0.4))
+def service_probability(symptoms: DataFrame) -> DataFrame:
+    """(minute, probability) of the strongest symptom of each minute; minutes without a like neighbour count less.
+
+    Neighbours are found by equality with the listed minutes beside active ones, so no task holds the whole timeline.
+    """
+    top = symptoms.groupBy("minute").agg(F.max("symptom").alias("symptom"))
+    beside = top.where("symptom >= 2.5").select(F.explode(F.array(F.col("minute") - 1, F.col("minute") + 1)).alias("minute")).distinct()
+    rows = top.join(beside.withColumn("_near", F.lit(True)), "minute", "left")
+    sustained = F.coalesce((F.col("symptom") >= 2.5) & F.col("_near"), F.lit(False))
+    return rows.select("minute", (probability(F.col("symptom")) * F.when(sustained, 0.9).otherwise(0.4)).alias("probability"))
 
 
 def log_support(count: Column, severity: Column) -> Column:

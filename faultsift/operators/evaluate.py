@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultsift.functions.scalars import dice, parse_utc
@@ -39,6 +40,31 @@ def prediction_flags(df: DataFrame) -> DataFrame:
     return df.select("*", core.alias("core_valid"), rca.alias("rca_valid"), major_ok.alias("major_valid"), sub_ok.alias("sub_valid"), errors.alias("errors"))
 
 
+def truth_flags(df: DataFrame) -> DataFrame:
+    """df with the list of errors of each ground truth: id, interval, root cause or category."""
+    start, end = parse_utc(F.col("start_time")), parse_utc(F.col("end_time"))
+    legal = [f"{c}-{r}" for c in CITIES for r in ROLES]
+    pairs = [f"{t[1]}/{t[2]}" for t in TAXONOMY]
+    flags = {
+        "ground_truth_id": F.length(F.coalesce("ground_truth_id", F.lit(""))) > 0,
+        "interval": F.coalesce(end > start, F.lit(False)),
+        "root_cause": F.coalesce(F.col("root_cause.network_element_id").isin(legal), F.lit(False)),
+        "fault_category": F.coalesce(F.concat_ws("/", "fault_category.major_category", "fault_category.sub_category").isin(pairs), F.lit(False)),
+    }
+    return df.withColumn("errors", F.array_compact(F.array(*(F.when(~v, F.lit(k)) for k, v in flags.items()))))
+
+
+def repeated(df: DataFrame, column: str) -> DataFrame:
+    """(column, n) of the values that occur more than once."""
+    return df.groupBy(column).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def not_single(df: DataFrame, case: str, cases: DataFrame) -> DataFrame:
+    """(case, n) of the cases (case) that do not have exactly one row in df, those without any included."""
+    counts = df.groupBy(case).agg(F.count("*").alias("n"))
+    return cases.select(case).distinct().join(counts, case, "left").na.fill(0, ["n"]).where("n <> 1")
+
+
 def dice_pairs(truths: DataFrame, predictions: DataFrame, by: list[str], least: float = LEAST_DICE) -> DataFrame:
     """(by, truth_id, prediction_id, dice) of overlapping intervals (start, end) of the same group with at least that coefficient."""
     t = truths.select(*by, "truth_id", F.col("start").alias("ts"), F.col("end").alias("te"))
@@ -82,24 +108,39 @@ def _assignment(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(int(i), j) for j, i in enumerate(row_of) if i >= 0]
 
 
+def _runs(df: DataFrame, by: list[str]) -> DataFrame:
+    """df (by, start, end, ...) with run: a number for each stretch of intervals that overlap one another."""
+    w = W.partitionBy(*by).orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.when(F.col("start") < reach, 0).otherwise(1)
+    return df.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(w)).drop("_fresh")
+
+
 def match(truths: DataFrame, predictions: DataFrame, by: list[str], least: float = LEAST_DICE) -> DataFrame:
     """(by, truth_id, prediction_id, dice): the one-to-one matching of the largest total coefficient in each group.
 
-    A group is one case: the pairs of its intervals that overlap enough.
+    Intervals that do not hang together over overlaps can't compete, so each stretch of overlapping intervals of a
+    group is matched on its own, and only intervals of one stretch are compared.
     """
-    pairs = dice_pairs(truths, predictions, by, least)
+    both = truths.select(*by, "start", "end", F.col("truth_id").alias("_t"), F.lit(None).cast("string").alias("_p")).unionByName(
+        predictions.select(*by, "start", "end", F.lit(None).cast("string").alias("_t"), F.col("prediction_id").alias("_p"))
+    )
+    numbered = _runs(both, by)
+    t = numbered.where("_t is not null").select(*by, "run", "start", "end", F.col("_t").alias("truth_id"))
+    p = numbered.where("_p is not null").select(*by, "run", "start", "end", F.col("_p").alias("prediction_id"))
+    pairs = dice_pairs(t, p, [*by, "run"], least)
     schema = pairs.schema
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
         t, p = sorted(frame["truth_id"].unique()), sorted(frame["prediction_id"].unique())
+        place, where = {x: i for i, x in enumerate(t)}, {x: i for i, x in enumerate(p)}
         w = np.zeros((len(t), len(p)))
-        for a, b, d in zip(frame["truth_id"], frame["prediction_id"], frame["dice"], strict=True):
-            w[t.index(a), p.index(b)] = d
+        w[frame["truth_id"].map(place), frame["prediction_id"].map(where)] = frame["dice"]
         taken = {(t[i], p[j]) for i, j in _assignment(w) if w[i, j] > 0}
         keep = [(a, b) in taken for a, b in zip(frame["truth_id"], frame["prediction_id"], strict=True)]
         return frame[keep]
 
-    return pairs.groupBy(*by).applyInPandas(best, schema)
+    return pairs.groupBy(*by, "run").applyInPandas(best, schema).drop("run")
 
 
 def detection_score(start_off: Column, end_off: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultsift.functions.scalars import has
+from faultsift.functions.scalars import has, role_flags
+from faultsift.plans import dims
 from faultsift.plans import prototypes as P
 
 DIRECT_SOURCES = ["node", "interface", "routing", "frr"]
@@ -61,10 +62,64 @@ def subgraph(edges: DataFrame, by: list[str], most: int = 20) -> DataFrame:
     return rows.where(F.col("rank") <= most).withColumn("truncated", F.greatest(F.lit(0).cast("long"), F.col("_n") - most)).drop("_n")
 
 
+def _fits(metric: Column, pattern: str) -> Column:
+    return metric.rlike("^" + ".*".join(map(re.escape, pattern.split("*"))) + "$")
+
+
 def scale_floor(metric: Column, absolute: float = 0.01) -> Column:
     """The largest floor of the patterns that fit the metric, at least the absolute one."""
-    shape = lambda p: "^" + ".*".join(map(re.escape, p.split("*"))) + "$"
-    return F.greatest(F.lit(absolute), *(F.when(metric.rlike(shape(p)), F.lit(v)).otherwise(0.0) for p, v in P.SCALE_FLOORS.items()))
+    return F.greatest(F.lit(absolute), *(F.when(_fits(metric, p), F.lit(v)).otherwise(0.0) for p, v in P.SCALE_FLOORS.items()))
+
+
+def relative_floor(metric: Column, default: float = P.RELATIVE_FLOOR) -> Column:
+    """The least scale as a part of the center: that of the last pattern that fits the metric."""
+    return F.coalesce(*(F.when(_fits(metric, p), F.lit(v)) for p, v in reversed(P.RELATIVE_FLOORS.items())), F.lit(default))
+
+
+def event_nodes(parts: DataFrame, score: Column, by: list[str], most: int = 20) -> DataFrame:
+    """The nodes of an event's subgraph: those with a positive score, the best ones, and in truncated how many were left out."""
+    live = parts.withColumn("score", score).where("score > 0")
+    w = W.partitionBy(*by)
+    rows = live.withColumn("rank", F.row_number().over(w.orderBy(F.col("score").desc(), "node"))).withColumn("_n", F.count("*").over(w))
+    return rows.where(F.col("rank") <= most).select(*by, "node", "score", "rank", F.greatest(F.lit(0).cast("long"), F.col("_n") - most).alias("truncated"))
+
+
+def first_points(points: DataFrame, by: list[str], most: int = 64) -> DataFrame:
+    """The timeline of an event's context: its first points in time, the strongest of a minute first."""
+    w = W.partitionBy(*by).orderBy("minute", F.col("magnitude").desc(), "metric", "node")
+    return points.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def five_sigma_events(points: DataFrame, by: list[str], ts: str, metric: Column, magnitude: str = "magnitude", gap: str = "120 seconds") -> DataFrame:
+    """(by, start_time, end_time, peak_time, confidence, points, sources) of five-sigma points as events, sources with their number of points."""
+    rows = points.withColumn("_source", F.split(metric, r"\.")[0]).withColumn("_score", F.least(F.lit(25.0), F.col(magnitude)))
+    of = rows.groupBy(*by, F.session_window(ts, gap).alias("w")).agg(
+        F.min(ts).alias("start_time"), (F.max(ts) + F.expr("interval 1 minute")).alias("end_time"), F.min_by(ts, F.struct(-F.col("_score"), F.col(ts))).alias("peak_time"),
+        F.least(F.lit(1.0), F.max("_score") / 10).alias("confidence"), F.count("*").alias("points"), F.array_sort(F.collect_set("_source")).alias("sources"),
+    )
+    return of.drop("w")
+
+
+def weighted_points(points: DataFrame, top5: DataFrame) -> DataFrame:
+    """points (event, node, related, text, source, direction, score) with weight: the root's own points most, others by their rank."""
+    root = top5.where("rank = 1").select("event", F.col("node").alias("_root"))
+    others = top5.where("rank > 1").select("event", "node", F.greatest(F.lit(0.03), 0.10 - (F.col("rank") - 2) * 0.015).alias("_w"))
+    rows = points.join(root, "event", "left").join(others, ["event", "node"], "left")
+    near = F.when(F.col("node") == F.col("_root"), 5.0).when(F.array_contains("related", F.col("_root")), 0.10).otherwise(F.coalesce("_w", F.lit(0.01)))
+    return rows.withColumn("weight", near * F.least(F.lit(1.0), F.col("score") / 15)).drop("_root", "_w")
+
+
+def role_signals(top5: DataFrame) -> DataFrame:
+    """(event, signal, weight): the role of each event's root as a signal."""
+    role = role_flags(F.col("node"))
+    named = F.coalesce(*(F.when(role[f"is_{r}"], F.lit(f"role_{r}")) for r in ("firewall", "router", "service", "traffic")))
+    return top5.where("rank = 1").select("event", named.alias("signal"), F.lit(1.0).alias("weight")).where("signal is not null")
+
+
+def missing_prototypes(spark: SparkSession, prototypes: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(fault_name) of the taxonomy's faults without a prototype; any means that the classifier can't be used."""
+    have = spark.createDataFrame([(f,) for f in (P.PROTOTYPES if prototypes is None else prototypes)], "fault_name string")
+    return dims.taxonomy(spark).join(have, "fault_name", "left_anti").select("fault_name")
 
 
 def signals(points: DataFrame, by: list[str]) -> DataFrame:
@@ -82,14 +137,16 @@ def signals(points: DataFrame, by: list[str]) -> DataFrame:
 def prototype_scores(spark: SparkSession, found: DataFrame, by: str) -> DataFrame:
     """(by, fault, score): the cosine of each group's signals (by, signal, weight) with every fault's prototype.
 
-    Faults without a common signal have no row. The prior of a device role counts for its faults.
+    Every fault has a row. The prior of a device role counts for its faults.
     """
-    rows = [(f, s, float(v), float(sum(x * x for x in p.values()) ** 0.5)) for f, p in P.PROTOTYPES.items() for s, v in p.items()]
-    table = F.broadcast(spark.createDataFrame(rows, "fault string, signal string, v double, size double"))
+    rows = [(f, s, float(v)) for f, p in P.PROTOTYPES.items() for s, v in p.items()]
+    table = F.broadcast(spark.createDataFrame(rows, "fault string, signal string, v double"))
     own = found.groupBy(by).agg(
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("n"), *(F.coalesce(F.max(F.when(F.col("signal") == f"role_{r}", F.col("weight"))), F.lit(0.0)).alias(r) for r in ("firewall", "router", "service", "traffic"))
     )
-    dots = found.join(table, "signal").groupBy(by, "fault", "size").agg(F.sum(F.col("weight") * F.col("v")).alias("dot")).join(own, by)
+    met = found.join(table, "signal").groupBy(by, "fault").agg(F.sum(F.col("weight") * F.col("v")).alias("dot"))
+    sizes = F.array(*(F.struct(F.lit(f).alias("fault"), F.lit(float(sum(x * x for x in p.values()) ** 0.5)).alias("size")) for f, p in P.PROTOTYPES.items()))
+    dots = own.select("*", F.inline(sizes)).join(met, [by, "fault"], "left").na.fill(0.0, ["dot"])
     prior = F.when(F.col("fault").startswith("firewall_"), F.col("firewall")).when(F.col("fault").startswith("route_"), F.col("router")).when(F.col("fault").startswith("service_"), F.col("service") + F.col("traffic")).otherwise(0.0)
     score = F.coalesce(F.try_divide("dot", F.col("n") * F.col("size")), F.lit(0.0)) + F.least(F.lit(1.0), prior) * P.ROLE_PRIOR
     return dots.select(by, "fault", F.greatest(F.lit(0.0), score).alias("score"))

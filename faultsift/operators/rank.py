@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from faultsift.functions.scalars import has
+
 BEFORE, AFTER = 10, 15
 # Weights of the root score's parts.
 ROOT_WEIGHTS = {"direct": 0.50, "early": 0.20, "pre": 0.15, "recovery": 0.15, "log": 1.10, "traffic_target": 0.15, "traffic_observer": 1.0}
@@ -63,12 +65,58 @@ def distances(edges: DataFrame, most: int) -> DataFrame:
     return known
 
 
-def topology_support(severity: DataFrame, hops: DataFrame, most: int = 5) -> DataFrame:
-    """(node, support): the most severe nodes (node, severity) other than itself that it reaches, nearer ones more."""
-    worst = severity.orderBy(F.col("severity").desc(), "node").limit(most)
-    n = F.least(F.lit(3), F.count("*"))
-    met = worst.join(hops, F.col("node") == F.col("b")).where("a <> b")
-    return met.groupBy("a").agg((F.sum(F.col("severity") / (1 + F.col("hops"))) / n).alias("support")).select(F.col("a").alias("node"), "support")
+def topology_support(severity: DataFrame, hops: DataFrame, by: list[str] | None = None, most: int = 5) -> DataFrame:
+    """(by, node, support): what other nodes' severity (by, node, severity) a node explains, nearer ones more.
+
+    The largest contributions are summed and divided by the number of all, three at most; never over 1.
+    """
+    by = by or []
+    near = severity.join(hops, F.col("node") == F.col("b")).where("a <> b").select(*by, "a", (F.col("severity") / (1 + F.col("hops"))).alias("part"), "b")
+    w = W.partitionBy(*by, "a").orderBy(F.col("part").desc(), "b")
+    ranked = near.withColumn("_r", F.row_number().over(w)).groupBy(*by, F.col("a").alias("node"))
+    got = ranked.agg(F.sum(F.when(F.col("_r") <= most, F.col("part"))).alias("s"), F.count("*").alias("n"))
+    return got.select(*by, "node", F.least(F.lit(1.0), F.col("s") / F.least(F.lit(3), F.col("n"))).alias("support"))
+
+
+def directness(source: Column, metric: Column) -> Column:
+    """How directly a source tells of its node, some metrics more than others."""
+    base = {"node": 1.0, "routing": 1.0, "frr": 1.0, "interface": 0.82, "netflow": 0.48, "traffic": 0.35, "scrape": 0.18}
+    m = F.lower(metric)
+    strong = (source == "interface") & has(m, "drop", "error", "carrier")
+    return F.when(strong, 0.9).otherwise(F.coalesce(*(F.when(source == k, v) for k, v in base.items()), F.lit(0.3)))
+
+
+def severity(points: DataFrame, by: list[str]) -> DataFrame:
+    """(by, severity): 0.8 of the largest score (of 25) and 0.2 of the mean of the next two."""
+    w = W.partitionBy(*by).orderBy(F.col("score").desc())
+    top3 = points.withColumn("_r", F.row_number().over(w)).where("_r <= 3").groupBy(*by).agg((F.max("score") / 25).alias("a"), (F.sum("score") / 25).alias("s"), F.count("*").alias("n"))
+    rest = F.when(F.col("n") > 1, (F.col("s") - F.col("a")) / (F.col("n") - 1)).otherwise(0.0)
+    return top3.select(*by, F.least(F.lit(1.0), F.col("a") * 0.8 + rest * 0.2).alias("severity"))
+
+
+def fusion_parts(events: DataFrame, points: DataFrame, hops: DataFrame, nodes: list[str]) -> DataFrame:
+    """(event, node, and the parts of FUSION_WEIGHTS), a row for every node and event.
+
+    events is (event, start, end); points is (event, node, related, source, metric, minute, score) with related
+    nodes as an array. Points of other nodes count for their own node only as long as they are in nodes.
+    """
+    legal = points.where(F.col("node").isin(nodes))
+    about = points.select("event", F.col("node").alias("own"), F.explode("related").alias("node"), "score").where(F.col("node").isin(nodes) & ~F.col("node").eqNullSafe(F.col("own")))
+    length = F.greatest(F.lit(1), F.col("end") - F.col("start"))
+    own = legal.join(events, "event").groupBy("event", "node").agg(
+        F.least(F.lit(1.0), F.countDistinct("minute") / F.max(length)).alias("persistence"),
+        F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0), F.min("minute") - F.max("start")) / F.max(length)).alias("precedence"),
+        F.least(F.lit(1.0), F.countDistinct("source") / 3).alias("diversity"),
+        F.coalesce(F.try_divide(F.sum(directness(F.col("source"), F.col("metric")) * F.col("score")), F.sum("score")), F.lit(0.0)).alias("directness"),
+    )
+    direct = severity(legal, ["event", "node"])
+    related = severity(about, ["event", "node"]).select("event", "node", F.least(F.lit(1.0), F.col("severity") * 0.8).alias("relational"))
+    topology = topology_support(direct, hops, ["event"]).withColumnRenamed("support", "topology")
+    out = events.select("event", F.explode(F.array(*map(F.lit, nodes))).alias("node"))
+    for part in (direct, own, related, topology):
+        out = out.join(part, ["event", "node"], "left")
+    penalty = F.when(F.col("severity").isNull() & F.col("relational").isNotNull(), 0.8).when(F.col("severity").isNotNull() & (F.col("directness") < 0.5), 0.35).otherwise(0.0)
+    return out.withColumn("penalty", penalty).na.fill(0.0).select("event", "node", *FUSION_WEIGHTS)
 
 
 def fused(df: DataFrame, by: list[str], most: int = 5) -> DataFrame:
@@ -76,7 +124,7 @@ def fused(df: DataFrame, by: list[str], most: int = 5) -> DataFrame:
     have = [k for k in FUSION_WEIGHTS if k in df.columns]
     score = sum((F.coalesce(F.col(k), F.lit(0.0)) * FUSION_WEIGHTS[k] for k in have), F.lit(0.0))
     w = W.partitionBy(*by).orderBy(F.col("score").desc(), F.col("directness").desc(), F.col("precedence").desc(), "node")
-    return df.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return df.withColumn("score", F.greatest(F.lit(0.0), score)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def normalised(df: DataFrame, by: list[str], score: str, name: str = "share") -> DataFrame:

@@ -47,6 +47,35 @@ def quiet(df: DataFrame, by: list[str], score: str, order: list[str], part: floa
     return df.withColumn("_r", rank).withColumn("_n", F.count("*").over(w)).where(F.col("_r") <= F.ceil(F.col("_n") * part)).drop("_r", "_n")
 
 
+def timeline_calibration(df: DataFrame, by: list[str], step: str, value: str, part: float = 0.6) -> DataFrame:
+    """(by, center, scale) fitted on the quietest part of each family's steps.
+
+    A first fit on both ends of the timeline (a quarter of it, 3 to 60 steps) standardises the values; the lowest
+    of these, earlier steps first, are the reference of the second. by ends with the family; what stands before it
+    names the timeline, whose ends are those of all its families.
+    """
+    whole = by[:-1]
+    ends = df.groupBy(*whole).agg(F.min(step).alias("_a"), F.max(step).alias("_b"))
+    rows = (df.join(F.broadcast(ends), whole) if whole else df.select("*").join(F.broadcast(ends))).withColumn("_t", F.col("_b") - F.col("_a") + 1)
+    r = F.least(F.lit(60), F.greatest(F.lit(3), F.floor(F.col("_t") / 4)))
+    edge = (F.col("_t") <= 2 * r) | (F.col(step) < F.col("_a") + r) | (F.col(step) > F.col("_b") - r)
+    first = calibration(rows.where(edge), by, value)
+    scored = df.join(first, by).withColumn("_z", standardised(F.col(value), F.col("center"), F.col("scale")))
+    return calibration(quiet(scored, by, "_z", [step], part).select(*by, value), by, value)
+
+
+def standardised(value: Column, center: Column, scale: Column) -> Column:
+    """How far ln(1 + value) lies above the center, in scales."""
+    return F.greatest(F.lit(0.0), (F.log1p(F.greatest(value, F.lit(0.0))) - center) / scale)
+
+
+def calibrated_probability(df: DataFrame, fitted: DataFrame, by: list[str], step: str, value: str) -> DataFrame:
+    """(by without the family, step, probability) from the two largest standardised families of each step."""
+    z = df.join(fitted, by).withColumn("_z", standardised(F.col(value), F.col("center"), F.col("scale")))
+    two = z.groupBy(*by[:-1], step).agg(F.slice(F.sort_array(F.collect_list("_z"), asc=False), 1, 2).alias("_two"))
+    return two.select(*by[:-1], step, combined_probability(F.get("_two", 0), F.get("_two", 1)).alias("probability"))
+
+
 def combined_probability(first: Column, second: Column) -> Column:
     """Probability of the two largest standardised scores; the second may be missing, without a first it is 0."""
     g = F.when(second.isNull(), first).otherwise(first * 0.75 + second * 0.25)

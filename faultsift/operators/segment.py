@@ -36,9 +36,13 @@ def hysteresis(df: DataFrame, by: list[str], step: str, energy: str, opens: floa
 def split_long(windows: DataFrame, scores: DataFrame, by: list[str], step: str, energy: str, longest: int = 30) -> DataFrame:
     """(by, start, end) with windows longer than longest cut at the inner step of least energy, again and again.
 
-    windows is (by, start, end), scores (by, step, energy); a step without a row has no energy.
+    windows is (by, start, end), scores (by, step, energy); a step without a row has no energy. Windows that are
+    short enough pass as they are; the steps of the others are listed, so this is an equality join.
     """
-    lows = scores.join(windows.withColumnRenamed("start", "_s").withColumnRenamed("end", "_e"), by).where((F.col(step) >= F.col("_s")) & (F.col(step) < F.col("_e")))
+    fits = F.col("end") - F.col("start") <= longest
+    short = windows.where(fits).select(*by, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    spread = windows.where(~fits).select(*by, F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.expr("sequence(start, end - 1)")).alias(step))
+    lows = spread.join(scores.select(*by, step, energy), [*by, step], "left").na.fill(0.0, [energy])
     packed = lows.groupBy(*by, "_s", "_e").agg(F.map_from_entries(F.collect_list(F.struct(step, energy))).alias("energy"))
     fields = windows.select(*by).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
 
@@ -57,7 +61,7 @@ def split_long(windows: DataFrame, scores: DataFrame, by: list[str], step: str,
                         todo += [(a, at), (at, b)]
             yield pd.DataFrame(out, columns=[*by, "start", "end"])
 
-    return packed.mapInPandas(cut, f"{fields}, start long, end long")
+    return short.unionByName(packed.mapInPandas(cut, f"{fields}, start long, end long"))
 
 
 @dataclass(frozen=True)
@@ -115,10 +119,14 @@ def candidates(timeline: DataFrame, by: list[str], d: Decoder = Decoder()) -> Da
 def decode(timeline: DataFrame, by: list[str], d: Decoder = Decoder()) -> DataFrame:
     """(by, start, end, confidence): the best set of intervals that do not overlap; end is exclusive.
 
-    Only the choice among the candidates is sequential; a group is one timeline's candidates, at most
-    thirty per start. An interval soon after another costs more, the sooner the more.
+    Only the choice among the candidates is sequential. An interval soon after another costs more, the sooner
+    the more; beyond the gap it costs nothing, so candidates that lie further apart than that are chosen from
+    independently, and a group is one such stretch of a timeline, with thirty candidates a start at most.
     """
-    found = candidates(timeline, by, d)
+    w = W.partitionBy(*by).orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.when(F.col("start") - reach - 1 < d.gap, 0).otherwise(1)
+    found = candidates(timeline, by, d).withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(w)).drop("_fresh")
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in timeline.select(*by).schema.fields)
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
@@ -150,4 +158,4 @@ def decode(timeline: DataFrame, by: list[str], d: Decoder = Decoder()) -> DataFr
             made.insert(i, c, frame[c].iloc[0])
         return made
 
-    return found.groupBy(*by).applyInPandas(choose, f"{keys}, start long, end long, confidence double")
+    return found.groupBy(*by, "_stretch").applyInPandas(choose, f"{keys}, start long, end long, confidence double")

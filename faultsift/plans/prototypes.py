@@ -89,4 +89,10 @@ SCALE_FLOORS = {
     "traffic.*.*throughput*": 1000.0, "traffic.*.*jitter*": 0.01, "traffic.*.*_rate": 1.0, "netflow.bytes": 4096.0,
     "netflow.packets": 10.0, "netflow.flow_records": 5.0, "netflow.unique_*": 1.0, "netflow.protocol_byte_share": 0.05,
 }
+# The least scale as a part of the center, and for metrics by pattern (the last that fits).
+RELATIVE_FLOOR = 0.02
+RELATIVE_FLOORS = {
+    "node.memory_available_ratio": 0.0, "node.swap_used_ratio": 0.0, "node.filesystem_used_ratio": 0.0, "node.inode_used_ratio": 0.0,
+    "node.open_fd_ratio": 0.0, "traffic.*.*_ratio": 0.0, "netflow.protocol_byte_share": 0.0,
+}
 ROLE_PRIOR = 0.12

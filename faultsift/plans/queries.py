@@ -6,8 +6,6 @@ holds flows and wide measures, orders, customer, supplier and nation hold entiti
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,42 +13,12 @@ from faultsift.functions import repair
 from faultsift.functions import scalars as S
 from faultsift.operators import cells, classify, detect, evaluate, rank, robust, segment, windows
 from faultsift.operators import events as event_ops
-from faultsift.plans import dims
+from faultsift.plans import diagnosis, dims
+from faultsift.plans import prototypes as P
+from faultsift.plans.base import EV, ORACLE, QUERIES, events, query, r6, table
 from faultsift.sources import telemetry
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable:
-    """Register a query under its function's name, with its SQL if there is any."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events with whole seconds (sec), hours (hour) and days (day) since 1970, whatever the session's time zone."""
-    e = table(spark, sf_dir, "events").withColumn("sec", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
-    return e.withColumn("hour", F.floor(F.col("sec") / 3600).cast("long")).withColumn("day", F.floor(F.col("sec") / 86400).cast("long"))
-
-
-EV = """ev AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour,
-  CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events)"""
-
-
-def r6(c: str | Column) -> Column:
-    return F.round(c, 6)
-
+__all__ = ["ORACLE", "QUERIES", "diagnosis"]
 
 # --- cells and sources
 
@@ -207,7 +175,7 @@ def json_repaired(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT user_id, hour, median(value) AS value, count(*) AS n FROM ev GROUP BY 1, 2")
 def consolidated_median(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id", "hour").agg(F.percentile("value", 0.5).alias("value"), F.count("*").alias("n"))
+    return cells.consolidate(events(spark, sf_dir), ["user_id", "hour"], "value")
 
 
 @query("""WITH c AS (SELECT user_id, event_type, median(value) AS center, count(value) AS n FROM events GROUP BY 1, 2)
@@ -411,7 +379,11 @@ def hysteresis_windows(spark, sf_dir):
     return segment.hysteresis(hourly_energy(spark, sf_dir), ["event_type"], "hour", "energy")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {HYST}, hs AS (SELECT min(hour) AS h0, max(hour) AS h1 FROM en),
+es AS (SELECT t.event_type, any_value(h0) AS h0, list(coalesce(energy, 0) ORDER BY h) AS es FROM (SELECT event_type, h0, unnest(range(h0, h1 + 1)) AS h FROM hs, (SELECT DISTINCT event_type FROM en) AS x) AS t LEFT JOIN en ON en.event_type = t.event_type AND en.hour = h GROUP BY 1),
+sp(event_type, a, b) AS (SELECT event_type, "start", "end" FROM win WHERE "start" IS NOT NULL UNION ALL SELECT event_type, x[1], x[2] FROM (
+  SELECT event_type, unnest([[a, a + list_position(s, list_min(s))], [a + list_position(s, list_min(s)), b]]) AS x FROM (SELECT sp.event_type, a, b, es[a + 2 - h0 : b - h0] AS s FROM sp JOIN es ON sp.event_type = es.event_type WHERE b - a > 6) AS l) AS c)
+SELECT event_type, a AS "start", b AS "end" FROM sp WHERE b - a <= 6""")
 def split_windows(spark, sf_dir):
     h = hourly_energy(spark, sf_dir)
     return segment.split_long(segment.hysteresis(h, ["event_type"], "hour", "energy").drop("peak"), h, ["event_type"], "hour", "energy", 6)
@@ -453,19 +425,13 @@ def decoded_events(spark, sf_dir):
 
 # --- localisation
 
-PHASE = f"""{HYST}, e AS (SELECT event_type AS event, "start" AS s, "end" AS e FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY "start") AS k FROM win WHERE "start" IS NOT NULL) AS w1 WHERE k = 1),
+PHASE = f"""{HYST}, e AS (SELECT event_type || ':' || "start" AS event, "start" AS s, "end" AS e FROM win WHERE "start" IS NOT NULL),
 ph AS (SELECT event, 'before' AS phase, greatest(0, s - 10) AS a, s AS b FROM e UNION ALL SELECT event, 'during', s, e FROM e
   UNION ALL SELECT event, 'early', s, s + greatest(1, (e - s) // 3) FROM e UNION ALL SELECT event, 'recovery', e, e + 15 FROM e),
 sc AS (SELECT hour, user_id % 80 AS entity, max(value) AS score FROM ev GROUP BY 1, 2),
 ps AS (SELECT event, phase, entity, round(0.7 * max(score) + 0.3 * sum(score) / any_value(b - a), 6) AS strength FROM ph JOIN sc ON hour >= a AND hour < b GROUP BY 1, 2, 3)"""
 
 
-def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first window of each type as an event."""
-    win = segment.hysteresis(hourly_energy(spark, sf_dir), ["event_type"], "hour", "energy")
-    return win.groupBy(F.col("event_type").alias("event")).agg(F.min("start").alias("start"), F.min_by("end", "start").alias("end"))
-
-
 def window_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every window of each type as an event, named by its type and start."""
     win = segment.hysteresis(hourly_energy(spark, sf_dir), ["event_type"], "hour", "energy")
@@ -474,7 +440,7 @@ def window_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strengths_of_phases(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     sc = events(spark, sf_dir).groupBy(F.col("hour").alias("step"), (F.col("user_id") % 80).alias("entity")).agg(F.max("value").alias("score"))
-    found = first_events(spark, sf_dir) if found is None else found
+    found = window_events(spark, sf_dir) if found is None else found
     return rank.phase_strength(found, sc).withColumn("strength", r6("strength"))
 
 
@@ -517,11 +483,11 @@ def graph_distance(spark, sf_dir):
     return rank.distances(nation_links(spark, sf_dir), 4)
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, s AS (SELECT 'n' || s_nationkey AS node, max(s_acctbal) AS severity FROM supplier GROUP BY 1),
-w AS (SELECT * FROM s ORDER BY severity DESC, node LIMIT 5)
-SELECT a AS node, round(sum(severity / (1 + hops)) / least(3, count(*)), 6) AS support FROM w JOIN hop ON w.node = hop.b WHERE a <> b GROUP BY 1""")
+@query(f"""WITH RECURSIVE {GRAPH}, s AS (SELECT 'n' || s_nationkey AS node, max(s_acctbal) / 20000 AS severity FROM supplier GROUP BY 1)
+SELECT a AS node, round(least(1.0, sum(part) FILTER (r <= 5) / least(3, count(*))), 6) AS support FROM (
+  SELECT a, severity / (1 + hops) AS part, row_number() OVER (PARTITION BY a ORDER BY severity / (1 + hops) DESC, b) AS r FROM s JOIN hop ON s.node = hop.b WHERE a <> b) AS x GROUP BY 1""")
 def topology_explanation(spark, sf_dir):
-    severity = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("node")).agg(F.max("s_acctbal").alias("severity"))
+    severity = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("node")).agg((F.max("s_acctbal") / 20000).alias("severity"))
     got = rank.topology_support(severity, rank.distances(nation_links(spark, sf_dir), 4))
     return got.withColumn("support", r6("support"))
 
@@ -570,13 +536,16 @@ def vote_majority(spark, sf_dir):
 # --- classification
 
 
+FEATURE_NAMES = [r[0] for r in dims.DIRECT_RULES] + [
+    "traffic.web.latency_p95_seconds", "traffic.web.error_ratio", "traffic.auth.timeout_rate", "traffic.dns.success_ratio",
+    "netflow.unique_destination_ports.protocol_tcp", "firewall.acl_hits", "link.loss", "node.softirq_rate", "traffic.web.throughput",
+]
+FEATURE_LIST = "[" + ", ".join(f"'{n}'" for n in FEATURE_NAMES) + "]"
+
+
 def feature_names(e: DataFrame) -> Column:
     """A telemetry feature for each event, dealt by its number."""
-    names = [r[0] for r in dims.DIRECT_RULES] + [
-        "traffic.web.latency_p95_seconds", "traffic.web.error_ratio", "traffic.auth.timeout_rate", "traffic.dns.success_ratio",
-        "netflow.unique_destination_ports.protocol_tcp", "firewall.acl_hits", "link.loss", "node.softirq_rate", "traffic.web.throughput",
-    ]
-    return F.get(F.array(*map(F.lit, names)), (F.col("event_id") % len(names)).cast("int"))
+    return F.get(F.array(*map(F.lit, FEATURE_NAMES)), (F.col("event_id") % len(FEATURE_NAMES)).cast("int"))
 
 
 _SIGNALS = [
@@ -600,7 +569,8 @@ cat AS (SELECT *, CASE {" ".join(f"WHEN role = 4 AND signal = '{k}' THEN '{v}'"
 def categorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     node = F.concat(F.lit("xian-"), F.get(F.array(*map(F.lit, dims.ROLES)), (F.col("user_id") % 10).cast("int")))
-    e = e.withColumn("role", F.col("user_id") % 10).withColumn("signal", classify.signal_of(feature_names(e)))
+    e = e.withColumn("role", F.col("user_id") % 10).withColumn("feature", feature_names(e))
+    e = e.join(classify.signals_of(e), "feature", "left")
     return e.withColumn("node", node).withColumn("category", classify.category_of(F.col("signal"), node))
 
 
@@ -635,7 +605,7 @@ SELECT event, entity, round(least(25.0, CASE WHEN q IS NULL THEN hi ELSE greates
   / greatest(q[3] - q[1], abs(q[2]) * 0.05, 0.01)) END), 6) AS deviation FROM g WHERE hi IS NOT NULL""")
 def event_deviation(spark, sf_dir):
     sc = events(spark, sf_dir).groupBy(F.col("hour").alias("step"), (F.col("user_id") % 80).alias("entity")).agg(F.max("value").alias("score"))
-    rows = rank.phases(first_events(spark, sf_dir)).where("phase in ('before', 'during')").join(sc, "step")
+    rows = rank.phases(window_events(spark, sf_dir)).where("phase in ('before', 'during')").join(sc, "step")
     got = classify.deviation(rows, ["event", "entity"], "score", "phase", F.col("entity") % 2 == 0)
     return got.withColumn("deviation", r6("deviation"))
 
@@ -662,20 +632,33 @@ def interval_dice(spark, sf_dir):
     return evaluate.dice_pairs(*intervals(spark, sf_dir), ["user_id"]).withColumn("dice", r6("dice"))
 
 
-@query(None)
+# the best set of pairs of each stretch of overlapping intervals, truth by truth over all choices
+MATCHING = f"""{INTERVALS}, al AS (SELECT user_id, "start", "end", truth_id AS x FROM t UNION ALL SELECT user_id, "start", "end", prediction_id FROM p),
+fr AS (SELECT *, CASE WHEN "start" < max("end") OVER (PARTITION BY user_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM al),
+rn AS (SELECT x, user_id || ':' || sum(fresh) OVER (PARTITION BY user_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS run FROM fr),
+pp AS (SELECT run, truth_id, prediction_id, dice, dense_rank() OVER (PARTITION BY run ORDER BY truth_id) AS i FROM pair JOIN rn ON truth_id = x WHERE dice >= 0.4),
+cnt AS (SELECT run, max(i) AS n FROM pp GROUP BY 1), op AS (SELECT run, i, prediction_id, dice, truth_id FROM pp UNION ALL SELECT DISTINCT run, i, NULL, 0.0, NULL FROM pp),
+walk(run, i, used, total) AS (SELECT run, CAST(0 AS BIGINT), CAST([] AS STRUCT(truth_id VARCHAR, prediction_id VARCHAR)[]), CAST(0 AS DOUBLE) FROM cnt
+  UNION ALL SELECT w.run, w.i + 1, CASE WHEN prediction_id IS NULL THEN used ELSE list_append(used, {{'truth_id': truth_id, 'prediction_id': prediction_id}}) END, total + dice
+  FROM walk w JOIN op ON w.run = op.run AND op.i = w.i + 1 AND (prediction_id IS NULL OR NOT list_contains(list_transform(used, lambda u: u.prediction_id), prediction_id))),
+best AS (SELECT w.run, arg_max(used, total) AS used FROM walk w JOIN cnt ON w.run = cnt.run AND w.i = n GROUP BY 1),
+mt AS (SELECT u.truth_id AS truth_id, u.prediction_id AS prediction_id FROM (SELECT unnest(used) AS u FROM best) AS b),
+mp AS (SELECT pair.* FROM mt JOIN pair ON mt.truth_id = pair.truth_id AND mt.prediction_id = pair.prediction_id)"""
+
+
+@query(f"WITH RECURSIVE {MATCHING} SELECT user_id, truth_id, prediction_id, dice FROM mp")
 def interval_match(spark, sf_dir):
     return evaluate.match(*intervals(spark, sf_dir), ["user_id"])
 
 
-@query(f"""WITH {INTERVALS}, k AS (SELECT *, row_number() OVER (PARTITION BY truth_id ORDER BY dice DESC, prediction_id) AS r FROM pair WHERE dice >= 0.4),
-m AS (SELECT *, 0.7 + 0.3 * greatest(0, 1 - (abs(ds) + abs(de)) / 360.0) AS d, [1.0, 0.8, 0.6, 0.4, 0.2][user_id % 6 + 1] AS rca FROM k WHERE r = 1),
+@query(f"""WITH RECURSIVE {MATCHING},
+m AS (SELECT *, 0.7 + 0.3 * greatest(0, 1 - (abs(ds) + abs(de)) / 360.0) AS d, [1.0, 0.8, 0.6, 0.4, 0.2][user_id % 6 + 1] AS rca FROM mp),
 c AS (SELECT (SELECT count(*) FROM t) AS nt, (SELECT count(*) FROM p) AS np, count(*) AS tp, sum(d) AS d, sum(coalesce(rca, 0)) AS r, count(*) FILTER (user_id % 2 = 0) AS mj,
   count(*) FILTER (user_id % 4 = 0) AS mi FROM m)
 SELECT round(40 * d / nt * (0.7 + 0.3 * tp / np), 6) AS ad, round(40 * r / nt, 6) AS rca, round(10 * mj / nt, 6) AS major, round(10 * mi / nt, 6) AS minor, tp, np - tp AS fp, nt - tp AS fn FROM c""")
 def challenge_score(spark, sf_dir):
     t, p = intervals(spark, sf_dir)
-    pairs = evaluate.dice_pairs(t, p, ["user_id"])
-    best = rank.top(pairs, ["truth_id"], "dice", ["prediction_id"], 1)
+    best = evaluate.match(t, p, ["user_id"])
     ends = best.join(t.select("truth_id", F.col("start").alias("a"), F.col("end").alias("b")), "truth_id").join(
         p.select("prediction_id", F.col("start").alias("c"), F.col("end").alias("d")), "prediction_id"
     )
@@ -686,7 +669,9 @@ def challenge_score(spark, sf_dir):
         evaluate.rank_score(top5, node(F.col("user_id") % 6)).alias("rca"),
         (F.col("user_id") % 2 == 0).alias("major_ok"), (F.col("user_id") % 4 == 0).alias("minor_ok"),
     )
-    got = evaluate.challenge(matched, F.lit(t.count()), F.lit(p.count()))
+    # both counts come from the same scan of the intervals as the matching, as a table of one row
+    sizes = t.agg(F.count("*").alias("nt")).join(p.agg(F.count("*").alias("np")))
+    got = evaluate.challenge(matched.join(F.broadcast(sizes), how="right"), F.max("nt"), F.max("np"))
     return got.select(*(r6(c).alias(c) for c in ("ad", "rca", "major", "minor")), "tp", "fp", "fn")
 
 
@@ -706,10 +691,10 @@ def anchor_statuses(spark, sf_dir):
     return c.groupBy(status.alias("status")).agg(F.count("*").alias("events"))
 
 
-@query("""WITH c AS (SELECT DISTINCT c_custkey AS id FROM customer), o AS (SELECT DISTINCT o_custkey AS id FROM orders)
+@query("""WITH c AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey % 5 <> 0)
 SELECT id, 'right' AS missing_in FROM c WHERE id NOT IN (SELECT id FROM o) UNION ALL SELECT id, 'left' FROM o WHERE id NOT IN (SELECT id FROM c)""")
 def id_differences(spark, sf_dir):
-    return evaluate.id_differences(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+    return evaluate.id_differences(table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0"), table(spark, sf_dir, "orders").where("o_custkey % 5 <> 0"), "c_custkey", "o_custkey")
 
 
 @query("""SELECT o_orderkey, o_orderkey % 5 <> 0 AS core_valid, o_orderkey % 3 <> 1 AS rca_valid, o_orderkey % 7 <> 0 AS major_valid, o_orderkey % 7 = 1 AS sub_valid FROM orders""")
@@ -773,13 +758,13 @@ def recovery_start(spark, sf_dir):
 
 
 @query(f"""WITH {ENERGY}, {_POINTS},
-e AS (SELECT event_type AS event, min(hour) AS s, min(hour) + 30 AS t FROM ev GROUP BY 1),
+e AS (SELECT DISTINCT event_type || ':' || hour // 30 AS event, hour // 30 * 30 AS s, hour // 30 * 30 + 30 AS t FROM ev),
 pk AS (SELECT event, s, t, arg_max(minute, (energy, -minute)) AS peak_minute, max(energy) AS x FROM e JOIN energy ON minute >= s AND minute < t GROUP BY 1, 2, 3),
 n AS (SELECT event, count(*) AS points, list_sort(list(DISTINCT source)) AS sources FROM e JOIN pt ON hour >= s AND hour < t GROUP BY 1)
 SELECT pk.event AS event, s AS "start", t AS "end", peak_minute, round(least(1.0, x / 7.0 / 1.5), 6) AS confidence, points, sources FROM pk JOIN n ON pk.event = n.event""")
 def event_summary(spark, sf_dir):
-    e = events(spark, sf_dir)
-    spans = e.groupBy(F.col("event_type").alias("event")).agg(F.min("hour").alias("start"), (F.min("hour") + 30).alias("end"))
+    part = F.expr("hour div 30")
+    spans = events(spark, sf_dir).select(F.concat_ws(":", "event_type", part.cast("string")).alias("event"), (part * 30).alias("start"), (part * 30 + 30).alias("end")).distinct()
     points = evidence(spark, sf_dir).withColumn("minute", F.col("hour"))
     return event_ops.summarise(spans, points, minute_energy(spark, sf_dir)).withColumn("confidence", r6("confidence"))
 
@@ -809,14 +794,29 @@ def scale_floors(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", event_ops.scale_floor(metric).alias("floor"))
 
 
-@query(None)
+_TOKENS = ", ".join([f"('', {t!r}, '{s}', {f})" for t, s, f in P.METRIC_SIGNALS] + [f"('{a}', {t!r}, '{s}', {f})" for a, t, s, f in P.PAIRED_SIGNALS])
+_PROTOS = ", ".join(f"('{f}', '{s}', {w})" for f, p in P.PROTOTYPES.items() for s, w in p.items())
+_ORDER = ", ".join(f"('{t[0]}', {i})" for i, t in enumerate(dims.TAXONOMY))
+_LOW = "contains(x, 'bytes_rate') OR contains(x, 'packets_rate') OR contains(x, 'throughput') OR contains(x, 'bandwidth')"
+
+
+@query(f"""WITH pt AS (SELECT user_id, lower({FEATURE_LIST}[event_id % len({FEATURE_LIST}) + 1]) AS x, event_id % 2 = 0 AS low, least(1.0, value / 15) AS w FROM events),
+ru(first, tokens, signal, f) AS (VALUES {_TOKENS}),
+hits AS (SELECT user_id, signal, w * f AS w FROM pt JOIN ru ON contains(x, first) AND len(list_filter(tokens, lambda t: contains(x, t))) > 0
+  UNION ALL SELECT user_id, 'interface', w * 0.5 FROM pt WHERE x LIKE 'interface.%' UNION ALL SELECT user_id, 'service_error', w * 1.5 FROM pt WHERE low AND contains(x, 'success_ratio')
+  UNION ALL SELECT user_id, 'throughput_low', w * 1.3 FROM pt WHERE low AND ({_LOW})),
+sg AS (SELECT user_id, signal, sum(w) AS w FROM hits GROUP BY 1, 2), pr(fault, signal, v) AS (VALUES {_PROTOS}), tx(fault, ord) AS (VALUES {_ORDER}),
+nn AS (SELECT user_id, sqrt(sum(w * w)) AS n FROM sg GROUP BY 1), np AS (SELECT fault, sqrt(sum(v * v)) AS n FROM pr GROUP BY 1),
+dt AS (SELECT user_id, fault, sum(w * v) AS d FROM sg JOIN pr ON sg.signal = pr.signal GROUP BY 1, 2),
+sc AS (SELECT nn.user_id, tx.fault, ord, round(greatest(0, coalesce(d, 0) / (nn.n * np.n)), 6) AS score FROM nn, tx JOIN np ON tx.fault = np.fault LEFT JOIN dt ON dt.user_id = nn.user_id AND dt.fault = tx.fault),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ord) AS r FROM sc) SELECT user_id, CAST(r AS INTEGER) AS rank, fault, score FROM rk WHERE r <= 3""")
 def prototype_ranking(spark, sf_dir):
-    """The three best faults of every user's events, by prototype."""
+    """The three best faults of every user's events, by prototype; ties in the taxonomy's order."""
     e = table(spark, sf_dir, "events")
     e = e.withColumn("text", feature_names(e)).withColumn("source", F.split("text", r"\.")[0]).withColumn("direction", F.when(F.col("event_id") % 2 == 0, "low").otherwise("high"))
     found = event_ops.signals(e.withColumn("weight", F.least(F.lit(1.0), F.col("value") / 15)), ["user_id"])
     scored = event_ops.prototype_scores(spark, found, "user_id")
-    best = rank.top(scored.withColumn("score", r6("score")), ["user_id"], "score", ["fault"], 3)
+    best = classify.ranked(spark, scored.withColumn("score", r6("score")), ["user_id"], "score", 3, "fault")
     return best.select("user_id", "rank", "fault", "score")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +43,39 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
         raise ValueError(f"invalid predictions: {bad}")
     if predictions.groupBy("prediction_id").count().where("count > 1").limit(1).count():
         raise ValueError("prediction ids repeat")
-    predictions.select(F.to_json(F.struct(*(c.split(" ")[0] for c in ("prediction_id", "start_time", "end_time", "root_cause_top5", "fault_category")))).alias("value")).coalesce(1).write.text(path)
+    predictions.select(F.to_json(F.struct(*(c.split(" ")[0] for c in ("prediction_id", "start_time", "end_time", "root_cause_top5", "fault_category")))).alias("value")).write.text(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Write df as one JSON array of its rows to the file path, which appears whole or not at all.
+
+    For reports of bounded size; the rows are written beside the file and moved there at the end.
+    """
+    spark = df.sparkSession
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).coalesce(1).write.text(part)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(part)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    fs.delete(hadoop.Path(path), False)
+    if not fs.rename(made, hadoop.Path(path)):
+        raise OSError(f"could not move the report to {path}")
+    fs.delete(at, True)
+
+
+def read_config(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A public configuration, fault_taxonomy or network_elements, as a table; other names are an error."""
+    if name not in ("fault_taxonomy", "network_elements"):
+        raise ValueError(f"unknown public config: {name}")
+    text = spark.read.text(f"{path}/{name}.json", wholetext=True)
+    if name == "fault_taxonomy":
+        kind = "struct<fault_categories:array<struct<fault_name:string,major_category:string,sub_category:string>>>"
+        rows = text.select(F.posexplode(F.from_json("value", kind)["fault_categories"]).alias("ord", "c"))
+        return rows.select(F.col("c.fault_name").alias("fault_name"), F.col("c.major_category").alias("major"), F.col("c.sub_category").alias("sub"), "ord")
+    both = text.select(F.from_json("value", "struct<cities:array<string>,device_roles:array<string>>").alias("c"))
+    rows = both.select(F.posexplode("c.cities").alias("i", "city"), F.col("c.device_roles").alias("roles")).select("i", "city", F.posexplode("roles").alias("j", "role"), F.size("roles").alias("n"))
+    return rows.select(F.concat_ws("-", "city", "role").alias("node_id"), "city", "role", (F.col("i") * F.col("n") + F.col("j")).alias("node_idx"))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -202,13 +202,23 @@ def text_events(df: DataFrame) -> DataFrame:
         F.lit("frr").alias("source"),
         S.node_id(F.coalesce(F.nullif(F.trim(_column(df, "hostname")), F.lit("")), _column(df, "node")), city).alias("node_id"),
         F.lower(F.coalesce(F.nullif(F.trim(_column(df, "severity")), F.lit("")), F.lit("unknown"))).alias("severity"),
-        F.lower(F.trim(F.coalesce(_column(df, "program"), F.lit("")))).alias("program"),
+        F.lower(F.coalesce(F.nullif(F.trim(_column(df, "program")), F.lit("")), F.lit("frr"))).alias("program"),
         S.event_family(_column(df, "program"), _column(df, "message")).alias("event_family"),
         message.alias("message"),
         "file",
     ).where("ts is not null")
 
 
+def scrape_errors(df: DataFrame) -> DataFrame:
+    """Text events (as text_events) of the scrape rows that carry an error."""
+    error = F.trim(_column(df, "scrape_error"))
+    rows = df.where(F.coalesce(~F.lower(error).isin(S.NULL_TOKENS) & (error != ""), F.lit(False)))
+    return rows.select(
+        _time(df, "scrape").alias("ts"), F.lit("scrape").alias("source"), _node(df, S.city_of_path(F.col("file"))).alias("node_id"), F.lit("error").alias("severity"),
+        F.coalesce(F.nullif(F.trim(_column(df, "exporter_type")), F.lit("")), F.lit("exporter")).alias("program"), F.lit("scrape_error").alias("event_family"), error.alias("message"), "file",
+    ).where("ts is not null and node_id is not null")
+
+
 def log_counts(events: DataFrame) -> DataFrame:
     """Observations frr.event_count: lines a minute, node, severity, program and family."""
     by = [F.date_trunc("minute", "ts").alias("ts"), "node_id", "severity", "program", "event_family"]

@@ -19,43 +19,57 @@ def decode(spark, p, **kw):
     return sorted((r["start"], r["end"] - 1) for r in got)
 
 
-def series(n, *parts):
-    p = [0.05] * n
-    for a, b, v in parts:
-        p[a:b] = [v] * (b - a)
-    return p
-
-
-@pytest.mark.parametrize(
-    "p, kw, want",
-    [
-        (series(30, (8, 16, 0.92)), {}, [(8, 15)]),
-        (series(20, (4, 5, 0.70), (12, 13, 0.99)), {}, [(12, 12)]),
-        (series(40, (4, 9, 0.98), (14, 19, 0.97)), {"close_penalty": 0.04}, [(4, 8), (14, 18)]),
-        (series(40, (8, 13, 0.95), (13, 18, 0.45)), {}, [(8, 12)]),
-        (series(45, (5, 35, 0.95)), {}, [(5, 34)]),
-        (series(12, (10, 12, 0.95)), {}, [(10, 11)]),
-        ([0.95, 0.95, 0.05], {}, [(0, 1)]),
-        (series(30), {}, []),
-    ],
-)
-def test_decoder(spark, p, kw, want):
-    assert decode(spark, p, **kw) == want
-
-
-def test_decoder_longest(spark):
-    got = decode(spark, series(60, (5, 45, 0.95)))
-    assert len(got) == 1 and got[0][1] - got[0][0] + 1 == 30
+def best_total(offered, gap, fee):
+    """The largest total over all sets of intervals that do not overlap, by trying every one of them."""
+    offered = sorted(offered)
+
+    def go(at, end):
+        top = 0.0
+        for i in range(at, len(offered)):
+            s, e, v = offered[i]
+            if end is not None and s <= end:
+                continue
+            free = gap if end is None else min(gap, s - end - 1)
+            top = max(top, v - fee * (gap - free) / gap + go(i + 1, e))
+        return top
+
+    return go(0, None)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_decoder_takes_the_best_set(spark, seed):
+    rng = random.Random(seed)
+    p = []
+    while len(p) < 70:
+        p += [rng.choice([0.02, 0.1, 0.3, 0.5, 0.7, 0.85, 0.93, 0.99])] * rng.randint(1, 6)
+    d = segment.Decoder(longest=5, gap=6, close_penalty=rng.choice([0.05, 0.3, 0.6]))
+    rows = [("a", i, v, rng.choice([None, 0.0, 0.5, 1.0])) for i, v in enumerate(p)]
+    df = spark.createDataFrame(rows, "g string, i long, p double, support double")
+    offered = [(r["start"], r["end"], r["score"]) for r in segment.candidates(df, ["g"], d).collect()]
+    value = {(s, e): v for s, e, v in offered}
+    got = sorted((r["start"], r["end"] - 1) for r in segment.decode(df, ["g"], d).collect())
+    assert all(a[1] < b[0] for a, b in itertools.pairwise(got))
+    total, last = 0.0, None
+    for s, e in got:
+        free = d.gap if last is None else min(d.gap, s - last - 1)
+        total += value[s, e] - d.close_penalty * (d.gap - free) / d.gap
+        last = e
+    assert offered and total == pytest.approx(best_total(offered, d.gap, d.close_penalty))
+
+
+def test_decoder_without_candidates_and_at_the_ends(spark):
+    assert decode(spark, [0.1, 0.2] * 12) == []
+    assert decode(spark, [0.97, 0.97, 0.1] + [0.1] * 60 + [0.1, 0.96, 0.96]) == [(0, 1), (64, 65)]
 
 
 def test_hysteresis_and_split(spark):
-    rows = [("a", m, 8.0) for m in (4, 5, 7, 8, 35, 36, 37)] + [("b", 1, 4.0), ("b", 2, 6.9)]
+    rows = [("a", m, 7.5) for m in (11, 12, 14, 52, 54, 55)] + [("b", 1, 4.0), ("b", 2, 6.9)]
     df = spark.createDataFrame(rows, "g string, m long, e double")
     got = segment.hysteresis(df, ["g"], "m", "e")
-    assert sorted((r["start"], r["end"]) for r in got.collect()) == [(4, 9), (35, 38)]
-    long = spark.createDataFrame([("a", m, 3.0 if m == 15 else 9.0) for m in range(31)], "g string, m long, e double")
+    assert sorted((r["start"], r["end"]) for r in got.collect()) == [(11, 15), (52, 56)]
+    long = spark.createDataFrame([("a", m, 3.5 if m in (22, 40) else 8.0) for m in range(5, 60)] + [("b", 3, 9.0)], "g string, m long, e double")
     win = segment.hysteresis(long, ["g"], "m", "e").drop("peak")
-    assert sorted(tuple(r)[1:] for r in segment.split_long(win, long, ["g"], "m", "e").collect()) == [(0, 15), (15, 31)]
+    assert sorted(tuple(r) for r in segment.split_long(win, long, ["g"], "m", "e").collect()) == [("a", 5, 22), ("a", 22, 40), ("a", 40, 60), ("b", 3, 4)]
 
 
 def test_direct_strengths(spark):

@@ -15,8 +15,8 @@ NODE = """timestamp,region,node,node_type,cpu_usage,memory_available_ratio,proce
 not a time,r,br-1,br,1,1,1
 """
 TRAFFIC = """timestamp_utc,series_key,flow_type,source_region,target_region,target_domain,protocol,web_flow_requests_total,web_flow_success_total,web_flow_error_total,web_flow_latency_p95_seconds,dns_flow_requests_total
-2026-07-28 12:00:00,a,web,xian,shanghai,w,http,100,95,5,0.02,7
-2026-07-28 12:01:00,a,web,xian,shanghai,w,http,130,120,10,1.50,9
+2026-07-28 12:00:00,a,web,xian,shanghai,w,http,240,231,9,0.02,7
+2026-07-28 12:01:00,a,web,xian,shanghai,w,http,302,281,21,1.50,9
 2026-07-28 12:02:00,a,web,xian,shanghai,w,http,5,4,1,0.03,9
 2026-07-28 12:02:00,a,,xian,shanghai,w,http,5,4,1,0.03,9
 """
@@ -63,9 +63,9 @@ def test_dense(seen):
 
 def test_traffic(seen):
     got = values(seen[0], "traffic")
-    assert got[("traffic.web.requests_rate", 1)] == 30
-    assert got[("traffic.web.success_ratio", 1)] == pytest.approx(25 / 30)
-    assert got[("traffic.web.error_ratio", 1)] == pytest.approx(5 / 30)
+    assert got[("traffic.web.requests_rate", 1)] == 62
+    assert got[("traffic.web.success_ratio", 1)] == pytest.approx(50 / 62)
+    assert got[("traffic.web.error_ratio", 1)] == pytest.approx(12 / 62)
     assert got[("traffic.web.requests_rate", 2)] == 5 and got[("traffic.web.counter_reset", 2)] == 1
     assert ("traffic.web.requests_rate", 0) not in got and not any("dns" in k[0] for k in got)
     related = seen[0].where("source = 'traffic'").first()["related_node_ids"]
