@@ -32,9 +32,9 @@ from faultsift.llm.common import bitmap, in_bitmap, staged, text_batches
 
 WINDOW = 13
 #: Words that a task holds at once; a longer text is held whole.
-TASK_WORDS = 1_200_000
+TASK_WORDS = 500_000
 #: Windows of a reference block, on average.
-BLOCK_WINDOWS = 600_000
+BLOCK_WINDOWS = 500_000
 #: Windows of a reference document whose proofs travel together.
 SEGMENT = 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
