@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 #: Characters in a block.
 BLOCK_UNITS = 100_000
 #: Rows that are ordered together, on average.
-BUCKET_ROWS = 1024
+BUCKET_ROWS = 128
+#: An id with more rows than this many buckets, and than this share of all rows, is ordered in parts.
+HOT_ROWS, HOT_SHARE = 4, 1e-4
+#: Buckets whose sizes are summed up together, before the sums of these groups are.
+GROUP = 1024
 #: The stream of all sources that the weights do not name.
 REST = "*"
 
@@ -76,15 +80,18 @@ def mix(
     Every row stays; slot and at give the order. A row counts its text's characters, one at least,
     and belongs to the block in which it starts, so a row longer than a block leaves slots empty.
     Sources without a weight, null among them, share the stream "*"; its weight is 1 if not given.
-    Rows with equal ids are ordered by their text's length and hash; equal rows, null ids included,
-    follow each other. An empty table gives an empty result.
+    Rows come in the order of a hash of their ids; rows with equal ids are ordered by their text's length
+    and hash, and equal rows, null ids included, follow each other. An id of more rows than HOT_ROWS
+    buckets and HOT_SHARE of the table comes at the end of its bucket, in parts by the hash of the text, each ordered on its
+    own. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     weights = dict(weights) if REST in weights else {**weights, REST: 1}
     period = sum(weights.values())
     p = lambda c: prefix + c
     named = [s for s in weights if s != REST]
-    buckets = max(1, math.ceil(docs.count() / bucket_rows))
+    total = docs.count()
+    buckets = max(1, math.ceil(total / bucket_rows))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.select(
         "*",
@@ -96,17 +103,29 @@ def mix(
         p("bucket"),
         F.expr(f"cast(conv(substr(`{p('key')}`, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296").cast("int"),
     )
-    part = rows.groupBy(p("stream"), p("bucket")).agg(F.sum(p("units")).alias(p("n")))
-    earlier = W.partitionBy(p("stream")).orderBy(p("bucket")).rowsBetween(W.unboundedPreceding, -1)
-    offsets = part.select(
-        F.col(p("stream")).alias(p("s")),
-        F.col(p("bucket")).alias(p("b")),
-        F.coalesce(F.sum(p("n")).over(earlier), F.lit(0).cast("long")).alias(p("offset")),
+    # 1 / HOT_SHARE ids at most; of an id's rows, hot is its key and part a share by the text's hash, if it has so many
+    most = max(HOT_ROWS * bucket_rows, math.ceil(HOT_SHARE * total))
+    many = docs.groupBy(F.col(id_col).alias(p("hot_id"))).agg(F.count("*").alias(p("rows"))).where(F.col(p("rows")) > most)
+    rows = rows.join(F.broadcast(many), F.col(id_col).eqNullSafe(F.col(p("hot_id"))) & F.col(p("rows")).isNotNull(), "left")
+    is_hot = F.col(p("rows")).isNotNull()
+    rows = rows.withColumn(p("hot"), F.when(is_hot, F.col(p("key"))).otherwise("")).withColumn(
+        p("part"), F.when(is_hot, F.pmod(F.col(p("hash")), F.ceil(F.col(p("rows")) / bucket_rows))).otherwise(F.lit(0).cast("long"))
     )
+    place = ["bucket", "hot", "part"]
+    part = rows.groupBy(p("stream"), *map(p, place)).agg(F.sum(p("units")).alias(p("n"))).withColumn(p("group"), F.expr(f"`{p('bucket')}` div {GROUP}"))
+    groups = part.groupBy(F.col(p("stream")).alias(p("gs")), F.col(p("group")).alias(p("gg"))).agg(F.sum(p("n")).alias(p("gn")))
+    before = lambda c, w: F.coalesce(F.sum(p(c)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    groups = groups.select(p("gs"), p("gg"), before("gn", W.partitionBy(p("gs")).orderBy(p("gg"))).alias(p("g_offset")))
+    near = before("n", W.partitionBy(p("stream"), p("group")).orderBy(*map(p, place)))
+    part = part.withColumn(p("offset"), near).join(groups, (F.col(p("stream")) == F.col(p("gs"))) & (F.col(p("group")) == F.col(p("gg"))))
+    offsets = part.select(*(F.col(p(c)).alias(p(f"o_{c}")) for c in ("stream", *place)), (F.col(p("offset")) + F.col(p("g_offset"))).alias(p("offset")))
     order = [p("key"), F.col(id_col), p("units"), p("hash")]
-    inside = W.partitionBy(p("stream"), p("bucket")).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(p("stream"), *map(p, place)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn(p("before"), F.sum(p("units")).over(inside) - F.col(p("units")))
-    rows = rows.join(offsets, (F.col(p("stream")) == F.col(p("s"))) & (F.col(p("bucket")) == F.col(p("b"))))
+    same = F.lit(True)
+    for c in ("stream", *place):
+        same = same & (F.col(p(c)) == F.col(p(f"o_{c}")))
+    rows = rows.join(offsets, same)
     start = F.col(p("offset")) + F.col(p("before"))
     rows = rows.withColumn(p("block"), F.floor(start / block_units)).withColumn(p("at"), start % block_units)
     # P rows, from the weights alone

@@ -60,3 +60,17 @@ def test_mix_empty_and_bad_weights(spark):
     assert mixing.mix(docs(spark).limit(0), WEIGHTS).count() == 0
     with pytest.raises(ValueError):
         mixing.schedule(spark, {"a": 0})
+
+
+def test_rows_of_one_id_spread(spark):
+    rows = [(None if i % 3 else i, "a" if i % 2 else "z", f"text {i}") for i in range(3000)] + [(9, "a", "t")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df, WEIGHTS, block_units=1000, bucket_rows=32).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, t) for i, _, t in rows)
+    for s in ("a", "*"):
+        at = 0
+        for b, p, u in sorted((r["mix_block"], r["mix_at"], r["mix_units"]) for r in got if r["mix_stream"] == s):
+            assert b * 1000 + p == at
+            at += u
+    plan = mixing.mix(df, WEIGHTS, bucket_rows=32)._jdf.queryExecution().toString()
+    assert "mix_part" in plan and not any(k in plan for k in ("Python", "Arrow"))
