@@ -105,6 +105,16 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, share: float = 1e-4) -> DataFrame:
+    """rows inner-joined with table (key unique, weight: how many rows a key has).
+
+    Keys with that share of all rows meet their rows in a broadcast table of 1 / share rows at most; so no task gets all rows of one.
+    """
+    is_hot = F.col(weight) >= max(2, int(share * total))
+    hot, cold = F.broadcast(table.where(is_hot).drop(weight)), table.where(~is_hot).drop(weight)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def text_of(name: str = "text"):
     """The column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -23,6 +23,8 @@ LANGUAGES = ("de", "en", "es", "fr")
 #: Labelled texts that the trigram model is fitted on, about.
 FIT_ROWS = 4000
 BUCKETS = 1 << 16
+#: Share of each language's probability that all buckets have in common, seen or not: the same for all languages.
+UNSEEN = 0.01
 #: Text evidence counts as that of so many independent trigrams at most: neighbouring ones repeat each other.
 MOST_TRIGRAMS = 40.0
 #: Rows of a host or domain that weigh as much as the prior above it.
@@ -66,9 +68,11 @@ def fit(docs: DataFrame, text: str, declared: str, languages: Sequence[str] = LA
     kind = T.ArrayType(T.StructType([T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType())]))
     counted = with_arrow(sample, ["text"], [T.StructField("grams", kind)], count, ["label"])
     table = counted.select("label", F.inline("grams")).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.full((len(languages), BUCKETS), 0.5)
+    counts = np.zeros((len(languages), BUCKETS))
     counts[[list(languages).index(x) for x in table["label"]], table["bucket"].to_numpy(int)] += table["n"].to_numpy(float)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    total = counts.sum(axis=1, keepdims=True)
+    share = np.divide(counts, total, out=np.full_like(counts, 1 / BUCKETS), where=total > 0)
+    return np.log((1 - UNSEEN) * share + UNSEEN / BUCKETS)
 
 
 def _softmax(scores: Column) -> Column:
@@ -104,7 +108,8 @@ def identify(
     declared is the column of declared languages; the sample that fits the trigram model takes its
     labels from it unless a model is given. host and suffix are columns of the address. Missing evidence (null) counts
     as none. A row without letters is judged by the rest of its evidence but not accepted, nor is one
-    whose confidence is below LEAST_CONFIDENCE. Ties go to the language named first. Repeated rows
+    whose confidence is below LEAST_CONFIDENCE, nor one whose text no language explains better than
+    trigrams drawn at random do. Ties go to the language named first. Repeated rows
     count as often as they occur; an empty table gives an empty result.
     """
     spark, n = docs.sparkSession, len(languages)
@@ -122,15 +127,16 @@ def identify(
     shared = spark.sparkContext.broadcast(model.astype(np.float32))  # languages x buckets
 
     def likelihood(batch: pa.RecordBatch) -> list[pa.Array]:
-        table, scores, sizes = shared.value, [], []
+        table, scores, sizes, known = shared.value, [], [], []
         for t in batch.column("_text"):
             codes = trigrams(t.as_py())
             sizes.append(len(codes))
             mean = table[:, codes].mean(axis=1, dtype=np.float64) if len(codes) else np.zeros(n)
             scores.append((mean * min(len(codes), MOST_TRIGRAMS)).tolist())
-        return [pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, pa.int64())]
+            known.append(bool(len(codes)) and float(mean.max()) > -np.log(BUCKETS))
+        return [pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, pa.int64()), pa.array(known, pa.bool_())]
 
-    fields = [T.StructField("_score", T.ArrayType(T.DoubleType())), T.StructField("_n", T.LongType())]
+    fields = [T.StructField("_score", T.ArrayType(T.DoubleType())), T.StructField("_n", T.LongType()), T.StructField("_known", T.BooleanType())]
     told = with_arrow(rows, ["_text"], fields, likelihood, [*kept, "_declared", "_host", "_suffix"])
     told = staged(told.withColumn("_domain", _domain(F.col("_host"))), "langid")
     seen = told.select("_declared", "_host", "_domain", "_suffix", _softmax(F.col("_score")).alias("posterior"))
@@ -147,37 +153,38 @@ def identify(
     )
     hosts = _sums(seen.where("_host is not null"), ["_host", "_domain"], n)
     hosts = hosts.join(domains, F.col("_domain") == F.col("d"), "left").select(
-        F.col("_host").alias("h"),
-        smoothed(F.col("sums"), F.col("n"), F.coalesce("of_domain", shares)).alias("of_host"),
+        F.col("_host").alias("_of_h"),
+        smoothed(F.col("sums"), F.col("n"), F.coalesce("of_domain", shares)).alias("_of_host"),
     )
 
     def evidence(column: str, alias: str) -> DataFrame:
         """log P(value | language) up to a constant for each language: Bayes' rule on the sums, smoothed."""
         of = _sums(seen.where(F.col(column).isNotNull()), [column], n)
         return of.select(
-            F.col(column).alias(f"k{column}"),
+            F.col(column).alias(f"_k{column}"),
             F.zip_with(F.col("sums"), shares, lambda s, a: F.log((s + a) / (F.col("n") + 1.0) / a)).alias(alias),
         )
 
     hosts, by_declared, by_suffix = (
         staged(hosts, "langid-hosts"),
-        staged(evidence("_declared", "e_declared"), "langid-declared"),
-        staged(evidence("_suffix", "e_suffix"), "langid-suffix"),
+        staged(evidence("_declared", "_e_declared"), "langid-declared"),
+        staged(evidence("_suffix", "_e_suffix"), "langid-suffix"),
     )
     joined = (
-        told.join(hosts, F.col("_host") == F.col("h"), "left")
-        .join(by_declared, F.col("_declared") == F.col("k_declared"), "left")
-        .join(by_suffix, F.col("_suffix") == F.col("k_suffix"), "left")
+        # rows without a host meet none, and not all in one task
+        told.join(hosts, F.coalesce("_host", F.concat(F.lit("\n"), F.xxhash64("_score").cast("string"))) == F.col("_of_h"), "left")
+        .join(by_declared, F.col("_declared") == F.col("_k_declared"), "left")
+        .join(by_suffix, F.col("_suffix") == F.col("_k_suffix"), "left")
     )
     none = F.array(*[F.lit(0.0)] * n)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    prior = F.transform(F.coalesce("of_host", shares), lambda p: F.log(p))
-    fused = add(add(F.col("_score"), prior), add(F.coalesce("e_declared", none), F.coalesce("e_suffix", none)))
+    prior = F.transform(F.coalesce("_of_host", shares), lambda p: F.log(p))
+    fused = add(add(F.col("_score"), prior), add(F.coalesce("_e_declared", none), F.coalesce("_e_suffix", none)))
     out = joined.withColumn("_posterior", _softmax(fused)).withColumn("confidence", F.array_max("_posterior"))
     return out.select(
         *(F.col(c) for c in kept if c not in ("language", "confidence", "text_language", "accepted")),
         F.element_at(names, F.array_position("_posterior", F.col("confidence")).cast("int")).alias("language"),
         "confidence",
         F.when(F.col("_n") > 0, F.element_at(names, F.array_position("_score", F.array_max("_score")).cast("int"))).alias("text_language"),
-        ((F.col("_n") > 0) & (F.col("confidence") >= LEAST_CONFIDENCE)).alias("accepted"),
+        (F.col("_known") & (F.col("confidence") >= LEAST_CONFIDENCE)).alias("accepted"),
     )

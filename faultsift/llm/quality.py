@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence, in DataFrame functions alone.
 
 A document's histogram of character classes and its histogram of its language's common words are
-compared with those of all documents of that language, by the Jensen-Shannon distance (the root of
+compared with those of all documents of that language that pass the base rules, by the Jensen-Shannon distance (the root of
 the divergence to base 2, from 0 to 1). Short documents are not judged: their histograms are noise.
 """
 
@@ -130,21 +130,21 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", language:
 
     A null text has no words and fails. A language that is null or has no common words listed shares
     one reference, and is compared by character classes only. Distances of documents too short to
-    compare are null and count as passed. The references are the sums over all documents of a
-    language, those that fail the base rules included; an empty table gives an empty result.
+    compare are null and count as passed, as are those of a language without a reference. The references are
+    the sums over all documents of a language that pass the base rules; an empty table gives an empty result.
     """
     kept = [id_col] if keep is None else keep
     t = staged(features(docs, id_col, text, language, kept), "quality")
     n, m = 6, len(next(iter(COMMON.values()))) + 1
-    sums = t.groupBy("_lang").agg(
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    sums = t.where(~failed).groupBy("_lang").agg(
         F.array(*(F.sum(F.col("_classes")[i]) for i in range(n))).alias("_all_classes"),
         F.array(*(F.sum(F.col("_histogram")[i]) for i in range(m))).alias("_all_histogram"),
     )
     # one row for each listed language and one for the rest
-    t = t.join(F.broadcast(sums), "_lang")
+    t = t.join(F.broadcast(sums), "_lang", "left")
     char = F.when(F.col("_chars") >= LEAST_CHARS, js_distance(F.col("_classes"), F.col("_all_classes")))
     word = F.when((F.col("_lang") != "*") & (F.col("n_words") >= LEAST_COMPARED_WORDS), js_distance(F.col("_histogram"), F.col("_all_histogram")))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     t = t.withColumn("char_distance", char).withColumn("word_distance", word).withColumn("base_failed", failed)
     fits = (F.coalesce("char_distance", F.lit(0.0)) <= MOST_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORD_DISTANCE)
     return t.select(

@@ -174,11 +174,12 @@ c AS (SELECT *, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w
 f AS (SELECT doc_id, l, n_words, word_chars, chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   [greatest(0, word_chars - upper - digits - points - n_symbols), upper, digits, points, n_symbols, chars - word_chars] AS classes,
   list_append(found, greatest(0, n_words - list_sum(found))) AS hist FROM c),
-ref AS (SELECT l, [{", ".join(f"sum(classes[{i}])" for i in range(1, 7))}] AS rc, [{", ".join(f"sum(hist[{i}])" for i in range(1, 14))}] AS rh FROM f GROUP BY 1),
-{_js("cd", "classes", "rc")}, {_js("wd", "hist", "rh")},
 g AS (SELECT doc_id, unnest(range(len(w) - 2)) AS i, w FROM d WHERE len(w) >= 3),
 k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i + 1], w[i + 2], w[i + 3]) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS j FROM k WHERE n > 1) AS u GROUP BY 1),
+ref AS (SELECT l, [{", ".join(f"sum(classes[{i}])" for i in range(1, 7))}] AS rc, [{", ".join(f"sum(hist[{i}])" for i in range(1, 14))}] AS rh FROM f LEFT JOIN r ON f.doc_id = r.doc_id
+  WHERE n_words >= {quality.LEAST_WORDS} AND 100 * coalesce(r.n, 0) <= {quality.MOST_REPEATED} * n_words GROUP BY 1),
+{_js("cd", "classes", "rc")}, {_js("wd", "hist", "rh")},
 o AS (SELECT f.*, coalesce(r.n, 0) AS n_repeat_words, CASE WHEN chars >= {quality.LEAST_CHARS} THEN cd.d END AS cdist,
   CASE WHEN l <> '*' AND n_words >= {quality.LEAST_COMPARED_WORDS} THEN wd.d END AS wdist
   FROM f LEFT JOIN r ON f.doc_id = r.doc_id LEFT JOIN cd ON f.doc_id = cd.doc_id LEFT JOIN wd ON f.doc_id = wd.doc_id),

@@ -7,7 +7,6 @@ left out (a wildcard); fingerprints that share an index key are compared in full
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.common import Scratch, staged, with_arrow
+from faultsift.llm.common import Scratch, join_skewed, staged, with_arrow
 from faultsift.llm.components import components
 
 SEED = 42
@@ -162,7 +161,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     # fingerprints of many rows meet their component in a broadcast table of 1 / HOT_SHARE rows at most
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     scratch.clear()
-    is_hot = F.col("n") >= max(2, math.ceil(HOT_SHARE * total))
-    hot, cold = F.broadcast(known.where(is_hot).drop("n")), known.where(~is_hot).drop("n")
-    out = hashed.join(hot, "fp").unionByName(hashed.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
-    return out.select("id", "fp", "component_id")
+    return join_skewed(hashed, known, "fp", "n", total, HOT_SHARE).select("id", "fp", "component_id")

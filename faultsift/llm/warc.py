@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.common import staged
+from faultsift.llm.common import join_skewed, staged
 
 #: Payloads of fewer bytes are always stored.
 MIN_BYTES = 1000
-RECORDS_PER_FILE = 2000
+#: Bytes of records in a file, about: so many records of the mean size.
+FILE_BYTES = 64_000_000
+#: Bytes that are decompressed at a time.
+PIECE = 1 << 20
 #: Fixed value: the profile of revisits that repeat a payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "<urn:page:"
@@ -45,8 +48,9 @@ def plan_revisits(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """
     large = headers.where(F.col("n_bytes") >= min_bytes)
     kept = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    total = headers.count()
     return (
-        large.join(kept.select("digest", "refers_to"), "digest")
+        join_skewed(large.select("page_id", "digest"), kept, "digest", "n", total)
         .where("page_id < refers_to")
         .select("page_id", "digest", "refers_to")
         .distinct()
@@ -105,33 +109,60 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, deduplicate:
         F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"),
         F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("n_bytes"),
     )
-    headers = staged(headers if deduplicate else headers.limit(0), "warc-headers")
-    revisits = plan_revisits(headers, min_bytes)
+    headers_all = staged(headers, "warc-headers")
+    revisits = plan_revisits(headers_all if deduplicate else headers_all.limit(0), min_bytes)
     writer = records(pages, revisits).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    mean = headers_all.agg(F.avg("n_bytes")).first()[0] or 0
+    writer.option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 600)))).text(path)
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """The archive's bytes, decompressed a piece at a time; any number of gzip members."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    rest = data
+    while rest:
+        member = zlib.decompressobj(31)
+        while rest and not member.eof:
+            made = member.decompress(rest, PIECE)
+            rest = member.unconsumed_tail or (b"" if not member.eof else rest)
+            if made:
+                yield made
+            elif not member.eof and not rest:
+                break
+        rest = member.unused_data.lstrip(b"\0") if member.eof else b""
 
 
 def parse(data: bytes) -> Iterator[tuple]:
-    """The records of an archive, compressed or not, in RECORD's order."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            member = zlib.decompressobj(31)
-            parts += [member.decompress(data), member.flush()]
-            data = member.unused_data.lstrip(b"\0")
-        data = b"".join(parts)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
+    """The records of an archive, compressed or not, in RECORD's order; it holds no more than a record at once."""
+    held, pieces, ended = bytearray(), _pieces(data), False
+
+    def more() -> bool:
+        nonlocal ended
+        piece = next(pieces, None)
+        ended = piece is None
+        held.extend(piece or b"")
+        return not ended
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0 and more():
+            pass
+        if at < 0:
+            return
+        while (end := held.find(b"\r\n\r\n", at)) < 0 and more():
+            pass
         if end < 0:
             return
         head = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
+        for line in bytes(held[at:end]).split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
-        start = end + 4
-        at = start + int(head.get(b"content-length", "0"))
-        block = data[start:at]
+        start, size = end + 4, int(head.get(b"content-length", "0"))
+        while len(held) < start + size and more():
+            pass
+        block = bytes(held[start : start + size])
+        del held[: start + size]
         if head.get(b"content-type", "").startswith("application/http"):
             block = block.partition(b"\r\n\r\n")[2]
         digest = head.get(b"warc-payload-digest")

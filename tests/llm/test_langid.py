@@ -46,3 +46,19 @@ def test_edge_cases(spark):
     got = langid.identify(df.union(df).union(nulls), host=F.col("host"), languages=LANGS)
     assert got.count() == 90 and got.where("accepted").count() == 60 and got.where("language is null").count() == 0
     assert langid.identify(df.limit(0), languages=LANGS).count() == 0
+
+
+def test_texts_of_no_language_are_rejected(spark):
+    df = docs(spark)
+    strange = ["Это предложение написано совсем на другом языке", "这是用另一种语言写的一个句子 没有人会读它", "xkcdq zzvbn wqrtp kjhgf bvcxz lkjhg", "φράση σε άλλη γλώσσα εδώ"]
+    extra = spark.createDataFrame([(1000 + i, t, None, "de", "www.de.example.com") for i, t in enumerate(strange)], df.schema)
+    got = langid.identify(df.union(extra), host=F.col("host"), languages=LANGS)
+    assert got.where("doc_id >= 1000 and accepted").count() == 0
+    assert got.where("doc_id < 1000 and not accepted").count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["h", "of_host", "e_declared", "k_declared", "d", "n", "posterior", "_domain"]
+    df = docs(spark, 30).withColumns({c: F.lit(1) for c in names})
+    got = langid.identify(df, host=F.col("host"), languages=LANGS, keep=["doc_id", *names[:-1]])
+    assert got.count() == 30 and set(names[:-1]) <= set(got.columns)

@@ -55,3 +55,19 @@ def test_plain_and_multi_member_archives():
 def test_empty(spark, tmp_path):
     warc.write(pages(spark).limit(0), str(tmp_path / "w"))
     assert warc.read(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_long_archives_are_read_piece_by_piece():
+    record = lambda n: b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % n + bytes(i % 251 for i in range(n)) + b"\r\n\r\n"
+    sizes = [0, 5, 3_000_000, 1, 2_500_000]
+    whole = b"".join(map(record, sizes))
+    members = b"".join(gzip.compress(record(n)) for n in sizes)
+    for data in (whole, gzip.compress(whole), members, members + b"\0\0"):
+        assert [len(r[5]) for r in warc.parse(data)] == sizes
+    assert [len(r[5]) for r in warc.parse(gzip.compress(whole)[:-20])][:4] == sizes[:4]
+
+
+def test_one_payload_of_many_pages(spark):
+    headers = spark.createDataFrame([(i, "same", 5000) for i in range(2000)] + [(i, f"d{i}", 5000) for i in range(2000, 2100)] + [(3000, "d2000", 5000)], "page_id long, digest string, n_bytes long")
+    got = {r["page_id"]: r["refers_to"] for r in warc.plan_revisits(headers).collect()}
+    assert got == {**{i: 1999 for i in range(1999)}, 2000: 3000}
