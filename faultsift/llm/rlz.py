@@ -69,7 +69,7 @@ def window_hashes(words: list[bytes], n: int, bits: int = 64, second: bool = Fal
 
 def _planes(a: np.ndarray) -> bytes:
     """The array's bytes by place value, each place compressed on its own: the high ones of small numbers vanish."""
-    raw = a.view(np.uint8).reshape(len(a), -1)
+    raw = a.view(np.uint8).reshape(len(a), a.itemsize)
     parts = [zstandard.compress(raw[:, i].tobytes(), 1) for i in range(raw.shape[1])]
     return b"".join([len(x).to_bytes(4, "little") for x in parts] + parts)
 

@@ -2,11 +2,16 @@
 
 The model reads a text as the bytes of its lower-cased words, one space between them, and an end
 mark. A context (a suffix of what came before) becomes a state if it is frequent enough and if its
-next-byte distribution diverges from that of the next shorter context; with a context, all shorter
-ones stay. Each state's distribution is smoothed with that of its parent. A text is scored by always
-taking the longest suffix that is a state. Counts are gathered from all training texts by grouped
-aggregation. A context needs an absolute count, so the states grow with the corpus; they stay a Spark
-table. Texts are scored in batches, each against the states that its own contexts are joined with.
+next-byte distribution diverges from that of the next shorter context by more than chance would. Each
+state's distribution is smoothed with that of the longest state among its own suffixes. A text is
+scored by always taking the longest suffix that is a state. A context needs an absolute count, so the
+states grow with the corpus; they stay in Spark.
+
+A context and its next byte are one number, the newest byte of the context highest, so that all
+contexts that share a suffix are neighbours in order. Tasks send the numbers that they have counted,
+sorted and packed, to blocks, which are ranges of numbers. A block holds whole the contexts within its
+range; the few that reach over its ends are summed up over blocks first. Texts are scored in batches:
+each asks the blocks for the states that it meets, packed in the same way.
 """
 
 from __future__ import annotations
@@ -16,30 +21,31 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.common import TEXT_BATCH_ROWS, staged, text_batches, text_of
+from faultsift.llm.common import TEXT_BATCH_ROWS, Scratch, bitmap, in_bitmap, staged, text_batches, text_of, with_arrow
+from faultsift.llm.rlz import _packed, _unpacked
 
-#: The longest context, in bytes: with the next byte it fills a 64-bit code.
+#: The longest context, in bytes: with the next byte it fills a 64-bit number.
 DEPTH = 7
 #: A context needs this many training positions, whatever the corpus.
 LEAST_COUNT = 64
-#: And this divergence (nats a symbol) of its next-byte distribution from that of the next shorter one.
+#: And this divergence (nats a symbol) of its next-byte distribution from that of the next shorter one, beyond what chance gives.
 LEAST_DIVERGENCE = 0.01
 #: Words with this share of the training tokens are counted in a broadcast table of 1 / share words at most.
 HEAVY_SHARE = 2e-6
 END = 10
-#: Bytes in a segment that is scored in lockstep with others.
-SEGMENT = 512
+#: Bytes of text that are counted at a time, and different numbers that a task holds before it sends them.
+PIECE_BYTES, HELD = 1_500_000, 3_000_000
+#: Training bytes that a block counts, on average, and numbers that are sampled for the blocks' limits.
+BLOCK_BYTES, SAMPLED = 12_000_000, 200_000
 #: Bytes of text that are scored against one slice of the states.
-BATCH_BYTES = 8_000_000
-#: Bits of the filter (a power of two) that spares lookups of contexts that are no states; a false hit only costs a lookup.
-FILTER_BITS = 1 << 26
+BATCH_BYTES = 16_000_000
+_BYTE = np.uint64(8)
 
 
 def normal(text: str | None) -> list[bytes]:
@@ -47,236 +53,341 @@ def normal(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").lower().split()
 
 
-def _codes(text: bytes, depth: int) -> np.ndarray:
-    """A code of each (context, next byte) of depth + 1 bytes; the text begins after an end mark, and ends with one."""
-    raw = np.frombuffer(b"\0" * (depth - 1) + bytes([END]) + text, np.uint8)
-    codes = np.zeros(len(text), np.uint64)
-    for i in range(depth + 1):
-        codes <<= np.uint64(8)
-        codes |= raw[i : len(text) + i]
+def _stream(text: str | None) -> bytes:
+    return b" ".join(normal(text)) + bytes([END])
+
+
+def _codes(text: bytes) -> np.ndarray:
+    """The number of each position: the seven bytes before it, newest highest, and its own; an end mark stands before the text."""
+    raw = np.frombuffer(b"\0" * (DEPTH - 1) + bytes([END]) + text, np.uint8)
+    n = len(text)
+    codes = raw[DEPTH:].astype(np.uint64)
+    for j in range(DEPTH):
+        codes |= raw[DEPTH - 1 - j : DEPTH - 1 - j + n].astype(np.uint64) << np.uint64(56 - 8 * j)
     return codes
 
 
-def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different codes of the texts and their counts."""
-    codes = np.concatenate([_codes(t, depth) for t in texts])
-    codes.sort()
-    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-    return codes[first], np.diff(first, append=len(codes))
+def _counted(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, rising, and the sums of their counts (one each by default)."""
+    if n is None:
+        codes = np.sort(codes)
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+        return codes[first], np.diff(first, append=len(codes))
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
 
-def gram_counts(texts: DataFrame, depth: int, task_bytes: int = 8_000_000) -> DataFrame:
-    """(code, n) of all training positions; texts is (text)."""
-    text_batches(texts.sparkSession)
+def _prefix(codes: np.ndarray, k: int) -> np.ndarray:
+    """The context of k bytes of each code."""
+    return codes >> np.uint64(64 - 8 * k) if k else np.zeros_like(codes)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        size = 0
 
-        def made() -> pa.RecordBatch:
-            code, n = _grams(held, depth)
-            return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+def _gram(codes: np.ndarray, k: int) -> np.ndarray:
+    """The context of k bytes and the next byte of each code."""
+    return (_prefix(codes, k) << _BYTE) | (codes & np.uint64(255))
 
-        for batch in batches:
-            for t in batch.column(0):
-                held.append(b" ".join(normal(t.as_py())) + bytes([END]))
-                size += len(held[-1])
-                if size > task_bytes:
-                    yield made()
-                    held, size = [], 0
-        if held:
-            yield made()
 
-    return texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def _key(prefix: np.ndarray, k: int) -> np.ndarray:
+    return prefix | np.uint64(k << 56)
 
 
-def contexts(grams: DataFrame, depth: int, least_share: float | None, least_divergence: float, least_count: int = LEAST_COUNT) -> DataFrame:
-    """(len, ctx, sym, n) of the contexts that stay; ctx packs the context's bytes, newest lowest.
+def _pack_grams(codes: np.ndarray, n: np.ndarray) -> bytes:
+    return _packed(np.diff(codes, prepend=np.uint64(0)), n.astype(np.uint64))
 
-    A context needs least_share of the positions or, if that is None, least_count of them.
-    """
-    least = least_count if least_share is None else max(1.0, least_share * (grams.agg(F.sum("n")).first()[0] or 0))
-    rows = grams.select("n", F.expr("code & 255").cast("int").alias("sym"), F.expr("shiftrightunsigned(code, 8)").alias("full"))
-    each = rows.select("n", "sym", "full", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("len")).withColumn(
-        "ctx", F.expr("if(len = 0, 0L, full & (shiftleft(1L, 8 * len) - 1))")
-    )
-    # a zero byte stands before a text's first end mark: such a context is shorter than len
-    each = each.where("len = 0 or shiftrightunsigned(ctx, 8 * (len - 1)) <> 0")
-    counts = each.groupBy("len", "ctx", "sym").agg(F.sum("n").alias("n"))
-    of = W.partitionBy("len", "ctx")
-    counts = staged(
-        counts.withColumn("all", F.sum("n").over(of)).where(F.col("all") >= F.lit(least)), "pst-counts"
-    )
-    parent = counts.select((F.col("len") + 1).alias("len"), F.col("ctx").alias("up"), "sym", F.log(F.col("n") / F.col("all")).alias("was"))
-    child = counts.where("len > 0").withColumn("up", F.expr("ctx & (shiftleft(1L, 8 * (len - 1)) - 1)"))
-    told = (
-        child.join(parent, ["len", "up", "sym"])
-        .groupBy("len", "ctx")
-        .agg(F.sum(F.col("n") / F.col("all") * (F.log(F.col("n") / F.col("all")) - F.col("was"))).alias("kl"))
-        .where(F.col("kl") >= least_divergence)
-        .select("len", "ctx")
-    )
-    below = told.select("ctx", F.explode(F.sequence(F.lit(1), F.col("len"))).alias("len")).select(
-        "len", F.expr("ctx & (shiftleft(1L, 8 * len) - 1)").alias("ctx")
-    )
-    stay = below.distinct()
-    return counts.join(stay, ["len", "ctx"], "left_semi").union(counts.where("len = 0")).select("len", "ctx", "sym", "n")
 
+def _unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    d, n = _unpacked(data, "uu")
+    return np.cumsum(d, dtype=np.uint64), n.astype(np.int64)
 
-def packed(states: DataFrame) -> DataFrame:
-    """(ctx_key, all, kinds, syms, counts) per state of contexts; ctx_key is len << 56 | ctx."""
-    key = F.expr("shiftleft(cast(len as long), 56) | ctx").alias("ctx_key")
-    rows = states.select(key, F.struct(F.col("sym").cast("short").alias("sym"), "n").alias("next"), "n")
-    of = rows.groupBy("ctx_key").agg(F.sum("n").alias("all"), F.collect_list("next").alias("nexts"))
-    return of.select("ctx_key", "all", F.size("nexts").alias("kinds"), F.col("nexts.sym").alias("syms"), F.col("nexts.n").alias("counts"))
 
+def limits(texts: DataFrame, size: int, block_bytes: int = BLOCK_BYTES) -> np.ndarray:
+    """The least codes of the blocks but the first, from a sample; where they lie has no influence on the result."""
+    blocks = 1 + size // block_bytes
+    if blocks == 1:
+        return np.zeros(0, np.uint64)
+    share = min(1.0, 16 * SAMPLED / size)
 
-def _bit(key: np.ndarray, bits: int) -> np.ndarray:
-    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_codes(_stream(t.as_py()))[::16].view(np.int64))], names=["code"])
 
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    got = np.sort(some.mapInArrow(sample, "code long").toPandas()["code"].to_numpy(np.int64).view(np.uint64))
+    starts = np.unique(got[np.arange(1, blocks) * len(got) // blocks]) if len(got) >= blocks else np.zeros(0, np.uint64)
+    return starts[starts > got[0]] if len(starts) else starts  # so that each block holds a code
 
-def state_filter(states: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of the states' hashes; its size does not depend on their number."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _bit(batch.column(0).to_numpy(zero_copy_only=False), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "mask"])
+def _edges(block: int, starts: np.ndarray) -> list[tuple[int, int]]:
+    """The contexts (length, prefix) that may reach over an end of the block: those of its first code and of the next block's."""
+    at = [starts[i - 1] for i in (block, block + 1) if 0 < i <= len(starts)]
+    return sorted({(k, int(c) >> (64 - 8 * k) if k else 0) for c in at for k in range(DEPTH + 1)} | ({(0, 0)} if not at else set()))
+
 
-    got = states.select("ctx_key").mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(bits >> 6, np.int64)
-    out[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
+def _levels(codes: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(grams, counts) of each length of context, from 0; codes rise."""
+    out = [(codes, n)]
+    for k in range(DEPTH - 1, -1, -1):
+        gram, n = out[0]
+        longer = gram >> np.uint64(16) << _BYTE | (gram & np.uint64(255))  # without the oldest byte of the context
+        out.insert(0, _counted(longer, n))
     return out
 
 
-def _masked(codes: np.ndarray, length: int) -> np.ndarray:
-    """The context of a length in each code, with the mark of its length."""
-    ctx = (codes >> np.uint64(8)) & np.uint64((1 << (8 * length)) - 1)
-    return (ctx | np.uint64(length << 56)).view(np.int64)
+def counted_blocks(texts: DataFrame, starts: np.ndarray) -> DataFrame:
+    """(block, grams, len, ctx, syms, counts): each block's packed codes, and its part of the contexts that reach over its ends."""
+    text_batches(texts.sparkSession)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[np.ndarray] = []
+        size = 0
 
-def context_keys(texts: list[bytes], depth: int, bitmap: np.ndarray | None = None) -> np.ndarray:
-    """The different ctx_key of all contexts in the texts, without those that the bitmap rules out."""
-    codes = np.unique(np.concatenate([_codes(t, depth) for t in texts]))
-    out = []
-    for k in range(depth + 1):
-        key = np.unique(_masked(codes, k))
-        if bitmap is not None:
-            at = _bit(key, len(bitmap) << 6)
-            key = key[(bitmap[at >> 6] >> (at & 63)) & 1 == 1]
-        out.append(key)
-    return np.concatenate(out)
+        def piece() -> None:
+            nonlocal size
+            held.append(_counted(np.concatenate(parts)))
+            parts.clear()
+            size = 0
 
+        def made() -> pa.RecordBatch:
+            codes, n = _counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            cut = [0, *np.searchsorted(codes, starts).tolist(), len(codes)]
+            sent = [(b, _pack_grams(codes[i:j], n[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.binary())], names=["block", "grams"])
 
-def log10_of(texts: list[bytes], states: pa.Table, depth: int) -> np.ndarray:
-    """The log10 probability of each text by the states (as in packed) that its contexts meet."""
-    if not texts:
-        return np.zeros(0)
-    every, back = np.unique(np.concatenate([_codes(t, depth) for t in texts]), return_inverse=True)
-    states = states.combine_chunks().sort_by("ctx_key")
-    key = states["ctx_key"].to_numpy().astype(np.int64)
-    total, kinds = states["all"].to_numpy().astype(np.float64), states["kinds"].to_numpy().astype(np.int64)
-    syms = states["syms"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    counts = states["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    # a state's next bytes by (place of the state, byte)
-    pair = np.repeat(np.arange(len(key)), kinds) << 8 | syms
-    order = np.argsort(pair)
-    pair, counts = pair[order], counts[order]
-    sym = (every & np.uint64(255)).astype(np.int64)
-    share = np.full(len(every), 1 / 256)
-    for k in range(depth + 1):
-        want = _masked(every, k)
-        at = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
-        here = np.flatnonzero(key[at] == want) if len(key) else np.zeros(0, np.int64)
-        if not len(here):
-            break  # with a state, all shorter ones are there
-        at = at[here]
-        mine = at << 8 | sym[here]
-        n_at = np.minimum(np.searchsorted(pair, mine), len(pair) - 1)
-        n = np.where(pair[n_at] == mine, counts[n_at], 0.0)
-        # without a context, each of the 256 bytes is given one count
-        more = np.full(len(at), 256.0) if k == 0 else kinds[at].astype(np.float64)
-        share[here] = (n + more * share[here]) / (total[at] + more)
-    size = np.array([len(t) for t in texts])
-    return np.add.reduceat(np.log10(share)[back], np.cumsum(size) - size)
-
-
-class Tree:
-    """States as an automaton: next state and log10 probability per state and symbol."""
-
-    def __init__(self, table: pd.DataFrame, depth: int):
-        self.depth = depth
-        seen = np.unique(table["sym"].to_numpy(np.int64))
-        self.symbol = np.full(256, len(seen), np.int16)  # the last symbol stands for bytes never seen
-        self.symbol[seen] = np.arange(len(seen))
-        width = len(seen) + 1
-        keys = (table["len"].to_numpy(np.int64) << 56) | table["ctx"].to_numpy(np.int64)
-        state = np.unique(np.append(keys, [0, (1 << 56) | END]))
-        count = np.zeros((len(state), width), np.float32)
-        count[np.searchsorted(state, keys), self.symbol[table["sym"].to_numpy(np.int64)]] = table["n"]
-        length, ctx = state >> 56, state & ((1 << 56) - 1)
-        share = np.zeros((len(state), width), np.float32)
-        for k in range(int(length.max()) + 1):
-            here = np.flatnonzero(length == k)
+        for batch in batches:
+            for t in batch.column(0):
+                parts.append(_codes(_stream(t.as_py())))
+                size += len(parts[-1])
+                if size > PIECE_BYTES:
+                    piece()
+                    if sum(len(c) for c, _ in held) > HELD:
+                        yield made()
+        if parts:
+            piece()
+        if held:
+            yield made()
+
+    kind = pa.schema([("block", pa.int32()), ("grams", pa.binary()), ("len", pa.int32()), ("ctx", pa.int64()), ("syms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+
+    def merge(group: pa.Table) -> pa.Table:
+        block = group.column("block")[0].as_py()
+        codes, n = _counted(*(np.concatenate(x) for x in zip(*(_unpack_grams(g.as_py()) for g in group.column("grams")), strict=True)))
+        rows = [(block, _pack_grams(codes, n), None, None, None, None)]
+        levels = _levels(codes, n)
+        for k, prefix in _edges(block, starts):
+            gram, count = levels[k]
+            i = int(np.searchsorted(gram, np.uint64(prefix << 8), side="left"))
+            j = int(np.searchsorted(gram, np.uint64((prefix << 8) + 255), side="right"))
+            rows.append((block, None, k, prefix, (gram[i:j] & np.uint64(255)).astype(np.int32), count[i:j]))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+
+    return texts.mapInArrow(count, "block int, grams binary").groupBy("block").applyInArrow(merge, "block int, grams binary, len int, ctx long, syms array<int>, counts array<long>")
+
+
+def states(blocks: DataFrame, starts: np.ndarray, least_count: int = LEAST_COUNT, least_divergence: float = LEAST_DIVERGENCE) -> DataFrame:
+    """(block, states): the packed states of each block; blocks as from counted_blocks."""
+    edges = blocks.where("grams is null")
+    sums = edges.select("len", "ctx", F.explode(F.arrays_zip("syms", "counts")).alias("x")).groupBy("len", "ctx", F.col("x.syms").alias("sym")).agg(F.sum("x.counts").alias("n"))
+    whole = sums.groupBy("len", "ctx").agg(F.collect_list("sym").alias("syms"), F.collect_list("n").alias("counts"))
+    owners = edges.groupBy("len", "ctx").agg(F.min("block").alias("owner"))
+    mine = edges.select("block", "len", "ctx").join(whole, ["len", "ctx"]).join(owners, ["len", "ctx"])
+
+    def keep(group: pa.Table, edge: pa.Table) -> pa.Table:
+        if not len(group):
+            return pa.Table.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["block", "states"])
+        block = group.column("of")[0].as_py()
+        levels = _levels(*_unpack_grams(group.column("grams")[0].as_py()))
+        over: list[dict[int, tuple[np.ndarray, np.ndarray, bool]]] = [{} for _ in range(DEPTH + 1)]
+        for e in edge.to_pylist():
+            s = np.argsort(e["syms"])
+            over[e["len"]][e["ctx"]] = (np.array(e["syms"], np.uint64)[s], np.array(e["counts"], np.int64)[s], e["owner"] == block)
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        up: tuple[np.ndarray, ...] | None = None
+        for k in range(DEPTH + 1):
+            gram, n = levels[k]
+            for prefix, (sym, count, _) in over[k].items():  # what the other blocks hold of it, too
+                rest = (gram >> _BYTE) != np.uint64(prefix)
+                gram, n = np.append(gram[rest], sym | np.uint64(prefix << 8)), np.append(n[rest], count)
+            order = np.argsort(gram, kind="stable")
+            gram, n = gram[order], n[order]
+            prefix = gram >> _BYTE
+            first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
+            kinds = np.diff(first, append=len(prefix))
+            total = np.add.reduceat(n, first)
+            share = n / np.repeat(total, kinds)
+            ctx = prefix[first]
             if k == 0:
-                share[here] = (count[here] + 1) / (count[here].sum(dtype=np.float64) + 256)
+                stay = np.ones(len(first), bool)
+            else:
+                was_gram, was_share = up
+                parent = (ctx >> _BYTE) if k > 1 else np.zeros_like(ctx)
+                at = np.searchsorted(was_gram, np.repeat(parent, kinds) << _BYTE | (gram & np.uint64(255)))
+                gain = np.add.reduceat(share * (np.log(share) - np.log(was_share[np.minimum(at, len(was_gram) - 1)])), first)
+                # a sample of so many positions diverges by (kinds - 1) / (2 total) by chance
+                stay = (total >= least_count) & (gain - (kinds - 1) / (2 * total) >= least_divergence)
+                stay &= (ctx & np.uint64(255)) != 0  # zero bytes stand before a text's first end mark
+            up = (gram, share)
+            foreign = np.array([p for p, (_, _, own) in over[k].items() if not own], np.uint64)
+            stay &= ~np.isin(ctx, foreign)
+            pick = np.repeat(stay, kinds)
+            for column, v in zip(out, (_key(ctx[stay], k), kinds[stay], gram[pick] & np.uint64(255), n[pick]), strict=True):
+                column.append(v)
+        return pa.Table.from_arrays([pa.array([block], pa.int32()), pa.array([_pack_states(*(np.concatenate(c) for c in out))], pa.binary())], names=["block", "states"])
+
+    own = blocks.where("grams is not null").select(F.col("block").alias("of"), F.col("grams").alias("grams"))
+    return own.groupBy("of").cogroup(mine.groupBy("block")).applyInArrow(keep, "block int, states binary")
+
+
+def _pack_states(key: np.ndarray, kinds: np.ndarray, sym: np.ndarray, n: np.ndarray) -> bytes:
+    """States in the order of their keys."""
+    order = np.argsort(key, kind="stable")
+    moved = _rows(kinds, order)
+    key, kinds = key[order], kinds[order]
+    return _packed(np.diff(key, prepend=np.uint64(0)), kinds.astype(np.uint32), sym[moved].astype(np.uint32), n[moved].astype(np.uint64))
+
+
+def _unpack_states(data: bytes) -> tuple[np.ndarray, ...]:
+    key, kinds, sym, n = _unpacked(data, "uwwu")
+    return np.cumsum(key, dtype=np.uint64), kinds.astype(np.int64), sym.astype(np.int64), n.astype(np.int64)
+
+
+def _rows(kinds: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Where the next bytes of the picked states lie, in their order."""
+    start = np.cumsum(kinds) - kinds
+    size = kinds[pick]
+    return np.repeat(start[pick] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _block_of(key: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The block that owns each key's context: the first that may hold one of its codes."""
+    k = key >> np.uint64(56)
+    low = (key & np.uint64((1 << 56) - 1)) << (np.uint64(64) - _BYTE * np.maximum(k, np.uint64(1)))
+    return np.searchsorted(starts, np.where(k == 0, np.uint64(0), low), side="right")
+
+
+class Model:
+    """States (key, kinds, sym, n), keys rising, ready to score texts whose contexts they cover."""
+
+    def __init__(self, key: np.ndarray, kinds: np.ndarray, sym: np.ndarray, n: np.ndarray):
+        self.key, self.kinds = key, kinds
+        self.total = np.add.reduceat(n, np.cumsum(kinds) - kinds).astype(np.float64) if len(kinds) else np.zeros(0)
+        pair = np.repeat(np.arange(len(key)), kinds) << 8 | sym
+        order = np.argsort(pair, kind="stable")
+        self.pair, self.count = pair[order], n[order].astype(np.float64)
+
+    @classmethod
+    def of(cls, slices: list[bytes]) -> Model:
+        """The states of several packed slices; no state is in two of them."""
+        parts = [_unpack_states(s) for s in slices]
+        key, kinds, sym, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
+        order = np.argsort(key, kind="stable")
+        moved = _rows(kinds, order)
+        return cls(key[order].astype(np.uint64), kinds[order], sym[moved], n[moved])
+
+    def log10(self, texts: list[bytes]) -> np.ndarray:
+        """The log10 probability of each text, its end mark included."""
+        out, part, size = [], [], 0
+        for t in [*texts, None]:
+            if part and (t is None or size > PIECE_BYTES):
+                out.append(self._log10(part))
+                part, size = [], 0
+            if t is not None:
+                part.append(t)
+                size += len(t)
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def _log10(self, texts: list[bytes]) -> np.ndarray:
+        every, back = np.unique(np.concatenate([_codes(t) for t in texts]), return_inverse=True)
+        nexts = (every & np.uint64(255)).astype(np.int64)
+        share = np.full(len(every), 1 / 256)
+        for k in range(DEPTH + 1 if len(self.key) else 0):
+            want = _key(_prefix(every, k), k)
+            at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            here = np.flatnonzero(self.key[at] == want)
+            if not len(here):
                 continue
-            up = self._find(state, np.full(len(here), k - 1), ctx[here] & ((1 << (8 * (k - 1))) - 1))
-            kinds = (count[here] > 0).sum(axis=1, keepdims=True)
-            total = count[here].sum(axis=1, keepdims=True, dtype=np.float64)
-            share[here] = (count[here] + kinds * share[up]) / np.maximum(1, total + kinds)
-            share[here] = np.where(total > 0, share[here], share[up])
-        self.score = np.log10(share).astype(np.float32).ravel()
-        self.next = np.zeros((len(state), width), np.int32)
-        for x, b in enumerate(seen.tolist()):
-            done = np.zeros(len(state), bool)
-            for k in range(depth, 0, -1):
-                fits = ~done & (length >= k - 1)
-                code = ((ctx << 8) | b) & ((1 << (8 * k)) - 1)
-                at = self._find(state, np.full(len(state), k), code)
-                hit = fits & (at >= 0)
-                self.next[hit, x] = at[hit]
-                done |= hit
-        self.next = self.next.ravel()
-        self.width = width
-        self.states = len(state)
-
-    @staticmethod
-    def _find(state: np.ndarray, length: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        key = (length.astype(np.int64) << 56) | ctx
-        at = np.minimum(np.searchsorted(state, key), len(state) - 1)
-        return np.where(state[at] == key, at, -1)
-
-    def log10(self, texts: list[list[bytes]]) -> np.ndarray:
-        """The log10 probability of each text, its end mark included.
-
-        Segments of all texts advance together; each first reads the bytes before it, as many as the
-        longest context has, so that its state is the one that the whole text leads to.
-        """
-        if not texts:
-            return np.zeros(0)
-        parts = [b" ".join(w) + bytes([END]) for w in texts]
-        size = np.array([len(p) for p in parts])
-        stream = np.frombuffer(b"".join(parts), np.uint8)
-        n = -(-len(stream) // SEGMENT)
-        sym = np.full(n * SEGMENT + self.depth, self.symbol[END], np.int64)
-        sym[self.depth : self.depth + len(stream)] = self.symbol[stream]
-        rows = np.lib.stride_tricks.as_strided(sym, (SEGMENT + self.depth, n), (sym.strides[0], SEGMENT * sym.strides[0]))
-        state = np.zeros(n, np.int64)
-        out = np.empty((SEGMENT, n), np.float32)
-        for i in range(SEGMENT + self.depth):
-            at = state * self.width + rows[i]
-            if i >= self.depth:
-                out[i - self.depth] = self.score[at]
-            state = self.next[at]
-        each = out.T.ravel()[: len(stream)].astype(np.float64)
-        return np.add.reduceat(each, np.cumsum(size) - size)
-
-
-def train(texts: DataFrame, depth: int, least_share: float, least_divergence: float = LEAST_DIVERGENCE) -> Tree:
-    """The tree of the texts (text) on the driver, for tables that a share bounds; score holds its states in Spark."""
-    grams = staged(gram_counts(texts, depth), "pst-grams")
-    return Tree(contexts(grams, depth, least_share, least_divergence).toPandas(), depth)
+            at = at[here]
+            mine = at << 8 | nexts[here]
+            n_at = np.minimum(np.searchsorted(self.pair, mine), len(self.pair) - 1)
+            seen = np.where(self.pair[n_at] == mine, self.count[n_at], 0.0)
+            # without a context, each of the 256 bytes is given one count
+            more = np.full(len(at), 256.0) if k == 0 else self.kinds[at].astype(np.float64)
+            share[here] = (seen + more * share[here]) / (self.total[at] + more)
+        size = np.array([len(t) for t in texts])
+        return np.add.reduceat(np.log10(share)[back], np.cumsum(size) - size)
+
+
+def context_keys(texts: list[bytes], known: np.ndarray) -> np.ndarray:
+    """The different keys of all contexts in the texts that the bitmap may hold."""
+    codes = np.unique(np.concatenate([_codes(t) for t in texts]))
+    out = []
+    for k in range(DEPTH + 1):
+        key = _key(_prefix(codes, k), k)
+        key = key[np.append(True, key[1:] != key[:-1])]
+        out.append(key[in_bitmap(key.view(np.int64), known)])
+    return np.concatenate(out)
+
+
+def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray) -> DataFrame:
+    """(batch, states): the packed states that each batch of texts (batch, packed) meets."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_unpack_states(s.as_py())[0].view(np.int64) for s in batch.column("states")] or [np.zeros(0, np.int64)]))], names=["key"])
+
+    known = texts.sparkSession.sparkContext.broadcast(bitmap(modelled.select("states").mapInArrow(keys, "key long")))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, met, part, size = None, np.zeros(0, np.uint64), [], 0
+
+        def piece() -> None:
+            nonlocal met, part, size
+            if part:
+                met = np.union1d(met, context_keys(part, known.value))
+            part, size = [], 0
+
+        def made() -> pa.RecordBatch:
+            nonlocal met
+            piece()
+            block = _block_of(met, starts)
+            order = np.argsort(block, kind="stable")
+            key, block, met = met[order], block[order], np.zeros(0, np.uint64)
+            first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+            cut = zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=False)
+            sent = [(int(block[a]), name, _packed(np.diff(np.sort(key[a:b]), prepend=np.uint64(0)))) for a, b in cut]
+            kinds = (pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in sent], t) for i, t in enumerate(kinds)], names=["block", "batch", "keys"])
+
+        for batch in batches:
+            for b, t in zip(batch.column("batch").to_pylist(), batch.column("packed"), strict=True):
+                if b != name:
+                    if name is not None:
+                        yield made()
+                    name = b
+                part.append(zstandard.decompress(t.as_py()))
+                size += len(part[-1])
+                if size > PIECE_BYTES:
+                    piece()
+        if name is not None:
+            yield made()
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out: list[tuple[int, bytes]] = []
+        if len(asked) and len(held):
+            key, kinds, sym, n = _unpack_states(held.column("states")[0].as_py())
+            for b, k in zip(asked.column("batch").to_pylist(), asked.column("keys"), strict=True):
+                want = np.cumsum(_unpacked(k.as_py(), "u")[0], dtype=np.uint64)
+                at = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
+                pick = at[key[at] == want] if len(key) else at[:0]
+                rows = _rows(kinds, pick)
+                out.append((b, _pack_states(key[pick], kinds[pick], sym[rows], n[rows])))
+        return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["batch", "states"])
+
+    asked = texts.select("batch", "packed").repartition("batch").sortWithinPartitions("batch").mapInArrow(ask, "block int, batch long, keys binary")
+    return asked.groupBy("block").cogroup(modelled.groupBy("block")).applyInArrow(answer, "batch long, states binary")
 
 
 def score(
@@ -284,27 +395,29 @@ def score(
     held_out: Column,
     id_col: str = "doc_id",
     text: str = "text",
-    depth: int = DEPTH,
-    least_share: float | None = None,
     least_divergence: float = LEAST_DIVERGENCE,
     heavy_share: float = HEAVY_SHARE,
     least_count: int = LEAST_COUNT,
     batch_bytes: int = BATCH_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row; learns from the rows not held out.
 
     base_score is that of an add-one model of single words. Null texts are empty: one token, the end.
     Rows that repeat an id and its text come back as often as they went in. Without training rows,
     both models know nothing. Words too rare for the broadcast table meet their counts in a join, a
-    row per document and word, of which no word has more than heavy_share of the tokens.
+    row per document and word, of which no word has more than heavy_share of the tokens. Columns of
+    docs other than id and text are not read, whatever their names.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), text_of(text).alias("text"))
     learn = rows.where(~F.col("held_out")).select("text")
-    grams = staged(gram_counts(learn, depth), "pst-grams")
-    states = staged(packed(contexts(grams, depth, least_share, least_divergence, least_count)), "pst-states")
-    bitmap = spark.sparkContext.broadcast(state_filter(states))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    starts = limits(learn, size, block_bytes)
+    blocks = scratch.staged(counted_blocks(learn, starts), "pst-grams")
+    modelled = staged(states(blocks, starts, least_count, least_divergence), "pst-states")
+    scratch.clear()
     n_batches = 1 + size // batch_bytes
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,31 +446,15 @@ def score(
     known = spark.sparkContext.broadcast({w.encode("utf-8"): int(c) for w, c in zip(heavy["word"], heavy["c"], strict=True)})
     head = "struct<id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>"
 
-    def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-
-        def made(b: int) -> pa.RecordBatch:
-            keys = context_keys(held.pop(b), depth, bitmap.value)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b, np.int64)), pa.array(keys)], names=["batch", "ctx_key"])
-
-        for batch in batches:
-            for b, t in zip(batch.column("batch").to_pylist(), batch.column("text"), strict=True):
-                if b not in held:
-                    for other in list(held):
-                        yield made(other)
-                held.setdefault(b, []).append(b" ".join(normal(t.as_py())) + bytes([END]))
-        for other in list(held):
-            yield made(other)
-
-    def rate(mine: pa.Table, slices: pa.Table) -> pa.Table:
+    def rate(mine: pa.Table, met: pa.Table) -> pa.Table:
         count = known.value
         end_score = math.log10((ends + 1) / whole)
         made = []
         if len(mine):
-            parts = [b" ".join(normal(t.as_py())) + bytes([END]) for t in mine["text"]]
-            mine = mine.drop_columns(["batch"]).append_column("score", pa.array(log10_of(parts, slices, depth)))
+            model = Model.of([s.as_py() for s in met.column("states")])
+            mine = mine.append_column("score", pa.array(model.log10([zstandard.decompress(t.as_py()) for t in mine["packed"]])))
         for batch in mine.to_batches(max_chunksize=TEXT_BATCH_ROWS):
-            ids, held, texts = batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), [normal(t.as_py()) for t in batch.column("text")]
+            ids, held, texts = batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), [zstandard.decompress(t.as_py()).split() for t in batch.column("packed")]
             scores = batch.column("score").to_numpy(zero_copy_only=False)
             key: list[str] = []
             word: list[bytes | None] = []
@@ -388,13 +485,18 @@ def score(
         "key", F.concat_ws(":", F.col("id").cast("string"), F.hex(F.xxhash64("text")))
     )
     dealt = keyed.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches)))
-    dealt = staged(dealt.repartition("batch").sortWithinPartitions("batch"), "pst-texts")
-    asked = dealt.select("batch", "text").mapInArrow(lookups, "batch long, ctx_key long").distinct()
-    slices = asked.join(states, "ctx_key")
+    kept = [T.StructField("id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("key", T.StringType()), T.StructField("batch", T.LongType())]
+
+    def squeeze(batch: pa.RecordBatch) -> list[pa.Array]:
+        pack = zstandard.ZstdCompressor(3).compress
+        return [pa.array([pack(_stream(t.as_py())) for t in batch.column("text")], pa.binary())]
+
+    dealt = with_arrow(dealt, ["text"], [T.StructField("packed", T.BinaryType())], squeeze, [f.name for f in kept])
+    found = slices(dealt, modelled, starts)
     rare = vocabulary.where(F.col("c") < least)
     met = (
         dealt.groupBy("batch")
-        .cogroup(slices.groupBy("batch"))
+        .cogroup(found.groupBy("batch"))
         .applyInArrow(rate, f"key string, word string, often long, head {head}")
         .join(rare, "word", "left")
         .groupBy("key")
