@@ -100,10 +100,11 @@ def test_against_brute_force(spark, divergence, least, batch, block):
 
 
 def test_longer_contexts_help_on_held_out_texts(spark):
-    df = spark.createDataFrame(corpus(), "doc_id long, text string")
-    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    total = [st.score(df, out, least_count=n).where("held_out").agg(F.sum("score")).first()[0] for n in (10**9, 200, 12)]
-    assert total[0] < total[1] < total[2] < 0
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(60)]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(120)], "doc_id long, text string")
+    total = [st.score(df, F.col("doc_id") % 5 == 0, least_count=n).where("held_out").agg(F.sum("score")).first()[0] for n in (10**9, 3000, 40)]
+    assert total[0] < total[1] < total[2] < 0 and total[2] > 0.5 * total[0]
 
 
 def model_of(spark, texts, **kw):
