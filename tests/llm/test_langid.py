@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from faultsift.llm import langid
@@ -62,3 +64,39 @@ def test_columns_of_any_name_pass_through(spark):
     df = docs(spark, 30).withColumns({c: F.lit(1) for c in names})
     got = langid.identify(df, host=F.col("host"), languages=LANGS, keep=["doc_id", *names[:-1]])
     assert got.count() == 30 and set(names[:-1]) <= set(got.columns)
+
+
+def test_posteriors_against_plain_bayes(spark):
+    df = docs(spark, 60).withColumn("host", F.when(F.col("doc_id") % 7 != 0, F.col("host"))).withColumn("sfx", F.when(F.col("doc_id") % 2 == 0, F.lit("com")).otherwise(F.lit("org")))
+    model = langid.fit(df, "text", "lang", LANGS)
+    rows = df.collect()
+    got = {r["doc_id"]: r for r in langid.identify(df, host=F.col("host"), suffix=F.col("sfx"), languages=LANGS, model=model).collect()}
+    table, n = model.astype(np.float32), len(LANGS)
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    score = {r["doc_id"]: table[:, c].mean(axis=1, dtype=np.float64) * min(len(c), langid.MOST_TRIGRAMS) for r in rows for c in [langid.trigrams(r["text"])]}
+    post = {i: softmax(s) for i, s in score.items()}
+    share = (sum(post.values()) + 1) / (len(rows) + n)
+
+    def groups(key):
+        out = {}
+        for r in rows:
+            if key(r) is not None:
+                out.setdefault(key(r), []).append(post[r["doc_id"]])
+        return out
+
+    w = langid.PRIOR_WEIGHT
+    smooth = lambda ps, above: (sum(ps) + w * above) / (len(ps) + w)
+    domain_of = lambda h: h and ".".join(h.split(".")[-2:])
+    domains = {d: smooth(ps, share) for d, ps in groups(lambda r: domain_of(r["host"])).items()}
+    hosts = {h: smooth(ps, domains[domain_of(h)]) for h, ps in groups(lambda r: r["host"]).items()}
+    told = lambda key: {v: np.log((sum(ps) + share) / (len(ps) + 1) / share) for v, ps in groups(key).items()}
+    declared, suffix = told(lambda r: r["lang"]), told(lambda r: r["sfx"])
+    for r in rows:
+        x = score[r["doc_id"]] + np.log(hosts.get(r["host"], share)) + declared.get(r["lang"], 0) + suffix[r["sfx"]]
+        p = softmax(x)
+        assert got[r["doc_id"]]["confidence"] == pytest.approx(p.max(), abs=1e-6)
+        assert got[r["doc_id"]]["language"] == LANGS[int(p.argmax())]
