@@ -7,13 +7,13 @@ the features' values. The SQL states the same rows step by step, each step as na
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultsift.operators import classify, diagnose, evaluate, rank, robust
 from faultsift.operators import events as event_ops
 from faultsift.plans import dims
-from faultsift.plans.base import EV, events, query, r6, table
+from faultsift.plans.base import EV, events, query, table
 
 #: Seconds in a step of these timelines.
 STEP = 3600
@@ -32,6 +32,11 @@ NODES = [f"{c}-{r}" for c in dims.CITIES for r in dims.ROLES]
 _NODES = "[" + ", ".join(f"'{n}'" for n in NODES) + "]"
 
 
+def r6(c: str | Column) -> Column:
+    """Six digits; inputs have few digits, so values often lie just between two, where both engines must go one way."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6)
+
+
 def network_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(modality, minute, entity, feature, value) of the network."""
     e = events(spark, sf_dir).withColumn("u", F.col("user_id") % 80)
@@ -173,22 +178,22 @@ def diagnosed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return diagnose.diagnose(spark, network_cells(spark, sf_dir), dims.direct_rules(spark))
 
 
-@query(f"WITH {DIRECT} SELECT minute, entity, feature, category, round(strength, 6) AS strength FROM st")
+@query(f"WITH {DIRECT} SELECT minute, entity, feature, category, round(strength + 1e-9, 6) AS strength FROM st")
 def direct_and_log_strength(spark, sf_dir):
     return lines(spark, sf_dir)["direct"].select("minute", "entity", "feature", "category", r6("strength").alias("strength"))
 
 
-@query(f"WITH {LINES} SELECT minute, round(node, 6) AS node, round(service, 6) AS service, round(probability, 6) AS probability FROM ml")
+@query(f"WITH {LINES} SELECT minute, round(node + 1e-9, 6) AS node, round(service + 1e-9, 6) AS service, round(probability + 1e-9, 6) AS probability FROM ml")
 def minute_probability(spark, sf_dir):
     return lines(spark, sf_dir)["minutes"].select("minute", *(r6(c).alias(c) for c in ("node", "service", "probability")))
 
 
-@query(f"WITH {CELLS}, {FLOWS} SELECT minute, entity, round(support, 6) AS support FROM ns")
+@query(f"WITH {CELLS}, {FLOWS} SELECT minute, entity, round(support + 1e-9, 6) AS support FROM ns")
 def netflow_support(spark, sf_dir):
     return diagnose.netflow_support(network_cells(spark, sf_dir)).withColumn("support", r6("support"))
 
 
-@query(f"WITH {LINES} SELECT minute, entity, round(score, 6) AS score FROM esc")
+@query(f"WITH {LINES} SELECT minute, entity, round(score + 1e-9, 6) AS score FROM esc")
 def edge_scores(spark, sf_dir):
     return lines(spark, sf_dir)["edge"].withColumn("score", r6("score"))
 
@@ -196,41 +201,41 @@ def edge_scores(spark, sf_dir):
 _NUMBERS = ["direct", "early", "pre", "persistence", "recovery", "log", "traffic_target", "traffic_observer", "netflow"]
 
 
-@query(f"WITH {PARTS} SELECT event, node, {', '.join(f'round({c}, 6) AS {c}' for c in _NUMBERS)}, observed FROM pa")
+@query(f"WITH {PARTS} SELECT event, node, {', '.join(f'round({c} + 1e-9, 6) AS {c}' for c in _NUMBERS)}, observed FROM pa")
 def candidate_evidence(spark, sf_dir):
     return diagnosed(spark, sf_dir)["parts"].select("event", "node", *(r6(c).alias(c) for c in _NUMBERS), "observed")
 
 
-@query(f"WITH {PARTS} SELECT event, node, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM t5")
+@query(f"WITH {PARTS} SELECT event, node, round(score + 1e-9, 6) AS score, CAST(rank AS INTEGER) AS rank FROM t5")
 def event_roots(spark, sf_dir):
     return diagnosed(spark, sf_dir)["top5"].select("event", "node", r6("score").alias("score"), "rank")
 
 
-@query(f"""WITH {PARTS}, v AS (SELECT event, node, round(direct + log, 6) AS score FROM pa), r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY score DESC, node) AS rank, count(*) OVER (PARTITION BY event) AS n FROM v WHERE score > 0)
+@query(f"""WITH {PARTS}, v AS (SELECT event, node, round(direct + log + 1e-9, 6) AS score FROM pa), r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY score DESC, node) AS rank, count(*) OVER (PARTITION BY event) AS n FROM v WHERE score > 0)
 SELECT event, node, score, CAST(rank AS INTEGER) AS rank, greatest(0, n - 20) AS truncated FROM r WHERE rank <= 20""")
 def subgraph_nodes(spark, sf_dir):
     parts = diagnosed(spark, sf_dir)["parts"]
     return event_ops.event_nodes(parts, r6(F.col("direct") + F.col("log")), ["event"]).select("event", "node", "score", "rank", "truncated")
 
 
-@query(f"WITH {SIGNALS} SELECT event, node, signal, round(strength, 6) AS strength FROM cs")
+@query(f"WITH {SIGNALS} SELECT event, node, signal, round(strength + 1e-9, 6) AS strength FROM cs")
 def candidate_signals(spark, sf_dir):
     c = network_cells(spark, sf_dir)
     return diagnose.candidate_signals(diagnosed(spark, sf_dir)["events"], c).withColumn("strength", r6("strength"))
 
 
-@query(f"WITH {CITY} SELECT event, city, signal, round(strength, 6) AS strength FROM cy")
+@query(f"WITH {CITY} SELECT event, city, signal, round(strength + 1e-9, 6) AS strength FROM cy")
 def city_signals(spark, sf_dir):
     c = network_cells(spark, sf_dir)
     return diagnose.city_signals(diagnosed(spark, sf_dir)["events"], c).withColumn("strength", r6("strength"))
 
 
-@query(f"WITH {CATEGORIES} SELECT event, category, round(p, 6) AS p, CAST(rank AS INTEGER) AS rank FROM c3")
+@query(f"WITH {CATEGORIES} SELECT event, category, round(p + 1e-9, 6) AS p, CAST(rank AS INTEGER) AS rank FROM c3")
 def event_categories(spark, sf_dir):
     return diagnosed(spark, sf_dir)["categories"].select("event", "category", r6("p").alias("p"), "rank")
 
 
-@query(f"""WITH {CATEGORIES} SELECT wn.event AS event, s AS "start", e AS "end", round(peak, 6) AS confidence, nodes, category, round(p, 6) AS category_p
+@query(f"""WITH {CATEGORIES} SELECT wn.event AS event, s AS "start", e AS "end", round(peak + 1e-9, 6) AS confidence, nodes, category, round(p + 1e-9, 6) AS category_p
 FROM wn JOIN (SELECT event, string_agg(node, ',' ORDER BY rank) AS nodes FROM t5 GROUP BY 1) AS n ON wn.event = n.event JOIN c3 ON wn.event = c3.event AND rank = 1""")
 def diagnosis(spark, sf_dir):
     """From cells to a record of every event: interval, five nodes and a category."""
@@ -290,13 +295,13 @@ def family_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("day", family.alias("family")).agg(F.max("value").alias("v"))
 
 
-@query(f"WITH {CALIBRATED} SELECT family, round(c, 6) AS center, round(s, 6) AS scale FROM k2")
+@query(f"WITH {CALIBRATED} SELECT family, round(c + 1e-9, 6) AS center, round(s + 1e-9, 6) AS scale FROM k2")
 def timeline_calibration(spark, sf_dir):
     got = robust.timeline_calibration(family_scores(spark, sf_dir), ["family"], "day", "v")
     return got.select("family", r6("center").alias("center"), r6("scale").alias("scale"))
 
 
-@query(f"""WITH {CALIBRATED} SELECT day, round(1 / (1 + exp(-((CASE WHEN len(z) > 1 THEN z[1] * 0.75 + z[2] * 0.25 ELSE z[1] END) - 4) / 1.5)), 6) AS probability FROM cz2""")
+@query(f"""WITH {CALIBRATED} SELECT day, round(1 / (1 + exp(-((CASE WHEN len(z) > 1 THEN z[1] * 0.75 + z[2] * 0.25 ELSE z[1] END) - 4) / 1.5)) + 1e-9, 6) AS probability FROM cz2""")
 def calibrated_probability(spark, sf_dir):
     f = family_scores(spark, sf_dir)
     fitted = robust.timeline_calibration(f, ["family"], "day", "v")
@@ -345,13 +350,13 @@ def fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PARTS = list(rank.FUSION_WEIGHTS)
 
 
-@query(f"WITH RECURSIVE {FUSION} SELECT event, node, {', '.join(f'round({c}, 6) AS {c}' for c in _PARTS)} FROM fp")
+@query(f"WITH RECURSIVE {FUSION} SELECT event, node, {', '.join(f'round({c} + 1e-9, 6) AS {c}' for c in _PARTS)} FROM fp")
 def fusion_parts(spark, sf_dir):
     return fusion(spark, sf_dir).select("event", "node", *(r6(c).alias(c) for c in _PARTS))
 
 
 @query(f"""WITH RECURSIVE {FUSION}, r AS (SELECT event, node, score, row_number() OVER (PARTITION BY event ORDER BY round(score, 9) DESC, round(directness, 9) DESC, round(precedence, 9) DESC, node) AS rank FROM fs)
-SELECT event, node, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+SELECT event, node, round(score + 1e-9, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def graph_fusion(spark, sf_dir):
     parts = fusion(spark, sf_dir).select("event", "node", *(F.round(c, 9).alias(c) for c in _PARTS))
     return rank.fused(parts, ["event"]).select("event", "node", r6("score").alias("score"), "rank")
