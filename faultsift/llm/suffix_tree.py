@@ -44,7 +44,7 @@ PIECE_BYTES, HELD = 1_500_000, 3_000_000
 #: Training bytes that a block counts, on average, and numbers that are sampled for the blocks' limits.
 BLOCK_BYTES, SAMPLED = 12_000_000, 200_000
 #: Bytes of text that are scored against one slice of the states.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
 _BYTE = np.uint64(8)
 
 
@@ -305,12 +305,16 @@ class Model:
         nexts = (every & np.uint64(255)).astype(np.int64)
         share = np.full(len(every), 1 / 256)
         for k in range(DEPTH + 1 if len(self.key) else 0):
-            want = _key(_prefix(every, k), k)
+            # the codes rise, so those of one context are neighbours and look for it once
+            prefix = _prefix(every, k)
+            first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
+            want = _key(prefix[first], k)
             at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-            here = np.flatnonzero(self.key[at] == want)
-            if not len(here):
+            met = self.key[at] == want
+            if not met.any():
                 continue
-            at = at[here]
+            size = np.diff(first, append=len(every))
+            here, at = np.flatnonzero(np.repeat(met, size)), np.repeat(at[met], size[met])
             mine = at << 8 | nexts[here]
             n_at = np.minimum(np.searchsorted(self.pair, mine), len(self.pair) - 1)
             seen = np.where(self.pair[n_at] == mine, self.count[n_at], 0.0)
