@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.llm import bpe, html_text, langid, mixing, quality, rlz, simhash, suffix_tree, topk, warc
+from faultsift.llm import bpe, conversation, html_text, langid, mixing, quality, rlz, simhash, suffix_tree, topk, warc
 from faultsift.llm.common import new_dir, tables
 
 #: Target weights of the sources; all others share "*".
@@ -103,6 +103,10 @@ def op10_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(conversation.damaged(tables(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mix": op2_mix,
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_topk": op9_topk,
     "op10_rlz": op10_rlz,
+    "op13_conversation": op13_conversation,
     "pages_langid": pages_langid,
 }
 
@@ -132,6 +137,27 @@ def _js(name: str, of: str, all_: str) -> str:
   SELECT doc_id, v / sum(v) OVER (PARTITION BY doc_id) AS p, u / sum(u) OVER (PARTITION BY doc_id) AS q
   FROM (SELECT doc_id, unnest({of})::DOUBLE AS v, unnest({all_})::DOUBLE AS u FROM f JOIN ref ON f.l = ref.l) AS x) AS y GROUP BY doc_id)"""
 
+def _edit(state: str, cost: str, letter: str, line: str = "") -> str:
+    """SQL of a state's path (cost, audit, lines) with one edit more; null if the state was not reached."""
+    lines = f"list_append({state}.l, {line})" if line else f"{state}.l"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'l': {lines}}} END"
+
+
+def _row_of(to: str, befores: str, made: bool = True) -> str:
+    """SQL of the best path to state u or a (or s) by deleting, keeping or re-roling the row r."""
+    role = {"u": "user", "a": "assistant"}.get(to)
+    ways = [_edit(f"p.{to}", "2", "D")]
+    for b in befores:
+        ways.append(f"CASE WHEN NOT r.must AND left(r.role, 1) = '{to}' THEN {_edit(f'p.{b}', 'r.extra', 'K', 'r.role || chr(58) || r.text')} END")
+        if made:
+            ways.append(f"CASE WHEN NOT r.must THEN {_edit(f'p.{b}', '1 + r.extra', 'R', f'{chr(39)}{role}:{chr(39)} || r.text')} END")
+    return f"least({', '.join(ways)})"
+
+
+#: Empty rows inserted after a row (or before the first): at most one of each role is worth its cost.
+_U1 = f"least(u, {_edit('z', '5', 'I', chr(39) + 'user:' + chr(39))}, {_edit('s', '5', 'I', chr(39) + 'user:' + chr(39))}, {_edit('a', '5', 'I', chr(39) + 'user:' + chr(39))})"
+_A1 = f"least(a, {_edit('u', '5', 'I', chr(39) + 'assistant:' + chr(39))})"
+
 ORACLE: dict[str, str] = {
     # earliest deadline first, slot by slot; then the rows of each stream in the order of their keys
     "op2_mix": f"""
@@ -192,6 +218,33 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    # the best path to each state, row by row
+    "op13_conversation": rf"""
+WITH RECURSIVE f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+b AS (SELECT key, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(octet_length(encode(key))), lambda i: ascii(key[i + 1])::UBIGINT)), lambda c, x:
+  list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda v, y: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)) AS crc FROM (SELECT DISTINCT key FROM f)),
+g AS (SELECT f.*, xor(crc, 4294967295::UBIGINT) % 20 AS fault FROM f JOIN b ON f.key = b.key),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS found FROM d),
+k AS (SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+r AS (SELECT *, found IN ('blank', 'duplicate') AS must, CASE WHEN found = 'truncated' THEN 5 ELSE 0 END AS extra FROM o),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (found = 'blank') AS blank, count(*) FILTER (found = 'duplicate') AS duplicate,
+  count(*) FILTER (found = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n_rows FROM k GROUP BY conv_id),
+p AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'l': []::VARCHAR[]}} AS z, NULL::STRUCT(c BIGINT, a VARCHAR, l VARCHAR[]) AS s, {{'c': 5::BIGINT, 'a': 'I', 'l': ['user:']}} AS u,
+    {{'c': 10::BIGINT, 'a': 'II', 'l': ['user:', 'assistant:']}} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, z, s, {_U1} AS u, {_A1} AS a FROM (SELECT conv_id, i, z, s, {_U1} AS u, {_A1} AS a FROM (
+    SELECT p.conv_id AS conv_id, p.i + 1 AS i, {_edit("p.z", "2", "D")} AS z, {_row_of("s", "z", False)} AS s, {_row_of("u", "zsa")} AS u, {_row_of("a", "u")} AS a
+    FROM p JOIN r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = p.i + 1))
+), e AS (SELECT conv_id, i, least(z, a) AS best FROM p)
+SELECT e.conv_id AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(array_to_string(best.l, chr(10))) AS repaired_sha256
+FROM e LEFT JOIN n ON e.conv_id IS NOT DISTINCT FROM n.conv_id WHERE e.i = coalesce(n_rows, 0)""",
     "op10_rlz": """
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, unnest(range(len(ws) - 12)) AS i, ws FROM w WHERE len(ws) >= 13),
