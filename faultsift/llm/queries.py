@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.llm import bpe, conversation, html_text, langid, mixing, quality, rlz, simhash, suffix_tree, topk, warc
-from faultsift.llm.common import new_dir, tables
+from faultsift.llm import align, bpe, conversation, html_text, langid, licenses, mixing, quality, rlz, simhash, suffix_tree, topk, warc
+from faultsift.llm.common import new_dir, staged, tables
 
 #: Target weights of the sources; all others share "*".
 WEIGHTS = {"src0": 25, "src1": 10, "src2": 10, "src3": 5, "src4": 5, "*": 45}
 
 
-def tokenizer_path() -> str:
-    """The byte-level vocabulary; a parameter of the operators, installed on every machine."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary's file, by default the byte-level one; a parameter of the operators, installed on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -103,6 +103,19 @@ def op10_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = tokenizer_path(), tokenizer_path("piece_bpe_32k.model")
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    made = align.align(docs, a, b, keep=["doc_id"])
+    sha = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    aligned = staged(made.withColumn("groups_sha256", sha).drop("groups"), "aligned")
+    return align.score(aligned, align.pieces(b)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(tables(spark, sf_dir, "documents"), keep=["doc_id"]).drop("spans")
+
+
 def op13_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair(conversation.damaged(tables(spark, sf_dir, "conversations")))
 
@@ -118,6 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_topk": op9_topk,
     "op10_rlz": op10_rlz,
+    "op11_align": op11_align,
+    "op12_licenses": op12_licenses,
     "op13_conversation": op13_conversation,
     "pages_langid": pages_langid,
 }
