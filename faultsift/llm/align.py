@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.bpe import Bpe
+from faultsift.llm.bpe import LONG_WORD, Bpe
 from faultsift.llm.common import staged, text_batches
 
 #: Pairs whose counts are broadcast (16 bytes each).
@@ -33,6 +33,8 @@ HEAD_PAIRS = 1_000_000
 BATCH_CHARS = 1_000_000
 #: Bytes of stretches that a worker remembers; beyond that it starts anew.
 CACHE_BYTES = 32_000_000
+#: Words of A that a worker remembers beside them.
+CACHE_WORDS = 200_000
 #: Bytes that a stretch takes beside its text, groups and pairs.
 _ENTRY = 300
 #: Groups with more pairs are counted by their different ids instead of being listed.
@@ -99,6 +101,7 @@ class Aligner:
         self.blob_b, self.start_b = np.frombuffer(b"".join(token), np.uint8), np.cumsum(self.length_b) - self.length_b
         self.n_b = len(pieces)
         self.space = self.b.piece_to_id(_MARK)
+        self.words_a: dict[str, bytes] = {}
         self.written = [f"{i}{end}".encode() for i in range(max(len(self.a.length), self.n_b)) for end in (",", "|", ";", "")]
         self.forget()
 
@@ -114,12 +117,42 @@ class Aligner:
         """Ids of a space and each text; the library adds the space itself, but not to an empty text."""
         return [ids or [self.space] for ids in self.b.encode(texts, num_threads=1)]
 
+    def _encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and each text, one after the other, and their numbers.
+
+        Texts are split into words as one string, as no word goes on over a space before one; those that end
+        in white space, which could, are split alone and stand for one word.
+        """
+        joined = [not t[-1:].isspace() and t != "" for t in texts]
+        words = self.a.pattern.findall("".join([" " + t for t, ok in zip(texts, joined, strict=True) if ok]))
+        if len(self.words_a) > CACHE_WORDS:
+            self.words_a = {}
+        known = self.words_a
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        short = [w for w in new if len(w) <= LONG_WORD // 4]
+        known.update(zip(short, self.a.words([w.encode() for w in short]), strict=True))
+        known.update((w, self.a.encode([w])[0]) for w in new if len(w) > LONG_WORD // 4)
+        packed = [known[w] for w in words]
+        sizes, chars = np.array([len(p) // 4 for p in packed], np.int64), np.cumsum(np.array([len(w) for w in words], np.int64))
+        ends = np.cumsum([len(t) + 1 for t, ok in zip(texts, joined, strict=True) if ok])
+        last = np.searchsorted(chars, ends, "right")
+        before = np.append(0, np.cumsum(sizes))
+        n = np.zeros(len(texts), np.int64)
+        n[np.flatnonzero(joined)] = np.diff(np.append(0, before[last]))
+        if not all(joined):
+            alone = self.a.encode([" " + t for t, ok in zip(texts, joined, strict=True) if not ok])
+            n[~np.array(joined)] = [len(p) // 4 for p in alone]
+            whole, rest, at, of = b"".join(packed), iter(alone), 0, []
+            for ok, k in zip(joined, n.tolist(), strict=True):
+                of.append(whole[4 * at : 4 * (at + k)] if ok else next(rest))
+                at += k * ok
+            packed = of
+        return np.frombuffer(b"".join(packed), "<u4").astype(np.int64), n
+
     def _learn(self, new: list[str]) -> None:
-        packed = self.a.encode([" " + t for t in new])
+        a, n_a = self._encode_a(new)
         ids_b = self._encode_b(new)
-        a = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
-        b = np.array([i for ids in ids_b for i in ids], np.int64)
-        n_a, n_b = np.array([len(p) // 4 for p in packed]), np.array([len(i) for i in ids_b])
+        b, n_b = np.array([i for ids in ids_b for i in ids], np.int64), np.array([len(i) for i in ids_b])
         size_a, size_b = self.a.length[a], self.length_b[b]
         unit_a, unit_b = np.repeat(np.arange(len(new)), n_a), np.repeat(np.arange(len(new)), n_b)
         want = [(" " + t).encode() for t in new]
@@ -206,7 +239,9 @@ def _summed(owner: np.ndarray, code: np.ndarray, weight: np.ndarray) -> tuple[np
     """Different codes of each owner, in order, with the sums of their weights and their owner."""
     if not len(code):
         return code, weight, owner
-    order = np.lexsort((code, owner))
+    span = int(code.max()) + 1
+    fits = span * (int(owner.max()) + 1) < 1 << 62
+    order = np.argsort(owner * span + code) if fits else np.lexsort((code, owner))
     owner, code, weight = owner[order], code[order], weight[order]
     first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])))
     return code[first], np.add.reduceat(weight, first), owner[first]
