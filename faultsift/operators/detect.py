@@ -14,32 +14,32 @@ MOST_STRENGTH = 16.0
 MOST_WEAK_STRENGTH = 2.0
 
 
-def strengths(cells: DataFrame, rules: DataFrame) -> DataFrame:
-    """(minute, entity, feature, category, strength, immediate) of the cells (minute, entity, feature, value) with a rule.
+def strengths(cells: DataFrame, rules: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, minute, entity, feature, category, strength, immediate) of the cells (by, minute, entity, feature, value) with a rule.
 
     The strength is the directed distance from the robust reference in scales, zero outside the
     rule's bounds or with fewer than three values, weighted and capped.
     """
     held = cells.where(F.col("value").isNotNull() & ~F.isnan("value")).join(F.broadcast(rules), "feature").where(F.abs("value") < float("inf"))
-    ref = reference(held, ["entity", "feature", "floor"], "value", F.col("floor")).drop("floor")
-    rows = held.join(ref, ["entity", "feature"])
+    ref = reference(held, [*by, "entity", "feature", "floor"], "value", F.col("floor")).drop("floor")
+    rows = held.join(ref, [*by, "entity", "feature"])
     inside = (F.col("least").isNull() | (F.col("value") >= F.col("least"))) & (F.col("most").isNull() | (F.col("value") <= F.col("most")))
     raw = F.greatest(F.lit(0.0), F.col("direction") * (F.col("value") - F.col("center")) / F.col("scale")) * F.col("weight")
     cap = F.when(F.col("weight") >= 1, MOST_STRENGTH).otherwise(MOST_WEAK_STRENGTH)
     strength = F.when(inside & (F.col("n") >= LEAST_COUNT), F.least(cap, raw)).otherwise(0.0)
-    return rows.select("minute", "entity", "feature", "category", strength.alias("strength"), (F.col("immediate") & (strength >= 3)).alias("immediate"))
+    return rows.select(*by, "minute", "entity", "feature", "category", strength.alias("strength"), (F.col("immediate") & (strength >= 3)).alias("immediate"))
 
 
-def log_faults(logs: DataFrame) -> DataFrame:
+def log_faults(logs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Strength rows of log cells whose feature names a severe line."""
     severe = F.col("feature").rlike("err|crit|alert|warning") & (F.col("value") > 0)
-    return logs.where(severe).select("minute", "entity", "feature", F.lit("routing_fault").alias("category"), F.lit(5.0).alias("strength"), F.lit(True).alias("immediate"))
+    return logs.where(severe).select(*by, "minute", "entity", "feature", F.lit("routing_fault").alias("category"), F.lit(5.0).alias("strength"), F.lit(True).alias("immediate"))
 
 
-def node_probability(found: DataFrame) -> DataFrame:
-    """(minute, entity, strongest, sustained, immediate, probability); single minutes count less."""
-    top = found.groupBy("minute", "entity").agg(F.max("strength").alias("strongest"), F.bool_or("immediate").alias("immediate"))
-    top = neighbour_support(top, ["entity"], "minute", F.col("strongest") >= 2.5, "sustained")
+def node_probability(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, minute, entity, strongest, sustained, immediate, probability); single minutes count less."""
+    top = found.groupBy(*by, "minute", "entity").agg(F.max("strength").alias("strongest"), F.bool_or("immediate").alias("immediate"))
+    top = neighbour_support(top, [*by, "entity"], "minute", F.col("strongest") >= 2.5, "sustained")
     p = probability(F.col("strongest"))
     return top.withColumn("probability", F.when(F.col("sustained") | F.col("immediate"), p).otherwise(p * 0.55))
 
@@ -59,35 +59,35 @@ def failure_symptom(failures: Column, requests: Column) -> Column:
     return F.when((requests > 0) & failures.isNotNull(), F.least(F.lit(MOST_STRENGTH), f * 15 / (requests + 30)))
 
 
-def service_symptoms(cells: DataFrame) -> DataFrame:
-    """(minute, entity, symptom) of traffic edges: failed requests, latency and loss, the strongest."""
+def service_symptoms(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, minute, entity, symptom) of traffic edges: failed requests, latency and loss, the strongest."""
     name = F.element_at(F.split("feature", r"\."), -1)
-    wide = cells.withColumn("k", name).groupBy("minute", "entity").agg(
+    wide = cells.withColumn("k", name).groupBy(*by, "minute", "entity").agg(
         *(F.max(F.when(F.col("k") == n, F.col("value"))).alias(n) for n in ("requests_rate", "error_rate", "success_rate"))
     )
     failed = wide.select(
-        "minute", "entity",
+        *by, "minute", "entity",
         F.greatest(failure_symptom(F.col("error_rate"), F.col("requests_rate")), failure_symptom(F.col("requests_rate") - F.col("success_rate"), F.col("requests_rate"))).alias("symptom"),
     )
     slow = cells.withColumn("k", name).where("k in ('latency_p95_seconds', 'loss_rate')")
     floor = F.when(F.col("k") == "latency_p95_seconds", 0.25).otherwise(0.03)
-    ref = reference(slow.withColumn("floor", floor), ["entity", "feature", "floor"], "value", F.col("floor")).drop("floor")
+    ref = reference(slow.withColumn("floor", floor), [*by, "entity", "feature", "floor"], "value", F.col("floor")).drop("floor")
     least = F.when(F.col("k") == "latency_p95_seconds", 0.5).otherwise(0.05)
     z = F.greatest(F.lit(0.0), F.least(F.lit(MOST_STRENGTH), (F.col("value") - F.col("center")) / F.col("scale")))
-    scored = slow.join(ref, ["entity", "feature"]).where(F.col("n") >= LEAST_COUNT).select("minute", "entity", F.when(F.col("value") >= least, z).otherwise(0.0).alias("symptom"))
-    return failed.where("symptom is not null").union(scored).groupBy("minute", "entity").agg(F.max("symptom").alias("symptom"))
+    scored = slow.join(ref, [*by, "entity", "feature"]).where(F.col("n") >= LEAST_COUNT).select(*by, "minute", "entity", F.when(F.col("value") >= least, z).otherwise(0.0).alias("symptom"))
+    return failed.where("symptom is not null").union(scored).groupBy(*by, "minute", "entity").agg(F.max("symptom").alias("symptom"))
 
 
-def service_probability(symptoms: DataFrame) -> DataFrame:
-    """(minute, probability) of the strongest symptom of each minute; minutes without a like neighbour count less.
+def service_probability(symptoms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, minute, probability) of the strongest symptom of each minute; minutes without a like neighbour count less.
 
     Neighbours are found by equality with the listed minutes beside active ones, so no task holds the whole timeline.
     """
-    top = symptoms.groupBy("minute").agg(F.max("symptom").alias("symptom"))
-    beside = top.where("symptom >= 2.5").select(F.explode(F.array(F.col("minute") - 1, F.col("minute") + 1)).alias("minute")).distinct()
-    rows = top.join(beside.withColumn("_near", F.lit(True)), "minute", "left")
+    top = symptoms.groupBy(*by, "minute").agg(F.max("symptom").alias("symptom"))
+    beside = top.where("symptom >= 2.5").select(*by, F.explode(F.array(F.col("minute") - 1, F.col("minute") + 1)).alias("minute")).distinct()
+    rows = top.join(beside.withColumn("_near", F.lit(True)), [*by, "minute"], "left")
     sustained = F.coalesce((F.col("symptom") >= 2.5) & F.col("_near"), F.lit(False))
-    return rows.select("minute", (probability(F.col("symptom")) * F.when(sustained, 0.9).otherwise(0.4)).alias("probability"))
+    return rows.select(*by, "minute", (probability(F.col("symptom")) * F.when(sustained, 0.9).otherwise(0.4)).alias("probability"))
 
 
 def log_support(count: Column, severity: Column) -> Column:

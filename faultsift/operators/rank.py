@@ -18,8 +18,8 @@ FUSION_WEIGHTS = {
 }
 
 
-def phases(events: DataFrame) -> DataFrame:
-    """(event, phase, step, length): the steps of each event (event, start, end) before, during, early and in recovery; end is exclusive."""
+def phases(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, event, phase, step, length): the steps of each event (event, start, end) before, during, early and in recovery; end is exclusive."""
     s, e = F.col("start"), F.col("end")
     early = F.greatest(F.lit(1), F.floor((e - s) / 3)).cast("long")
     spans = F.array(
@@ -28,8 +28,8 @@ def phases(events: DataFrame) -> DataFrame:
         F.struct(F.lit("early").alias("phase"), s.alias("a"), (s + early).alias("b")),
         F.struct(F.lit("recovery").alias("phase"), e.alias("a"), (e + AFTER).alias("b")),
     )
-    rows = events.select("event", F.inline(spans)).withColumn("a", F.greatest(F.lit(0).cast("long"), "a")).where("b > a")
-    return rows.select("event", "phase", (F.col("b") - F.col("a")).alias("length"), F.explode(F.expr("sequence(a, b - 1)")).alias("step"))
+    rows = events.select(*by, "event", F.inline(spans)).withColumn("a", F.greatest(F.lit(0).cast("long"), "a")).where("b > a")
+    return rows.select(*by, "event", "phase", (F.col("b") - F.col("a")).alias("length"), F.explode(F.expr("sequence(a, b - 1)")).alias("step"))
 
 
 def phase_strength(events: DataFrame, scores: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Registered queries of the diagnosis: every event of the events table stands for cells of a network.
+"""Registered queries of the detectors' timelines: every event of the events table stands for cells of a network.
 
 An event's number picks a family of features, its user a node of the network, and its value gives
 the features' values. The SQL states the same rows step by step, each step as named subqueries.
@@ -6,11 +6,10 @@ the features' values. The SQL states the same rows step by step, each step as na
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.operators import classify, diagnose, evaluate, rank, robust
+from faultsift.operators import diagnose, evaluate, rank, robust
 from faultsift.operators import events as event_ops
 from faultsift.plans import dims
 from faultsift.plans.base import EV, events, query, table
@@ -54,8 +53,7 @@ def network_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         each = [F.struct(F.lit(f).alias("feature"), F.expr(v).cast("double").alias("value")) for f, v in features]
         rows.append(F.when(F.col("fam") == i, F.struct(F.lit(modality).alias("modality"), entity.alias("entity"), F.array(*each).alias("cells"))))
     long = e.select("minute", F.coalesce(*rows).alias("r")).select("minute", "r.modality", "r.entity", F.inline("r.cells"))
-    # all steps of the diagnosis read the cells
-    return long.groupBy("modality", "minute", "entity", "feature").agg(F.max("value").alias("value")).persist(StorageLevel.DISK_ONLY)
+    return long.groupBy("modality", "minute", "entity", "feature").agg(F.max("value").alias("value"))
 
 
 def _family_sql(i: int, kind: str, feature: str, value: str) -> str:
@@ -117,67 +115,12 @@ nsc AS (SELECT minute, entity, strongest AS score FROM np),
 esc AS (SELECT minute, entity, max(score) AS score FROM (SELECT minute, entity, symptom AS score FROM sy UNION ALL SELECT minute, entity, support FROM ns) AS u GROUP BY 1, 2),
 nm AS (SELECT minute, max(p) AS p FROM np GROUP BY 1),
 ml AS (SELECT coalesce(nm.minute, sp.minute) AS minute, coalesce(nm.p, 0) AS node, coalesce(sp.p, 0) AS service, greatest(coalesce(nm.p, 0), coalesce(sp.p, 0)) AS probability FROM nm FULL JOIN sp ON nm.minute = sp.minute)"""
-WINDOWS = f"""{LINES}, wk AS (SELECT *, CASE WHEN minute - lag(minute) OVER (ORDER BY minute) <= 2 THEN 0 ELSE 1 END AS fresh FROM ml WHERE probability >= 0.4),
-wi AS (SELECT *, sum(fresh) OVER (ORDER BY minute) AS island FROM wk),
-wn AS (SELECT CAST(s AS VARCHAR) AS event, s, e, peak FROM (SELECT min(minute) FILTER (probability >= 0.8) AS s, max(minute) + 1 AS e, max(probability) AS peak FROM wi GROUP BY island) AS i WHERE s IS NOT NULL)"""
-PARTS = f"""{WINDOWS}, ph AS (SELECT event, 'before' AS phase, greatest(0, s - 10) AS a, s AS b FROM wn UNION ALL SELECT event, 'during', s, e FROM wn
-  UNION ALL SELECT event, 'early', s, s + greatest(1, (e - s) // 3) FROM wn UNION ALL SELECT event, 'recovery', e, e + 15 FROM wn),
-{", ".join(f'''{t}s AS (SELECT event, entity, coalesce(max(v) FILTER (phase = 'before'), 0) AS b, coalesce(max(v) FILTER (phase = 'during'), 0) AS d, coalesce(max(v) FILTER (phase = 'early'), 0) AS y, coalesce(max(v) FILTER (phase = 'recovery'), 0) AS r
-  FROM (SELECT event, phase, entity, 0.7 * max(score) + 0.3 * sum(score) / any_value(b - a) AS v FROM ph JOIN {t} ON minute >= a AND minute < b GROUP BY 1, 2, 3) AS g GROUP BY 1, 2)''' for t in ("nsc", "esc", "lsc"))},
-pe AS (SELECT event, entity, CASE WHEN max(score) <> 0 THEN sum(score) / any_value(b - a) / max(score) END AS v FROM ph JOIN nsc ON minute >= a AND minute < b WHERE phase = 'during' GROUP BY 1, 2),
-ee AS (SELECT DISTINCT entity, string_split(entity, '>')[1] AS source, string_split(entity, '>')[3] AS relation, string_split(string_split(entity, '>')[2], ':')[2] AS city FROM cells WHERE modality = 'edge'),
-en AS (SELECT entity, city || '-service-vm-' || k AS node, 'target' AS part FROM ee, (SELECT unnest([1, 2, 3]) AS k) AS ks WHERE relation = 'traffic'
-  UNION ALL SELECT entity, source, 'observer' FROM ee WHERE relation = 'traffic' UNION ALL SELECT entity, source, 'flow' FROM ee WHERE relation = 'netflow'),
-ed AS (SELECT event, node, max((d + 0.25 * y) / 3) FILTER (part = 'target') AS tt, max(0.025 * d) FILTER (part = 'observer') AS ob, sum(0.25 * greatest(0, d - b) + 0.1 * greatest(0, y - b)) FILTER (part = 'flow') AS nf
-  FROM escs x JOIN en ON x.entity = en.entity GROUP BY 1, 2),
-se AS (SELECT DISTINCT event, node FROM ph JOIN (SELECT minute, entity AS node FROM nsc UNION ALL SELECT minute, entity FROM lsc UNION ALL SELECT minute, node FROM esc x JOIN en ON x.entity = en.entity) AS m ON minute >= a AND minute < b WHERE phase = 'during'),
-pa AS (SELECT w.event, w.node, coalesce(n.d, 0) AS direct, coalesce(n.y, 0) AS early, coalesce(n.b, 0) AS pre, coalesce(pe.v, 0) AS persistence, greatest(0, coalesce(n.d, 0) - coalesce(n.r, 0)) AS recovery, coalesce(l.d, 0) AS log,
-  coalesce(tt, 0) AS traffic_target, coalesce(ob, 0) AS traffic_observer, coalesce(nf, 0) AS netflow, se.node IS NOT NULL AS observed
-  FROM (SELECT event, unnest({_NODES}) AS node FROM wn) AS w LEFT JOIN nscs n ON w.event = n.event AND w.node = n.entity LEFT JOIN lscs l ON w.event = l.event AND w.node = l.entity
-  LEFT JOIN pe ON w.event = pe.event AND w.node = pe.entity LEFT JOIN ed ON w.event = ed.event AND w.node = ed.node LEFT JOIN se ON w.event = se.event AND w.node = se.node),
-ro AS (SELECT event, node, 0.5 * direct + 0.2 * early + 0.15 * pre + 0.15 * recovery + 1.1 * log + 0.15 * traffic_target + traffic_observer + least(netflow, greatest(direct, log) * 0.2) AS score FROM pa),
-t5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY round(score, 9) DESC, list_position({_NODES}, node)) AS rank FROM ro) AS k WHERE rank <= 5)"""
-_SIGNAL = {
-    "node.cpu_usage": ("cpu", False), "node.memory_available_ratio": ("memory", True), "node.disk_io_util": ("disk_io", False), "node.filesystem_used_ratio": ("disk_space", False),
-    "interface.rx_drop_rate": ("link_loss", False), "routing.bgp_peer_up": ("bgp_down", True), "node.process_count": ("process", False), "traffic.web.error_rate": ("web_error", False),
-    "traffic.web.latency_p95_seconds": ("web_latency", False), "traffic.auth.timeout_rate": ("auth_timeout", False), "traffic.auth.error_rate": ("auth_error", False),
-    "netflow.unique_destination_ports.protocol_tcp": ("port_selectivity", False), "frr.bgp.err.count": ("bgp_down", False), "frr.ospf.warning.count": ("ospf_down", False),
-}
-
-
-def _signal_sql(name: str, owners: str, owner: str) -> str:
-    return f"""{name}x AS (SELECT event, {owner}, modality, c.feature, signal, low, c.value, c.minute < s AS before FROM cells c JOIN sg ON c.feature = sg.feature JOIN {owners} o USING (modality, entity) JOIN wn ON c.minute >= greatest(0, s - 30) AND c.minute < e),
-{name}q AS (SELECT event, {owner}, modality, feature, signal, low, quantile_cont(value, [0.25, 0.5, 0.75]) FILTER (before) AS q, max(value) FILTER (NOT before) AS hi, min(value) FILTER (NOT before) AS lo, max(abs(value)) FILTER (NOT before) AS size FROM {name}x GROUP BY ALL),
-{name} AS (SELECT event, {owner}, signal, max(least(25.0, CASE WHEN q IS NULL THEN size ELSE greatest(0, CASE WHEN low THEN q[2] - lo ELSE hi - q[2] END / greatest(q[3] - q[1], abs(q[2]) * 0.05, 0.01)) END)
-  * CASE feature WHEN 'node.disk_io_util' THEN greatest(0, least(1, hi / 100)) ELSE 1 END) AS strength FROM {name}q WHERE hi IS NOT NULL GROUP BY 1, 2, 3)"""
-
-
-SIGNALS = f"""{PARTS}, sg(feature, signal, low) AS (VALUES {", ".join(f"('{f}', '{s}', {str(w).lower()})" for f, (s, w) in _SIGNAL.items())}),
-ow AS (SELECT DISTINCT modality, entity, entity AS node FROM cells WHERE modality <> 'edge' UNION ALL SELECT 'edge', entity, node FROM en WHERE part <> 'observer'),
-{_signal_sql("cs", "ow", "node")}"""
-CITY = f"""{PARTS}, sg(feature, signal, low) AS (VALUES {", ".join(f"('{f}', '{s}', {str(w).lower()})" for f, (s, w) in _SIGNAL.items())}),
-ow AS (SELECT DISTINCT modality, entity, string_split(entity, '-')[1] AS city FROM cells WHERE modality <> 'edge' UNION ALL SELECT 'edge', entity, CASE relation WHEN 'netflow' THEN string_split(source, '-')[1] ELSE city END FROM ee),
-{_signal_sql("cy", "ow", "city")}"""
-_cases = lambda names: " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items())
-_CATEGORY = f"""coalesce(CASE WHEN node LIKE '%-fw' THEN CASE signal {_cases(classify.FIREWALL)} END END, CASE WHEN regexp_matches(node, '-(br|cr)-[0-9]+$') THEN CASE signal {_cases(classify.ROUTER)} END END, CASE signal {_cases(classify.ANY_DEVICE)} END)"""
-_TAXONOMY = ", ".join(f"('{t[0]}', {i})" for i, t in enumerate(dims.TAXONOMY))
-CATEGORIES = f"""{SIGNALS}, tx(name, ord) AS (VALUES {_TAXONOMY}),
-ca AS (SELECT event, node, category, max(strength) AS v, max(score) AS score FROM (SELECT t5.event, t5.node, score, strength, {_CATEGORY.replace("node ", "t5.node ").replace("(node,", "(t5.node,")} AS category FROM t5 JOIN cs ON t5.event = cs.event AND t5.node = cs.node) AS x WHERE category IS NOT NULL AND strength > 0 GROUP BY 1, 2, 3),
-cn1 AS (SELECT event, node, sum(v) AS s, greatest(0, any_value(score)) * sum(v) AS bo FROM ca GROUP BY 1, 2),
-cw AS (SELECT event, node, s, (CASE WHEN sum(bo) OVER w > 0 THEN bo / sum(bo) OVER w ELSE 1 / count(*) OVER w END + CASE WHEN sum(s) OVER w > 0 THEN s / sum(s) OVER w ELSE 1 / count(*) OVER w END) * 0.5 AS w FROM cn1 WINDOW w AS (PARTITION BY event)),
-cp AS (SELECT ca.event, category, sum(w * v / s) AS p FROM ca JOIN cw ON ca.event = cw.event AND ca.node = cw.node GROUP BY 1, 2),
-c3 AS (SELECT * FROM (SELECT cp.*, row_number() OVER (PARTITION BY event ORDER BY round(p, 9) DESC, ord) AS rank FROM cp JOIN tx ON category = name) AS k WHERE rank <= 3
-  UNION ALL SELECT event, CASE WHEN node LIKE '%-fw' THEN 'firewall_cpu_pressure' WHEN regexp_matches(node, '-(br|cr)-[0-9]+$') THEN 'route_bgp_session_down' ELSE 'resource_cpu_high' END, 0, 1 FROM t5 WHERE rank = 1 AND event NOT IN (SELECT event FROM cp))"""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return diagnose.timelines(network_cells(spark, sf_dir), dims.direct_rules(spark))
 
 
-def diagnosed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return diagnose.diagnose(spark, network_cells(spark, sf_dir), dims.direct_rules(spark))
-
-
 @query(f"WITH {DIRECT} SELECT minute, entity, feature, category, round(strength + 1e-9, 6) AS strength FROM st")
 def direct_and_log_strength(spark, sf_dir):
     return lines(spark, sf_dir)["direct"].select("minute", "entity", "feature", "category", r6("strength").alias("strength"))
@@ -198,80 +141,6 @@ def edge_scores(spark, sf_dir):
     return lines(spark, sf_dir)["edge"].withColumn("score", r6("score"))
 
 
-_NUMBERS = ["direct", "early", "pre", "persistence", "recovery", "log", "traffic_target", "traffic_observer", "netflow"]
-
-
-@query(f"WITH {PARTS} SELECT event, node, {', '.join(f'round({c} + 1e-9, 6) AS {c}' for c in _NUMBERS)}, observed FROM pa")
-def candidate_evidence(spark, sf_dir):
-    return diagnosed(spark, sf_dir)["parts"].select("event", "node", *(r6(c).alias(c) for c in _NUMBERS), "observed")
-
-
-@query(f"WITH {PARTS} SELECT event, node, round(score + 1e-9, 6) AS score, CAST(rank AS INTEGER) AS rank FROM t5")
-def event_roots(spark, sf_dir):
-    return diagnosed(spark, sf_dir)["top5"].select("event", "node", r6("score").alias("score"), "rank")
-
-
-@query(f"""WITH {PARTS}, v AS (SELECT event, node, round(direct + log + 1e-9, 6) AS score FROM pa), r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY score DESC, node) AS rank, count(*) OVER (PARTITION BY event) AS n FROM v WHERE score > 0)
-SELECT event, node, score, CAST(rank AS INTEGER) AS rank, greatest(0, n - 20) AS truncated FROM r WHERE rank <= 20""")
-def subgraph_nodes(spark, sf_dir):
-    parts = diagnosed(spark, sf_dir)["parts"]
-    return event_ops.event_nodes(parts, r6(F.col("direct") + F.col("log")), ["event"]).select("event", "node", "score", "rank", "truncated")
-
-
-@query(f"WITH {SIGNALS} SELECT event, node, signal, round(strength + 1e-9, 6) AS strength FROM cs")
-def candidate_signals(spark, sf_dir):
-    c = network_cells(spark, sf_dir)
-    return diagnose.candidate_signals(diagnosed(spark, sf_dir)["events"], c).withColumn("strength", r6("strength"))
-
-
-@query(f"WITH {CITY} SELECT event, city, signal, round(strength + 1e-9, 6) AS strength FROM cy")
-def city_signals(spark, sf_dir):
-    c = network_cells(spark, sf_dir)
-    return diagnose.city_signals(diagnosed(spark, sf_dir)["events"], c).withColumn("strength", r6("strength"))
-
-
-@query(f"WITH {CATEGORIES} SELECT event, category, round(p + 1e-9, 6) AS p, CAST(rank AS INTEGER) AS rank FROM c3")
-def event_categories(spark, sf_dir):
-    return diagnosed(spark, sf_dir)["categories"].select("event", "category", r6("p").alias("p"), "rank")
-
-
-@query(f"""WITH {CATEGORIES} SELECT wn.event AS event, s AS "start", e AS "end", round(peak + 1e-9, 6) AS confidence, nodes, category, round(p + 1e-9, 6) AS category_p
-FROM wn JOIN (SELECT event, string_agg(node, ',' ORDER BY rank) AS nodes FROM t5 GROUP BY 1) AS n ON wn.event = n.event JOIN c3 ON wn.event = c3.event AND rank = 1""")
-def diagnosis(spark, sf_dir):
-    """From cells to a record of every event: interval, five nodes and a category."""
-    d = diagnosed(spark, sf_dir)
-    nodes = d["top5"].groupBy("event").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: x["node"]), ",").alias("nodes"))
-    best = d["categories"].where("rank = 1").select("event", "category", r6("p").alias("category_p"))
-    return d["events"].select("event", "start", "end", r6("confidence").alias("confidence")).join(nodes, "event").join(best, "event")
-
-
-_ANCHORS = ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in diagnose.ANCHORS)
-AUDIT = f"""{CATEGORIES}, an(category, family, metric, least) AS (VALUES {_ANCHORS}),
-pk AS (SELECT event, s, e, arg_max({{'m': minute, 'n': node, 'v': service}}, (probability, -minute)) AS hit FROM wn JOIN ml ON minute >= s AND minute < e GROUP BY 1, 2, 3),
-tie AS (SELECT event, count(*) AS ties, min(entity) AS dn FROM pk JOIN np ON np.minute = hit.m AND abs(np.p - hit.n) <= 1e-6 GROUP BY 1),
-dr AS (SELECT pk.event, s, e, dn, CASE WHEN greatest(hit.n, hit.v) <= 0 THEN 'undetermined' WHEN abs(hit.n - hit.v) <= 1e-6 THEN 'ambiguous' WHEN hit.v > hit.n THEN 'service' WHEN ties <> 1 OR ties IS NULL THEN 'ambiguous' ELSE 'node' END AS driver FROM pk LEFT JOIN tie ON pk.event = tie.event),
-au AS (SELECT dr.event, driver, t5.node AS root, c3.category, CASE WHEN metric IS NULL THEN 'not_evaluated' WHEN (SELECT count(*) FROM st WHERE st.entity = t5.node AND st.feature = metric AND st.minute >= s AND st.minute < e) = 0 THEN 'undetermined'
-  WHEN (SELECT max(strength) FROM st WHERE st.entity = t5.node AND st.category = family AND st.minute >= s AND st.minute < e) >= least THEN 'supported' ELSE 'unsupported' END AS anchor,
-  driver = 'node' AND string_split(dn, '-')[1] <> string_split(t5.node, '-')[1] AS city_conflict
-  FROM dr JOIN t5 ON dr.event = t5.event AND t5.rank = 1 JOIN c3 ON dr.event = c3.event AND c3.rank = 1 LEFT JOIN an ON c3.category = an.category)"""
-
-
-def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = diagnosed(spark, sf_dir)
-    return diagnose.audit(d["events"], d["minutes"], d["direct"], d["top5"].where("rank = 1"), d["categories"].where("rank = 1"))
-
-
-@query(f"WITH {AUDIT} SELECT event, driver, root, category, anchor, city_conflict FROM au")
-def evidence_audit(spark, sf_dir):
-    return audited(spark, sf_dir)
-
-
-@query(f"""WITH {AUDIT} SELECT 'driver' AS kind, driver AS value, count(*) AS n FROM au GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM au GROUP BY 2 UNION ALL SELECT 'anchor', anchor, count(*) FROM au GROUP BY 2
-UNION ALL SELECT 'flag', 'unsupported_disk', count(*) FROM au WHERE category = 'resource_disk_io_pressure' AND anchor = 'unsupported' HAVING count(*) > 0 UNION ALL SELECT 'flag', 'city_conflict', count(*) FROM au WHERE city_conflict HAVING count(*) > 0""")
-def audit_counters(spark, sf_dir):
-    return diagnose.audit_counts(audited(spark, sf_dir))
-
-
 # --- calibration
 
 FAMILY3 = f"""{EV}, f3 AS (SELECT day, CASE event_type WHEN 'error' THEN 'node' WHEN 'view' THEN 'edge' ELSE 'log' END AS family, max(value) AS v FROM ev WHERE event_id % 3 <> 0 GROUP BY 1, 2)"""

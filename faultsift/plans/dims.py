@@ -77,6 +77,8 @@ DIRECT_RULES = [
     ("routing.bgp_peer_prefix_received", "routing_fault", -1, 5.0, None, None, 0.6, False),
     ("routing.ipv6_route_count", "routing_fault", -1, 5.0, None, None, 0.6, False),
 ]
+#: The families of direct rules, in the order in which equal ones stand.
+FAMILIES = list(dict.fromkeys(r[1] for r in DIRECT_RULES))
 RULE_SCHEMA = "feature string, category string, direction int, floor double, least double, most double, weight double, immediate boolean"
 
 

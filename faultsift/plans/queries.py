@@ -13,12 +13,12 @@ from faultsift.functions import repair
 from faultsift.functions import scalars as S
 from faultsift.operators import cells, classify, detect, evaluate, rank, robust, segment, windows
 from faultsift.operators import events as event_ops
-from faultsift.plans import diagnosis, dims
+from faultsift.plans import cases, diagnosis, dims
 from faultsift.plans import prototypes as P
 from faultsift.plans.base import EV, ORACLE, QUERIES, events, query, r6, table
 from faultsift.sources import telemetry
 
-__all__ = ["ORACLE", "QUERIES", "diagnosis"]
+__all__ = ["ORACLE", "QUERIES", "cases", "diagnosis"]
 
 # --- cells and sources
 

@@ -31,23 +31,71 @@ def cells(spark):
 
 
 def test_the_whole_way(spark):
-    got = diagnose.diagnose(spark, cells(spark), dims.direct_rules(spark))
-    e = got["events"].collect()
+    got = diagnose.Diagnosis(spark, cells(spark), dims.direct_rules(spark))
+    e = got.events.collect()
     assert [(r["start"], r["end"]) for r in e] == [(60, 70)]
-    parts = {r["node"]: r for r in got["parts"].collect()}
+    parts = {r["node"]: r for r in got.parts.collect()}
     assert len(parts) == 80 and parts["beida-fw"]["observed"] is False and parts["beida-fw"]["direct"] == 0
     assert parts["wuhan-fw"]["direct"] > 10 and parts["wuhan-fw"]["netflow"] > 0
     assert parts["wuhan-service-vm-3"]["traffic_target"] > 1 and parts["wuhan-service-vm-3"]["observed"]
     assert parts["xian-service-vm-2"]["traffic_target"] == 0 and parts["wuhan-traffic-vm"]["traffic_observer"] > 0
-    top = sorted((r["rank"], r["node"]) for r in got["top5"].collect())
+    top = sorted((r["rank"], r["node"]) for r in got.top5.collect())
     assert top[0] == (1, "wuhan-fw") and len(top) == 5
-    best = {r["rank"]: r["category"] for r in got["categories"].collect()}
+    best = {r["rank"]: r["category"] for r in got.categories.collect()}
     assert best[1] == "firewall_cpu_pressure"
-    audited = diagnose.audit(got["events"], got["minutes"], got["direct"], got["top5"].where("rank = 1"), got["categories"].where("rank = 1"))
+    assert [(r["local"], r["category"], r["family"], r["anchor"]) for r in got.final.collect()] == [("firewall_cpu_pressure", "firewall_cpu_pressure", "cpu_pressure", "not_checked")]
+    audited = got.audit()
     assert [(r["driver"], r["anchor"], r["city_conflict"]) for r in audited.collect()] == [("node", "supported", False)]
     assert {(r["kind"], r["value"]): r["n"] for r in diagnose.audit_counts(audited).collect()}[("driver", "node")] == 1
-    for df in got.values():
-        df.unpersist()
+    made = evaluate.prediction_flags(got.records()).first()
+    assert made["errors"] == [] and made["prediction_id"] == "pred_0_000001" and made["start_time"] == "1970-01-01T01:00:00.000Z"
+    assert made["fault_category"].asDict() == {"major_category": "firewall", "sub_category": "cpu_pressure"} and made["root_cause_top5"][0]["network_element_id"] == "wuhan-fw"
+
+
+def test_cases_are_computed_apart(spark):
+    """Many cases in one run give what each gives alone; a null case takes no part."""
+    rng = random.Random(2)
+    rows = []
+    for case in ("a", "b", "c", None):
+        for m in range(80):
+            hot = 20 + 10 * (case == "b") <= m < 30 and case != "c"
+            rows += [(case, "node", m, n, "node.cpu_usage", 95.0 if hot and n.endswith("fw") else 10 + rng.random()) for n in ("wuhan-fw", "xian-br-1")]
+            rows += [(case, "edge", m, "wuhan-traffic-vm>service-group:wuhan:web>traffic", f, v) for f, v in (("traffic.web.requests_rate", 100.0), ("traffic.web.error_rate", 70.0 if m in (60, 61, 62) else 0.0))]
+    df = spark.createDataFrame(rows, "case string, " + CELL)
+    rules = dims.direct_rules(spark)
+    whole = diagnose.Diagnosis(spark, df, rules, ("case",))
+    plain = lambda d, one: {
+        k: sorted(str(tuple(v for c, v in r.asDict().items() if c not in ("case", "event", "prediction_id"))) for r in f.collect() if one is None or r["case"] == one)
+        for k, f in (("line", d.line), ("events", d.events), ("parts", d.parts), ("top5", d.top5), ("final", d.final), ("records", d.records()), ("audit", d.audit()))
+    }
+    for case in ("a", "b", "c"):
+        alone = diagnose.Diagnosis(spark, df.where(F.col("case") == case).drop("case"), rules)
+        assert plain(whole, case) == plain(alone, None), case
+    assert {r["case"] for r in whole.events.collect()} == {"a", "b", "c"}
+    assert {r["n"] for r in evaluate.not_single(whole.events, "case", df.select("case").where("case is not null").distinct()).collect()} == {2}
+
+
+def test_family_support_needs_two_families(spark):
+    rows = [("a", 0, "x", 3.0), ("a", 0, "y", 2.9), ("a", 1, "x", 9.0), ("a", 2, "x", 4.0), ("a", 2, "y", 5.0), ("a", 2, "z", None), ("a", 3, "x", 1.0), ("a", 3, "y", 0.0), ("a", 3, "y", 8.0)]
+    got = diagnose.family_support(spark.createDataFrame(rows, "case string, minute long, family string, z double"), ("case",))
+    assert {r["minute"]: r["support"] for r in got.collect()} == {0: 0.5, 1: None, 2: 1.0, 3: 0.5}
+
+
+def test_signals_of_the_city_stand_in(spark):
+    top5 = spark.createDataFrame([("e", "xian-br-1", 1.0, 1), ("f", "xian-fw", 1.0, 1)], "event string, node string, score double, rank int")
+    none = spark.createDataFrame([], "event string, node string, signal string, strength double")
+    city = spark.createDataFrame([("e", "xian", "cpu", 3.0), ("e", "xian", "bgp_down", 9.0), ("e", "wuhan", "memory", 20.0), ("f", "xian", "cpu", 0.0)], "event string, city string, signal string, strength double")
+    got = {(r["event"], r["rank"]): (r["category"], r["p"]) for r in diagnose.categories(spark, top5, none, city=city).collect()}
+    assert got == {("e", 1): ("route_bgp_session_down", 0.75), ("e", 2): ("resource_cpu_high", 0.25), ("f", 1): ("firewall_cpu_pressure", 0.0)}
+
+
+def test_direct_evidence_overrides(spark):
+    """A disk that the root itself backs is named; one that it doesn't back is capped at one half."""
+    rows = [("node", m, n, f, v) for m in range(40) for n, f, v in (
+        ("xian-service-vm-1", "node.disk_io_util", 95.0 if 20 <= m < 26 else 10.0), ("xian-service-vm-1", "node.cpu_usage", 80.0 if 20 <= m < 26 else 10.0), ("xian-cr-1", "node.cpu_usage", 10.0))]
+    got = diagnose.Diagnosis(spark, spark.createDataFrame(rows, CELL), dims.direct_rules(spark)).final.collect()
+    assert [(r["category"], r["family"], r["anchor"]) for r in got] == [("resource_disk_io_pressure", "disk_io_pressure", "supported")]
+    assert got[0]["confidence"] > 0.9
 
 
 def test_an_event_without_signals_takes_a_default(spark):
