@@ -93,9 +93,10 @@ def signals_of(cells: DataFrame) -> DataFrame:
 
 
 def ranked(spark: SparkSession, df: DataFrame, by: list[str], score: str, k: int = 3, name: str = "category") -> DataFrame:
-    """The k best rows of each group with their rank, ties in the taxonomy's order."""
+    """The k best rows of each group with their rank; scores that are equal to nine digits stand in the taxonomy's order."""
     order = dims.taxonomy(spark).select(F.col("fault_name").alias(name), F.col("ord").alias("_ord"))
-    return top(df.join(order, name), by, score, ["_ord"], k).select(*by, name, score, "rank")
+    rows = df.join(order, name).withColumn("_s", F.round(score, 9))
+    return top(rows, by, "_s", ["_ord"], k).select(*by, name, score, "rank")
 
 
 def deviation(df: DataFrame, by: list[str], value: str, phase: str, low: Column, peak: bool = False) -> DataFrame:

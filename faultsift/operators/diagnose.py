@@ -195,10 +195,10 @@ def more_than(a: str, b: str) -> Column:
 
 
 def roots(parts: DataFrame, k: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, event, node, score, rank) of the k best candidates of each event; ties by the node's place in the network."""
+    """(by, event, node, score, rank) of the k best candidates of each event; scores equal to nine digits stand in the network's order."""
     place = F.array_position(F.array(*map(F.lit, NODES)), F.col("node"))
     scored = parts.select(*by, "event", "node", rank.root_score({c: F.col(c) for c in ("direct", "early", "pre", "recovery", "log", "traffic_target", "traffic_observer", "netflow")}).alias("score"), place.alias("_place"))
-    return rank.top(scored, [*by, "event"], "score", ["_place", "node"], k).drop("_place")
+    return rank.top(scored.withColumn("_s", F.round("score", 9)), [*by, "event"], "_s", ["_place", "node"], k).drop("_place", "_s")
 
 
 def _context(events: DataFrame, by: tuple[str, ...]) -> DataFrame:

@@ -21,14 +21,14 @@ from faultsift.sources.staging import staged
 #: What names a case, and the seconds of a step.
 BY, STEP = ("case",), 3600
 #: Roles of which a case has two neighbouring ones.
-CASE_ROLES = ["fw", "br-1", "service-vm-2", "cr-2"]
+CASE_ROLES = ["fw", "br-1", "service-vm-2", "traffic-vm"]
 #: Family of features, and each feature's value in terms that Spark and DuckDB share.
 FAMILIES = [
-    ("node", [("node.cpu_usage", "value / 2"), ("node.memory_available_ratio", "1 / (1 + value / 50)"), ("node.disk_io_util", "value / 2.5"), ("node.filesystem_used_ratio", "value / 250")]),
+    ("node", [("node.cpu_usage", "value / 2"), ("node.memory_available_ratio", "1 / (1 + value / 50)"), ("node.disk_io_util", "least(100, value * value / 200)"), ("node.filesystem_used_ratio", "value / 250")]),
     ("node", [("interface.rx_drop_rate", "value / 1000"), ("routing.bgp_peer_up", "least(1, greatest(0, 2 - value / 100))"), ("node.process_count", "value / 10")]),
     ("web", [("traffic.web.requests_rate", "value"), ("traffic.web.error_rate", "value * least(1, greatest(0.02, (value - 100) / 100))"), ("traffic.web.success_rate", "value * 0.98"), ("traffic.web.latency_p95_seconds", "value / 400")]),
     ("auth", [("traffic.auth.requests_rate", "value"), ("traffic.auth.timeout_rate", "value / 20"), ("traffic.auth.error_rate", "value / 90")]),
-    ("netflow", [("netflow.flow_records.protocol_tcp", "value"), ("netflow.protocol_byte_share.protocol_tcp", "1 / (1 + value / 50)"), ("netflow.unique_destination_ports.protocol_tcp", "value * (event_id % 7) / 7")]),
+    ("netflow", [("netflow.flow_records.protocol_tcp", "value + 25"), ("netflow.protocol_byte_share.protocol_tcp", "1 / (1 + value / 50)"), ("netflow.unique_destination_ports.protocol_tcp", "value * (event_id % 7) / 7")]),
     ("log", [("frr.bgp.err.count", "greatest(0, floor((value - 100) / 20))"), ("frr.ospf.warning.count", "greatest(0, floor((value - 60) / 50))")]),
 ]
 _list = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
@@ -64,7 +64,7 @@ def _family_sql(i: int, kind: str, feature: str, value: str) -> str:
 
 
 CELLS = f"""{EV}, base AS (SELECT user_id AS k, event_id, value, event_id % 6 AS fam, {_list(dims.CITIES)}[user_id % 8 + 1] AS city, {_list(dims.CITIES)}[(user_id * 3 + 1) % 8 + 1] AS other,
-  ['fw', 'br-1', 'service-vm-2', 'cr-2'][(user_id + (event_id // 6) % 2) % 4 + 1] AS role, unnest(range(sec // {STEP}, sec // {STEP} + 1 + least(5, CAST(floor(value / 40) AS BIGINT)))) AS minute FROM ev),
+  ['fw', 'br-1', 'service-vm-2', 'traffic-vm'][(user_id + (event_id // 6) % 2) % 4 + 1] AS role, unnest(range(sec // {STEP}, sec // {STEP} + 1 + least(5, CAST(floor(value / 40) AS BIGINT)))) AS minute FROM ev),
 cells AS (SELECT k, modality, minute, entity, feature, max(value) AS value FROM ({" UNION ALL ".join(_family_sql(i, kind, f, v) for i, (kind, fs) in enumerate(FAMILIES) for f, v in fs)}) AS fams GROUP BY ALL)"""
 _SIG = lambda x: f"1 / (1 + exp(-greatest(-20, least(20, ({x} - 3) / 0.9))))"
 
