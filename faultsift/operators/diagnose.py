@@ -10,6 +10,7 @@ minutes, end exclusive; an event's name is different from all others, also of ot
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -82,18 +83,18 @@ def log_scores(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy(*by, "minute", "entity").agg(F.max(detect.log_support(F.greatest(F.col("value"), F.lit(0.0)), F.get(parts, F.size(parts) - 2))).alias("score"))
 
 
-def timelines(cells: DataFrame, rules: DataFrame, by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def timelines(cells: DataFrame, rules: DataFrame, by: tuple[str, ...] = (), keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> dict[str, DataFrame]:
     """What the detectors say of cells.
 
     direct: strengths by category; node, edge, log: (by, minute, entity, score) for ranking (edges take the larger
     of symptom and flow support); symptoms: (by, minute, entity, symptom); minutes: (by, minute, node, service, probability).
-    Flow support never opens an event, so it is no part of minutes.
+    Flow support never opens an event, so it is no part of minutes. keep may store what several timelines are made of.
     """
     of = lambda m: cells.where(F.col("modality") == m)
-    direct = detect.strengths(of("node"), rules, by).unionByName(detect.log_faults(of("log"), by))
+    direct = keep(detect.strengths(of("node"), rules, by).unionByName(detect.log_faults(of("log"), by)), "direct")
     nodes = detect.node_probability(direct, by)
     traffic = of("edge").where(F.col("feature").startswith("traffic."))
-    symptoms = detect.service_symptoms(traffic, by)
+    symptoms = keep(detect.service_symptoms(traffic, by), "symptoms")
     edge = symptoms.select(*by, "minute", "entity", F.col("symptom").alias("score")).union(netflow_support(of("edge"), by))
     by_node = nodes.groupBy(*by, "minute").agg(F.max("probability").alias("node"))
     minutes = by_node.join(detect.service_probability(symptoms, by).withColumnRenamed("probability", "service"), [*by, "minute"], "full")
@@ -312,8 +313,7 @@ class Diagnosis:
     @functools.cached_property
     def lines(self) -> dict[str, DataFrame]:
         """The timelines of all detectors."""
-        made = timelines(self.cells, self.rules, self.by)
-        return made | {k: staged(made[k], k) for k in ("direct", "symptoms", "node", "edge", "log")}
+        return timelines(self.cells, self.rules, self.by, staged)
 
     @functools.cached_property
     def line(self) -> DataFrame:

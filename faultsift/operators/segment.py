@@ -6,9 +6,12 @@ import math
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def islands(df: DataFrame, by: list[str], step: str, gap: float, name: str = "island") -> DataFrame:
@@ -116,46 +119,74 @@ def candidates(timeline: DataFrame, by: list[str], d: Decoder = Decoder()) -> Da
     return out.where("score > 0")
 
 
+def chosen(offers: list[tuple[int, int, float, float]], d: Decoder = Decoder()) -> list[tuple[int, int, float]]:
+    """The best set of candidates (start, end, score, confidence; in the order of start and end) that do not overlap.
+
+    One soon after another costs a fee that falls with the steps between them, to nothing at the gap. For each end the
+    best chain up to it is kept, with the end before it; of equal chains the one with the later end stands.
+    """
+    best: dict[int, tuple[float, int, float, int | None]] = {}
+    far: tuple[float, int | None] = (0.0, None)  # the best chain whose end is a gap away, or none at all
+    seen = offers[0][0] if offers else 0
+    last = None
+    for s, e, v, c in offers:
+        if s != last:
+            last = s
+            while seen < s - d.gap:
+                if seen in best and best[seen][0] >= far[0]:
+                    far = (best[seen][0], seen)
+                seen += 1
+            base = far
+            for free in range(min(d.gap, s - seen) - 1, -1, -1):
+                before = s - 1 - free
+                if before in best:
+                    value = best[before][0] - d.close_penalty * (d.gap - free) / d.gap
+                    if value >= base[0]:
+                        base = (value, before)
+        if e not in best or base[0] + v > best[e][0]:
+            best[e] = (base[0] + v, s, c, base[1])
+    top = max(best.items(), key=lambda x: (x[1][0], x[0]), default=(None, (0.0, 0, 0.0, None)))
+    out, at = [], top[0] if top[1][0] > 0 else None
+    while at is not None:
+        _, s, c, before = best[at]
+        out.append((s, at + 1, c))
+        at = before
+    return out[::-1]
+
+
 def decode(timeline: DataFrame, by: list[str], d: Decoder = Decoder()) -> DataFrame:
     """(by, start, end, confidence): the best set of intervals that do not overlap; end is exclusive.
 
     Only the choice among the candidates is sequential. An interval soon after another costs more, the sooner
     the more; beyond the gap it costs nothing, so candidates that lie further apart than that are chosen from
-    independently, and a group is one such stretch of a timeline, with thirty candidates a start at most.
+    independently. Such stretches are dealt to tasks, which go through them one by one.
     """
     w = W.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
     fresh = F.when(F.col("start") - reach - 1 < d.gap, 0).otherwise(1)
     found = candidates(timeline, by, d).withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(w)).drop("_fresh")
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in timeline.select(*by).schema.fields)
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["start", "end"])
-        offered: dict[int, list[tuple[int, float, float]]] = {}
-        for s, e, v, c in zip(frame["start"], frame["end"], frame["score"], frame["confidence"], strict=True):
-            offered.setdefault(int(s), []).append((int(e), float(v), float(c)))
-        best: dict[tuple[int, int], tuple[float, tuple]] = {(min(offered), d.gap): (0.0, ())}
-        last = int(frame["end"].max()) + 1
-        for at in range(min(offered), last):
-            for gap in range(d.gap + 1):
-                got = best.pop((at, gap), None)
-                if got is None:
-                    continue
-                total, taken = got
-                moves = [((at + 1, min(d.gap, gap + 1)), total, taken)]
-                fee = d.close_penalty * (d.gap - gap) / d.gap
-                moves += [((e + 1, 0), total + v - fee, (taken, at, e + 1, c)) for e, v, c in offered.get(at, [])]
-                for state, value, path in moves:
-                    if state not in best or value > best[state][0]:
-                        best[state] = (value, path)
-        value, path = max(((v, -g, p) for (_, g), (v, p) in best.items()), key=lambda x: x[:2])[::2]
-        out = []
-        while path:
-            path, s, e, c = path
-            out.append((s, e, c))
-        made = pd.DataFrame(out[::-1], columns=["start", "end", "confidence"])
-        for i, c in enumerate(by):
-            made.insert(i, c, frame[c].iloc[0])
-        return made
-
-    return found.groupBy(*by, "_stretch").applyInPandas(choose, f"{keys}, start long, end long, confidence double")
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = found.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), "_stretch", "start", "end", "score", "confidence")
+    fields = ", ".join(f"{k} {f.dataType.simpleString()}" for k, f in zip(keys, timeline.select(*by).schema.fields, strict=True))
+
+    def run(batches):
+        now, offers, out = None, [], []
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for row in zip(*columns, strict=True):
+                name = row[: len(keys) + 1]
+                if name != now:
+                    out += [(*now[:-1], *x) for x in chosen(offers, d)] if offers else []
+                    now, offers = name, []
+                offers.append(row[len(keys) + 1 :])
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema)
+                out = []
+        out += [(*now[:-1], *x) for x in chosen(offers, d)] if offers else []
+        yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema)
+
+    names = [*keys, "start", "end", "confidence"]
+    kinds = T.StructType.fromDDL(f"{fields}, start long, end long, confidence double")
+    schema = to_arrow_schema(kinds)
+    dealt = rows.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "start", "end")
+    return dealt.mapInArrow(run, kinds).select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), "start", "end", "confidence")
