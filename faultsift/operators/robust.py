@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from faultsift.operators.quantiles import lowest, quantiles
+
 #: Fixed value: median absolute deviation to standard deviation of a normal distribution.
 MAD_SCALE = 1.4826
 
@@ -19,7 +21,7 @@ def reference(df: DataFrame, by: list[str], value: str, floor: Column | float =
 
 def quartile_scaler(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, center, scale): median and interquartile range; a flat series gets a hundredth of its median, but at least 1."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(df, by, value, [0.25, 0.5, 0.75])
     spread = F.col("q")[2] - F.col("q")[0]
     return q.select(
         *by,
@@ -29,22 +31,21 @@ def quartile_scaler(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def calibration(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, center, scale) of ln(1 + value), the scale bounded from below four ways."""
+    """(by, center, scale) of ln(1 + value), the scale bounded from below four ways. Groups may be of any size."""
     logs = df.select(*by, F.log1p(F.col(value)).alias("x"))
-    q = logs.groupBy(*by).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    mad = logs.join(q, by).groupBy(*by, "q").agg(F.percentile(F.abs(F.col("x") - F.col("q")[1]), 0.5).alias("mad"))
-    return mad.select(
+    q = quantiles(logs, by, "x", [0.25, 0.5, 0.75])
+    off = logs.join(q.select(*by, "q"), by).select(*by, F.abs(F.col("x") - F.col("q")[1]).alias("off"))
+    mad = quantiles(off, by, "off", [0.5]).select(*by, F.col("q")[0].alias("mad"))
+    return q.join(mad, by).select(
         *by,
         F.col("q")[1].alias("center"),
         F.greatest(F.col("mad") * MAD_SCALE, (F.col("q")[2] - F.col("q")[0]) * 0.5, F.abs(F.col("q")[1]) * 0.01, F.lit(0.15)).alias("scale"),
     )
 
 
-def quiet(df: DataFrame, by: list[str], score: str, order: list[str], part: float = 0.6) -> DataFrame:
-    """The rows of the lowest scores of each group: the given part of them, rounded up."""
-    w = W.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(score, *order))
-    return df.withColumn("_r", rank).withColumn("_n", F.count("*").over(w)).where(F.col("_r") <= F.ceil(F.col("_n") * part)).drop("_r", "_n")
+def quiet(df: DataFrame, by: list[str], score: str, order: str, part: float = 0.6) -> DataFrame:
+    """The rows of the lowest scores of each group: the given part of them, rounded up; of equal scores those of lower order."""
+    return lowest(df, by, score, order, part)
 
 
 def timeline_calibration(df: DataFrame, by: list[str], step: str, value: str, part: float = 0.6) -> DataFrame:
@@ -61,7 +62,7 @@ def timeline_calibration(df: DataFrame, by: list[str], step: str, value: str, pa
     edge = (F.col("_t") <= 2 * r) | (F.col(step) < F.col("_a") + r) | (F.col(step) > F.col("_b") - r)
     first = calibration(rows.where(edge), by, value)
     scored = df.join(first, by).withColumn("_z", standardised(F.col(value), F.col("center"), F.col("scale")))
-    return calibration(quiet(scored, by, "_z", [step], part).select(*by, value), by, value)
+    return calibration(quiet(scored, by, "_z", step, part).select(*by, value), by, value)
 
 
 def standardised(value: Column, center: Column, scale: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultsift.functions import repair
 from faultsift.functions import scalars as S
-from faultsift.operators import cells, classify, detect, evaluate, rank, robust, segment, windows
+from faultsift.operators import cells, classify, detect, evaluate, quantiles, rank, robust, segment, windows
 from faultsift.operators import events as event_ops
 from faultsift.plans import cases, diagnosis, dims
 from faultsift.plans import prototypes as P
@@ -203,10 +203,17 @@ def calibration(spark, sf_dir):
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, count(*) AS n, max(value) AS top, median(value) AS center FROM r WHERE r <= ceil(n * 0.6) GROUP BY 1""")
 def quiet_reference(spark, sf_dir):
-    q = robust.quiet(table(spark, sf_dir, "events"), ["event_type"], "value", ["event_id"])
+    q = robust.quiet(table(spark, sf_dir, "events"), ["event_type"], "value", "event_id")
     return q.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.percentile("value", 0.5).alias("center"))
 
 
+@query("""SELECT l_returnflag, count(l_extendedprice) AS n, [round(x, 4) FOR x IN quantile_cont(l_extendedprice, [0.01, 0.25, 0.5, 0.9, 1.0])] AS q FROM lineitem GROUP BY 1""")
+def split_quantiles(spark, sf_dir):
+    """Exact quantiles of three groups that hold all rows, found range by range."""
+    got = quantiles.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.01, 0.25, 0.5, 0.9, 1.0], least=200)
+    return got.select("l_returnflag", "n", F.transform("q", lambda x: F.round(x, 4)).alias("q"))
+
+
 @query("""WITH h AS (SELECT *, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS past,
   count(*) OVER (PARTITION BY user_id) AS n FROM events),
 c AS (SELECT *, coalesce(len(past), 0) AS history, list_median(past) AS center FROM h),
