@@ -115,14 +115,14 @@ def five_sigma(df: DataFrame, by: list[str], order: list[str], value: str) -> Da
     return hit.withColumn("magnitude", off / F.greatest(F.col("_dev"), F.lit(1e-12))).drop("_i", "_n", "_mean", "_dev")
 
 
-def minute_energy(evidence: DataFrame, weights: dict[str, float], top: int = 3, most: float = 25.0) -> DataFrame:
-    """(minute, energy) of evidence (minute, source, score): each source's best scores, then the best source with a quarter of the others' mean."""
-    ranked = evidence.withColumn("_r", F.row_number().over(W.partitionBy("minute", "source").orderBy(F.col("score").desc()))).where(F.col("_r") <= top)
+def minute_energy(evidence: DataFrame, weights: dict[str, float], top: int = 3, most: float = 25.0, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(by, minute, energy) of evidence (by, minute, source, score): each source's best scores, then the best source with a quarter of the others' mean."""
+    ranked = evidence.withColumn("_r", F.row_number().over(W.partitionBy(*by, "minute", "source").orderBy(F.col("score").desc()))).where(F.col("_r") <= top)
     weight = F.lit(1.0)
     for s, w in weights.items():
         weight = F.when(F.col("source") == s, w).otherwise(weight)
     rest = lambda best, total, n: F.when(n > 1, (total - best) / (n - 1)).otherwise(0.0) * 0.25
-    of = ranked.groupBy("minute", "source").agg(F.max("score").alias("b"), F.sum("score").alias("s"), F.count("*").alias("n"))
+    of = ranked.groupBy(*by, "minute", "source").agg(F.max("score").alias("b"), F.sum("score").alias("s"), F.count("*").alias("n"))
     of = of.withColumn("e", F.least(F.lit(most), (F.col("b") + rest(F.col("b"), F.col("s"), F.col("n"))) * weight))
-    total = of.groupBy("minute").agg(F.max("e").alias("b"), F.sum("e").alias("s"), F.count("*").alias("n"))
-    return total.select("minute", F.least(F.lit(most), F.col("b") + rest(F.col("b"), F.col("s"), F.col("n"))).alias("energy"))
+    total = of.groupBy(*by, "minute").agg(F.max("e").alias("b"), F.sum("e").alias("s"), F.count("*").alias("n"))
+    return total.select(*by, "minute", F.least(F.lit(most), F.col("b") + rest(F.col("b"), F.col("s"), F.col("n"))).alias("energy"))

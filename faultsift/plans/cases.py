@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.operators import diagnose, evaluate
+from faultsift.operators import build, diagnose, evaluate
 from faultsift.operators import events as event_ops
 from faultsift.plans import dims
 from faultsift.plans.base import EV, events, query
@@ -309,3 +309,44 @@ def evidence_audit(spark, sf_dir):
 UNION ALL SELECT 'flag', 'unsupported_disk', count(*) FROM au WHERE category = 'resource_disk_io_pressure' AND anchor = 'unsupported' HAVING count(*) > 0 UNION ALL SELECT 'flag', 'city_conflict', count(*) FROM au WHERE city_conflict HAVING count(*) > 0""")
 def audit_counters(spark, sf_dir):
     return diagnose.audit_counts(diagnosed(spark, sf_dir).audit())
+
+
+# --- events from point evidence
+
+_WEIGHTS = {"node": 1.0, "frr": 1.2, "traffic": 0.75, "netflow": 0.5}
+BUILT = f"""{EV}, pt AS (SELECT user_id % 20 AS k, hour AS minute, ['node', 'interface', 'routing', 'frr', 'traffic', 'netflow'][event_id % 6 + 1] AS source, 'n' || user_id % 3 AS node, 'm' || event_id % 2 AS metric,
+  CASE WHEN (hour // 12 % 2 = 0) = (event_id % 9 <> 0) THEN 'high' ELSE 'low' END AS direction, least(25.0, value / 8) AS score FROM ev),
+rk AS (SELECT *, row_number() OVER (PARTITION BY k, minute, source ORDER BY score DESC) AS r FROM pt), so AS (SELECT k, minute, source, max(score) AS b, sum(score) AS t, count(*) AS n FROM rk WHERE r <= 3 GROUP BY 1, 2, 3),
+sw AS (SELECT k, minute, least(25.0, (b + 0.25 * CASE WHEN n > 1 THEN (t - b) / (n - 1) ELSE 0 END) * CASE source WHEN 'node' THEN 1.0 WHEN 'frr' THEN 1.2 WHEN 'traffic' THEN 0.75 WHEN 'netflow' THEN 0.5 ELSE 1.0 END) AS e FROM so),
+en AS (SELECT k, minute, least(25.0, max(e) + 0.25 * CASE WHEN count(*) > 1 THEN (sum(e) - max(e)) / (count(*) - 1) ELSE 0 END) AS energy FROM sw GROUP BY 1, 2),
+hk AS (SELECT *, CASE WHEN minute - lag(minute) OVER (PARTITION BY k ORDER BY minute) <= 2 THEN 0 ELSE 1 END AS fresh FROM en WHERE energy >= 3), hi AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY minute) AS island FROM hk),
+hw AS (SELECT k, min(minute) FILTER (energy >= 7) AS s, max(minute) + 1 AS e FROM hi GROUP BY k, island),
+ls AS (SELECT x.k, any_value(h0) AS h0, list(coalesce(energy, 0) ORDER BY h) AS es FROM (SELECT k, h0, unnest(range(h0, h1 + 1)) AS h FROM (SELECT k, min(minute) AS h0, max(minute) AS h1 FROM en GROUP BY 1) AS y) AS x LEFT JOIN en ON en.k = x.k AND en.minute = h GROUP BY 1),
+cu(k, a, b) AS (SELECT k, s, e FROM hw WHERE s IS NOT NULL UNION ALL SELECT k, x[1], x[2] FROM (
+  SELECT k, unnest([[a, a + list_position(q, list_min(q))], [a + list_position(q, list_min(q)), b]]) AS x FROM (SELECT cu.k, a, b, es[a + 2 - h0 : b - h0] AS q FROM cu JOIN ls ON cu.k = ls.k WHERE b - a > 12) AS l) AS c),
+wi AS (SELECT k, a AS s, b AS e FROM cu WHERE b - a <= 12), hd AS (SELECT wi.k, s, e, minute, source, node, metric, direction, score FROM wi JOIN pt ON pt.k = wi.k AND minute >= s AND minute < e),
+rd AS (SELECT *, first_value(direction) OVER o AS f FROM hd WHERE source IN ('node', 'interface', 'routing', 'frr') WINDOW o AS (PARTITION BY k, s, source, node, metric ORDER BY minute, score DESC, direction)),
+rb AS (SELECT *, coalesce(sum(CASE WHEN direction = f THEN 1 ELSE 0 END) OVER (PARTITION BY k, s, source, node, metric ORDER BY minute, score DESC, direction ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rd),
+rt AS (SELECT k, s, min(minute) AS turn FROM (SELECT k, s, minute, sum(score) AS x FROM rb WHERE direction <> f AND before >= 2 GROUP BY 1, 2, 3) AS u WHERE x >= 5 AND minute >= s + 2 GROUP BY 1, 2),
+kp AS (SELECT hd.* REPLACE (coalesce(turn, e) AS e) FROM hd LEFT JOIN rt ON hd.k = rt.k AND hd.s = rt.s WHERE minute < coalesce(turn, e)),
+ev2 AS (SELECT k, s, e, string_agg(minute || ' ' || source || ' ' || node || ' ' || metric || ' ' || direction || ' ' || CAST(round(score * 1000) AS BIGINT), ',' ORDER BY score DESC, minute, metric, source, node, direction) AS evidence, count(*) AS points FROM kp GROUP BY 1, 2, 3),
+sc AS (SELECT k, s, string_agg(source || ' ' || n, ',' ORDER BY source) AS sources FROM (SELECT k, s, source, count(*) AS n FROM kp GROUP BY 1, 2, 3) AS u GROUP BY 1, 2),
+pk AS (SELECT ev2.k, ev2.s, arg_max(minute, (energy, -minute)) AS peak_minute, max(energy) AS x FROM ev2 JOIN en ON en.k = ev2.k AND minute >= s AND minute < e GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {BUILT} SELECT ev2.k AS case_id, ev2.s AS "start", e AS "end", peak_minute, round(least(1.0, x / 7.0 / 1.5) + 1e-9, 6) AS confidence, points, evidence, sources
+FROM ev2 JOIN sc ON ev2.k = sc.k AND ev2.s = sc.s JOIN pk ON ev2.k = pk.k AND ev2.s = pk.s""")
+def built_events(spark, sf_dir):
+    """Events of twenty cases from their points: cut at twelve steps, trimmed at recovery, with all their evidence in order."""
+    at = lambda names, i: F.get(F.array(*map(F.lit, names)), F.expr(i).cast("int"))
+    turned = (F.expr("hour div 12 % 2") == 0) == (F.col("event_id") % 9 != 0)
+    points = events(spark, sf_dir).select(
+        (F.col("user_id") % 20).alias("case_id"), F.col("hour").alias("minute"), at(["node", "interface", "routing", "frr", "traffic", "netflow"], "event_id % 6").alias("source"), F.concat(F.lit("n"), F.col("user_id") % 3).alias("node"),
+        F.concat(F.lit("m"), F.col("event_id") % 2).alias("metric"), F.when(turned, "high").otherwise("low").alias("direction"), F.least(F.lit(25.0), F.col("value") / 8).alias("score"),
+    )
+    got = build.detected(points, ["case_id"], _WEIGHTS, longest=12, initial=2)
+    line = lambda p: F.concat_ws(" ", p["minute"], p["source"], p["node"], p["metric"], p["direction"], F.round(p["score"] * 1000).cast("long"))
+    return got.select(
+        "case_id", "start", "end", "peak_minute", r6("confidence").alias("confidence"), F.size("evidence").cast("long").alias("points"), F.array_join(F.transform("evidence", line), ",").alias("evidence"),
+        F.array_join(F.transform("sources", lambda x: F.concat_ws(" ", x["source"], x["n"])), ",").alias("sources"),
+    )
