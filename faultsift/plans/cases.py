@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.operators import build, diagnose, evaluate
+from faultsift.operators import build, diagnose, evaluate, review
 from faultsift.operators import events as event_ops
 from faultsift.plans import dims
 from faultsift.plans.base import EV, events, query
@@ -350,3 +350,47 @@ def built_events(spark, sf_dir):
         "case_id", "start", "end", "peak_minute", r6("confidence").alias("confidence"), F.size("evidence").cast("long").alias("points"), F.array_join(F.transform("evidence", line), ",").alias("evidence"),
         F.array_join(F.transform("sources", lambda x: F.concat_ws(" ", x["source"], x["n"])), ",").alias("sources"),
     )
+
+
+# --- review and learned scores
+
+_RATIONALE = "the first two stand close"
+
+
+@query(f"""WITH RECURSIVE {FINAL}, ms AS (SELECT event, list(node ORDER BY rank) AS roots, (max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2)) / greatest(abs(max(score) FILTER (rank = 1)), 1e-8) AS margin FROM t5 GROUP BY 1),
+nd AS (SELECT wn.k, wn.event, s, roots, category, wn.conf < 0.75 OR fin.confidence < 0.6 OR margin < 0.12 AS needs, (wn.k + s) % 9 AS kind FROM wn JOIN fin ON fin.event = wn.event JOIN ms ON ms.event = wn.event),
+rvf AS (SELECT *, coalesce(sum(CASE WHEN needs AND kind >= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS closed FROM nd),
+rs AS (SELECT *, CASE WHEN NOT needs THEN 'skipped_confident' WHEN closed OR kind >= 4 THEN 'fallback' WHEN kind <= 1 THEN 'accepted' ELSE 'not_applied' END AS status FROM rvf)
+SELECT event, needs, status, CASE WHEN status = 'fallback' THEN CASE WHEN closed THEN 'review circuit open' ELSE 'review unavailable or response invalid' END END AS reason,
+  array_to_string(CASE WHEN status = 'accepted' THEN list_reverse(roots) ELSE roots END, ',') AS roots, CASE WHEN status = 'accepted' THEN 'link_loss' ELSE category END AS category FROM rs""")
+def event_review(spark, sf_dir):
+    """Events that need a review, with canned answers of nine kinds: two that apply, two that don't, five that are not legal."""
+    d = diagnosed(spark, sf_dir)
+    found = staged(review.needed(d.events, d.final, d.top5, list(BY)), "needs")
+    kind = (F.col("case") + F.col("start")) % 9
+    pick = lambda *v: F.get(F.array(*(x if not isinstance(x, (str, float)) else F.lit(x) for x in v)), kind.cast("int"))
+    first = F.concat(F.lit("root:"), F.col("roots")[0])
+    back = F.reverse("roots")
+    answer = F.to_json(F.struct(
+        pick("supports", "contradicts", "uncertain", "supports", "supports", "maybe", "supports", "supports", "supports").alias("event_opinion"),
+        F.when(kind == 4, F.array_append(F.slice(back, 1, F.size(back) - 1), back[0])).otherwise(back).alias("root_cause_top5"),
+        F.struct(F.lit("link").alias("major_category"), F.when(kind == 6, "dns_down").otherwise("loss").alias("sub_category")).alias("fault_category"),
+        F.when(kind == 7, F.array(F.lit("root:elsewhere"))).otherwise(F.array(first)).alias("evidence_ids"),
+        pick(0.9, 0.65, 0.95, 0.6, 0.9, 0.9, 0.9, 0.9, 0.9).alias("confidence"), F.lit(_RATIONALE).alias("rationale"),
+    ))
+    answers = found.where("needs").select(*BY, "event", F.when(kind == 8, F.lit("no {json")).otherwise(answer).alias("answer"))
+    got = review.reviewed(found, list(BY), answers).join(found.select(*BY, "event", "needs"), [*BY, "event"])
+    return got.select("event", "needs", "status", "reason", F.array_join("roots", ",").alias("roots"), "category")
+
+
+@query(f"""WITH RECURSIVE {PARTS}, lg AS (SELECT ro.event, ro.node, greatest(score, 0) + 1 AS lift, 0.3 * direct + 0.2 * log - 0.1 * pre + CASE WHEN observed THEN 0.5 ELSE 0 END AS logit FROM ro JOIN pa ON pa.event = ro.event AND pa.node = ro.node),
+lsm AS (SELECT event, node, lift / sum(lift) OVER (PARTITION BY event) AS rule, exp(logit) / sum(exp(logit)) OVER (PARTITION BY event) AS learned FROM lg)
+SELECT event, node, round(rule + 1e-9, 6) AS rule, round(learned + 1e-9, 6) AS learned, round(0.75 * rule + 0.25 * learned + 1e-9, 6) AS score FROM lsm""")
+def learned_blend(spark, sf_dir):
+    """Rules and a linear model's scores of all candidates, blended."""
+    d = diagnosed(spark, sf_dir)
+    parts = staged(d.parts, "parts")
+    scores = diagnose.roots(parts, len(NODES), BY).select(*BY, "event", "node", "score")
+    logit = F.col("direct") * 0.3 + F.col("log") * 0.2 - F.col("pre") * 0.1 + F.when(F.col("observed"), 0.5).otherwise(0.0)
+    got = review.blended(scores, parts.select(*BY, "event", "node", logit.alias("logit")), [*BY, "event"])
+    return got.select("event", "node", *(r6(c).alias(c) for c in ("rule", "learned", "score")))
