@@ -8,15 +8,18 @@ thresholds and weights are spelled out here and not taken from the operators.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultsift.operators import build, diagnose, evaluate, review
 from faultsift.operators import events as event_ops
 from faultsift.plans import dims
-from faultsift.plans.base import EV, events, query
+from faultsift.plans.base import EV, events, query, table
 from faultsift.plans.diagnosis import NODES, r6
-from faultsift.sources.staging import staged
+from faultsift.sources import ordered
+from faultsift.sources.staging import shared_dir, staged
 
 #: What names a case, and the seconds of a step.
 BY, STEP = ("case",), 3600
@@ -394,3 +397,21 @@ def learned_blend(spark, sf_dir):
     logit = F.col("direct") * 0.3 + F.col("log") * 0.2 - F.col("pre") * 0.1 + F.when(F.col("observed"), 0.5).otherwise(0.0)
     got = review.blended(scores, parts.select(*BY, "event", "node", logit.alias("logit")), [*BY, "event"])
     return got.select("event", "node", *(r6(c).alias(c) for c in ("rule", "learned", "score")))
+
+
+# --- files in the order of their lines
+
+
+@query("""SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1 AS line, round(c_acctbal - lag(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1e-9, 2) AS moved FROM customer""")
+def rows_by_line(spark, sf_dir):
+    """Customers written as a CSV file for each nation and read back: the line of each, and how its balance differs from that of the line before."""
+    from pyspark.sql import Window as W
+
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"))
+    rows.repartition("nation").sortWithinPartitions("nation", "c_custkey").write.partitionBy("nation").csv(path, header=True)
+    got = ordered.csv_rows(spark, path, ["c_custkey", "c_acctbal"])
+    balance = F.col("c_acctbal").cast("double")
+    before = F.lag(balance).over(W.partitionBy("file").orderBy("line"))
+    nation = F.regexp_extract("file", "nation=([0-9]+)", 1).cast("int")
+    return got.select(F.col("c_custkey").cast("long").alias("c_custkey"), nation.alias("c_nationkey"), "line", F.round(balance - before + 1e-9, 2).alias("moved"))
