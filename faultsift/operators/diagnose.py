@@ -38,6 +38,8 @@ ANCHORS = [
 ]
 #: All candidates: the nodes of the network, in its order.
 NODES = [f"{c}-{r}" for c in dims.CITIES for r in dims.ROLES]
+#: Stores a table under a name and reads it back, or leaves it as it is.
+Keep = Callable[[DataFrame, str], DataFrame]
 _NUMBERS = ["direct", "early", "pre", "persistence", "recovery", "log", "traffic_target", "traffic_observer", "netflow"]
 
 
@@ -83,7 +85,7 @@ def log_scores(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy(*by, "minute", "entity").agg(F.max(detect.log_support(F.greatest(F.col("value"), F.lit(0.0)), F.get(parts, F.size(parts) - 2))).alias("score"))
 
 
-def timelines(cells: DataFrame, rules: DataFrame, by: tuple[str, ...] = (), keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> dict[str, DataFrame]:
+def timelines(cells: DataFrame, rules: DataFrame, by: tuple[str, ...] = (), keep: Keep = lambda df, _: df) -> dict[str, DataFrame]:
     """What the detectors say of cells.
 
     direct: strengths by category; node, edge, log: (by, minute, entity, score) for ranking (edges take the larger
@@ -240,22 +242,22 @@ def city_of(node: Column) -> Column:
     return F.get(F.split(node, "-"), 0)
 
 
-def categories(spark: SparkSession, top5: DataFrame, signals: DataFrame, k: int = 3, by: tuple[str, ...] = (), city: DataFrame | None = None) -> DataFrame:
+def categories(spark: SparkSession, top5: DataFrame, signals: DataFrame, k: int = 3, by: tuple[str, ...] = (), city: DataFrame | None = None, keep: Keep = lambda df, _: df) -> DataFrame:
     """(by, event, category, p, rank): the k best categories of each event, from the signals of its ranked nodes.
 
     An event whose candidates have no signal takes those of its first node's city (city: by, event, city, signal,
     strength): p is the best one's part of the k best, the others keep their strength's part. Without those, too, it takes the
-    default of its first node, with p 0.
+    default of its first node, with p 0. keep may store what is read more than once.
     """
     keys = [*by, "event"]
     found = top5.join(signals, [*keys, "node"]).withColumn("category", classify.category_of(F.col("signal"), F.col("node")))
     found = found.where("category is not null and strength > 0").groupBy(*keys, "node", "category").agg(F.max("strength").alias("strength"), F.max("score").alias("score"))
-    ranked = classify.ranked(spark, classify.mixture(found, keys, "node", "category", "strength", "score"), keys, "p", k)
-    bare = top5.where("rank = 1").join(ranked.select(*keys).distinct(), keys, "left_anti").select(*keys, "node")
+    ranked = keep(classify.ranked(spark, classify.mixture(found, keys, "node", "category", "strength", "score"), keys, "p", k), "ranked")
+    bare = keep(top5.where("rank = 1").join(ranked.select(*keys).distinct(), keys, "left_anti").select(*keys, "node"), "bare")
     if city is not None:
         met = bare.withColumn("city", city_of(F.col("node"))).join(city, [*keys, "city"]).withColumn("category", classify.category_of(F.col("signal"), F.col("node")))
         of = met.where("category is not null and strength > 0").groupBy(*keys, "category").agg(F.max("strength").alias("p"))
-        best = classify.ranked(spark, of, keys, "p", k)
+        best = keep(classify.ranked(spark, of, keys, "p", k), "by-city")
         total = best.groupBy(*keys).agg(F.sum("p").alias("_all"))
         ranked = ranked.unionByName(best.join(total, keys).select(*keys, "category", (F.col("p") / F.col("_all")).alias("p"), "rank"))
         bare = bare.join(best.select(*keys).distinct(), keys, "left_anti")
@@ -317,7 +319,7 @@ class Diagnosis:
 
     @functools.cached_property
     def line(self) -> DataFrame:
-        return decoder_line(self.cells, self.lines, self.by)
+        return staged(decoder_line(self.cells, self.lines, self.by), "line")
 
     @functools.cached_property
     def events(self) -> DataFrame:
@@ -325,7 +327,7 @@ class Diagnosis:
 
     @functools.cached_property
     def parts(self) -> DataFrame:
-        return candidate_parts(self.events, self.lines["node"], self.lines["edge"], self.lines["log"], by=self.by)
+        return staged(candidate_parts(self.events, self.lines["node"], self.lines["edge"], self.lines["log"], by=self.by), "parts")
 
     @functools.cached_property
     def top5(self) -> DataFrame:
@@ -341,12 +343,12 @@ class Diagnosis:
 
     @functools.cached_property
     def categories(self) -> DataFrame:
-        return staged(categories(self.spark, self.top5, self.signals, by=self.by, city=self.city_signals), "categories")
+        return categories(self.spark, self.top5, self.signals, by=self.by, city=self.city_signals, keep=staged)
 
     @functools.cached_property
     def final(self) -> DataFrame:
         """Categories after the root's direct evidence."""
-        return overridden(self.events, self.lines, self.cells, self.top5, self.categories, self.by)
+        return staged(overridden(self.events, self.lines, self.cells, self.top5, self.categories, self.by), "final")
 
     def records(self, prefix: str = "pred_", seconds: int = 60) -> DataFrame:
         return records(self.spark, self.events, self.top5, self.final, self.by, prefix, seconds)

@@ -392,7 +392,7 @@ SELECT event, node, round(rule + 1e-9, 6) AS rule, round(learned + 1e-9, 6) AS l
 def learned_blend(spark, sf_dir):
     """Rules and a linear model's scores of all candidates, blended."""
     d = diagnosed(spark, sf_dir)
-    parts = staged(d.parts, "parts")
+    parts = d.parts
     scores = diagnose.roots(parts, len(NODES), BY).select(*BY, "event", "node", "score")
     logit = F.col("direct") * 0.3 + F.col("log") * 0.2 - F.col("pre") * 0.1 + F.when(F.col("observed"), 0.5).otherwise(0.0)
     got = review.blended(scores, parts.select(*BY, "event", "node", logit.alias("logit")), [*BY, "event"])

@@ -412,22 +412,35 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_type", "i", F.coalesce("p", F.lit(0.0)).alias("p"), F.lit(None).cast("double").alias("support"))
 
 
-@query(f"""WITH {TIMELINE}, l AS (SELECT *, lag(p) OVER w AS b, lead(p) OVER w AS a FROM line WINDOW w AS (PARTITION BY event_type ORDER BY i)),
+CANDIDATES = f"""{TIMELINE}, l AS (SELECT *, lag(p) OVER w AS b, lead(p) OVER w AS a FROM line WINDOW w AS (PARTITION BY event_type ORDER BY i)),
 st AS (SELECT event_type, i AS s, p AS ps, b AS bs FROM l WHERE p >= 0.4 AND ((p >= 0.8 AND (b IS NULL OR b < 0.8 OR p - b >= 0.2)) OR (b < 0.4 AND p - b >= 0.2))),
 pr AS (SELECT st.event_type, s, ps, bs, l.i AS e, p, a, avg(greatest(0, p - 0.4)) OVER w AS m, max(p) OVER w AS pk, avg(p) OVER w AS c
   FROM st JOIN l ON st.event_type = l.event_type AND l.i BETWEEN s AND s + 29 WINDOW w AS (PARTITION BY st.event_type, s ORDER BY l.i)),
 sc AS (SELECT event_type, s AS "start", e AS "end", m * sqrt(e - s + 1) + 0.08 * least(ln(e - s + 1), ln(30)) + 0.5 * greatest(0, pk - 0.8)
   + 0.5 * (CASE WHEN bs IS NOT NULL AND ps >= 0.8 THEN greatest(0, ps - bs) ELSE 0 END + CASE WHEN a IS NOT NULL AND p >= 0.8 THEN greatest(0, p - a) ELSE 0 END)
-  + 0.3 * CASE WHEN a IS NOT NULL THEN greatest(0, p - a) ELSE 0 END - 0.55 AS score, c AS confidence FROM pr)
+  + 0.3 * CASE WHEN a IS NOT NULL THEN greatest(0, p - a) ELSE 0 END - 0.55 AS score, c AS confidence FROM pr)"""
+_NO_PATH = "[]::STRUCT(s BIGINT, e BIGINT, c DOUBLE)[]"
+# the best chain up to each end, start by start; of the ends more than a gap away only the best one matters
+CHOSEN = f"""{CANDIDATES}, ofs AS (SELECT event_type AS k, "start" AS s, row_number() OVER (PARTITION BY event_type ORDER BY "start") AS r, list({{'e': "end", 'v': score, 'c': confidence}} ORDER BY "end") AS offers FROM sc WHERE score > 0 GROUP BY 1, 2),
+dp AS (SELECT DISTINCT k, 0::BIGINT AS r, []::STRUCT(f DOUBLE, e BIGINT, path STRUCT(s BIGINT, e BIGINT, c DOUBLE)[])[] AS ends FROM ofs
+  UNION ALL SELECT k, r, list_concat(list_filter(ends, lambda x: x.e >= s - 21), CASE WHEN far IS NULL THEN [] ELSE [far] END,
+    list_transform(offers, lambda o: {{'f': b.f + o.v, 'e': o.e, 'path': list_append(b.path, {{'s': s, 'e': o.e, 'c': o.c}})}}))
+  FROM (SELECT dp.k AS k, ofs.r AS r, ends, s, offers, list_reduce(list_filter(list_prepend(NULL, ends), lambda x: x IS NULL OR x.e < s - 21), lambda x, y: CASE WHEN x IS NULL OR y.f >= x.f THEN y ELSE x END) AS far,
+    list_reduce(list_transform(list_filter(ends, lambda x: x.e < s), lambda x: {{'f': x.f - 0.5 * (20 - least(20, s - x.e - 1)) / 20, 'path': x.path}}),
+      lambda x, y: CASE WHEN y.f > x.f THEN y ELSE x END, {{'f': 0.0, 'path': {_NO_PATH}}}) AS b FROM dp JOIN ofs ON ofs.k = dp.k AND ofs.r = dp.r + 1) AS d)"""
+
+
+@query(f"""WITH {CANDIDATES}
 SELECT event_type, "start", "end", round(score + 1e-9, 4) AS score, round(confidence + 1e-9, 4) AS confidence FROM sc WHERE score > 1e-9""")
 def decoder_candidates(spark, sf_dir):
     got = segment.candidates(timeline(spark, sf_dir), ["event_type"]).where("score > 1e-9")
     return got.select("event_type", "start", "end", F.round(F.col("score") + 1e-9, 4).alias("score"), F.round(F.col("confidence") + 1e-9, 4).alias("confidence"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {CHOSEN}, ch AS (SELECT k, unnest(list_reduce(ends, lambda x, y: CASE WHEN y.f > x.f OR (y.f = x.f AND y.e > x.e) THEN y ELSE x END).path) AS w FROM dp WHERE r = (SELECT max(r) FROM ofs WHERE ofs.k = dp.k))
+SELECT k AS event_type, w.s AS "start", w.e + 1 AS "end", round(least(1, greatest(0, w.c)) + 1e-9, 6) AS confidence FROM ch""")
 def decoded_events(spark, sf_dir):
-    return segment.decode(timeline(spark, sf_dir), ["event_type"])
+    return segment.decode(timeline(spark, sf_dir), ["event_type"]).withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6))
 
 
 # --- localisation
@@ -852,11 +865,14 @@ def probability_summary(spark, sf_dir):
 
 @query(None)
 def prediction_records(spark, sf_dir):
-    """Records of all windows, with their ranked nodes and a category of the taxonomy, as the sink takes them."""
+    """Records of all windows, with their ranked nodes and the first node's default category, as the sink takes them."""
     found = window_events(spark, sf_dir)
-    top5 = ranked_roots(strengths_of_phases(spark, sf_dir, found)).withColumn("node", F.concat(F.lit("xian-"), F.get(F.array(*map(F.lit, dims.ROLES)), (F.col("rank") - 1).cast("int"))))
+    node = F.get(F.array(*map(F.lit, diagnosis.NODES)), F.col("entity").cast("int"))
+    top5 = ranked_roots(strengths_of_phases(spark, sf_dir, found)).withColumn("node", node)
+    taxonomy = dims.taxonomy(spark).select(F.col("fault_name").alias("_fault"), F.struct(F.col("major").alias("major_category"), F.col("sub").alias("sub_category")).alias("fault_category"))
+    category = top5.where("rank = 1").select("event", classify.default_category(F.col("node")).alias("_fault")).join(taxonomy, "_fault")
     utc = lambda c: S.utc_text(F.timestamp_seconds(c * 3600))
     e = found.select(
-        "event", utc(F.col("start")).alias("start_time"), utc(F.col("end")).alias("end_time"), F.struct(F.lit("link").alias("major_category"), F.lit("loss").alias("sub_category")).alias("fault_category")
-    )
+        "event", utc(F.col("start")).alias("start_time"), utc(F.col("end")).alias("end_time")
+    ).join(category.drop("_fault"), "event")
     return evaluate.prediction_flags(event_ops.records(e, top5))
