@@ -141,3 +141,22 @@ def cosine(a: DataFrame, b: DataFrame, left: str, right: str, key: str, weight:
     met = a.join(b.withColumnRenamed(weight, "_w"), key).groupBy(left, right).agg(F.sum(F.col(weight) * F.col("_w")).alias("_dot"))
     size = met.join(norm(a, left), left).join(norm(b, right), right)
     return size.select(left, right, F.try_divide("_dot", F.col(f"_n_{left}") * F.col(f"_n_{right}")).alias("cosine"))
+
+
+def vote_is_legal(spark: SparkSession, votes: DataFrame) -> DataFrame:
+    """votes (major_category, sub_category, confidence) with legal: a pair of the taxonomy, and a confidence from 0 to 1."""
+    pairs = dims.taxonomy(spark).select(F.col("major").alias("major_category"), F.col("sub").alias("sub_category")).distinct().withColumn("_known", F.lit(True))
+    rows = votes.join(F.broadcast(pairs), ["major_category", "sub_category"], "left")
+    sure = F.col("confidence").between(0, 1) & ~F.isnan("confidence")
+    return rows.withColumn("legal", F.coalesce(F.col("_known") & sure, F.lit(False))).drop("_known")
+
+
+def consensus(spark: SparkSession, votes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, major_category, sub_category, votes, illegal): the pair that most legal votes name, ties to the first in order.
+
+    Illegal votes count for nothing but illegal; a group with no other has nulls for its pair and no votes.
+    """
+    counts = vote_is_legal(spark, votes).groupBy(*by, "major_category", "sub_category").agg(F.count_if("legal").alias("n"), F.count_if(~F.col("legal")).alias("bad"))
+    pair = F.struct((-F.col("n")).alias("_n"), "major_category", "sub_category", "n")
+    best = counts.groupBy(*by).agg(F.min(F.when(F.col("n") > 0, pair)).alias("_b"), F.sum("bad").alias("illegal"))
+    return best.select(*by, F.col("_b.major_category").alias("major_category"), F.col("_b.sub_category").alias("sub_category"), F.coalesce("_b.n", F.lit(0)).alias("votes"), "illegal")

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.operators import build, diagnose, evaluate, review
+from faultsift.operators import build, classify, diagnose, evaluate, review
 from faultsift.operators import events as event_ops
 from faultsift.plans import dims
 from faultsift.plans.base import EV, events, query, table
@@ -415,3 +415,22 @@ def rows_by_line(spark, sf_dir):
     before = F.lag(balance).over(W.partitionBy("file").orderBy("line"))
     nation = F.regexp_extract("file", "nation=([0-9]+)", 1).cast("int")
     return got.select(F.col("c_custkey").cast("long").alias("c_custkey"), nation.alias("c_nationkey"), "line", F.round(balance - before + 1e-9, 2).alias("moved"))
+
+
+# --- votes on categories
+
+
+@query("""WITH v AS (SELECT user_id, CASE event_id % 5 WHEN 0 THEN 'link' WHEN 1 THEN 'routing' WHEN 2 THEN 'service' ELSE 'resource' END AS major_category,
+  CASE event_id % 7 WHEN 0 THEN 'loss' WHEN 1 THEN 'delay' WHEN 2 THEN 'bgp_session_down' WHEN 3 THEN 'web_5xx' WHEN 4 THEN 'disk_space_low' ELSE 'cpu_pressure' END AS sub_category, value / 400 AS confidence FROM events),
+l AS (SELECT *, (major_category, sub_category) IN (('link', 'loss'), ('link', 'delay'), ('routing', 'bgp_session_down'), ('service', 'web_5xx'), ('resource', 'disk_space_low'), ('resource', 'cpu_pressure')) AND confidence <= 1 AS legal FROM v),
+c AS (SELECT user_id, major_category, sub_category, count(*) AS n FROM l WHERE legal GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, major_category, sub_category) AS r FROM c),
+b AS (SELECT user_id, count(*) FILTER (NOT legal) AS illegal FROM l GROUP BY 1)
+SELECT b.user_id AS user_id, major_category, sub_category, coalesce(n, 0) AS votes, illegal FROM b LEFT JOIN r ON b.user_id = r.user_id AND r = 1""")
+def category_consensus(spark, sf_dir):
+    """What most rounds of a classifier say, without votes outside the taxonomy."""
+    at = lambda names, i: F.get(F.array(*map(F.lit, names)), (F.col("event_id") % i).cast("int"))
+    votes = table(spark, sf_dir, "events").select(
+        "user_id", at(["link", "routing", "service", "resource", "resource"], 5).alias("major_category"),
+        at(["loss", "delay", "bgp_session_down", "web_5xx", "disk_space_low", "cpu_pressure", "cpu_pressure"], 7).alias("sub_category"), (F.col("value") / 400).alias("confidence"),
+    )
+    return classify.consensus(spark, votes, ["user_id"])

@@ -250,3 +250,14 @@ def observations(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     for p, s in zip(parts[1:], stats[1:], strict=True):
         all_parts, all_stats = all_parts.unionByName(p), all_stats.unionByName(s)
     return all_parts, all_stats
+
+
+def text_observations(spark: SparkSession, root: str) -> DataFrame:
+    """The text events of all files under root: log lines and failed scrapes, as text_events gives them."""
+    paths: dict[str, list[str]] = {}
+    for r in discover(spark, root).where("source in ('frr', 'scrape')").collect():  # a list of files
+        paths.setdefault(r["source"], []).append(r["path"])
+    parts = [make(read_csv(spark, sorted(paths[source]))) for source, make in (("frr", text_events), ("scrape", scrape_errors)) if source in paths]
+    if not parts:
+        raise FileNotFoundError(f"no log or scrape files under {root}")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)

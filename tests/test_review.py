@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from faultsift.operators import review
+from faultsift.operators import classify, review
 
 ROOTS = ["xian-fw", "xian-br-1"]
 GOOD = {"event_opinion": "supports", "root_cause_top5": ROOTS[::-1], "fault_category": {"major_category": "link", "sub_category": "loss"}, "evidence_ids": ["root:xian-fw"], "confidence": 0.9, "rationale": "so it is"}
@@ -67,3 +67,10 @@ def test_blend(spark):
     got = {r["node"]: (r["rule"], r["learned"], r["score"]) for r in review.blended(scores, learned, ["event"]).collect()}
     assert got == {"a": pytest.approx((4 / 6, 0.5, 0.625)), "b": pytest.approx((1 / 6, 0.5, 0.25)), "c": pytest.approx((1 / 6, 0.0, 0.125))}
     assert review.blended(scores, learned.where(F.lit(False)), ["event"]).where("learned <> 0").count() == 0
+
+
+def test_votes_outside_the_taxonomy_do_not_count(spark):
+    rows = [("e", "link", "loss", 0.5), ("e", "link", "loss", 1.0), ("e", "link", "delay", 0.0), ("e", "link", "delay", 0.1), ("e", "link", "web_5xx", 0.9), ("e", "routing", "blackhole", 1.1), ("e", None, None, 0.5), ("f", "x", "y", 0.5), ("f", "link", "loss", float("nan")), ("f", "link", "loss", None)]
+    votes = spark.createDataFrame(rows, "event string, major_category string, sub_category string, confidence double")
+    got = {r["event"]: tuple(r)[1:] for r in classify.consensus(spark, votes, ["event"]).collect()}
+    assert got == {"e": ("link", "delay", 2, 3), "f": (None, None, 0, 3)}
