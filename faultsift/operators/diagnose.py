@@ -105,7 +105,7 @@ def timelines(cells: DataFrame, rules: DataFrame, by: tuple[str, ...] = (), keep
         "direct": direct,
         "symptoms": symptoms,
         "node": nodes.select(*by, "minute", "entity", F.col("strongest").alias("score")),
-        "edge": edge.groupBy(*by, "minute", "entity").agg(F.max("score").alias("score")),
+        "edge": keep(edge.groupBy(*by, "minute", "entity").agg(F.max("score").alias("score")), "edge"),
         "log": log_scores(of("log"), by),
         "minutes": minutes.select(*by, "minute", zero("node"), zero("service"), F.greatest(zero("node"), zero("service")).alias("probability")),
     }
