@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,11 +67,31 @@ def not_single(df: DataFrame, case: str, cases: DataFrame) -> DataFrame:
     return cases.select(case).distinct().join(counts, case, "left").na.fill(0, ["n"]).where("n <> 1")
 
 
+def _bins(df: DataFrame, start: str, end: str, classes: list[int]) -> DataFrame:
+    """df with a row for each class of lengths near its own (as many steps away as listed), and each bin of that width that it meets."""
+    own = F.floor(F.log2((F.col(end) - F.col(start)).cast("double")))
+    wide = df.withColumn("_class", F.explode(F.array(*((own + F.lit(k)).cast("int") for k in classes))))
+    width = F.pow(F.lit(2.0), F.col("_class"))
+    first, last = (F.floor(F.col(start) / width).cast("long"), (F.ceil(F.col(end) / width) - 1).cast("long"))
+    return wide.withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, last))))
+
+
 def dice_pairs(truths: DataFrame, predictions: DataFrame, by: list[str], least: float = LEAST_DICE) -> DataFrame:
-    """(by, truth_id, prediction_id, dice) of overlapping intervals (start, end) of the same group with at least that coefficient."""
+    """(by, truth_id, prediction_id, dice) of overlapping intervals (start, end) of the same group with at least that coefficient.
+
+    Lengths of such a pair differ by a bounded factor, so it meets in a bin of the truth's class of lengths: the join is one
+    of equality on group, class and bin, and a group of any size is spread over its times. A pair counts in the bin in which
+    its overlap begins. With least 0 or less, lengths may differ at will, and all overlapping pairs of a group are compared.
+    """
     t = truths.select(*by, "truth_id", F.col("start").alias("ts"), F.col("end").alias("te"))
     p = predictions.select(*by, "prediction_id", F.col("start").alias("ps"), F.col("end").alias("pe"))
     on = [t[c] == p[c] for c in by] + [F.col("ts") < F.col("pe"), F.col("ps") < F.col("te")]
+    if least > 0:
+        far = math.ceil(math.log2((2 - least) / least)) + 1 if least < 1 else 1
+        t = _bins(t.where("te > ts"), "ts", "te", [0])
+        p = _bins(p.where("pe > ps"), "ps", "pe", list(range(-far, far + 1)))
+        begins = F.floor(F.greatest("ts", "ps") / F.pow(F.lit(2.0), t["_class"])).cast("long")
+        on = [t[c] == p[c] for c in (*by, "_class", "_bin")] + [F.col("ts") < F.col("pe"), F.col("ps") < F.col("te"), t["_bin"] == begins]
     pairs = t.join(p, on)
     d = dice(F.col("ts"), F.col("te"), F.col("ps"), F.col("pe"))
     return pairs.select(*(t[c] for c in by), "truth_id", "prediction_id", d.alias("dice")).where(F.col("dice") >= least)
