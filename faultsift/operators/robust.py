@@ -52,7 +52,7 @@ def timeline_calibration(df: DataFrame, by: list[str], step: str, value: str, pa
     """(by, center, scale) fitted on the quietest part of each family's steps.
 
     A first fit on both ends of the timeline (a quarter of it, 3 to 60 steps) standardises the values; the lowest
-    of these, earlier steps first, are the reference of the second. by ends with the family; what stands before it
+    of these (of those equal to nine digits the earlier steps) are the reference of the second. by ends with the family; what stands before it
     names the timeline, whose ends are those of all its families.
     """
     whole = by[:-1]
@@ -61,7 +61,7 @@ def timeline_calibration(df: DataFrame, by: list[str], step: str, value: str, pa
     r = F.least(F.lit(60), F.greatest(F.lit(3), F.floor(F.col("_t") / 4)))
     edge = (F.col("_t") <= 2 * r) | (F.col(step) < F.col("_a") + r) | (F.col(step) > F.col("_b") - r)
     first = calibration(rows.where(edge), by, value)
-    scored = df.join(first, by).withColumn("_z", standardised(F.col(value), F.col("center"), F.col("scale")))
+    scored = df.join(first, by).withColumn("_z", F.round(standardised(F.col(value), F.col("center"), F.col("scale")), 9))
     return calibration(quiet(scored, by, "_z", step, part).select(*by, value), by, value)
 
 

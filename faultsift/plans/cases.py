@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.operators import build, classify, diagnose, evaluate, review
+from faultsift.operators import build, classify, diagnose, evaluate, level, review
 from faultsift.operators import events as event_ops
 from faultsift.plans import dims
 from faultsift.plans.base import EV, events, query, table
@@ -434,3 +434,36 @@ def category_consensus(spark, sf_dir):
         at(["loss", "delay", "bgp_session_down", "web_5xx", "disk_space_low", "cpu_pressure", "cpu_pressure"], 7).alias("sub_category"), (F.col("value") / 400).alias("confidence"),
     )
     return classify.consensus(spark, votes, ["user_id"])
+
+
+# --- level channel
+
+LEVELS = f"""{CELLS}, qf AS (SELECT modality, feature, quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM cells GROUP BY 1, 2),
+zl AS (SELECT k, c.modality, minute, entity, avg(least(25, abs((value - q[2]) / CASE WHEN q[3] - q[1] < 1e-6 THEN greatest(abs(q[2]) * 0.01, 1) ELSE q[3] - q[1] END))) AS level FROM cells c JOIN qf ON c.modality = qf.modality AND c.feature = qf.feature GROUP BY 1, 2, 3, 4),
+fl AS (SELECT k, modality AS family, minute, avg(level) AS score FROM (SELECT *, row_number() OVER (PARTITION BY k, modality, minute ORDER BY level DESC, entity) AS r FROM zl) AS x WHERE r <= 3 GROUP BY 1, 2, 3),
+en0 AS (SELECT k, min(minute) AS a, max(minute) - min(minute) + 1 AS n FROM cells GROUP BY 1),
+ws AS (SELECT DISTINCT k, a, n, s FROM (SELECT k, a, n, unnest(list_append(range(0, greatest(0, n - 120) + 1, 30), greatest(0, n - 120))) AS s FROM en0) AS x),
+lv AS (SELECT fl.k, fl.minute, family, any_value(score) AS score, count(*) AS windows FROM fl JOIN ws ON ws.k = fl.k AND minute - a >= s AND minute - a < s + 120 GROUP BY 1, 2, 3)"""
+
+
+def _fit_sql(name: str, source: str) -> str:
+    return f"""{name}q AS (SELECT k, family, quantile_cont(ln(1 + score), [0.25, 0.5, 0.75]) AS q FROM {source} GROUP BY 1, 2),
+{name} AS (SELECT h.k, h.family, any_value(q[2]) AS c, greatest(median(abs(ln(1 + score) - q[2])) * 1.4826, any_value(q[3] - q[1]) * 0.5, abs(any_value(q[2])) * 0.01, 0.15) AS s FROM {source} h JOIN {name}q q ON h.k = q.k AND h.family = q.family GROUP BY 1, 2)"""
+
+
+@query(f"WITH {LEVELS} SELECT k AS case_id, minute, family, round(score + 1e-9, 6) AS score, windows FROM lv")
+def level_scores(spark, sf_dir):
+    got = level.level_scores(staged(case_cells(spark, sf_dir), "cells"), list(BY))
+    return got.select(F.col("case").alias("case_id"), "minute", "family", r6("score").alias("score"), "windows")
+
+
+@query(f"""WITH {LEVELS}, tl AS (SELECT k, min(minute) AS a, max(minute) AS b, least(60, greatest(3, (max(minute) - min(minute) + 1) // 4)) AS r FROM lv GROUP BY 1),
+bd AS (SELECT lv.* FROM lv JOIN tl ON lv.k = tl.k WHERE b - a + 1 <= 2 * r OR minute < a + r OR minute > b - r), {_fit_sql("k1", "bd")},
+sz AS (SELECT lv.k, minute, lv.family, score, round(greatest(0, (ln(1 + score) - c) / s), 9) AS z FROM lv JOIN k1 ON lv.k = k1.k AND lv.family = k1.family),
+qt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, family ORDER BY z, minute) AS r, count(*) OVER (PARTITION BY k, family) AS n FROM sz) AS x WHERE r <= ceil(n * 0.6)), {_fit_sql("k2", "qt")},
+z2 AS (SELECT lv.k, minute, list_sort(list(greatest(0, (ln(1 + score) - c) / s)), 'DESC') AS z FROM lv JOIN k2 ON lv.k = k2.k AND lv.family = k2.family GROUP BY 1, 2)
+SELECT k AS case_id, minute, round(1 / (1 + exp(-((CASE WHEN len(z) > 1 THEN z[1] * 0.75 + z[2] * 0.25 ELSE z[1] END) - 4) / 1.5)) + 1e-9, 6) AS probability FROM z2""")
+def level_probability(spark, sf_dir):
+    """The probability of every case's minutes from the levels of its families."""
+    got = level.level_probability(staged(case_cells(spark, sf_dir), "cells"), list(BY))
+    return got.select(F.col("case").alias("case_id"), "minute", r6("probability").alias("probability"))
