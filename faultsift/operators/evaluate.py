@@ -76,17 +76,18 @@ def _bins(df: DataFrame, start: str, end: str, classes: list[int]) -> DataFrame:
     return wide.withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, last))))
 
 
-def dice_pairs(truths: DataFrame, predictions: DataFrame, by: list[str], least: float = LEAST_DICE) -> DataFrame:
+def dice_pairs(truths: DataFrame, predictions: DataFrame, by: list[str], least: float = LEAST_DICE, spread: bool = True) -> DataFrame:
     """(by, truth_id, prediction_id, dice) of overlapping intervals (start, end) of the same group with at least that coefficient.
 
     Lengths of such a pair differ by a bounded factor, so it meets in a bin of the truth's class of lengths: the join is one
     of equality on group, class and bin, and a group of any size is spread over its times. A pair counts in the bin in which
-    its overlap begins. With least 0 or less, lengths may differ at will, and all overlapping pairs of a group are compared.
+    its overlap begins. With least 0 or less, lengths may differ at will, and all overlapping pairs of a group are
+    compared, as without spread, which is for groups that are short stretches of time anyway.
     """
     t = truths.select(*by, "truth_id", F.col("start").alias("ts"), F.col("end").alias("te"))
     p = predictions.select(*by, "prediction_id", F.col("start").alias("ps"), F.col("end").alias("pe"))
     on = [t[c] == p[c] for c in by] + [F.col("ts") < F.col("pe"), F.col("ps") < F.col("te")]
-    if least > 0:
+    if spread and least > 0:
         far = math.ceil(math.log2((2 - least) / least)) + 1 if least < 1 else 1
         t = _bins(t.where("te > ts"), "ts", "te", [0])
         p = _bins(p.where("pe > ps"), "ps", "pe", list(range(-far, far + 1)))
@@ -150,7 +151,7 @@ def match(truths: DataFrame, predictions: DataFrame, by: list[str], least: float
     numbered = _runs(both, by)
     t = numbered.where("_t is not null").select(*by, "run", "start", "end", F.col("_t").alias("truth_id"))
     p = numbered.where("_p is not null").select(*by, "run", "start", "end", F.col("_p").alias("prediction_id"))
-    pairs = dice_pairs(t, p, [*by, "run"], least)
+    pairs = dice_pairs(t, p, [*by, "run"], least, spread=False)
     schema = pairs.schema
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
