@@ -8,12 +8,16 @@ line's smoothed ratio down (or not, where they also say "content"). Lines above
 content. They vote, by their text, for the container that holds most of them, which grows to its
 ancestors as long as what these add is content, too. The page's text is that container's lines, but
 for those that were weighed down below the threshold and link lists at its ends.
+
+A mark tells of a part of a page only: where half of the page's text, reader comments aside, has one
+(a layout that is named after its sidebar, a page built of widgets), weights count from that text's. In
+the same way, a form that holds more text than all the rest is the page's frame and no form.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,18 +38,22 @@ GROWS = 0.5
 STRONG_MARK, WEAK_MARK = 0.1, 0.6
 #: A line is a link if this part of its text is.
 LINK = 0.8
+#: Characters of marked text that a page must have before half of its text can lift a mark.
+LIFTED = 250
 
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas head title select textarea button form nav footer aside dialog menu".split())
+SKIPPED = frozenset("script style noscript template svg math iframe object canvas head title select textarea button nav footer aside dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ITEMS = frozenset("li dt dd tr td th option".split())
 LISTS = frozenset("ul ol dl table menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names of what readers wrote.
+READERS = frozenset("comment comments commentlist commentsection discussion disqus replies reply respond responses talkback".split())
 #: Names that mark what is no article, alone or as the first or last part of a name.
-STRONG = frozenset("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies footer gdpr login masthead menu modal nav navbar navigation newsletter popup promo promos promotion related sidebar signup social sponsor sponsored subscribe subscription widget widgets".split())
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs consent cookie cookies footer gdpr login masthead menu modal nav navbar navigation newsletter popup promo promos promotion related sidebar signup social sponsor sponsored subscribe subscription widget widgets".split()) | READERS
 #: Names that do so alone, and may do so as the first or last part of a name.
-WEAK = frozenset("banner copyright disclaimer discussion hidden legal notice notices notification recommended replies reply respond search share sharing skip toolbar".split())
+WEAK = frozenset("banner copyright disclaimer hidden legal notice notices notification recommended search share sharing skip toolbar".split())
 #: Names that say the opposite, and words before a mark that only tell of it.
 CONTENT = frozenset("article body content entry main post story text".split())
 ABOUT = frozenset("has no with without".split())
@@ -59,7 +67,8 @@ _PARTS = re.compile(r"[a-z]+")
 def mark_weight(value: str) -> float:
     """The weight that the names in a class or id give: 1 for names that mark nothing."""
     weight, content = 1.0, False
-    for name in value.lower().split():
+    names = value.lower().split()
+    for name in names:
         parts = _PARTS.findall(name)
         if not parts or parts[0] in ABOUT:
             continue
@@ -70,20 +79,31 @@ def mark_weight(value: str) -> float:
         elif not WEAK.isdisjoint(ends):
             weight = min(weight, WEAK_MARK)
     # "post-comments" are comments; "content" beside "sidebar" in other names is content
-    if content and weight < 1 and any(_PARTS.findall(n) and CONTENT.issuperset(_PARTS.findall(n)) for n in value.lower().split()):
+    if content and weight < 1 and any(_PARTS.findall(n) and CONTENT.issuperset(_PARTS.findall(n)) for n in names):
         return 1.0
     return weight
 
 
+def _named(attrs: list[tuple[str, str | None]], words: frozenset[str]) -> bool:
+    """Whether a class or id begins or ends with one of the words."""
+    parts = [_PARTS.findall(n) for name, value in attrs if name in ("class", "id") and value for n in value.lower().split()]
+    return any(p and not words.isdisjoint((p[0], p[-1])) for p in parts)
+
+
 class _Lines(HTMLParser):
-    """Collects lines with their tags, links, headings and containers; containers are numbered as they open."""
+    """Collects lines with their tags, links, headings and containers; containers are numbered as they open.
+
+    frame: the number of the form (from 0, by its start) that frames the page; others are skipped.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, frame: int | None = None) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # tag, container, skipped
-        self.count: Counter[str] = Counter()  # of open tags
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # where the open tags of each name stand
+        self.blocks: list[int] = []  # and those that are not inline
         self.links = self.headings = self.articles = 0
-        self.parent, self.weight, self.declared = [-1], [1.0], [False]
+        self.frame, self.forms, self.shown = frame, [], 0  # characters in each form, and outside
+        self.parent, self.weight, self.declared, self.readers = [-1], [1.0], [False], [False]
         self.text: list[str] = []
         self.about: list[tuple[int, int, int, bool]] = []  # tags, characters of links, container, heading
         self.parts: list[str] = []
@@ -100,30 +120,28 @@ class _Lines(HTMLParser):
             self.linked = 0
 
     def _push(self, tag: str, container: int, skip: bool) -> None:
+        self.at[tag].append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
         self.open.append((tag, container, skip))
-        self.count[tag] += 1
         self.links += tag == "a"
         self.headings += tag in HEADINGS
         self.articles += tag in ARTICLE
 
     def _cut(self, to: int) -> None:
         for tag, _, _ in self.open[to:]:
-            self.count[tag] -= 1
+            self.at[tag].pop()
             self.links -= tag == "a"
             self.headings -= tag in HEADINGS
             self.articles -= tag in ARTICLE
         del self.open[to:]
+        while self.blocks and self.blocks[-1] >= to:
+            self.blocks.pop()
 
     def _close(self, tag: str, until: frozenset[str]) -> None:
         """End the innermost open tag, unless one of until stands inside it."""
-        if not self.count[tag]:
-            return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._cut(i)
-                return
-            if self.open[i][0] in until:
-                return
+        if self.at[tag] and not any(self.at[t] and self.at[t][-1] > self.at[tag][-1] for t in until):
+            self._cut(self.at[tag][-1])
 
     @staticmethod
     def _seen(attrs: list[tuple[str, str | None]]) -> bool:
@@ -169,29 +187,37 @@ class _Lines(HTMLParser):
         elif tag in ITEMS:
             self._close(tag, LISTS)
         _, container, skip = self.open[-1] if self.open else ("", 0, False)
-        skip = skip or tag in SKIPPED or bool(attrs) and not self._seen(attrs) or tag == "header" and not self.articles
+        skip = skip or tag in SKIPPED or bool(attrs) and not self._seen(attrs)
+        skip = skip or tag == "header" and not self.articles and not _named(attrs, CONTENT)
+        if tag == "form" and not self.at["form"]:
+            self.forms.append(0)
         self.parent.append(container)
         self.weight.append(self.weight[container] * (self._weighed(tag, attrs) if attrs else 1.0))
         self.declared.append(tag in ARTICLE)
+        self.readers.append(self.readers[container] or bool(attrs) and _named(attrs, READERS))
         self._push(tag, len(self.parent) - 1, skip)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in INLINE:
-            for i in range(len(self.open) - 1, -1, -1) if self.count[tag] else ():
-                if self.open[i][0] == tag:
-                    self._cut(i)
-                    return
-                if self.open[i][0] not in INLINE:
-                    return
+            if self.at[tag] and (not self.blocks or self.at[tag][-1] > self.blocks[-1]):
+                self._cut(self.at[tag][-1])
             return
         self._flush()
         self._close(tag, frozenset() if tag != "p" else CLOSES_P - {"p"})
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][2]):
-            self.parts.append(data)
-            self.linked += len(data) if self.links else 0
+        if self.open and self.open[-1][2]:
+            return
+        size = 0 if self.links else len(data.strip())
+        if self.at["form"]:
+            self.forms[-1] += size
+            if len(self.forms) - 1 != self.frame:
+                return
+        else:
+            self.shown += size
+        self.parts.append(data)
+        self.linked += len(data) if self.links else 0
 
     def finish(self) -> None:
         self.close()
@@ -206,6 +232,31 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratio, kernel)[reach : reach + len(ratio)] / weight
 
 
+def _read(html: str) -> _Lines:
+    """The lines of a page; one that a form frames is read once more."""
+    lines = _Lines()
+    lines.feed(html)
+    lines.finish()
+    most = max(lines.forms, default=0)
+    if 2 * most <= sum(lines.forms) + lines.shown:
+        return lines
+    lines = _Lines(frame=lines.forms.index(most))
+    lines.feed(html)
+    lines.finish()
+    return lines
+
+
+def _weights(lines: _Lines, at: np.ndarray, prose: np.ndarray) -> np.ndarray:
+    """The weight of each line, from that of half of the prose (characters outside links) that no reader wrote."""
+    weight, told = np.array(lines.weight)[at], ~np.array(lines.readers)[at]
+    order = np.argsort(-weight[told], kind="stable")
+    so_far = np.cumsum(prose[told][order])
+    if not len(so_far) or so_far[-1] < LIFTED:
+        return weight
+    half = weight[told][order][np.searchsorted(so_far, so_far[-1] / 2)]
+    return np.where(told, np.minimum(1.0, weight / half), np.minimum(weight, STRONG_MARK))
+
+
 def _region(lines: _Lines, at: np.ndarray, size: np.ndarray, content: np.ndarray, heading: np.ndarray, free: np.ndarray) -> tuple[int, int]:
     """The first and last container of the region; containers inside one another have consecutive numbers. free: lines without a mark."""
     n = len(lines.parent)
@@ -236,22 +287,23 @@ def _region(lines: _Lines, at: np.ndarray, size: np.ndarray, content: np.ndarray
 
 def main_text(html: str | None, threshold: float = THRESHOLD, sigma: float = SIGMA) -> str:
     """The page's main text, one block a line; empty if it has none."""
-    lines = _Lines()
-    lines.feed(_CUT_TAG.sub("", html or ""))
-    lines.finish()
+    lines = _read(_CUT_TAG.sub("", html or ""))
     if not lines.text:
         return ""
     tags, linked, at, heading = (np.array(x) for x in zip(*lines.about, strict=True))
     size = np.array([len(t) for t in lines.text], float)
     link = linked >= LINK * size
     smooth = smoothed(np.log1p(np.maximum(size - linked, 0) / np.maximum(1, tags)), sigma)
-    weight = np.array(lines.weight)[at]
+    weight = _weights(lines, at, np.maximum(size - linked, 0))
     content = smooth * weight >= threshold * smooth.mean()
     if not smooth.any() or not content.any():  # links alone are no text
         return ""
     first, last = _region(lines, at, size, content, heading, weight >= 1)
     inside = (at >= first) & (at <= last) & (content | (weight >= 1))
-    here = np.flatnonzero(inside & (content | ~link | heading))
+    # links that follow one another stay at an end of the text only if all of them are content
+    run = np.cumsum(np.diff(link, prepend=False))
+    broken = np.bincount(run, weights=link & ~content) > 0
+    here = np.flatnonzero(inside & (content & ~broken[run] | ~link | heading))
     if not len(here):
         return ""
     keep = np.flatnonzero(inside[: here[-1] + 1])

@@ -74,6 +74,36 @@ def test_ratio_and_threshold_select():
     assert "See it." in main_text(weak) and "See it." not in main_text(weak, sigma=1e-3)
 
 
+FRAMES = [
+    "<form id='aspnetForm'>{}</form>", "<div class='layout sidebar-right'>{}<div class='sidebar'><p>Side.</p></div></div>", "<div class='text-widget'>{}</div>",
+    "<div class='elementor-widget elementor-widget-theme-post-content'><div class='elementor-widget-container'>{}</div></div>",
+]
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+def test_what_frames_the_page_is_no_boilerplate(frame):
+    inner = f"<div><h1>T</h1>{PARA * 3}<p>Short.</p></div><div class='comments'>{PARA * 9}</div>"
+    assert main_text(f"<body><nav>menu</nav>{frame.format(inner)}<form><p>Sign up here.</p></form></body>") == "\n".join(["T", *[LONG.strip()] * 3, "Short."])
+
+
+def test_paragraphs_that_are_widgets():
+    assert main_text("<body>" + f"<div class='text-widget'>{PARA}</div>" * 4 + "</body>") == "\n".join([LONG.strip()] * 4)
+    assert main_text("<body><div class='cookie-notice'><p>We use cookies.</p></div></body>") == ""
+
+
+def test_responses_of_readers_and_titles_beside_the_body():
+    assert main_text(f"<article>{PARA * 2}<section class='reader-responses'>{PARA * 5}</section></article>") == "\n".join([LONG.strip()] * 2)
+    html = f"<body><header><p>Site</p></header><div class='post'><header class='entry-header'><h1>T</h1></header><div class='entry-content'>{PARA * 2}</div></div></body>"
+    assert main_text(html) == "\n".join(["T", *[LONG.strip()] * 2])
+
+
+def test_links_at_the_end_stay_or_go_together():
+    links = "<ul><li><a href='1'>First story that is linked</a></li><li><a href='2'>Second story that is linked</a></li></ul>"
+    assert main_text(f"<article>{PARA * 3}{links}</article>") == "\n".join([LONG.strip()] * 3)
+    assert "linked" in main_text(f"<article>{PARA * 3}{links}{PARA}</article>")
+    assert main_text(f"<article>{PARA * 3}<p><a href='1'>The whole report</a></p></article>").endswith("The whole report")
+
+
 def test_smoothing_against_brute_force():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 40):
@@ -88,4 +118,6 @@ def test_work_grows_with_the_length():
     assert len(main_text("<div>x words " * 50_000).split("\n")) == 50_000
     assert main_text("<div>" * 50_000 + "</span></p></x>" * 50_000 + PARA) == LONG.strip()
     assert len(main_text("<article>" + PARA * 20_000)) > 4_000_000
+    assert main_text("<b><div>" + "<i>" * 50_000 + "</u>" * 50_000 + "</b>x" * 50_000) == "x" * 50_000
+    assert main_text("<table><tr><td><ul>" + "<x>" * 50_000 + "<td>y</td>" * 50_000) == "\n".join("y" * 50_000)
     assert time.time() - began < 60
