@@ -27,6 +27,8 @@ QUERY_ROWS = 512
 AT_ONCE = 64
 #: Scoring a member in full costs less than another segment once so small a part of a shard remains.
 RESCORE_PART = 0.1
+#: Scores beyond the range of a long count as its ends.
+RANGE = 2.0**63
 
 
 class Shard:
@@ -37,15 +39,17 @@ class Shard:
     """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, levels: int = LEVELS):
-        self.ids, self.x = ids, x.astype(np.float64)
+        self.ids, self.whole, self.x = ids, x, x.astype(np.float64)
         size = np.abs(self.x)
-        mass = np.bincount(size.astype(np.int64).ravel(), weights=(size**2).ravel())
-        from_top = np.cumsum(mass[::-1])[::-1]
-        cuts = [int((from_top >= from_top[0] * (i + 1) / levels).sum() - 1) for i in range(levels - 1)] + [1]
+        falling = np.sort(size, axis=None)[::-1]
+        mass = np.cumsum(falling**2)
+        # impacts are whole numbers, so a band that begins at 1 holds all that is left
+        cuts = [float(falling[np.searchsorted(mass, mass[-1] * (i + 1) / levels)]) for i in range(levels - 1)] + [1.0] if mass[-1] > 0 else [1.0]
         self.segments: list[np.ndarray] = []
         self.rest: list[np.ndarray] = []
         above, left = np.inf, (size**2).sum(axis=1)
-        for low in dict.fromkeys(max(1, c) for c in cuts):
+        self.longest = float(np.sqrt(left.max()))
+        for low in dict.fromkeys(max(1.0, c) for c in cuts):
             band = np.where((size >= low) & (size < above), self.x, 0.0)
             above, left = low, left - (band**2).sum(axis=1)
             self.segments.append(np.ascontiguousarray(band.T))
@@ -53,8 +57,10 @@ class Shard:
 
     def search(self, names: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query its name and the (scores, ids) of its k best vectors of another id, ties to the smaller id."""
-        queries = queries.astype(np.float64)
+        asked, queries = queries, queries.astype(np.float64)
         norm = np.sqrt((queries**2).sum(axis=1))
+        size = norm * self.longest  # no partial sum is larger
+        slack = 1e-6 + 1e-12 * size[:, None]
         own = names[:, None] == self.ids[None, :]
         score = np.where(own, -np.inf, 0.0)
         k = min(k, len(self.ids))
@@ -63,13 +69,19 @@ class Shard:
             score += queries @ segment
             reach = norm[:, None] * rest[None, :]
             sure = np.partition(score - reach, len(self.ids) - k, axis=1)[:, len(self.ids) - k]
-            member = ~own & (score + reach >= sure[:, None] - 1e-6)
+            member = ~own & (score + reach >= np.clip(sure, -RANGE, RANGE)[:, None] - slack)
             if member.sum() <= RESCORE_PART * member.size:
                 break
         for i, name in enumerate(names):
             at = np.flatnonzero(member[i])
-            exact = (self.x[at] @ queries[i]).astype(np.int64)
-            best = np.lexsort((self.ids[at], -exact))[:k]
+            if size[i] < 2**52:  # doubles hold the sums exactly
+                exact = (self.x[at] @ queries[i]).astype(np.int64)
+            elif size[i] < 2**62:
+                exact = self.whole[at] @ asked[i]
+            else:
+                sums = self.whole[at].astype(object) @ asked[i].astype(object)
+                exact = np.array([max(-(2**63), min(2**63 - 1, int(v))) for v in sums], np.int64)
+            best = np.lexsort((self.ids[at], ~exact))[:k]  # ~: no sign change of the least long
             yield int(name), exact[best], self.ids[at][best]
 
 
@@ -90,7 +102,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     vectors and queries are (id, x) with integer x. Vectors are dealt to shards and queries to
     blocks of bounded size; each shard meets each block once, and only its k best go on. Vectors of
     other lengths than a query's do not match it. Repeated ids are separate candidates; repeated
-    query ids are asked once. Empty tables and queries without candidates give no rows.
+    query ids are asked once. Empty tables and queries without candidates give no rows. Components of
+    any size are taken; scores beyond the range of a long count as its ends.
     """
     shards = max(1, math.ceil(vectors.count() / shard_rows))
     asked = queries.dropDuplicates(["id"])

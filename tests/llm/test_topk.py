@@ -32,6 +32,22 @@ def test_shard(kind):
     assert got == brute(ids, x, names, queries, 5)
 
 
+@pytest.mark.parametrize("top", [10**8, 10**10, 3 * 10**14, 2**63 - 1])
+def test_components_of_any_size(top):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-50, 50, (300, 6))
+    x[40], x[41], x[250] = [top, -3, 0, 7, 1, 2], [top, -3, 0, 7, 1, 3], [-top, top // 3, 5, 5, 5, 5]
+    ids = rng.permutation(300)
+    least, most = -(2**63), 2**63 - 1
+    want = {}
+    for at in (40, 41, 250, 3):
+        scores = [max(least, min(most, sum(int(a) * int(b) for a, b in zip(v, x[at], strict=True)))) for v in x]
+        want[int(ids[at])] = sorted((-s, int(i)) for s, i in zip(scores, ids, strict=True) if i != ids[at])[:5]
+    at = [40, 41, 250, 3]
+    got = {q: [(-int(s), int(i)) for s, i in zip(score, found, strict=True)] for q, score, found in topk.Shard(ids, x).search(ids[at], x[at], 5)}
+    assert got == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(0, 0.3, (500, 8))
