@@ -39,14 +39,12 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "warc")
     warc.write(tables(spark, sf_dir, "pages"), path)
-    found = warc.read(spark, path).withColumns(
-        {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")}
-    )
-    whole = warc.resolve(found.drop("payload"), ["payload_bytes", "payload_digest"])
+    found = warc.read(spark, path).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "body_digest": F.sha1("payload")})
+    whole = warc.resolve(staged(found.drop("payload"), "warc-found"), ["payload_bytes", "body_digest"])
     return whole.select(
         warc.page_of(F.col("record_id")).alias("page_id"),
         "payload_bytes",
-        "payload_digest",
+        F.col("body_digest").alias("payload_digest"),
         "record_type",
         warc.page_of(F.col("refers_to")).alias("refers_to"),
     )

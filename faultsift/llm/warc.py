@@ -206,14 +206,24 @@ def read(spark: SparkSession, path: str, batch_rows: int = 256) -> DataFrame:
 def resolve(found: DataFrame, columns: list[str]) -> DataFrame:
     """found with the columns of each revisit taken from the response that it refers to.
 
-    A revisit whose response is missing keeps its own. Where responses repeat an id, one is taken.
+    That is the response of its id and payload digest; without a digest, the id's response of the largest
+    digest. A revisit whose response is missing keeps its own. A response may have any number of revisits:
+    those with many are broadcast. found is read several times.
     """
     rest = [c for c in found.columns if c not in columns]
-    named = {c: f"_{c}" for c in columns}
-    responses = found.where("record_type = 'response'").select(F.col("record_id").alias("_to"), *(F.col(c).alias(n) for c, n in named.items())).dropDuplicates(["_to"])
-    revisits = found.where("record_type = 'revisit'").join(responses, F.col("refers_to") == F.col("_to"), "left")
-    taken = revisits.select(*rest, *(F.when(F.col("_to").isNotNull(), F.col(n)).otherwise(F.col(c)).alias(c) for c, n in named.items()))
-    return found.where("record_type <> 'revisit'").select(*rest, *columns).unionByName(taken)
+    of = lambda name: F.concat_ws("\n", name, "payload_digest")  # noqa: E731; no header holds a line end
+    responses = (
+        found.where("record_type = 'response' and record_id is not null")
+        .withColumn("_to", F.explode(F.array_distinct(F.array(of("record_id"), "record_id"))))
+        .groupBy("_to")
+        .agg(F.max_by(F.struct(*columns), F.coalesce("payload_digest", F.lit(""))).alias("_whole"))
+    )
+    revisits = found.where("record_type = 'revisit'").withColumn("_to", of("refers_to"))
+    asked = staged(revisits.groupBy("_to").agg(F.count("*").alias("_n")), "warc-asked")
+    total = asked.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    met = join_skewed(revisits, asked.join(responses, "_to", "left"), "_to", "_n", total)
+    taken = met.select(*rest, *(F.when(F.col("_whole").isNotNull(), F.col(f"_whole.{c}")).otherwise(F.col(c)).alias(c) for c in columns))
+    return found.where("record_type is null or record_type <> 'revisit'").select(*rest, *columns).unionByName(taken)
 
 
 def page_of(record_id: Column) -> Column:

@@ -71,3 +71,14 @@ def test_one_payload_of_many_pages(spark):
     headers = spark.createDataFrame([(i, "same", 5000) for i in range(2000)] + [(i, f"d{i}", 5000) for i in range(2000, 2100)] + [(3000, "d2000", 5000)], "page_id long, digest string, n_bytes long")
     got = {r["page_id"]: r["refers_to"] for r in warc.plan_revisits(headers).collect()}
     assert got == {**{i: 1999 for i in range(1999)}, 2000: 3000}
+
+
+def test_revisits_find_the_response_of_their_digest(spark):
+    rows = [("a", "response", None, "d1", b"one"), ("a", "response", None, "d2", b"two"), ("a", "response", None, "d2", b"two")]
+    rows += [(f"r{i}", "revisit", "a", "d1", b"") for i in range(500)] + [("s", "revisit", "a", "d2", b""), ("t", "revisit", "a", None, b"")]
+    rows += [("u", "revisit", "gone", "d1", b""), ("v", "revisit", None, None, b"own"), ("w", "revisit", "a", "d3", b""), (None, "response", None, "d4", b"four"), ("x", None, None, None, b"other")]
+    found = spark.createDataFrame([(*r[:2], None, *r[2:]) for r in rows], warc.RECORD)
+    got = sorted((r["record_id"] or "", bytes(r["payload"])) for r in warc.resolve(found, ["payload"]).collect())
+    want = {"s": b"two", "t": b"two", "u": b"", "v": b"own", "w": b"", "": b"four", "x": b"other"} | {f"r{i}": b"one" for i in range(500)}
+    assert got == sorted([("a", b"one"), ("a", b"two"), ("a", b"two"), *want.items()])
+    assert warc.resolve(found.limit(0), ["payload"]).count() == 0
