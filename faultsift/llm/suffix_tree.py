@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,8 @@ PIECE_BYTES, HELD = 1_500_000, 3_000_000
 BLOCK_BYTES, SAMPLED = 12_000_000, 200_000
 #: Bytes of text that are scored against one slice of the states.
 BATCH_BYTES = 8_000_000
+#: So many of a slice's states, the shortest, have their counts in a matrix (2 KB each).
+DENSE = 8192
 _BYTE = np.uint64(8)
 
 
@@ -252,7 +255,12 @@ def _pack_states(key: np.ndarray, kinds: np.ndarray, sym: np.ndarray, n: np.ndar
 
 def _unpack_states(data: bytes) -> tuple[np.ndarray, ...]:
     key, kinds, sym, n = _unpacked(data, "uwwu")
-    return np.cumsum(key, dtype=np.uint64), kinds.astype(np.int64), sym.astype(np.int64), n.astype(np.int64)
+    return np.cumsum(key, dtype=np.uint64), kinds.astype(np.int64), sym.astype(np.uint8), _small(n)
+
+
+def _small(n: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits if they fit."""
+    return n.astype(np.uint32 if not len(n) or n.max() < 1 << 32 else np.int64)
 
 
 def _rows(kinds: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -270,23 +278,27 @@ def _block_of(key: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """States (key, kinds, sym, n), keys rising, ready to score texts whose contexts they cover."""
+    """States (key, kinds, sym, n), keys and each state's next bytes rising, ready to score texts whose contexts they cover."""
 
     def __init__(self, key: np.ndarray, kinds: np.ndarray, sym: np.ndarray, n: np.ndarray):
         self.key, self.kinds = key, kinds
-        self.total = np.add.reduceat(n, np.cumsum(kinds) - kinds).astype(np.float64) if len(kinds) else np.zeros(0)
-        pair = np.repeat(np.arange(len(key)), kinds) << 8 | sym
-        order = np.argsort(pair, kind="stable")
-        self.pair, self.count = pair[order], n[order].astype(np.float64)
+        self.total = np.add.reduceat(n, np.cumsum(kinds) - kinds, dtype=np.float64) if len(kinds) else np.zeros(0)
+        kind = np.uint32 if len(key) < 1 << 24 else np.int64
+        self.pair, self.count = np.repeat(np.arange(len(key), dtype=kind) << kind(8), kinds) | sym.astype(kind), _small(n)
+        self.dense = np.zeros(256 * min(DENSE, len(key)))
+        low = int(np.searchsorted(self.pair, kind(len(self.dense))))
+        self.dense[self.pair[:low]] = self.count[:low]
 
     @classmethod
     def of(cls, slices: list[bytes]) -> Model:
         """The states of several packed slices; no state is in two of them."""
         parts = [_unpack_states(s) for s in slices]
-        key, kinds, sym, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
+        key = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
+        kinds, sym, n = (np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, t in ((1, np.int64), (2, np.uint8), (3, np.uint32)))
+        del parts
         order = np.argsort(key, kind="stable")
         moved = _rows(kinds, order)
-        return cls(key[order].astype(np.uint64), kinds[order], sym[moved], n[moved])
+        return cls(key[order], kinds[order], sym[moved], n[moved])
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
         """The log10 probability of each text, its end mark included."""
@@ -300,40 +312,56 @@ class Model:
                 size += len(t)
         return np.concatenate(out) if out else np.zeros(0)
 
+    def _seen(self, pair: np.ndarray) -> np.ndarray:
+        """How often each state (times 256) had each next byte."""
+        if len(self.dense) == 256 * len(self.key):
+            return self.dense[pair]
+        out, rare = np.zeros(len(pair)), pair >= len(self.dense)
+        out[~rare] = self.dense[pair[~rare]]
+        rest = pair[rare].astype(self.pair.dtype)
+        at = np.minimum(np.searchsorted(self.pair, rest), len(self.pair) - 1)
+        out[rare] = np.where(self.pair[at] == rest, self.count[at], 0.0)
+        return out
+
     def _log10(self, texts: list[bytes]) -> np.ndarray:
-        every, back = np.unique(np.concatenate([_codes(t) for t in texts]), return_inverse=True)
+        back, every = pd.factorize(np.concatenate([_codes(t) for t in texts]))
+        order = np.argsort(every)
+        every = every[order]
         nexts = (every & np.uint64(255)).astype(np.int64)
         share = np.full(len(every), 1 / 256)
-        for k in range(DEPTH + 1 if len(self.key) else 0):
-            # the codes rise, so those of one context are neighbours and look for it once
-            prefix = _prefix(every, k)
-            first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
-            want = _key(prefix[first], k)
+        # the codes rise, so those of one context are neighbours and look for it once
+        for k, (first, prefix) in enumerate(_contexts(every) if len(self.key) else ()):
+            want = _key(prefix, k)
             at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
             met = self.key[at] == want
             if not met.any():
                 continue
             size = np.diff(first, append=len(every))
             here, at = np.flatnonzero(np.repeat(met, size)), np.repeat(at[met], size[met])
-            mine = at << 8 | nexts[here]
-            n_at = np.minimum(np.searchsorted(self.pair, mine), len(self.pair) - 1)
-            seen = np.where(self.pair[n_at] == mine, self.count[n_at], 0.0)
             # without a context, each of the 256 bytes is given one count
             more = np.full(len(at), 256.0) if k == 0 else self.kinds[at].astype(np.float64)
-            share[here] = (seen + more * share[here]) / (self.total[at] + more)
+            share[here] = (self._seen(at << 8 | nexts[here]) + more * share[here]) / (self.total[at] + more)
+        value = np.empty(len(every))
+        value[order] = np.log10(share)
         size = np.array([len(t) for t in texts])
-        return np.add.reduceat(np.log10(share)[back], np.cumsum(size) - size)
+        return np.add.reduceat(value[back], np.cumsum(size) - size)
+
+
+def _contexts(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 0 the places where a context begins in rising codes, and the contexts; a shorter one begins where a longer one does."""
+    out, first, prefix = [], np.arange(len(codes)), codes
+    for k in range(DEPTH, -1, -1):
+        prefix = prefix >> _BYTE if k else np.zeros_like(prefix)
+        new = np.append(True, prefix[1:] != prefix[:-1])[: len(prefix)]
+        first, prefix = first[new], prefix[new]
+        out.append((first, prefix))
+    return out[::-1]
 
 
-def context_keys(texts: list[bytes], known: np.ndarray) -> np.ndarray:
-    """The different keys of all contexts in the texts that the bitmap may hold."""
-    codes = np.unique(np.concatenate([_codes(t) for t in texts]))
-    out = []
-    for k in range(DEPTH + 1):
-        key = _key(_prefix(codes, k), k)
-        key = key[np.append(True, key[1:] != key[:-1])]
-        out.append(key[in_bitmap(key.view(np.int64), known)])
-    return np.concatenate(out)
+def context_keys(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The different keys, rising, of all contexts of the codes (rising, too) that the bitmap may hold."""
+    keys = [_key(prefix, k) for k, (_, prefix) in enumerate(_contexts(codes))]
+    return np.concatenate([key[in_bitmap(key.view(np.int64), known)] for key in keys])
 
 
 def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray) -> DataFrame:
@@ -345,20 +373,21 @@ def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray) -> DataFra
     known = texts.sparkSession.sparkContext.broadcast(bitmap(modelled.select("states").mapInArrow(keys, "key long")))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, met, part, size = None, np.zeros(0, np.uint64), [], 0
+        name, codes, part, size = None, [], [], 0
 
         def piece() -> None:
-            nonlocal met, part, size
+            nonlocal part, size
             if part:
-                met = np.union1d(met, context_keys(part, known.value))
+                codes.append(_counted(np.concatenate([_codes(t) for t in part]))[0])
             part, size = [], 0
 
         def made() -> pa.RecordBatch:
-            nonlocal met
             piece()
+            met = context_keys(_counted(np.concatenate(codes))[0], known.value)
+            codes.clear()
             block = _block_of(met, starts)
             order = np.argsort(block, kind="stable")
-            key, block, met = met[order], block[order], np.zeros(0, np.uint64)
+            key, block = met[order], block[order]
             first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
             cut = zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=False)
             sent = [(int(block[a]), name, _packed(np.diff(np.sort(key[a:b]), prepend=np.uint64(0)))) for a, b in cut]
