@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,7 +46,7 @@ PIECE_BYTES, HELD = 1_500_000, 3_000_000
 #: Training bytes that a block counts, on average, and numbers that are sampled for the blocks' limits.
 BLOCK_BYTES, SAMPLED = 12_000_000, 200_000
 #: Bytes of text that are scored against one slice of the states.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 24_000_000
 #: So many of a slice's states, the shortest, have their counts in a matrix (2 KB each).
 DENSE = 8192
 _BYTE = np.uint64(8)
@@ -267,7 +268,10 @@ def _rows(kinds: np.ndarray, pick: np.ndarray) -> np.ndarray:
     """Where the next bytes of the picked states lie, in their order."""
     start = np.cumsum(kinds) - kinds
     size = kinds[pick]
-    return np.repeat(start[pick] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    kind = np.int32 if int(kinds.sum()) < 1 << 31 else np.int64
+    out = np.repeat((start[pick] - (np.cumsum(size) - size)).astype(kind), size)
+    out += np.arange(len(out), dtype=kind)
+    return out
 
 
 def _block_of(key: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -298,12 +302,14 @@ class Model:
         del parts
         order = np.argsort(key, kind="stable")
         moved = _rows(kinds, order)
-        return cls(key[order], kinds[order], sym[moved], n[moved])
+        sym, n = sym[moved], n[moved]
+        del moved
+        return cls(key[order], kinds[order], sym, n)
 
-    def log10(self, texts: list[bytes]) -> np.ndarray:
+    def log10(self, texts: Iterable[bytes]) -> np.ndarray:
         """The log10 probability of each text, its end mark included."""
         out, part, size = [], [], 0
-        for t in [*texts, None]:
+        for t in chain(texts, [None]):
             if part and (t is None or size > PIECE_BYTES):
                 out.append(self._log10(part))
                 part, size = [], 0
@@ -485,7 +491,8 @@ def score(
         made = []
         if len(mine):
             model = Model.of([s.as_py() for s in met.column("states")])
-            mine = mine.append_column("score", pa.array(model.log10([zstandard.decompress(t.as_py()) for t in mine["packed"]])))
+            mine = mine.append_column("score", pa.array(model.log10(zstandard.decompress(t.as_py()) for t in mine["packed"])))
+            del model
         for batch in mine.to_batches(max_chunksize=TEXT_BATCH_ROWS):
             ids, held, texts = batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), [zstandard.decompress(t.as_py()).split() for t in batch.column("packed")]
             scores = batch.column("score").to_numpy(zero_copy_only=False)
