@@ -71,3 +71,24 @@ def test_the_stage_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatc
     docs = spark.createDataFrame([(i, f"some words of text number {i // 2}") for i in range(20)], "doc_id long, text string")
     got = near.keep_one(docs)
     assert got.count() == 10 and [p.name.split("-")[:2] for p in tmp_path.iterdir() if p.is_dir()] == [["near", "gone"]]
+
+
+def test_no_link_is_lost_through_a_text_that_goes(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for _ in range(30):
+        text = [rng.choice(words) for _ in range(rng.randint(60, 120))]
+        for _ in range(8):  # each is near the one before, the first and last are not
+            rows.append(list(text))
+            at = rng.randrange(len(text) - 8)
+            text[at] = rng.choice(words)
+    rng.shuffle(rows)
+    sets = [set(near.shingles(" ".join(r), 5).tolist()) for r in rows]
+    left = {}
+    for i, mine in enumerate(sets):
+        met = {left[j] for j in range(i) if len(mine & sets[j]) * 5 >= len(mine | sets[j]) * 4}
+        left = {j: i if r in met else r for j, r in left.items()} | {i: i}
+    want = sorted(min(i for i in left if left[i] == r) for r in set(left.values()))
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near.keep_one(docs).collect()) == want
