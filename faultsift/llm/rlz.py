@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.common import bitmap, in_bitmap, staged, text_batches
+from faultsift.llm.common import bitmap, in_bitmap, lean, release, staged, text_batches
 
 WINDOW = 13
 #: Words that a task holds at once; a longer text is held whole.
@@ -197,18 +197,23 @@ def _pack(ids: list[int], rows: list[int], hashes: list[np.ndarray], blocks: int
 def _first_occurrences(group: pa.Table, buckets: int) -> pa.Table:
     """For the windows of a block: those with an earlier document; settled ones pass through."""
     settled = group.filter(pc.is_valid(group.column("found"))).select(_REPLY_ARROW.names).cast(_REPLY_ARROW)
-    packed = [v.as_py() for v in group.column("windows") if v.is_valid]
+    packed = [v.as_buffer() for v in group.column("windows") if v.is_valid]
     if not packed:
         return settled
-    h, name, row, pos = (np.concatenate(x) for x in zip(*map(_unwindowed, packed), strict=True))
+    parts = [list(x) for x in zip(*map(_unwindowed, map(memoryview, packed)), strict=True)]
+    del packed, group
+    h, name, row, pos = (np.concatenate(parts.pop(0)) for _ in range(4))
     at = np.lexsort((pos, name, h))
     h, name, row, pos = h[at], name[at], row[at], pos[at]
+    del at
     fresh = np.append(True, h[1:] != h[:-1])
     lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     late = np.flatnonzero(name > name[lead])
     first = lead[late]
     marks, found = _replies(name[late], row[late], pos[late], np.ones(len(late), np.int64), name[first], pos[first], buckets)
     made = pa.Table.from_arrays([pa.array(marks, pa.int32()), pa.array(found, pa.binary())], schema=_REPLY_ARROW)
+    del h, name, row, pos, fresh, lead, late, first
+    release()
     return pa.concat_tables([settled, made])
 
 
@@ -224,7 +229,10 @@ def _per_document(group: pa.Table) -> pa.Table:
     for a, b in zip([0, *cut], [*cut, len(name)], strict=True):
         for column, v in zip(out, (int(name[a]), int(row[a]), *runs(start[a:b], ref[a:b], ref_start[a:b], size[a:b])), strict=True):
             column.append(v)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
+    made = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
+    del parts, out, name, row, start, size, ref, ref_start, by
+    release()
+    return made
 
 
 def _slim(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -262,7 +270,7 @@ def _claims(slim: DataFrame, n: int, bits: int) -> DataFrame:
     def first_occurrences(group: pa.Table) -> pa.Table:
         return _first_occurrences(group, blocks)
 
-    replies = slim.mapInArrow(send, _SENT).groupBy("block").applyInArrow(first_occurrences, _REPLY)
+    replies = slim.mapInArrow(lean(send), _SENT).groupBy("block").applyInArrow(first_occurrences, _REPLY)
     return replies.groupBy("bucket").applyInArrow(_per_document, _FOUND)
 
 
@@ -280,7 +288,7 @@ def _proofs(slim: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     proofs.append(h[s * SEGMENT : (s + 1) * SEGMENT].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(segs, pa.int32()), pa.array(proofs, pa.binary())], names=["ref", "seg", "proof"])
 
-    return slim.join(wanted, slim["id"] == wanted["ref"]).select("ref", "text", "segs").mapInArrow(prove, "ref long, seg int, proof binary")
+    return slim.join(wanted, slim["id"] == wanted["ref"]).select("ref", "text", "segs").mapInArrow(lean(prove), "ref long, seg int, proof binary")
 
 
 def _kept(told: list[dict], h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -329,7 +337,7 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
 
-    proved = slim.join(told, ["id", "row"]).select("id", "row", "text", "told").mapInArrow(verify, f"{_FOUND}, doubt array<long>")
+    proved = slim.join(told, ["id", "row"]).select("id", "row", "text", "told").mapInArrow(lean(verify), f"{_FOUND}, doubt array<long>")
     proved = staged(proved.dropDuplicates(["id", "row"]), "rlz-proved")
     doubts = proved.select(F.explode("doubt").alias("h")).distinct()
     found = proved.drop("doubt")
@@ -439,5 +447,5 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
 
     scan = out.select(*dict.fromkeys([*rest, text, f"{p}id", f"{p}row"]))
     of = found.select(F.col("id").alias(f"{p}f_id"), F.col("row").alias(f"{p}f_row"), *(F.col(c).alias(f"{p}f_{c}") for c in lists))
-    joined = scan.mapInArrow(send, sent).join(of, (F.col(f"{p}id") == F.col(f"{p}f_id")) & (F.col(f"{p}row") == F.col(f"{p}f_row")), "left")
-    return scan.mapInArrow(stay, schema).union(joined.select(*rest, f"{p}text", *(f"{p}f_{c}" for c in lists)).mapInArrow(met, schema))
+    joined = scan.mapInArrow(lean(send), sent).join(of, (F.col(f"{p}id") == F.col(f"{p}f_id")) & (F.col(f"{p}row") == F.col(f"{p}f_row")), "left")
+    return scan.mapInArrow(lean(stay), schema).union(joined.select(*rest, f"{p}text", *(f"{p}f_{c}" for c in lists)).mapInArrow(lean(met), schema))
