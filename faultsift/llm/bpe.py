@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding in batched numpy merge rounds.
 
 Texts are cut into pieces at single spaces; a piece that a task has met before comes from its
-cache. The new pieces of a batch are split by the tokenizer's pattern, and the symbols of all their
-words lie in one flat array. In each round every unfinished word merges its lowest-ranked pair,
-found by binary search over the sorted pair keys. Ids are packed as little-endian unsigned 32-bit
+cache, which has an older and a newer half: what is met again moves to the newer one, and the older
+one goes when that is full. The new pieces of a batch are split by the tokenizer's pattern, and the
+symbols of all their unknown words lie in one flat array. In each round every unfinished word merges its
+lowest-ranked pair; pairs of bytes lie in a table, and only pairs beside a merge are looked up again, by
+binary search over the sorted pair keys. Ids are packed as little-endian unsigned 32-bit
 integers, the usual form of token shards.
 """
 
@@ -12,6 +14,8 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +29,16 @@ from faultsift.llm.common import with_arrow
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of more bytes are merged one by one from a heap: whole rounds would cost rounds times length.
 LONG_WORD = 1024
-#: Bytes of pieces and their ids that a worker remembers; beyond that it starts anew.
+#: Bytes of pieces and their ids that a worker remembers; when one half is full, the older half goes.
 CACHE_BYTES = 16_000_000
 #: Bytes that an entry of the cache takes beside its text and ids.
 _ENTRY = 150
 _SHIFT = 20
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
+#: A space that is no cut: white space or the end of the text follows.
+_NO_CUT = re.compile(r" (?:\s|\Z)")
+#: Below this letter, str.isalpha and the pattern's letters are the same (Latin).
+_BEYOND = "\u0250"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,12 +61,14 @@ class Bpe:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         letters = _byte_letters()
-        self.byte_id = np.array([vocab[letters[b]] for b in range(256)], np.int64)
+        self.byte_id = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         key = np.array([(vocab[a] << _SHIFT) | vocab[b] for a, b in pairs], np.int64)
         into = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(key, kind="stable")
-        self.key, self.rank, self.into = key[order], order.astype(np.int64), into[order]
+        self.key, self.rank, self.into = key[order], order.astype(np.int64), into[order].astype(np.int32)
+        self.rank_at = np.append(self.rank, _NONE).astype(np.int32)  # no pair is at -1
+        self.bytes_at = self._at(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256))
         back = {c: b for b, c in letters.items()}
         size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         token = [b""] * size
@@ -76,22 +86,27 @@ class Bpe:
         self.merges: dict[int, tuple[int, int]] | None = None
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-        self.held = 0
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.held = self.held_older = 0
+
+    def _at(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where the pairs lie among the keys; -1 if they are no merge."""
+        pair = left.astype(np.int64) << _SHIFT | right
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        return np.where(self.key[at] == pair, at, -1).astype(np.int32)
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """The packed ids of each word; no word is empty."""
         out: list[bytes] = [b""] * len(words)
         sizes = np.array([len(w) for w in words], np.int64)
-        sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        sym, at = self.byte_id[raw], self.bytes_at[raw.astype(np.int64) << 8 | np.append(raw[1:], 0)[: len(raw)]]
         name = np.arange(len(words))
         while len(sym):
             starts = np.cumsum(sizes) - sizes
             last = starts + sizes - 1
-            pair = (sym << _SHIFT) | np.append(sym[1:], 0)
-            at = np.searchsorted(self.key, pair)
-            at[at == len(self.key)] = 0
-            rank = np.where(self.key[at] == pair, self.rank[at], _NONE)
-            rank[last] = _NONE
+            at[last] = -1
+            rank = self.rank_at[at]
             best = np.minimum.reduceat(rank, starts)
             done = best == _NONE
             if done.any():
@@ -111,7 +126,9 @@ class Bpe:
             sym = np.where(hit, self.into[at], sym)
             stay = ~np.append(False, hit[:-1])
             merged = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
-            sym, sizes = sym[stay], sizes - merged
+            hit, sym, at, sizes = hit[stay], sym[stay], at[stay], sizes - merged
+            anew = np.flatnonzero(hit | np.append(hit[1:], False))
+            at[anew] = self._at(sym[anew], sym[np.minimum(anew + 1, len(sym) - 1)])
         return out
 
     def long_word(self, word: bytes) -> bytes:
@@ -146,20 +163,42 @@ class Bpe:
         return np.array([s for s in sym if s >= 0], "<u4").tobytes()
 
     def _learn(self, cache: dict[str, bytes], pieces: set[str], prefix: str) -> None:
-        found = [(p, [w.encode("utf-8") for w in self.pattern.findall(prefix + p)]) for p in pieces]
-        words = list(dict.fromkeys(w for _, ws in found for w in ws))
-        short = [w for w in words if len(w) <= LONG_WORD]
-        ids = dict(zip(short, self.words(short), strict=True))
-        ids.update((w, self.long_word(w)) for w in words if len(w) > LONG_WORD)
+        known, size = self.later.get, 0
+        found = [(p, self._split(p, prefix)) for p in pieces]
+        # a word after a space is as the piece behind the space
+        words = {w: known(w[1:]) if w[:1] == " " else None for _, ws in found for w in ws}
+        fresh = [w for w, i in words.items() if i is None]
+        coded = [w.encode("utf-8") for w in fresh]
+        short = [w for w in coded if len(w) <= LONG_WORD]
+        ids = iter(self.words(short))
+        words.update([(w, next(ids) if len(c) <= LONG_WORD else self.long_word(c)) for w, c in zip(fresh, coded, strict=True)])
         for p, ws in found:
-            cache[p] = b"".join([ids[w] for w in ws])
-            self.held += _ENTRY + len(p) + len(cache[p])
+            cache[p] = i = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+            size += len(p) + len(i)
+        self.held += size + _ENTRY * len(found)
+
+    def _split(self, piece: str, prefix: str) -> list[str]:
+        """The words of prefix and piece; most pieces are Latin letters and maybe punctuation behind them, which need no pattern."""
+        core = piece.rstrip(string.punctuation)
+        if core.isalpha() and max(core) < _BEYOND:
+            return [prefix + core, piece[len(core) :]] if len(core) < len(piece) else [prefix + piece]
+        return self.pattern.findall(prefix + piece)
+
+    def _unknown(self, cache: dict[str, bytes], older: dict[str, bytes], pieces: set[str]) -> set[str]:
+        """The pieces that neither half of the cache has; what the older has moves to the newer."""
+        pieces = {p for p in pieces if p not in cache}
+        again = older.keys() & pieces
+        for p in again:
+            cache[p] = i = older.pop(p)
+            self.held_older -= _ENTRY + len(p) + len(i)
+            self.held += _ENTRY + len(p) + len(i)
+        return pieces - again
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
         """text cut before each space that a character other than white space follows."""
         pieces = text.split(" ")
-        if all(p and not p[0].isspace() for p in pieces[1:]):
+        if not _NO_CUT.search(text):
             return pieces
         joined = [pieces[0]]
         for p in pieces[1:]:
@@ -173,7 +212,8 @@ class Bpe:
         """Packed ids of each text; special tokens in a text become their ids."""
         parts = [self.split_special.split(t) if self.split_special else [t] for t in texts]
         cut = [[p if i % 2 else self._pieces(p) for i, p in enumerate(ps)] for ps in parts]
-        if self.held > CACHE_BYTES:
+        if 2 * self.held > CACHE_BYTES:
+            self.older, self.held_older = (self.first, self.later), self.held
             self.first, self.later, self.held = {}, {}, 0
         first: set[str] = set()
         later: set[str] = set()
@@ -181,10 +221,10 @@ class Bpe:
             for p in ps[::2]:
                 first.add(p[0])
                 later.update(p[1:])
-        if first := {p for p in first if p not in self.first}:
-            self._learn(self.first, first, "")
-        if later := {p for p in later if p not in self.later}:
+        if later := self._unknown(self.later, self.older[1], later):
             self._learn(self.later, later, " ")
+        if first := self._unknown(self.first, self.older[0], first):
+            self._learn(self.first, first, "")
         get = self.later.__getitem__
         return [
             b"".join([self.special[p] if i % 2 else self.first[p[0]] + b"".join(map(get, p[1:])) for i, p in enumerate(ps)])

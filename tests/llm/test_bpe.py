@@ -51,3 +51,15 @@ def test_columns(spark):
     got = bpe.decode(bpe.encode(df, PATH), PATH).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["n_tokens"], r["decoded"]) for r in got] == [(1, 0, ""), (2, 0, ""), (3, 4, "Hello  world\n"), (3, 4, "Hello  world\n")]
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_pieces_that_are_met_again_stay(both, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 3000)
+    learnt, learn = [], bpe.Bpe._learn
+    mine = bpe.Bpe(PATH)
+    monkeypatch.setattr(bpe.Bpe, "_learn", lambda self, cache, pieces, prefix: (learnt.extend(pieces), learn(self, cache, pieces, prefix)))
+    for i in range(60):
+        text = f"the usual Wörter, here: new{i}"
+        assert np.frombuffer(mine.encode([text])[0], "<u4").tolist() == both[1].encode(text, add_special_tokens=False).ids
+        assert mine.held + mine.held_older < 6000
+    assert learnt.count("usual") == learnt.count("Wörter,") == 1
