@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.common import TEXT_BATCH_ROWS, Scratch, bitmap, in_bitmap, staged, text_batches, text_of, with_arrow
+from faultsift.llm.common import TEXT_BATCH_ROWS, Scratch, bitmap, in_bitmap, lean, release, staged, text_batches, text_of, with_arrow
 from faultsift.llm.rlz import _packed, _unpacked
 
 #: The longest context, in bytes: with the next byte it fills a 64-bit number.
@@ -130,14 +130,12 @@ def _edges(block: int, starts: np.ndarray) -> list[tuple[int, int]]:
     return sorted({(k, int(c) >> (64 - 8 * k) if k else 0) for c in at for k in range(DEPTH + 1)} | ({(0, 0)} if not at else set()))
 
 
-def _levels(codes: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(grams, counts) of each length of context, from 0; codes rise."""
-    out = [(codes, n)]
-    for k in range(DEPTH - 1, -1, -1):
-        gram, n = out[0]
-        longer = gram >> np.uint64(16) << _BYTE | (gram & np.uint64(255))  # without the oldest byte of the context
-        out.insert(0, _counted(longer, n))
-    return out
+def _levels(codes: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, counts) of each length of context, the longest first; codes rise."""
+    yield codes, n
+    for _ in range(DEPTH):
+        codes, n = _counted(codes >> np.uint64(16) << _BYTE | (codes & np.uint64(255)), n)  # without the oldest byte of the context
+        yield codes, n
 
 
 def counted_blocks(texts: DataFrame, starts: np.ndarray) -> DataFrame:
@@ -181,15 +179,20 @@ def counted_blocks(texts: DataFrame, starts: np.ndarray) -> DataFrame:
         block = group.column("block")[0].as_py()
         codes, n = _counted(*(np.concatenate(x) for x in zip(*(_unpack_grams(g.as_py()) for g in group.column("grams")), strict=True)))
         rows = [(block, _pack_grams(codes, n), None, None, None, None)]
+        edges = _edges(block, starts)
         levels = _levels(codes, n)
-        for k, prefix in _edges(block, starts):
-            gram, count = levels[k]
-            i = int(np.searchsorted(gram, np.uint64(prefix << 8), side="left"))
-            j = int(np.searchsorted(gram, np.uint64((prefix << 8) + 255), side="right"))
-            rows.append((block, None, k, prefix, (gram[i:j] & np.uint64(255)).astype(np.int32), count[i:j]))
+        del codes, n
+        for k in range(DEPTH, -1, -1):
+            gram, count = next(levels)
+            for prefix in (p for at, p in edges if at == k):
+                i = int(np.searchsorted(gram, np.uint64(prefix << 8), side="left"))
+                j = int(np.searchsorted(gram, np.uint64((prefix << 8) + 255), side="right"))
+                rows.append((block, None, k, prefix, (gram[i:j] & np.uint64(255)).astype(np.int32), count[i:j].copy()))
+        del levels, gram, count
+        release()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
-    return texts.mapInArrow(count, "block int, grams binary").groupBy("block").applyInArrow(merge, "block int, grams binary, len int, ctx long, syms array<int>, counts array<long>")
+    return texts.mapInArrow(lean(count), "block int, grams binary").groupBy("block").applyInArrow(merge, "block int, grams binary, len int, ctx long, syms array<int>, counts array<long>")
 
 
 def states(blocks: DataFrame, starts: np.ndarray, least_count: int = LEAST_COUNT, least_divergence: float = LEAST_DIVERGENCE) -> DataFrame:
@@ -204,7 +207,7 @@ def states(blocks: DataFrame, starts: np.ndarray, least_count: int = LEAST_COUNT
         if not len(group):
             return pa.Table.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["block", "states"])
         block = group.column("of")[0].as_py()
-        levels = _levels(*_unpack_grams(group.column("grams")[0].as_py()))
+        levels = [(gram, _small(n)) for gram, n in _levels(*_unpack_grams(group.column("grams")[0].as_py()))]
         over: list[dict[int, tuple[np.ndarray, np.ndarray, bool]]] = [{} for _ in range(DEPTH + 1)]
         for e in edge.to_pylist():
             s = np.argsort(e["syms"])
@@ -212,25 +215,32 @@ def states(blocks: DataFrame, starts: np.ndarray, least_count: int = LEAST_COUNT
         out: list[list[np.ndarray]] = [[], [], [], []]
         up: tuple[np.ndarray, ...] | None = None
         for k in range(DEPTH + 1):
-            gram, n = levels[k]
+            gram, n = levels.pop()
+            n = n.astype(np.int64)
             for prefix, (sym, count, _) in over[k].items():  # what the other blocks hold of it, too
                 rest = (gram >> _BYTE) != np.uint64(prefix)
                 gram, n = np.append(gram[rest], sym | np.uint64(prefix << 8)), np.append(n[rest], count)
-            order = np.argsort(gram, kind="stable")
-            gram, n = gram[order], n[order]
+            if over[k]:
+                order = np.argsort(gram, kind="stable")
+                gram, n = gram[order], n[order]
+                del order
             prefix = gram >> _BYTE
             first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
             kinds = np.diff(first, append=len(prefix))
+            ctx = prefix[first]
+            del prefix
             total = np.add.reduceat(n, first)
             share = n / np.repeat(total, kinds)
-            ctx = prefix[first]
             if k == 0:
                 stay = np.ones(len(first), bool)
             else:
                 was_gram, was_share = up
                 parent = (ctx >> _BYTE) if k > 1 else np.zeros_like(ctx)
                 at = np.searchsorted(was_gram, np.repeat(parent, kinds) << _BYTE | (gram & np.uint64(255)))
-                gain = np.add.reduceat(share * (np.log(share) - np.log(was_share[np.minimum(at, len(was_gram) - 1)])), first)
+                above = was_share[np.minimum(at, len(was_gram) - 1, out=at)]
+                del at, was_gram, was_share
+                gain = np.add.reduceat(share * (np.log(share) - np.log(above)), first)
+                del above
                 # a sample of so many positions diverges by (kinds - 1) / (2 total) by chance
                 stay = (total >= least_count) & (gain - (kinds - 1) / (2 * total) >= least_divergence)
                 stay &= (ctx & np.uint64(255)) != 0  # zero bytes stand before a text's first end mark
@@ -238,9 +248,14 @@ def states(blocks: DataFrame, starts: np.ndarray, least_count: int = LEAST_COUNT
             foreign = np.array([p for p, (_, _, own) in over[k].items() if not own], np.uint64)
             stay &= ~np.isin(ctx, foreign)
             pick = np.repeat(stay, kinds)
-            for column, v in zip(out, (_key(ctx[stay], k), kinds[stay], gram[pick] & np.uint64(255), n[pick]), strict=True):
+            for column, v in zip(out, (_key(ctx[stay], k), kinds[stay], (gram[pick] & np.uint64(255)).astype(np.uint8), n[pick]), strict=True):
                 column.append(v)
-        return pa.Table.from_arrays([pa.array([block], pa.int32()), pa.array([_pack_states(*(np.concatenate(c) for c in out))], pa.binary())], names=["block", "states"])
+            del gram, n, share, pick, first, kinds, total, ctx, stay
+        up = None
+        made = pa.Table.from_arrays([pa.array([block], pa.int32()), pa.array([_pack_states(*(np.concatenate(c) for c in out))], pa.binary())], names=["block", "states"])
+        out.clear()
+        release()
+        return made
 
     own = blocks.where("grams is not null").select(F.col("block").alias("of"), F.col("grams").alias("grams"))
     return own.groupBy("of").cogroup(mine.groupBy("block")).applyInArrow(keep, "block int, states binary")
@@ -336,7 +351,7 @@ class Model:
         nexts = (every & np.uint64(255)).astype(np.int64)
         share = np.full(len(every), 1 / 256)
         # the codes rise, so those of one context are neighbours and look for it once
-        for k, (first, prefix) in enumerate(_contexts(every) if len(self.key) else ()):
+        for k, (first, prefix) in enumerate([*_contexts(every)][::-1] if len(self.key) else ()):
             want = _key(prefix, k)
             at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
             met = self.key[at] == want
@@ -353,21 +368,23 @@ class Model:
         return np.add.reduceat(value[back], np.cumsum(size) - size)
 
 
-def _contexts(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length from 0 the places where a context begins in rising codes, and the contexts; a shorter one begins where a longer one does."""
-    out, first, prefix = [], np.arange(len(codes)), codes
+def _contexts(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the longest first, the places where a context begins in rising codes, and the contexts; a shorter one begins where a longer one does."""
+    first, prefix = np.arange(len(codes), dtype=np.int32 if len(codes) < 1 << 31 else np.int64), codes
     for k in range(DEPTH, -1, -1):
         prefix = prefix >> _BYTE if k else np.zeros_like(prefix)
         new = np.append(True, prefix[1:] != prefix[:-1])[: len(prefix)]
         first, prefix = first[new], prefix[new]
-        out.append((first, prefix))
-    return out[::-1]
+        yield first, prefix
 
 
 def context_keys(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
     """The different keys, rising, of all contexts of the codes (rising, too) that the bitmap may hold."""
-    keys = [_key(prefix, k) for k, (_, prefix) in enumerate(_contexts(codes))]
-    return np.concatenate([key[in_bitmap(key.view(np.int64), known)] for key in keys])
+    met = []
+    for k, (_, prefix) in zip(range(DEPTH, -1, -1), _contexts(codes), strict=True):
+        key = _key(prefix, k)
+        met.append(key[in_bitmap(key.view(np.int64), known)])
+    return np.concatenate(met[::-1])
 
 
 def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray) -> DataFrame:
@@ -397,6 +414,8 @@ def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray) -> DataFra
             first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
             cut = zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=False)
             sent = [(int(block[a]), name, _packed(np.diff(np.sort(key[a:b]), prepend=np.uint64(0)))) for a, b in cut]
+            del met, order, key, block, first
+            release()
             kinds = (pa.int32(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in sent], t) for i, t in enumerate(kinds)], names=["block", "batch", "keys"])
 
@@ -423,9 +442,11 @@ def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray) -> DataFra
                 pick = at[key[at] == want] if len(key) else at[:0]
                 rows = _rows(kinds, pick)
                 out.append((b, _pack_states(key[pick], kinds[pick], sym[rows], n[rows])))
+            del key, kinds, sym, n
+        release()
         return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["batch", "states"])
 
-    asked = texts.select("batch", "packed").repartition("batch").sortWithinPartitions("batch").mapInArrow(ask, "block int, batch long, keys binary")
+    asked = texts.select("batch", "packed").repartition("batch").sortWithinPartitions("batch").mapInArrow(lean(ask), "block int, batch long, keys binary")
     return asked.groupBy("block").cogroup(modelled.groupBy("block")).applyInArrow(answer, "batch long, states binary")
 
 
@@ -475,7 +496,7 @@ def score(
                 held.clear()
         yield made()
 
-    vocabulary = staged(learn.mapInArrow(words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "pst-words")
+    vocabulary = staged(learn.mapInArrow(lean(words), "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "pst-words")
     ends = learn.count()
     tokens, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, kinds = tokens + ends, kinds + (ends > 0)
@@ -493,6 +514,8 @@ def score(
             model = Model.of([s.as_py() for s in met.column("states")])
             mine = mine.append_column("score", pa.array(model.log10(zstandard.decompress(t.as_py()) for t in mine["packed"])))
             del model
+        del met
+        release()
         for batch in mine.to_batches(max_chunksize=TEXT_BATCH_ROWS):
             ids, held, texts = batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), [zstandard.decompress(t.as_py()).split() for t in batch.column("packed")]
             scores = batch.column("score").to_numpy(zero_copy_only=False)

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -139,3 +140,16 @@ def test_empty(spark):
     assert st.score(df, F.lit(False)).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert st.score(one, F.lit(True)).first()["n_known"] == 0
+
+
+def test_contexts_are_asked_for_one_length_at_a_time():
+    codes = np.unique(np.random.default_rng(5).integers(1 << 62, 1 << 63, 300_000).astype(np.uint64))
+    few = np.zeros(1 << 10, np.int64)
+    few[::64] = -1
+    tracemalloc.start()
+    keys = st.context_keys(codes, few)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * len(codes) and (keys[1:] > keys[:-1]).all()
+    every = np.concatenate([st._key(np.unique(st._prefix(codes, k)), k) for k in range(8)])
+    assert np.array_equal(keys, every[st.in_bitmap(every.view(np.int64), few)])
