@@ -387,8 +387,8 @@ def context_keys(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.concatenate(met[::-1])
 
 
-def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray) -> DataFrame:
-    """(batch, states): the packed states that each batch of texts (batch, packed) meets."""
+def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray, scratch: Scratch) -> DataFrame:
+    """(batch, states): the packed states that each batch of texts (batch, packed) meets; it reads a table of scratch."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_unpack_states(s.as_py())[0].view(np.int64) for s in batch.column("states")] or [np.zeros(0, np.int64)]))], names=["key"])
@@ -447,6 +447,7 @@ def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray) -> DataFra
         return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["batch", "states"])
 
     asked = texts.select("batch", "packed").repartition("batch").sortWithinPartitions("batch").mapInArrow(lean(ask), "block int, batch long, keys binary")
+    asked = scratch.staged(asked, "pst-asked")  # else the texts' shuffle stays as long as the answers'
     return asked.groupBy("block").cogroup(modelled.groupBy("block")).applyInArrow(answer, "batch long, states binary")
 
 
@@ -476,7 +477,8 @@ def score(
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     starts = limits(learn, size, block_bytes)
     blocks = scratch.staged(counted_blocks(learn, starts), "pst-grams")
-    modelled = staged(states(blocks, starts, least_count, least_divergence), "pst-states")
+    model = Scratch(spark)
+    modelled = model.staged(states(blocks, starts, least_count, least_divergence), "pst-states")
     scratch.clear()
     n_batches = 1 + size // batch_bytes
 
@@ -555,13 +557,14 @@ def score(
         return [pa.array([pack(_stream(t.as_py())) for t in batch.column("text")], pa.binary())]
 
     dealt = with_arrow(dealt, ["text"], [T.StructField("packed", T.BinaryType())], squeeze, [f.name for f in kept])
-    found = slices(dealt, modelled, starts)
+    found = slices(dealt, modelled, starts, model)
     rare = vocabulary.where(F.col("c") < least)
+    rated = dealt.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(rate, f"key string, word string, often long, head {head}")
+    # texts and states are gone before words meet their counts
+    rated = staged(rated, "pst-rated")
+    model.clear()
     met = (
-        dealt.groupBy("batch")
-        .cogroup(found.groupBy("batch"))
-        .applyInArrow(rate, f"key string, word string, often long, head {head}")
-        .join(rare, "word", "left")
+        rated.join(rare, "word", "left")
         .groupBy("key")
         .agg(
             F.count("head").alias("copies"),
