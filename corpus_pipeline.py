@@ -50,10 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, in order, and whether they decode to its text."""
-    path = tokenizer_path()
-    out = bpe.decode(bpe.encode(docs, path, keep=["doc_id", "lang", "source", "text"]), path)
-    whole = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return out.select("doc_id", "lang", "source", "n_tokens", "ids", whole.alias("round_trip"))
+    out = bpe.round_trip(docs, tokenizer_path(), keep=["doc_id", "lang", "source"])
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [

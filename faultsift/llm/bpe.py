@@ -261,6 +261,19 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep:
     return with_arrow(df, [text], fields, compute, keep)
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", name: str = "round_trip", keep: list[str] | None = None) -> DataFrame:
+    """encode's columns, and whether the ids decode to the text; a task needs one worker for both."""
+
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        bpe, texts = load(path), [v or "" for v in batch.column(text).to_pylist()]
+        packed = bpe.encode(texts)
+        same = [bpe.decode(p) == t for p, t in zip(packed, texts, strict=True)]
+        return [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(same, pa.bool_())]
+
+    fields = [T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField(name, T.BooleanType())]
+    return with_arrow(df, [text], fields, compute, keep)
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """df with the text of its packed ids; null ids decode to the empty text."""
 

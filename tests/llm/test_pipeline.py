@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from faultsift.llm import bpe
 from faultsift.llm.queries import ORACLE, QUERIES
 
 SF = Path("/root/testdata/sf0.001")
@@ -44,6 +45,14 @@ def test_stages(spark, docs):
     assert e.where("round_trip").count() == e.count() == c.count()
 
 
+def test_tokens_and_their_text_take_one_worker(spark, docs):
+    made = corpus_pipeline.tokenize(spark, docs, "")
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    path = corpus_pipeline.tokenizer_path()
+    two = bpe.decode(bpe.encode(docs, path), path).select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    assert made.dtypes == two.dtypes and Counter(map(str, made.collect())) == Counter(map(str, two.collect()))
+
+
 def test_empty(spark, docs):
     none = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
