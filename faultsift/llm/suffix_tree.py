@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultsift.llm.common import TEXT_BATCH_ROWS, Scratch, bitmap, in_bitmap, lean, release, staged, text_batches, text_of, with_arrow
-from faultsift.llm.rlz import _packed, _unpacked
+from faultsift.llm.rlz import _packed, _unpacked, _unplanes
 
 #: The longest context, in bytes: with the next byte it fills a 64-bit number.
 DEPTH = 7
@@ -274,6 +274,11 @@ def _unpack_states(data: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(key, dtype=np.uint64), kinds.astype(np.int64), sym.astype(np.uint8), _small(n)
 
 
+def _unpack_keys(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")  # of the first of the four arrays
+    return np.cumsum(_unplanes(data[16 : 16 + size], np.uint64), dtype=np.uint64)
+
+
 def _small(n: np.ndarray) -> np.ndarray:
     """Counts in 32 bits if they fit."""
     return n.astype(np.uint32 if not len(n) or n.max() < 1 << 32 else np.int64)
@@ -389,11 +394,11 @@ def context_keys(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray, scratch: Scratch) -> DataFrame:
     """(batch, states): the packed states that each batch of texts (batch, packed) meets; it reads a table of scratch."""
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_unpack_states(s.as_py())[0].view(np.int64) for s in batch.column("states")] or [np.zeros(0, np.int64)]))], names=["key"])
 
-    known = texts.sparkSession.sparkContext.broadcast(bitmap(modelled.select("states").mapInArrow(keys, "key long")))
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(_unpack_keys(s.as_py()).view(np.int64) for s in batch.column("states"))])
+
+    known = texts.sparkSession.sparkContext.broadcast(bitmap(modelled.select("states"), of=keys))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, codes, part, size = None, [], [], 0

@@ -153,3 +153,15 @@ def test_contexts_are_asked_for_one_length_at_a_time():
     assert peak < 90 * len(codes) and (keys[1:] > keys[:-1]).all()
     every = np.concatenate([st._key(np.unique(st._prefix(codes, k)), k) for k in range(8)])
     assert np.array_equal(keys, every[st.in_bitmap(every.view(np.int64), few)])
+
+
+def test_keys_of_states_take_one_worker(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    key = np.unique(rng.integers(0, 1 << 60, 500).astype(np.uint64))
+    packed = st._pack_states(key, np.ones(len(key), np.int64), np.zeros(len(key), np.uint8), np.full(len(key), 70))
+    assert st._unpack_keys(packed).tolist() == st._unpack_states(packed)[0].tolist() == key.tolist()
+    plans, bitmap = [], st.bitmap
+    monkeypatch.setattr(st, "bitmap", lambda keys, **more: (plans.append(keys._jdf.queryExecution().executedPlan().toString()), bitmap(keys, **more))[1])
+    df = spark.createDataFrame([(i, "the end of the line " * 9) for i in range(40)], "doc_id long, text string")
+    assert st.score(df, F.col("doc_id") % 7 == 2, least_count=10).count() == 40
+    assert plans and "MapInArrow" not in plans[0]
