@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from faultsift.llm.common import staged, text_batches
 HEAD_PAIRS = 1_000_000
 #: Characters of texts that are aligned at a time; a longer text is aligned alone.
 BATCH_CHARS = 1_000_000
-#: Bytes of stretches that a worker remembers; beyond that it starts anew.
-CACHE_BYTES = 32_000_000
+#: Bytes of stretches that a worker remembers; beyond that only those met most often stay, in half the room.
+CACHE_BYTES = 128_000_000
 #: Words of A that a worker remembers beside them.
 CACHE_WORDS = 200_000
 #: Bytes that a stretch takes beside its text, groups and pairs.
@@ -103,16 +104,26 @@ class Aligner:
         self.space = self.b.piece_to_id(_MARK)
         self.words_a: dict[str, bytes] = {}
         self.written = [f"{i}{end}".encode() for i in range(max(len(self.a.length), self.n_b)) for end in (",", "|", ";", "")]
-        self.forget()
-
-    def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.groups: list[bytes] = []
-        self.held = 0
-        #: Per stretch: tokens of A, of B, groups, links, 1 if its bytes agree; number of pairs, and where they begin.
+        #: Per stretch: tokens of A, of B, groups, links, 1 if its bytes agree; number of pairs, and where they begin; its bytes here, and how often it was met.
         self.counts, self.n_pairs, self.first = np.zeros((0, 5), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.cost, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.codes, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def forget(self) -> None:
+        """Keep the stretches that were met most often, twice at least, in half the room; the longer ago they were met, the less it counts."""
+        stay = np.argsort(-self.met, kind="stable")
+        stay = stay[self.met[stay] > 1]
+        stay = np.sort(stay[np.cumsum(self.cost[stay]) <= CACHE_BYTES // 2])
+        place = _gather(self.first[stay], self.n_pairs[stay])
+        self.codes, self.times = self.codes[place], self.times[place]
+        self.counts, self.n_pairs, self.cost, self.met = self.counts[stay], self.n_pairs[stay], self.cost[stay], self.met[stay] // 2
+        self.first = np.cumsum(self.n_pairs) - self.n_pairs
+        names = list(self.at)  # in the order of their numbers
+        self.groups = [self.groups[i] for i in stay.tolist()]
+        self.at = {names[i]: k for k, i in enumerate(stay.tolist())}
+
     def _encode_b(self, texts: list[str]) -> list[list[int]]:
         """Ids of a space and each text; the library adds the space itself, but not to an empty text."""
         return [ids or [self.space] for ids in self.b.encode(texts, num_threads=1)]
@@ -181,7 +192,8 @@ class Aligner:
         self.first = np.append(self.first, len(self.codes) + np.cumsum(n_pairs) - n_pairs)
         self.counts, self.n_pairs = np.concatenate([self.counts, counts]), np.append(self.n_pairs, n_pairs)
         self.codes, self.times = np.append(self.codes, codes), np.append(self.times, times)
-        self.held += _ENTRY * len(new) + int(n_bytes.sum()) + 16 * len(codes) + sum(map(len, self.groups[-len(new) :]))
+        self.cost = np.append(self.cost, _ENTRY + n_bytes + 16 * n_pairs + np.array([len(g) for g in self.groups[-len(new) :]]))
+        self.met = np.append(self.met, np.zeros(len(new), np.int64))
 
     def _written(self, a, b, group_a, group_b, in_a, in_b, n_a, n_b) -> list[bytes]:
         """The groups of each stretch as text."""
@@ -213,18 +225,22 @@ class Aligner:
 
     def align(self, texts: list[str]) -> dict[str, list]:
         """The columns of each text."""
-        if self.held > CACHE_BYTES:
+        if self.cost.sum() > CACHE_BYTES:
             self.forget()
         cut = [stretches(t) if t else [] for t in texts]
-        if new := [u for u in dict.fromkeys(u for us in cut for u in us) if u not in self.at]:
+        flat = list(chain.from_iterable(cut))
+        if new := [u for u in dict.fromkeys(flat) if u not in self.at]:
             self._learn(new)
         size = np.array([len(us) for us in cut])
-        at = np.array([self.at[u] for us in cut for u in us], np.int64)
+        where = list(map(self.at.__getitem__, flat))
+        at = np.array(where, np.int64)
+        self.met += np.bincount(at, minlength=len(self.met))
         doc = np.repeat(np.arange(len(texts)), size)
         whole = (size > 0) & (np.bincount(doc, 1 - self.counts[at, 4], len(texts)) == 0)
         stay = whole[doc]
         sums = np.stack([np.bincount(doc[stay], self.counts[at[stay], k], len(texts)) for k in range(4)]).astype(np.int64)
-        groups = [b";".join([self.groups[self.at[u]] for u in us]).decode() if ok else "" for us, ok in zip(cut, whole.tolist(), strict=True)]
+        written, ends = list(map(self.groups.__getitem__, where)), np.cumsum(size).tolist()
+        groups = [b";".join(written[i:j]).decode() if ok else "" for i, j, ok in zip([0, *ends], ends, whole.tolist(), strict=False)]
         # the stretches of each text, then their pairs
         of, seen = np.unique(doc[stay] * len(self.at) + at[stay], return_counts=True)
         owner, at = of // max(1, len(self.at)), of % max(1, len(self.at))

@@ -105,5 +105,19 @@ def test_memory_of_stretches_starts_anew(monkeypatch):
         assert {k: v[0] for k, v in got.items()} == {k: v[i] for k, v in want.items()}
 
 
+def test_stretches_that_are_met_again_stay(monkeypatch):
+    monkeypatch.setattr(align, "CACHE_BYTES", 6000)
+    learnt, learn = [], align.Aligner._learn
+    monkeypatch.setattr(align.Aligner, "_learn", lambda self, new: (learnt.extend(new), learn(self, new)))
+    small, whole = align.Aligner(A, B), align.Aligner(A, B)
+    texts = [f"the usual straße 漢字, the usual here: new{i} and\n other{i}" for i in range(60)]
+    want = whole.align(texts)
+    learnt.clear()
+    for i, t in enumerate(texts):
+        assert {k: v[0] for k, v in small.align([t]).items()} == {k: v[i] for k, v in want.items()}
+        assert small.cost.sum() < 12_000
+    assert learnt.count("usual") == learnt.count("straße") == 1 and len(small.at) < 40
+
+
 def test_empty(spark):
     assert found(spark, []) == []
