@@ -10,8 +10,10 @@ states grow with the corpus; they stay in Spark.
 A context and its next byte are one number, the newest byte of the context highest, so that all
 contexts that share a suffix are neighbours in order. Tasks send the numbers that they have counted,
 sorted and packed, to blocks, which are ranges of numbers. A block holds whole the contexts within its
-range; the few that reach over its ends are summed up over blocks first. Texts are scored in batches:
-each asks the blocks for the states that it meets, packed in the same way.
+range; the few that reach over its ends are summed up over blocks first, and each block that they reach
+into holds their states. So a block scores any number in its range alone. Texts are scored in batches:
+each sends the blocks its different numbers, without the bytes that no state reaches, packed in the same
+way, and gets their log10 probabilities back in that order.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,8 @@ BLOCK_BYTES, SAMPLED = 12_000_000, 200_000
 BATCH_BYTES = 8_000_000
 #: So many of a slice's states, the shortest, have their counts in a matrix (2 KB each).
 DENSE = 8192
+#: Log10 probabilities are sent in units of 2 ** -32, which the sum over a text doesn't show in its first nine digits.
+UNIT = 2.0**-32
 _BYTE = np.uint64(8)
 
 
@@ -196,28 +200,27 @@ def counted_blocks(texts: DataFrame, starts: np.ndarray) -> DataFrame:
 
 
 def states(blocks: DataFrame, starts: np.ndarray, least_count: int = LEAST_COUNT, least_divergence: float = LEAST_DIVERGENCE) -> DataFrame:
-    """(block, states): the packed states of each block; blocks as from counted_blocks."""
+    """(block, states): the packed states of each block, with those that reach over its ends; blocks as from counted_blocks."""
     edges = blocks.where("grams is null")
     sums = edges.select("len", "ctx", F.explode(F.arrays_zip("syms", "counts")).alias("x")).groupBy("len", "ctx", F.col("x.syms").alias("sym")).agg(F.sum("x.counts").alias("n"))
     whole = sums.groupBy("len", "ctx").agg(F.collect_list("sym").alias("syms"), F.collect_list("n").alias("counts"))
-    owners = edges.groupBy("len", "ctx").agg(F.min("block").alias("owner"))
-    mine = edges.select("block", "len", "ctx").join(whole, ["len", "ctx"]).join(owners, ["len", "ctx"])
+    mine = edges.select("block", "len", "ctx").join(whole, ["len", "ctx"])
 
     def keep(group: pa.Table, edge: pa.Table) -> pa.Table:
         if not len(group):
             return pa.Table.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["block", "states"])
         block = group.column("of")[0].as_py()
         levels = [(gram, _small(n)) for gram, n in _levels(*_unpack_grams(group.column("grams")[0].as_py()))]
-        over: list[dict[int, tuple[np.ndarray, np.ndarray, bool]]] = [{} for _ in range(DEPTH + 1)]
+        over: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(DEPTH + 1)]
         for e in edge.to_pylist():
             s = np.argsort(e["syms"])
-            over[e["len"]][e["ctx"]] = (np.array(e["syms"], np.uint64)[s], np.array(e["counts"], np.int64)[s], e["owner"] == block)
+            over[e["len"]][e["ctx"]] = (np.array(e["syms"], np.uint64)[s], np.array(e["counts"], np.int64)[s])
         out: list[list[np.ndarray]] = [[], [], [], []]
         up: tuple[np.ndarray, ...] | None = None
         for k in range(DEPTH + 1):
             gram, n = levels.pop()
             n = n.astype(np.int64)
-            for prefix, (sym, count, _) in over[k].items():  # what the other blocks hold of it, too
+            for prefix, (sym, count) in over[k].items():  # what the other blocks hold of it, too
                 rest = (gram >> _BYTE) != np.uint64(prefix)
                 gram, n = np.append(gram[rest], sym | np.uint64(prefix << 8)), np.append(n[rest], count)
             if over[k]:
@@ -245,8 +248,6 @@ def states(blocks: DataFrame, starts: np.ndarray, least_count: int = LEAST_COUNT
                 stay = (total >= least_count) & (gain - (kinds - 1) / (2 * total) >= least_divergence)
                 stay &= (ctx & np.uint64(255)) != 0  # zero bytes stand before a text's first end mark
             up = (gram, share)
-            foreign = np.array([p for p, (_, _, own) in over[k].items() if not own], np.uint64)
-            stay &= ~np.isin(ctx, foreign)
             pick = np.repeat(stay, kinds)
             for column, v in zip(out, (_key(ctx[stay], k), kinds[stay], (gram[pick] & np.uint64(255)).astype(np.uint8), n[pick]), strict=True):
                 column.append(v)
@@ -294,13 +295,6 @@ def _rows(kinds: np.ndarray, pick: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_of(key: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The block that owns each key's context: the first that may hold one of its codes."""
-    k = key >> np.uint64(56)
-    low = (key & np.uint64((1 << 56) - 1)) << (np.uint64(64) - _BYTE * np.maximum(k, np.uint64(1)))
-    return np.searchsorted(starts, np.where(k == 0, np.uint64(0), low), side="right")
-
-
 class Model:
     """States (key, kinds, sym, n), keys and each state's next bytes rising, ready to score texts whose contexts they cover."""
 
@@ -328,15 +322,7 @@ class Model:
 
     def log10(self, texts: Iterable[bytes]) -> np.ndarray:
         """The log10 probability of each text, its end mark included."""
-        out, part, size = [], [], 0
-        for t in chain(texts, [None]):
-            if part and (t is None or size > PIECE_BYTES):
-                out.append(self._log10(part))
-                part, size = [], 0
-            if t is not None:
-                part.append(t)
-                size += len(t)
-        return np.concatenate(out) if out else np.zeros(0)
+        return np.concatenate([np.zeros(0), *(self._log10(part) for part in pieces(texts))])
 
     def _seen(self, pair: np.ndarray) -> np.ndarray:
         """How often each state (times 256) had each next byte."""
@@ -350,9 +336,11 @@ class Model:
         return out
 
     def _log10(self, texts: list[bytes]) -> np.ndarray:
-        back, every = pd.factorize(np.concatenate([_codes(t) for t in texts]))
-        order = np.argsort(every)
-        every = every[order]
+        codes, place = _places(texts)
+        return _sums(self.of_codes(codes)[place], texts)
+
+    def of_codes(self, every: np.ndarray) -> np.ndarray:
+        """The log10 probability of each code's next byte after its context; codes rise."""
         nexts = (every & np.uint64(255)).astype(np.int64)
         share = np.full(len(every), 1 / 256)
         # the codes rise, so those of one context are neighbours and look for it once
@@ -367,10 +355,24 @@ class Model:
             # without a context, each of the 256 bytes is given one count
             more = np.full(len(at), 256.0) if k == 0 else self.kinds[at].astype(np.float64)
             share[here] = (self._seen(at << 8 | nexts[here]) + more * share[here]) / (self.total[at] + more)
-        value = np.empty(len(every))
-        value[order] = np.log10(share)
-        size = np.array([len(t) for t in texts])
-        return np.add.reduceat(value[back], np.cumsum(size) - size)
+        return np.log10(share)
+
+
+def _places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes of the texts, rising, and which of them each position has."""
+    codes = np.concatenate([_codes(t) for t in texts])
+    order = np.argsort(codes)
+    codes = codes[order]
+    new = np.append(True, codes[1:] != codes[:-1])
+    place = np.empty(len(codes), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return codes[new], place
+
+
+def _sums(values: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """The sum of each text's values, one for each byte."""
+    size = np.array([len(t) for t in texts])
+    return np.add.reduceat(values, np.cumsum(size) - size)
 
 
 def _contexts(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -392,13 +394,50 @@ def context_keys(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.concatenate(met[::-1])
 
 
-def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray, scratch: Scratch) -> DataFrame:
-    """(batch, states): the packed states that each batch of texts (batch, packed) meets; it reads a table of scratch."""
+def shortened(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Codes (rising) with zeros for the bytes before the longest context that the bitmap may hold.
 
-    def keys(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int64), *(_unpack_keys(s.as_py()).view(np.int64) for s in batch.column("states"))])
+    A state's oldest byte is never zero, so such a code meets the same states as the whole one.
+    """
+    out = codes & np.uint64(255)
+    left, rest = np.arange(len(codes), dtype=np.int32 if len(codes) < 1 << 31 else np.int64), codes
+    for k in range(DEPTH, 0, -1):
+        prefix = _prefix(rest, k)
+        first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])[: len(prefix)])
+        met = in_bitmap(_key(prefix[first], k).view(np.int64), known)
+        met = np.repeat(met, np.diff(first, append=len(prefix)))
+        out[left[met]] |= prefix[met] << np.uint64(64 - 8 * k)
+        left, rest = left[~met], rest[~met]
+    return out
+
+
+def pieces(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """The texts in lists of about PIECE_BYTES."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size > PIECE_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
-    known = texts.sparkSession.sparkContext.broadcast(bitmap(modelled.select("states"), of=keys))
+
+def log10_of(texts: list[bytes], known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The log10 probability of each text of a batch, from the values of all shortened codes of the batch, in their order."""
+    parts = [(part, *_places(part)) for part in pieces(texts)]
+    codes = _counted(np.concatenate([c for _, c, _ in parts]))[0]
+    short = shortened(codes, known)
+    asked = _counted(short)[0]
+    if len(asked) != len(values):
+        raise ValueError(f"{len(asked)} codes were asked for, {len(values)} answered")
+    value = values[np.searchsorted(asked, short)]
+    return np.concatenate([_sums(value[np.searchsorted(codes, c)][place], part) for part, c, place in parts])
+
+
+def answers(texts: DataFrame, modelled: DataFrame, starts: np.ndarray, known: Broadcast, scratch: Scratch) -> DataFrame:
+    """(batch, block, values): what each block says of the shortened codes in its range that a batch of texts (batch, packed) meets; it reads a table of scratch."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, codes, part, size = None, [], [], 0
@@ -411,18 +450,14 @@ def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray, scratch: S
 
         def made() -> pa.RecordBatch:
             piece()
-            met = context_keys(_counted(np.concatenate(codes))[0], known.value)
+            asked = _counted(shortened(_counted(np.concatenate(codes))[0], known.value))[0]
             codes.clear()
-            block = _block_of(met, starts)
-            order = np.argsort(block, kind="stable")
-            key, block = met[order], block[order]
-            first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
-            cut = zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=False)
-            sent = [(int(block[a]), name, _packed(np.diff(np.sort(key[a:b]), prepend=np.uint64(0)))) for a, b in cut]
-            del met, order, key, block, first
+            cut = [0, *np.searchsorted(asked, starts).tolist(), len(asked)]
+            sent = [(b, name, _packed(np.diff(asked[i:j], prepend=np.uint64(0)))) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
+            del asked
             release()
             kinds = (pa.int32(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in sent], t) for i, t in enumerate(kinds)], names=["block", "batch", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in sent], t) for i, t in enumerate(kinds)], names=["block", "batch", "codes"])
 
         for batch in batches:
             for b, t in zip(batch.column("batch").to_pylist(), batch.column("packed"), strict=True):
@@ -438,22 +473,37 @@ def slices(texts: DataFrame, modelled: DataFrame, starts: np.ndarray, scratch: S
             yield made()
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out: list[tuple[int, bytes]] = []
-        if len(asked) and len(held):
-            key, kinds, sym, n = _unpack_states(held.column("states")[0].as_py())
-            for b, k in zip(asked.column("batch").to_pylist(), asked.column("keys"), strict=True):
-                want = np.cumsum(_unpacked(k.as_py(), "u")[0], dtype=np.uint64)
-                at = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
-                pick = at[key[at] == want] if len(key) else at[:0]
-                rows = _rows(kinds, pick)
-                out.append((b, _pack_states(key[pick], kinds[pick], sym[rows], n[rows])))
-            del key, kinds, sym, n
+        out: list[tuple[int, int, bytes]] = []
+        if len(asked):
+            wants = [np.cumsum(_unpacked(c.as_py(), "u")[0], dtype=np.uint64) for c in asked.column("codes")]
+            codes = _counted(np.concatenate(wants))[0]
+            values = np.rint(Model.of([s.as_py() for s in held.column("states")]).of_codes(codes) / -UNIT).astype(np.uint64)
+            block = asked.column("block")[0].as_py()
+            out = [(b, block, _packed(values[np.searchsorted(codes, w)])) for b, w in zip(asked.column("batch").to_pylist(), wants, strict=True)]
+            del wants, codes, values
         release()
-        return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["batch", "states"])
+        kinds = (pa.int64(), pa.int32(), pa.binary())
+        return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["batch", "block", "values"])
 
-    asked = texts.select("batch", "packed").repartition("batch").sortWithinPartitions("batch").mapInArrow(lean(ask), "block int, batch long, keys binary")
+    asked = texts.select("batch", "packed").repartition("batch").sortWithinPartitions("batch").mapInArrow(lean(ask), "block int, batch long, codes binary")
     asked = scratch.staged(asked, "pst-asked")  # else the texts' shuffle stays as long as the answers'
-    return asked.groupBy("block").cogroup(modelled.groupBy("block")).applyInArrow(answer, "batch long, states binary")
+    return asked.groupBy("block").cogroup(modelled.groupBy("block")).applyInArrow(answer, "batch long, block int, values binary")
+
+
+def word_counts(texts: list[bytes], count: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
+    """Of each text: its words, those that have a count, the sum of log10(count + 1) over them, and the others, as often as they stand in it."""
+    size = np.array([t.count(b" ") + (len(t) > 1) for t in texts])
+    doc = np.repeat(np.arange(len(texts)), size)
+    word = pc.list_flatten(pc.split_pattern(pa.array([b" ".join(t[:-1] for t in texts if len(t) > 1)], pa.binary()), " ")) if len(doc) else pa.array([], pa.binary())
+    coded = word.dictionary_encode()
+    c = np.array([count.get(w, 0) for w in coded.dictionary.to_pylist()], np.int64)
+    at = coded.indices.to_numpy()
+    known = c[at] > 0
+    base = np.bincount(doc, np.log10(c + 1.0)[at], len(texts))
+    rare = np.flatnonzero(~known)
+    ends = np.cumsum(np.bincount(doc[rare], minlength=len(texts)))
+    words = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), word.take(pa.array(rare)).cast(pa.string()))
+    return size, np.bincount(doc, known, len(texts)).astype(np.int64), base, words
 
 
 def score(
@@ -511,80 +561,57 @@ def score(
     least = max(1, math.ceil(heavy_share * tokens))
     heavy = vocabulary.where(F.col("c") >= least).toPandas()  # at most 1 / heavy_share words
     known = spark.sparkContext.broadcast({w.encode("utf-8"): int(c) for w, c in zip(heavy["word"], heavy["c"], strict=True)})
-    head = "struct<id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>"
+    fields = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_words", pa.int64()), ("n_met", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.string()))])
 
     def rate(mine: pa.Table, met: pa.Table) -> pa.Table:
-        count = known.value
-        end_score = math.log10((ends + 1) / whole)
-        made = []
-        if len(mine):
-            model = Model.of([s.as_py() for s in met.column("states")])
-            mine = mine.append_column("score", pa.array(model.log10(zstandard.decompress(t.as_py()) for t in mine["packed"])))
-            del model
+        if not len(mine):
+            return fields.empty_table()
+        values = np.concatenate([_unpacked(v.as_py(), "u")[0] for v in met.sort_by("block")["values"]]) * -UNIT
         del met
+        texts = [zstandard.decompress(t.as_py()) for t in mine["packed"]]
+        scores = log10_of(texts, states_met.value, values)
+        del values
+        # rows of one batch are numbered, so that also those of one id and text have keys of their own
+        keys = np.arange(len(mine)) + (mine["batch"][0].as_py() << 32)
+        made, i = [], 0
+        for part in pieces(texts):
+            here = slice(i, i := i + len(part))
+            n_words, n_met, base, words = word_counts(part, known.value)
+            names = (mine[c].combine_chunks()[here] for c in ("id", "held_out"))
+            columns = [pa.array(keys[here]), *names, pa.array(n_words), pa.array(n_met), pa.array(base), pa.array(scores[here]), words]
+            made += pa.Table.from_arrays(columns, schema=fields).to_batches(max_chunksize=TEXT_BATCH_ROWS)
+        del texts
         release()
-        for batch in mine.to_batches(max_chunksize=TEXT_BATCH_ROWS):
-            ids, held, texts = batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), [zstandard.decompress(t.as_py()).split() for t in batch.column("packed")]
-            scores = batch.column("score").to_numpy(zero_copy_only=False)
-            key: list[str] = []
-            word: list[bytes | None] = []
-            often: list[int] = []
-            heads: list[dict | None] = []
-            for i, h, name, ws, s in zip(ids, held, batch.column("key").to_pylist(), texts, scores.tolist(), strict=True):
-                base, met, rare = end_score, int(ends > 0), []
-                for w, n in Counter(ws).items():
-                    if c := count.get(w):
-                        base += n * math.log10((c + 1) / whole)
-                        met += n
-                    else:
-                        rare.append((w, n))
-                key += [name] * (len(rare) + 1)
-                word += [b"\n" + name.encode(), *(w for w, _ in rare)]  # no word holds a line end: meets no count
-                often += [0, *(n for _, n in rare)]
-                heads += [{"id": i, "held_out": h, "n_tokens": len(ws) + 1, "n_known": met, "base": base, "score": s}] + [None] * len(rare)
-            kind = pa.struct([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-            made.append(
-                pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.string()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(often, pa.int64()), pa.array(heads, kind)],
-                    names=["key", "word", "often", "head"],
-                )
-            )
-        return pa.Table.from_batches(made, made[0].schema if made else pa.schema([]))
+        return pa.Table.from_batches(made, fields)
 
-    keyed = rows.withColumn("id", F.col("id").cast("long")).withColumn(
-        "key", F.concat_ws(":", F.col("id").cast("string"), F.hex(F.xxhash64("text")))
-    )
-    dealt = keyed.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches)))
-    kept = [T.StructField("id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("key", T.StringType()), T.StructField("batch", T.LongType())]
+    dealt = rows.withColumn("id", F.col("id").cast("long")).withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches)))
+    kept = [T.StructField("id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("batch", T.LongType())]
 
     def squeeze(batch: pa.RecordBatch) -> list[pa.Array]:
         pack = zstandard.ZstdCompressor(3).compress
         return [pa.array([pack(_stream(t.as_py())) for t in batch.column("text")], pa.binary())]
 
     dealt = with_arrow(dealt, ["text"], [T.StructField("packed", T.BinaryType())], squeeze, [f.name for f in kept])
-    found = slices(dealt, modelled, starts, model)
-    rare = vocabulary.where(F.col("c") < least)
-    rated = dealt.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(rate, f"key string, word string, often long, head {head}")
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(_unpack_keys(s.as_py()).view(np.int64) for s in batch.column("states"))])
+
+    states_met = spark.sparkContext.broadcast(bitmap(modelled.select("states"), of=keys))
+    found = answers(dealt, modelled, starts, states_met, model)
+    rated = dealt.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(rate, "key long, id long, held_out boolean, n_words long, n_met long, base double, score double, words array<string>")
     # texts and states are gone before words meet their counts
     rated = staged(rated, "pst-rated")
     model.clear()
-    met = (
-        rated.join(rare, "word", "left")
-        .groupBy("key")
-        .agg(
-            F.count("head").alias("copies"),
-            F.max("head").alias("head"),
-            F.sum(F.col("often") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(whole))).alias("base"),
-            F.sum(F.when(F.col("c").isNotNull(), F.col("often")).otherwise(0)).alias("known"),
-        )
-    )
-    return met.select(
-        F.col("head.id").alias("id"),
-        F.col("head.held_out").alias("held_out"),
-        F.col("head.n_tokens").alias("n_tokens"),
-        (F.col("head.n_known") + F.expr("known div copies")).alias("n_known"),
+    # a word without a count adds log10(0 + 1)
+    rare = vocabulary.where(F.col("c") < least).select("word", F.log10(F.col("c") + 1).alias("more"))
+    met = rated.select("key", F.explode("words").alias("word")).join(rare, "word").groupBy("key").agg(F.sum("more").alias("more"), F.count("*").alias("n"))
+    n_tokens = F.col("n_words") + 1
+    return rated.drop("words").join(met, "key", "left").select(
+        "id",
+        "held_out",
+        n_tokens.alias("n_tokens"),
+        (F.col("n_met") + F.coalesce("n", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("head.base") + F.col("base") / F.col("copies")).alias("base_score"),
-        F.col("head.score").alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
-    ).drop("_copy")
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(math.log10(ends + 1)) - n_tokens * F.lit(math.log10(whole))).alias("base_score"),
+        "score",
+    )
