@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,12 @@ DENSE = 8192
 #: Log10 probabilities are sent in units of 2 ** -32, which the sum over a text doesn't show in its first nine digits.
 UNIT = 2.0**-32
 _BYTE = np.uint64(8)
+#: White space as spaces, A-Z in lower case.
+_PLAIN = bytes.maketrans(b"\t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
+#: What stands before a text.
+_BEFORE = b"\0" * (DEPTH - 1) + bytes([END])
+#: Odd factors of hashes, tried in turn until no two codes of a batch collide.
+MIXERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def normal(text: str | None) -> list[bytes]:
@@ -62,16 +69,18 @@ def normal(text: str | None) -> list[bytes]:
 
 
 def _stream(text: str | None) -> bytes:
-    return b" ".join(normal(text)) + bytes([END])
+    plain = (text or "").encode("utf-8").translate(_PLAIN).strip(b" ")
+    while b"  " in plain:
+        plain = plain.replace(b"  ", b" ")
+    return plain + bytes([END])
 
 
 def _codes(text: bytes) -> np.ndarray:
     """The number of each position: the seven bytes before it, newest highest, and its own; an end mark stands before the text."""
-    raw = np.frombuffer(b"\0" * (DEPTH - 1) + bytes([END]) + text, np.uint8)
-    n = len(text)
-    codes = raw[DEPTH:].astype(np.uint64)
-    for j in range(DEPTH):
-        codes |= raw[DEPTH - 1 - j : DEPTH - 1 - j + n].astype(np.uint64) << np.uint64(56 - 8 * j)
+    codes = np.ndarray((len(text),), "<u8", _BEFORE + text, strides=(1,)).copy()  # the position's own byte is the highest
+    own = codes >> np.uint64(56)
+    codes <<= _BYTE
+    codes |= own
     return codes
 
 
@@ -411,29 +420,78 @@ def shortened(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
-    """The texts in lists of about PIECE_BYTES."""
+def pieces(texts: Iterable[bytes], most: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The texts in lists of about so many bytes."""
     part, size = [], 0
     for t in texts:
         part.append(t)
         size += len(t)
-        if size > PIECE_BYTES:
+        if size > most:
             yield part
             part, size = [], 0
     if part:
         yield part
 
 
+def different_codes(texts: Iterable[bytes]) -> np.ndarray:
+    """The different codes of the texts, rising."""
+    return _counted(np.concatenate([_counted(np.concatenate([_codes(t) for t in part]))[0] for part in pieces(texts)]))[0]
+
+
+def hashed_sums(texts: list[bytes], every: np.ndarray, values: np.ndarray) -> np.ndarray | None:
+    """The sum of the values of each text's codes; every has the different codes, in the order of the values.
+
+    Sorting hashes with the number of the text in their low bits takes a fraction of sorting places by code. None if
+    different codes collide with each factor.
+    """
+    low = np.uint64(max(1, (len(texts) - 1).bit_length()))
+    for factor in MIXERS:
+        hashed = every * factor >> low
+        order = np.argsort(hashed)
+        hashed = hashed[order]
+        if not (hashed[1:] == hashed[:-1]).any():
+            break
+    else:
+        return None
+    values = values[order]
+    del hashed, order
+    both, at = np.empty(sum(map(len, texts)), np.uint64), 0
+    for i, t in enumerate(texts):
+        code = _codes(t)
+        code *= factor
+        code >>= low
+        code <<= low
+        code |= np.uint64(i)
+        both[at : (at := at + len(t))] = code
+    both.sort()
+    new = np.ones(len(both), bool)
+    for i in range(1, len(both), PIECE_BYTES):
+        j = min(i + PIECE_BYTES, len(both))
+        new[i:j] = (both[i:j] ^ both[i - 1 : j - 1]) >> low != 0
+    first = np.append(np.flatnonzero(new).astype(np.int32 if len(both) < 1 << 31 else np.int64), len(both))
+    del new
+    both &= (np.uint64(1) << low) - np.uint64(1)
+    out = np.zeros(len(texts))
+    cut = [*range(0, len(values), PIECE_BYTES // 4), len(values)]
+    for a, b in zip(cut, cut[1:], strict=False):
+        out += np.bincount(both[first[a] : first[b]].view(np.int64), np.repeat(values[a:b], np.diff(first[a : b + 1])), len(texts))
+    return out
+
+
 def log10_of(texts: list[bytes], known: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The log10 probability of each text of a batch, from the values of all shortened codes of the batch, in their order."""
-    parts = [(part, *_places(part)) for part in pieces(texts)]
-    codes = _counted(np.concatenate([c for _, c, _ in parts]))[0]
-    short = shortened(codes, known)
+    every = different_codes(texts)
+    short = shortened(every, known)
     asked = _counted(short)[0]
     if len(asked) != len(values):
         raise ValueError(f"{len(asked)} codes were asked for, {len(values)} answered")
     value = values[np.searchsorted(asked, short)]
-    return np.concatenate([_sums(value[np.searchsorted(codes, c)][place], part) for part, c, place in parts])
+    del short, asked
+    sums = hashed_sums(texts, every, value)
+    if sums is None:
+        parts = ((part, *_places(part)) for part in pieces(texts))
+        sums = np.concatenate([_sums(value[np.searchsorted(every, c)][place], part) for part, c, place in parts])
+    return sums
 
 
 def answers(texts: DataFrame, modelled: DataFrame, starts: np.ndarray, known: Broadcast, scratch: Scratch) -> DataFrame:
@@ -496,7 +554,7 @@ def word_counts(texts: list[bytes], count: dict[bytes, int]) -> tuple[np.ndarray
     doc = np.repeat(np.arange(len(texts)), size)
     word = pc.list_flatten(pc.split_pattern(pa.array([b" ".join(t[:-1] for t in texts if len(t) > 1)], pa.binary()), " ")) if len(doc) else pa.array([], pa.binary())
     coded = word.dictionary_encode()
-    c = np.array([count.get(w, 0) for w in coded.dictionary.to_pylist()], np.int64)
+    c = np.array(list(map(count.get, coded.dictionary.to_pylist(), repeat(0))), np.int64)
     at = coded.indices.to_numpy()
     known = c[at] > 0
     base = np.bincount(doc, np.log10(c + 1.0)[at], len(texts))
@@ -571,10 +629,11 @@ def score(
         texts = [zstandard.decompress(t.as_py()) for t in mine["packed"]]
         scores = log10_of(texts, states_met.value, values)
         del values
+        release()
         # rows of one batch are numbered, so that also those of one id and text have keys of their own
         keys = np.arange(len(mine)) + (mine["batch"][0].as_py() << 32)
         made, i = [], 0
-        for part in pieces(texts):
+        for part in pieces(texts, BATCH_BYTES // 2):
             here = slice(i, i := i + len(part))
             n_words, n_met, base, words = word_counts(part, known.value)
             names = (mine[c].combine_chunks()[here] for c in ("id", "held_out"))

@@ -165,3 +165,68 @@ def test_keys_of_states_take_one_worker(spark, monkeypatch):
     df = spark.createDataFrame([(i, "the end of the line " * 9) for i in range(40)], "doc_id long, text string")
     assert st.score(df, F.col("doc_id") % 7 == 2, least_count=10).count() == 40
     assert plans and "MapInArrow" not in plans[0]
+
+
+def test_normal_texts():
+    for t in (None, "", " ", "\n\t", "A", " Ab\t\r\n\x0b\x0cÇ  d   e     f\u00a0\x1c\x85G ", "x" + " " * 9 + "Y\0z\n"):
+        assert st._stream(t) == b" ".join(st.normal(t)) + b"\n"
+    want = [int.from_bytes(bytes([*(b"\0" * 6 + b"\nab cdefghi\n")[i : i + 7][::-1], b"ab cdefghi\n"[i]])) for i in range(11)]
+    assert st._codes(b"ab cdefghi\n").tolist() == want
+
+
+def bitmap_of(keys, bits=1 << 20):
+    from faultsift.llm.common import bit_of
+
+    out = np.zeros(bits >> 6, np.int64)
+    at = bit_of(keys, bits)
+    np.bitwise_or.at(out, at >> 6, np.left_shift(np.int64(1), at & 63))
+    return out
+
+
+def test_blocks_answer_shortened_codes_as_whole_ones(spark, monkeypatch):
+    texts = [st._stream(t) for _, t in corpus()] + [b"\0\0an\0 on\n", b"\n"]
+    df = spark.createDataFrame([(t,) for _, t in corpus()], "text string")
+    starts = st.limits(df, sum(map(len, texts)), 1500)
+    blocks = st.states(st.counted_blocks(df, starts), starts, least_count=10).toPandas()
+    assert len(starts) > 3 and len(blocks) == len(starts) + 1
+    whole = model_of(spark, [t or "" for _, t in corpus()], least_count=10)
+    known = bitmap_of(whole.key)
+    codes = np.unique(np.concatenate([st._codes(t) for t in texts]))
+    short = st.shortened(codes, known)
+    asked = np.unique(short)
+    # that is less to send, and no answer differs from that of the whole model
+    assert len(asked) < 0.7 * len(codes)
+    cut = [0, *np.searchsorted(asked, starts), len(asked)]
+    of = dict(zip(blocks["block"], blocks["states"], strict=True))
+    values = np.concatenate([st.Model.of([of[b]]).of_codes(asked[i:j]) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False))])
+    assert values[np.searchsorted(asked, short)] == pytest.approx(whole.of_codes(codes), rel=1e-12)
+    # sums by hash and, where hashes collide, by place
+    want = whole.log10(texts)
+    assert st.log10_of(texts, known, values) == pytest.approx(want, rel=1e-12)
+    monkeypatch.setattr(st, "PIECE_BYTES", 1000)
+    assert st.hashed_sums(texts, codes, whole.of_codes(codes)) == pytest.approx(want, rel=1e-12)
+    monkeypatch.setattr(st, "MIXERS", (np.uint64(0),))
+    assert st.hashed_sums(texts, codes, codes) is None
+    assert st.log10_of(texts, known, values) == pytest.approx(want, rel=1e-12)
+    with pytest.raises(ValueError):
+        st.log10_of(texts, known, values[1:])
+
+
+def test_words_without_a_count_stay_as_often_as_they_stand():
+    n_words, n_met, base, rare = st.word_counts([b"a b a\n", b"\n", b"\xc3\xa9 x \xc3\xa9 b\n"], {b"a": 9, b"b": 99})
+    assert n_words.tolist() == [3, 0, 4] and n_met.tolist() == [3, 0, 1]
+    assert base.tolist() == pytest.approx([4, 0, 2]) and rare.to_pylist() == [[], [], ["é", "x", "é"]]
+    assert st.word_counts([b"\n"], {})[3].to_pylist() == [[]]
+
+
+def test_a_batch_is_summed_in_little_memory():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(9000)]
+    texts = [st._stream(" ".join(rng.choice(words) for _ in range(300))) for _ in range(1200)]
+    codes = st.different_codes(texts)
+    tracemalloc.start()
+    sums = st.hashed_sums(texts, codes, np.ones(len(codes)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sums.tolist() == [len(t) for t in texts]
+    assert peak < 10 * sum(map(len, texts)) + 70 * len(codes) + 40 * st.PIECE_BYTES
