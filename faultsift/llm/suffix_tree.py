@@ -19,9 +19,7 @@ way, and gets their log10 probabilities back in that order.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -548,20 +546,26 @@ def answers(texts: DataFrame, modelled: DataFrame, starts: np.ndarray, known: Br
     return asked.groupBy("block").cogroup(modelled.groupBy("block")).applyInArrow(answer, "batch long, block int, values binary")
 
 
-def word_counts(texts: list[bytes], count: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
-    """Of each text: its words, those that have a count, the sum of log10(count + 1) over them, and the others, as often as they stand in it."""
+def words_of(texts: list[bytes]) -> pa.DictionaryArray:
+    """All words of the texts (as from _stream) in their order."""
+    joined = b" ".join(t[:-1] for t in texts if len(t) > 1)
+    words = pc.list_flatten(pc.split_pattern(pa.array([joined], pa.binary()), " ")) if joined else pa.array([], pa.binary())
+    return words.dictionary_encode()
+
+
+def word_counts(texts: list[bytes], often: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
+    """Of each text: its words, those that are among the often ones, the sum of log10(count + 1) over them, and the others, as often as they stand in it."""
     size = np.array([t.count(b" ") + (len(t) > 1) for t in texts])
     doc = np.repeat(np.arange(len(texts)), size)
-    word = pc.list_flatten(pc.split_pattern(pa.array([b" ".join(t[:-1] for t in texts if len(t) > 1)], pa.binary()), " ")) if len(doc) else pa.array([], pa.binary())
-    coded = word.dictionary_encode()
-    c = np.array(list(map(count.get, coded.dictionary.to_pylist(), repeat(0))), np.int64)
-    at = coded.indices.to_numpy()
+    words = words_of(texts)
+    at = words.indices.to_numpy()
+    c = np.append(counts, 0)[pc.index_in(words.dictionary, often).fill_null(len(counts)).to_numpy()]
     known = c[at] > 0
     base = np.bincount(doc, np.log10(c + 1.0)[at], len(texts))
     rare = np.flatnonzero(~known)
     ends = np.cumsum(np.bincount(doc[rare], minlength=len(texts)))
-    words = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), word.take(pa.array(rare)).cast(pa.string()))
-    return size, np.bincount(doc, known, len(texts)).astype(np.int64), base, words
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), words.dictionary.take(pa.array(at[rare])).cast(pa.string()))
+    return size, np.bincount(doc, known, len(texts)).astype(np.int64), base, lists
 
 
 def score(
@@ -596,20 +600,21 @@ def score(
     n_batches = 1 + size // batch_bytes
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
+        texts = (_stream(t.as_py()) for batch in batches for t in batch.column(0))
 
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(held.keys()), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"]
-            )
+        def made() -> Iterator[pa.RecordBatch]:
+            got = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")])
+            held.clear()
+            yield from pa.table({"word": got["word"].cast(pa.string()), "c": got["c_sum"]}).to_batches(max_chunksize=100_000)
 
-        for batch in batches:
-            for t in batch.column(0):
-                held.update(normal(t.as_py()))
-            if len(held) > 400_000:
-                yield made()
-                held.clear()
-        yield made()
+        for part in pieces(texts, BATCH_BYTES // 2):
+            found = words_of(part)
+            held.append(pa.table({"word": found.dictionary, "c": np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))}))
+            if sum(map(len, held)) > 1_000_000:
+                yield from made()
+        if held:
+            yield from made()
 
     vocabulary = staged(learn.mapInArrow(lean(words), "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "pst-words")
     ends = learn.count()
@@ -618,7 +623,7 @@ def score(
     whole = float(tokens + kinds + 1)
     least = max(1, math.ceil(heavy_share * tokens))
     heavy = vocabulary.where(F.col("c") >= least).toPandas()  # at most 1 / heavy_share words
-    known = spark.sparkContext.broadcast({w.encode("utf-8"): int(c) for w, c in zip(heavy["word"], heavy["c"], strict=True)})
+    known = spark.sparkContext.broadcast((pa.array(heavy["word"], pa.string()).cast(pa.binary()), heavy["c"].to_numpy(np.int64)))
     fields = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_words", pa.int64()), ("n_met", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.string()))])
 
     def rate(mine: pa.Table, met: pa.Table) -> pa.Table:
@@ -635,7 +640,7 @@ def score(
         made, i = [], 0
         for part in pieces(texts, BATCH_BYTES // 2):
             here = slice(i, i := i + len(part))
-            n_words, n_met, base, words = word_counts(part, known.value)
+            n_words, n_met, base, words = word_counts(part, *known.value)
             names = (mine[c].combine_chunks()[here] for c in ("id", "held_out"))
             columns = [pa.array(keys[here]), *names, pa.array(n_words), pa.array(n_met), pa.array(base), pa.array(scores[here]), words]
             made += pa.Table.from_arrays(columns, schema=fields).to_batches(max_chunksize=TEXT_BATCH_ROWS)
@@ -661,9 +666,9 @@ def score(
     # texts and states are gone before words meet their counts
     rated = staged(rated, "pst-rated")
     model.clear()
-    # a word without a count adds log10(0 + 1)
+    # a word without a count adds log10(0 + 1); a partition's rare words, each once, are far fewer than the places where they stand
     rare = vocabulary.where(F.col("c") < least).select("word", F.log10(F.col("c") + 1).alias("more"))
-    met = rated.select("key", F.explode("words").alias("word")).join(rare, "word").groupBy("key").agg(F.sum("more").alias("more"), F.count("*").alias("n"))
+    met = rated.select("key", F.explode("words").alias("word")).join(rare.hint("shuffle_hash"), "word").groupBy("key").agg(F.sum("more").alias("more"), F.count("*").alias("n"))
     n_tokens = F.col("n_words") + 1
     return rated.drop("words").join(met, "key", "left").select(
         "id",

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,10 +214,10 @@ def test_blocks_answer_shortened_codes_as_whole_ones(spark, monkeypatch):
 
 
 def test_words_without_a_count_stay_as_often_as_they_stand():
-    n_words, n_met, base, rare = st.word_counts([b"a b a\n", b"\n", b"\xc3\xa9 x \xc3\xa9 b\n"], {b"a": 9, b"b": 99})
+    n_words, n_met, base, rare = st.word_counts([b"a b a\n", b"\n", b"\xc3\xa9 x \xc3\xa9 b\n"], pa.array([b"a", b"b"]), np.array([9, 99]))
     assert n_words.tolist() == [3, 0, 4] and n_met.tolist() == [3, 0, 1]
     assert base.tolist() == pytest.approx([4, 0, 2]) and rare.to_pylist() == [[], [], ["é", "x", "é"]]
-    assert st.word_counts([b"\n"], {})[3].to_pylist() == [[]]
+    assert st.word_counts([b"\n"], pa.array([], pa.binary()), np.zeros(0, np.int64))[3].to_pylist() == [[]]
 
 
 def test_a_batch_is_summed_in_little_memory():
