@@ -431,9 +431,25 @@ def pieces(texts: Iterable[bytes], most: int = PIECE_BYTES) -> Iterator[list[byt
         yield part
 
 
+def _different(codes: np.ndarray) -> np.ndarray:
+    """The different codes, rising; it sorts codes in place."""
+    codes.sort()
+    new = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    return codes[new]
+
+
+def _codes_of(part: list[bytes]) -> np.ndarray:
+    """The codes of several texts."""
+    codes, at = np.empty(sum(map(len, part)), np.uint64), 0
+    for t in part:
+        codes[at : (at := at + len(t))] = _codes(t)
+    return codes
+
+
 def different_codes(texts: Iterable[bytes]) -> np.ndarray:
     """The different codes of the texts, rising."""
-    return _counted(np.concatenate([_counted(np.concatenate([_codes(t) for t in part]))[0] for part in pieces(texts)]))[0]
+    return _different(np.concatenate([_different(_codes_of(part)) for part in pieces(texts)]))
 
 
 def hashed_sums(texts: list[bytes], every: np.ndarray, values: np.ndarray) -> np.ndarray | None:
@@ -480,7 +496,7 @@ def log10_of(texts: list[bytes], known: np.ndarray, values: np.ndarray) -> np.nd
     """The log10 probability of each text of a batch, from the values of all shortened codes of the batch, in their order."""
     every = different_codes(texts)
     short = shortened(every, known)
-    asked = _counted(short)[0]
+    asked = _different(short.copy())
     if len(asked) != len(values):
         raise ValueError(f"{len(asked)} codes were asked for, {len(values)} answered")
     value = values[np.searchsorted(asked, short)]
@@ -497,16 +513,17 @@ def answers(texts: DataFrame, modelled: DataFrame, starts: np.ndarray, known: Br
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, codes, part, size = None, [], [], 0
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def piece() -> None:
             nonlocal part, size
             if part:
-                codes.append(_counted(np.concatenate([_codes(t) for t in part]))[0])
+                codes.append(_different(_codes_of(part)))
             part, size = [], 0
 
         def made() -> pa.RecordBatch:
             piece()
-            asked = _counted(shortened(_counted(np.concatenate(codes))[0], known.value))[0]
+            asked = _different(shortened(_different(np.concatenate(codes)), known.value))
             codes.clear()
             cut = [0, *np.searchsorted(asked, starts).tolist(), len(asked)]
             sent = [(b, name, _packed(np.diff(asked[i:j], prepend=np.uint64(0)))) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
@@ -521,7 +538,7 @@ def answers(texts: DataFrame, modelled: DataFrame, starts: np.ndarray, known: Br
                     if name is not None:
                         yield made()
                     name = b
-                part.append(zstandard.decompress(t.as_py()))
+                part.append(unpack(t.as_py()))
                 size += len(part[-1])
                 if size > PIECE_BYTES:
                     piece()
@@ -532,7 +549,7 @@ def answers(texts: DataFrame, modelled: DataFrame, starts: np.ndarray, known: Br
         out: list[tuple[int, int, bytes]] = []
         if len(asked):
             wants = [np.cumsum(_unpacked(c.as_py(), "u")[0], dtype=np.uint64) for c in asked.column("codes")]
-            codes = _counted(np.concatenate(wants))[0]
+            codes = _different(np.concatenate(wants))
             values = np.rint(Model.of([s.as_py() for s in held.column("states")]).of_codes(codes) / -UNIT).astype(np.uint64)
             block = asked.column("block")[0].as_py()
             out = [(b, block, _packed(values[np.searchsorted(codes, w)])) for b, w in zip(asked.column("batch").to_pylist(), wants, strict=True)]
@@ -631,7 +648,8 @@ def score(
             return fields.empty_table()
         values = np.concatenate([_unpacked(v.as_py(), "u")[0] for v in met.sort_by("block")["values"]]) * -UNIT
         del met
-        texts = [zstandard.decompress(t.as_py()) for t in mine["packed"]]
+        unpack = zstandard.ZstdDecompressor().decompress
+        texts = [unpack(t.as_py()) for t in mine["packed"]]
         scores = log10_of(texts, states_met.value, values)
         del values
         release()
