@@ -35,7 +35,8 @@ def ranked_values(df: DataFrame, by: list[str], value: str, ranks: DataFrame, le
         values, wanted = staged(values, "values"), staged(wanted, "ranks")
     while about > least / 2 and _largest(values, keys) > least:
         cuts = F.percentile_approx("_x", [i / RANGES for i in range(1, RANGES)], 10_000)
-        cut = values.groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts"))
+        # stored, as approximate quantiles depend on the order in which parts are merged: all that reads them must see the same
+        cut = staged(values.groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts")), "cuts")
         placed = values.join(cut, keys).withColumn("_at", F.aggregate("_cuts", F.lit(0), lambda n, c: n + F.when(c < F.col("_x"), 1).otherwise(0))).drop("_cuts")
         w = W.partitionBy(*keys).orderBy("_at")
         ranges = placed.groupBy(*keys, "_at").agg(F.sum("_n").alias("_size")).withColumn("_end", F.sum("_size").over(w))

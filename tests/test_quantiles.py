@@ -59,5 +59,15 @@ def test_lowest_takes_ties_in_order(spark):
     assert quantiles.lowest(df, ["g"], "v", "i", 0.6).columns == ["g", "v", "i", "note"]
 
 
+def test_cuts_are_made_once(spark, monkeypatch):
+    """Approximate quantiles that come out different whenever they are computed: values and ranks must go by the same ones."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([("a", rng.random()) for _ in range(4000)], "g string, v double")
+    noise, approx = F.udf(lambda xs: [x + random.random() / 20 for x in xs], "array<double>").asNondeterministic(), F.percentile_approx
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: noise(approx(*a)))
+    want = df.groupBy("g").agg(F.count("v").alias("n"), F.percentile("v", PARTS).alias("q")).collect()
+    assert quantiles.quantiles(df, ["g"], "v", PARTS, 50).collect() == want
+
+
 def test_empty(spark):
     assert quantiles.quantiles(frame(spark).limit(0), ["g"], "v", PARTS).collect() == []
