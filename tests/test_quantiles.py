@@ -69,5 +69,15 @@ def test_cuts_are_made_once(spark, monkeypatch):
     assert quantiles.quantiles(df, ["g"], "v", PARTS, 50).collect() == want
 
 
+def test_lowest_with_cuts_made_once(spark, monkeypatch):
+    """The quietest rows are as many as asked for, whatever approximate quantiles say."""
+    rng = random.Random(4)
+    rows = [("a", round(rng.expovariate(0.02), 2), i) for i in range(4000)]
+    noise, approx = F.udf(lambda xs: [x + random.random() * 5 for x in xs], "array<double>").asNondeterministic(), F.percentile_approx
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: noise(approx(*a)))
+    got = quantiles.lowest(spark.createDataFrame(rows, "g string, v double, i long"), ["g"], "v", "i", 0.6, 50).select("g", "v", "i").collect()
+    assert sorted(map(tuple, got)) == sorted(sorted(rows, key=lambda r: r[1:])[:2400])
+
+
 def test_empty(spark):
     assert quantiles.quantiles(frame(spark).limit(0), ["g"], "v", PARTS).collect() == []
