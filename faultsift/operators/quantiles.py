@@ -87,4 +87,6 @@ def lowest(df: DataFrame, by: list[str], score: str, order: str, part: float, le
     taken = below.groupBy(*by).agg(F.count("*").alias("_below"))
     left = ranks.join(taken, by, "left").select(*by, "name", (F.col("k") - F.coalesce("_below", F.lit(0))).alias("k"))
     last = ranked_values(ties, by, order, left, least).select(*by, F.col("x").alias("_last"))
-    return below.drop("_cut").unionByName(ties.join(last, by).where(F.col(order) <= F.col("_last")).drop("_cut", "_last"))
+    # one scan of the rows; no union, whose parts may be dealt to unequal numbers of partitions where a join was skewed
+    kept = (F.col(score) < F.col("_cut")) | ((F.col(score) == F.col("_cut")) & (F.col(order) <= F.col("_last")))
+    return rows.join(last, by).where(kept).drop("_cut", "_last")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultsift.operators.quantiles import lowest, quantiles
+from faultsift.sources.staging import staged
 
 #: Fixed value: median absolute deviation to standard deviation of a normal distribution.
 MAD_SCALE = 1.4826
@@ -33,7 +34,7 @@ def quartile_scaler(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def calibration(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, center, scale) of ln(1 + value), the scale bounded from below four ways. Groups may be of any size."""
     logs = df.select(*by, F.log1p(F.col(value)).alias("x"))
-    q = quantiles(logs, by, "x", [0.25, 0.5, 0.75])
+    q = staged(quantiles(logs, by, "x", [0.25, 0.5, 0.75]), "quartiles")
     off = logs.join(q.select(*by, "q"), by).select(*by, F.abs(F.col("x") - F.col("q")[1]).alias("off"))
     mad = quantiles(off, by, "off", [0.5]).select(*by, F.col("q")[0].alias("mad"))
     return q.join(mad, by).select(
@@ -57,12 +58,15 @@ def timeline_calibration(df: DataFrame, by: list[str], step: str, value: str, pa
     """
     whole = by[:-1]
     ends = df.groupBy(*whole).agg(F.min(step).alias("_a"), F.max(step).alias("_b"))
-    rows = (df.join(F.broadcast(ends), whole) if whole else df.select("*").join(F.broadcast(ends))).withColumn("_t", F.col("_b") - F.col("_a") + 1)
+    # timelines may be as many as there are cases, so only the ends of a single one are broadcast
+    rows = (df.join(ends, whole) if whole else df.select("*").join(F.broadcast(ends))).withColumn("_t", F.col("_b") - F.col("_a") + 1)
     r = F.least(F.lit(60), F.greatest(F.lit(3), F.floor(F.col("_t") / 4)))
     edge = (F.col("_t") <= 2 * r) | (F.col(step) < F.col("_a") + r) | (F.col(step) > F.col("_b") - r)
-    first = calibration(rows.where(edge), by, value)
-    scored = df.join(first, by).withColumn("_z", F.round(standardised(F.col(value), F.col("center"), F.col("scale")), 9))
-    return calibration(quiet(scored, by, "_z", step, part).select(*by, value), by, value)
+    # each step is stored: quantiles read it several times, and one plan of them all has more sorts than a task has memory for
+    first = staged(calibration(staged(rows.where(edge).select(*by, value), "edge"), by, value), "first")
+    z = F.round(standardised(F.col(value), F.col("center"), F.col("scale")), 9)
+    scored = staged(df.join(first, by).select(*by, step, value, z.alias("_z")), "scored")
+    return staged(calibration(staged(quiet(scored, by, "_z", step, part).select(*by, value), "quiet"), by, value), "fitted")
 
 
 def standardised(value: Column, center: Column, scale: Column) -> Column:
