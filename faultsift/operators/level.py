@@ -26,8 +26,9 @@ def level_scores(cells: DataFrame, by: list[str], width: int = 120, stride: int
     place = F.row_number().over(W.partitionBy(*by, "modality", "minute").orderBy(F.col("level").desc(), "entity"))
     family = entity.withColumn("_r", place).where(F.col("_r") <= pool).groupBy(*by, F.col("modality").alias("family"), "minute").agg(F.avg("level").alias("score"))
     ends = cells.groupBy(*by).agg(F.min("minute").alias("first"), (F.max("minute") - F.min("minute") + 1).alias("length"))
-    steps = windows.steps(windows.enumerate_windows(ends, width, stride), width).withColumn("minute", F.col("first") + F.col("step")).select(*by, "minute")
-    return windows.average(family.join(steps, [*by, "minute"]), [*by, "minute", "family"], "score")
+    # a minute's score is the same in all its windows, so these are counted instead of listed: their steps would be many times the cells
+    covered = windows.covering(F.col("minute") - F.col("first"), F.col("length"), width, stride)
+    return family.join(ends, by).select(*by, "minute", "family", "score", covered.alias("windows")).where("windows > 0")
 
 
 def level_probability(cells: DataFrame, by: list[str], width: int = 120, stride: int = 30, pool: int = 3) -> DataFrame:

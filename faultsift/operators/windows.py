@@ -24,6 +24,14 @@ def steps(windows: DataFrame, width: int) -> DataFrame:
     return windows.where("length > 0").select("*", F.explode(F.sequence(F.col("start"), last)).alias("step"))
 
 
+def covering(step: Column, length: Column, width: int, stride: int) -> Column:
+    """How many windows of a timeline cover a step (from 0), without listing them."""
+    last = F.greatest(F.lit(0).cast("long"), length - width)
+    first = F.greatest(F.lit(0).cast("long"), step - width + 1)
+    regular = F.greatest(F.lit(0).cast("long"), F.floor(F.least(step, last) / stride) - F.ceil(first / stride) + 1)
+    return regular + F.when((last % stride != 0) & (last >= first) & (last <= step), 1).otherwise(0)
+
+
 def average(scores: DataFrame, by: list[str], score: str) -> DataFrame:
     """(by, score, windows): the mean over the windows that cover a step."""
     return scores.groupBy(*by).agg(F.avg(score).alias(score), F.count("*").alias("windows"))
