@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,16 +62,23 @@ def dimensions(**columns: Column) -> Column:
 
 def label_dimensions(label: Column) -> Column:
     """A map of the pairs key="value"; other text stands under the key label. The last of equal keys wins."""
-    pattern = r'([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"([^"]*)"'
-    keys = F.regexp_extract_all(label, F.lit(pattern), F.lit(1))
-    values = F.regexp_extract_all(label, F.lit(pattern), F.lit(2))
-    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    n = F.size(keys)
-    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, n), e["k"]))
+    # a name begins where none goes on, and nothing is given back: a long word is read once
+    pattern = r'(?<![A-Za-z_])([A-Za-z_][A-Za-z0-9_]*+)\s*+=\s*+"([^"]*+)"'
+    found = F.struct(F.regexp_extract_all(label, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(label, F.lit(pattern), F.lit(2)).alias("v"))
+
+    def last(d: Column) -> Column:
+        back = F.reverse(d["v"])
+        names, turned = F.array_distinct(d["k"]), F.reverse(d["k"])
+        return _let(F.struct(names.alias("k"), turned.alias("r"), back.alias("v")), lambda x: F.map_from_arrays(x["k"], F.transform(x["k"], lambda n: F.get(x["v"], (F.array_position(x["r"], n) - 1).cast("int")))))
+
     text = F.trim(label)
-    return F.when(n > 0, F.map_from_arrays(F.transform(last, lambda e: e["k"]), F.transform(last, lambda e: e["v"]))).otherwise(
-        F.when(F.length(text) > 0, F.create_map(F.lit("label"), text)).otherwise(F.create_map().cast("map<string,string>"))
-    )
+    plain = F.when(F.length(text) > 0, F.create_map(F.lit("label"), text)).otherwise(F.create_map().cast("map<string,string>"))
+    return _let(found, lambda d: F.when(F.size(d["k"]) > 0, last(d)).otherwise(plain))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once per row, also where use names it within a lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def city_of_path(path: Column, cities: list[str] = CITIES) -> Column:
